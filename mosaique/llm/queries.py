@@ -9,6 +9,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mosaique.llm.common import read_table
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm import token_files
+    from mosaique.session import shared_path
+
+    path = shared_path(spark, "shards")
+    token_files.write_shards(read_table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", end_id=2)
+    return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.token_counts import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.bpe import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaique.llm import quality
 
@@ -29,6 +50,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_token_counts": op2_token_counts,
+    "op10_bpe": op10_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
 }
