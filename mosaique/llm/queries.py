@@ -41,6 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.html import main_text
+
+    return main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "path")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaique.llm.bpe import round_trip
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op7_html": op7_html,
     "op10_bpe": op10_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
