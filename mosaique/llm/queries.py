@@ -41,6 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.near_dedup import components
+
+    return components(read_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaique.llm.html import main_text
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op6_near_dedup": op6_near_dedup,
     "op7_html": op7_html,
     "op10_bpe": op10_bpe,
     "op8_quality_rules": op8_quality_rules,
