@@ -1,0 +1,409 @@
+"""Personal data and secrets: keyed surrogates instead of blanks.
+
+A detected entity is replaced by another of its kind: an e-mail address by an address of the same shape, a
+card number by one with the same network digit and valid check digit, a phone number in the same
+notation, an IPv4 address of the same class, a secret with the same alphabet, a given name by one of the same
+gender and script, a surname by one with the same pattern of vowels and consonants in the same script.
+
+Surrogates come from a keyed permutation without fixed points of all values of the same shape, so different
+values get different surrogates, equal values (however they are written) get equal ones in every document,
+and no value stays. Values that such a permutation can't cover get a keyed hash; `ledger` checks all
+distinct entities of the corpus for surrogates that meet, and draws those anew until none do.
+
+Cases: a null text stays null, empty texts and texts without entities stay as they are, repeated rows each get
+a row, an empty table gives an empty result, other columns are ignored by `replace` and kept by `replace_in`.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from mosaique.llm.common import BROADCAST_ROWS
+from mosaique.session import materialize
+
+DEFAULT_KEY = b"mosaique surrogate key, to be replaced by a secret one"
+
+_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+'-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+_ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?token)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_.-]{8,}[A-Za-z0-9+/=_-])")
+_KEY_PREFIX = re.compile(r"(?<![A-Za-z0-9])(?:ghp_|gho_|sk-|xox[bap]-)[A-Za-z0-9_-]{16,}")
+_IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
+_PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![\d])|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\d])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d])")
+_CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d])")
+_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
+_LOWER = "a-zß-öø-ÿа-яёα-ωά-ώ"
+_NAME = f"[{_UPPER}][{_LOWER}]+(?:['’-][{_UPPER}][{_LOWER}]+)*"
+_TITLED = re.compile(rf"\b(Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία)\b\.?[  ]+({_NAME}(?:[  ]{_NAME}){{0,2}})")
+_PAIR = re.compile(rf"\b({_NAME})((?:[  ]{_NAME}){{1,2}})")
+
+#: Titles by gender, and given names by script and gender.
+TITLES = {"f": {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία"}, "m": {"Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"}}
+GIVEN = {
+    ("latin", "f"): "Alice Anna Barbara Carmen Caroline Charlotte Claire Elena Emily Emma Eva Hannah Isabel Jane Julia Laura Linda Lucia Maria Mary Michelle Nicole Petra Sarah Sofia Sophie Susan".split(),
+    ("latin", "m"): "Alexander Andreas Antonio Carlos Charles Daniel David Diego Felix George Hans Henri James Jean John Jorge Lukas Martin Michael Miguel Paul Peter Pierre Robert Stefan Thomas William".split(),
+    ("cyrillic", "f"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
+    ("cyrillic", "m"): "Александр Алексей Андрей Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
+    ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
+    ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Παύλος".split(),
+}
+_GIVEN_OF = {name.lower(): (key, k) for key, names in GIVEN.items() for k, name in enumerate(names)}
+#: Letters that may stand for each other: vowels and consonants of each script.
+CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåæéèêëíìîïóòôöõøúùûü", "çñßýÿðþ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "άέήίόύώ"]
+_CLASS_OF = {c: group for group in CLASSES for c in group}
+_DIGITS, _LETTERS, _CAPITALS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PUBLIC = [str(k) for k in range(1, 224) if k not in (10, 100, 127, 169, 172, 192, 198, 203)]
+_OCTETS = [str(k) for k in range(256)]
+_HOSTS = [str(k) for k in range(1, 255)]
+FREE_MAIL = {"gmail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "gmx.de", "web.de", "orange.fr", "proton.me"}
+_SECOND_LEVEL = {"co", "com", "org", "net", "ac", "gov"}
+
+
+class Permutation:
+    """A keyed permutation of 0..n-1 that moves every number."""
+
+    def __init__(self, key: bytes, tweak: str, n: int):
+        self.n, self.bits = n, max(2, (n - 1).bit_length() + (n - 1).bit_length() % 2)
+        self.half = self.bits // 2
+        self.mask = (1 << self.half) - 1
+        self.seed = hashlib.blake2b(tweak.encode(), key=hashlib.sha256(key).digest(), digest_size=32).digest()
+
+    def _round(self, k: int, x: int) -> int:
+        size = (self.half + 7) // 8
+        data = hashlib.blake2b(bytes([k]) + x.to_bytes(size, "little"), key=self.seed, digest_size=min(64, size + 1)).digest()
+        return int.from_bytes(data, "little") & self.mask
+
+    def _there(self, x: int) -> int:
+        while True:
+            left, right = x >> self.half, x & self.mask
+            for k in range(6):
+                left, right = right, left ^ self._round(k, right)
+            x = left << self.half | right
+            if x < self.n:
+                return x
+
+    def _back(self, x: int) -> int:
+        while True:
+            left, right = x >> self.half, x & self.mask
+            for k in reversed(range(6)):
+                left, right = right ^ self._round(k, left), left
+            x = left << self.half | right
+            if x < self.n:
+                return x
+
+    def __call__(self, x: int) -> int:
+        return self._back((self._there(x) + 1) % self.n) if self.n > 1 else x
+
+
+def permute(key: bytes, tweak: str, parts: list[tuple[str, list[str] | str]]) -> str | None:
+    """Replace each part by one of its choices; None if there is nothing to choose from."""
+    n, index = 1, 0
+    for value, choices in parts:
+        if len(choices) > 1:
+            index += n * choices.index(value)
+            n *= len(choices)
+    if n < 2:
+        return None
+    # The choices are the shape: values of one shape are permuted among themselves.
+    shape = "\0".join("".join(choices) if len(choices) < 60 else f"#{len(choices)}" for _, choices in parts)
+    index, out = Permutation(key, f"{tweak}\1{shape}", n)(index), []
+    for value, choices in parts:
+        if len(choices) > 1:
+            index, k = divmod(index, len(choices))
+            out.append(choices[k])
+        else:
+            out.append(value)
+    return "".join(out)
+
+
+def _characters(text: str) -> list[tuple[str, str]]:
+    """Each character with the characters that may stand for it."""
+    return [(c, _DIGITS if c in _DIGITS else _LETTERS if c in _LETTERS else _CAPITALS if c in _CAPITALS else c) for c in text]
+
+
+def _check_digit(digits: str) -> int:
+    """The digit that makes digits + it valid (Luhn)."""
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        v = int(d) * (2 if k % 2 == 0 else 1)
+        total += v - 9 if v > 9 else v
+    return -total % 10
+
+
+def is_card(digits: str) -> bool:
+    return len(digits) == 16 or 13 <= len(digits) <= 19 and _check_digit(digits[:-1]) == int(digits[-1])
+
+
+@dataclass(frozen=True)
+class Entity:
+    kind: str
+    begin: int
+    end: int
+    #: What makes two mentions the same.
+    value: str
+
+
+def _fresh(kind: str, value: str, key: bytes, attempt: int) -> str:
+    """The surrogate of a normalised value."""
+    tweak = f"{kind}\1{attempt}"
+    found = None
+    if kind == "email":
+        local, _, domain = value.rpartition("@")
+        if domain not in FREE_MAIL:
+            labels = domain.split(".")
+            fixed = 2 if len(labels) > 2 and labels[-2] in _SECOND_LEVEL and len(labels[-1]) == 2 else 1
+            head = ".".join(labels[:-fixed])
+            new_domain = (permute(key, f"{tweak}\1domain", _characters(head)) or head) + "." + ".".join(labels[-fixed:])
+        else:
+            new_domain = domain
+        new_local = permute(key, f"{tweak}\1{domain}", _characters(local)) or local
+        found = f"{new_local}@{new_domain}"
+    elif kind == "ipv4":
+        parts = value.split(".")
+        if parts[0] in _PUBLIC:
+            choices = [_PUBLIC, _OCTETS, _OCTETS]
+        elif parts[0] == "192" and parts[1] == "168" or parts[0] == "172" or parts[0] not in ("10", "127"):
+            choices = [[parts[0]], [parts[1]], _OCTETS]
+        else:
+            choices = [[parts[0]], _OCTETS, _OCTETS]
+        choices.append(_HOSTS if parts[3] in _HOSTS else ["0", "255"])
+        found = permute(key, tweak, [x for pair in zip(parts, choices, strict=True) for x in (pair, (".", "."))][:-1])
+    elif kind == "card":
+        body = permute(key, tweak, [(value[0], value[0]), *[(d, _DIGITS) for d in value[1:-1]]])
+        off = (int(value[-1]) - _check_digit(value[:-1])) % 10
+        found = body + str((_check_digit(body) + off) % 10)
+    elif kind in ("phone", "ssn"):
+        country, _, digits = value.rpartition("+")
+        lead = {0, 3} if kind == "phone" and len(digits) == 10 else {0}
+        found = permute(key, f"{tweak}\1{country}", [(d, ("23456789" if d in "23456789" else "01") if k in lead else _DIGITS) for k, d in enumerate(digits)])
+        found = f"{country}+{found}" if found and "+" in value else found
+    elif kind == "given":
+        script, gender = (_GIVEN_OF.get(value) or (("", ""), 0))[0]
+        names = GIVEN[script, gender]
+        order = sorted(range(len(names)), key=lambda k: hashlib.blake2b(names[k].encode(), key=hashlib.sha256(key).digest()[:32], salt=str(attempt).encode()[:16]).digest())
+        return names[order[(order.index(_GIVEN_OF[value][1]) + 1) % len(order)]].lower()
+    elif kind == "name":
+        found = permute(key, tweak, [(c, _CLASS_OF.get(c, c)) for c in value])
+    elif kind == "iban":
+        body = permute(key, tweak, _characters(value[4:])) or value[4:]
+        rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
+        found = f"{value[:2]}{98 - rest:02d}{body}"
+    elif kind == "access_key":
+        found = value[:4] + (permute(key, tweak, _characters(value[4:])) or "")
+    elif set(value) <= set("0123456789abcdef"):
+        found = permute(key, tweak, [(c, "0123456789abcdef") for c in value])
+    elif set(value) <= set("0123456789ABCDEF"):
+        found = permute(key, tweak, [(c, "0123456789ABCDEF") for c in value])
+    else:
+        found = permute(key, tweak, _characters(value))
+    if found is None or found == value:
+        found = hashlib.blake2b(f"{tweak}\1{value}".encode(), key=hashlib.sha256(key).digest(), digest_size=8).hexdigest()
+    return found
+
+
+def _case_like(surrogate: str, original: str) -> str:
+    """Letter case and length as the original has them."""
+    if original.isupper():
+        return surrogate.upper()
+    return "".join(s.upper() if o.isupper() else s for s, o in zip(surrogate, original, strict=True)) if len(surrogate) == len(original) else surrogate.capitalize() if original[:1].isupper() else surrogate
+
+
+def _render(entity: Entity, original: str, surrogate: str) -> str:
+    """The surrogate in the notation of this mention."""
+    if entity.kind in ("card", "ssn", "phone", "iban"):
+        new = surrogate.rpartition("+")[2]
+        digits = iter(new)
+        skip = len([c for c in original if c.isalnum()]) - len(new)
+        out = []
+        for c in original:
+            if c.isalnum() and skip > 0:
+                out.append(c)
+                skip -= 1
+            else:
+                out.append(next(digits, c) if c.isalnum() else c)
+        return "".join(out)
+    if entity.kind in ("email", "given", "name"):
+        return _case_like(surrogate, original)
+    return surrogate
+
+
+def _phone_value(text: str) -> str | None:
+    digits = "".join(c for c in text if c.isdigit())
+    if not 7 <= len(digits) <= 15:
+        return None
+    if text.startswith("+"):
+        country = re.match(r"\+(\d{1,3}?)(?=[ .(-]|\d{10}$|$)", text)
+        head = country[1] if country else digits[:1]
+        national = digits[len(head) :]
+        return national if head == "1" and len(national) == 10 else f"{head}+{national}"
+    return digits
+
+
+def detect(text: str) -> list[Entity]:
+    """The entities of a text, in order and without overlaps."""
+    found: list[Entity] = []
+    taken: list[tuple[int, int]] = []
+
+    def add(kind: str, begin: int, end: int, value: str) -> None:
+        if all(end <= b or begin >= e for b, e in taken):
+            taken.append((begin, end))
+            found.append(Entity(kind, begin, end, value))
+
+    low = text.lower() if any(c in text for c in "=:") else ""
+    if low and any(w in low for w in ("token", "passw", "pwd", "secret", "key")):
+        for m in _SECRET.finditer(text):
+            if any(c.isdigit() for c in m[1]):
+                add("secret", m.start(1), m.end(1), m[1])
+    if "AKIA" in text or "ASIA" in text:
+        for m in _ACCESS_KEY.finditer(text):
+            add("access_key", m.start(), m.end(), m[0])
+    if "_" in text or "-" in text:
+        for m in _KEY_PREFIX.finditer(text) if any(p in text for p in ("ghp_", "gho_", "sk-", "xox")) else ():
+            add("secret", m.start(), m.end(), m[0])
+    if "@" in text:
+        for m in _EMAIL.finditer(text):
+            add("email", m.start(), m.end(), m[0].lower())
+    if _ANY_DIGITS.search(text):
+        for m in _IPV4.finditer(text):
+            if not re.search(r"(?i)(?:version|release|v|ver\.?)\s*$", text[max(0, m.start() - 10) : m.start()]):
+                add("ipv4", m.start(), m.end(), m[0])
+        for m in _IBAN.finditer(text):
+            value = m[0].replace(" ", "")
+            if 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+                add("iban", m.start(), m.end(), value)
+        for m in _SSN.finditer(text):
+            add("ssn", m.start(), m.end(), m[0].replace("-", ""))
+        for m in _PHONE.finditer(text):
+            if value := _phone_value(m[0]):
+                add("phone", m.start(), m.end(), value)
+        for m in _CARD.finditer(text):
+            digits = "".join(c for c in m[0] if c.isdigit())
+            if is_card(digits):
+                add("card", m.start(), m.end(), digits)
+    people = _people(text)
+    if people:
+        for begin, end, kind in people:
+            add(kind, begin, end, text[begin:end].lower())
+        surnames = {e.value for e in found if e.kind == "name"}
+        for m in re.finditer(_NAME, text):
+            if m[0].lower() in surnames:
+                add("name", m.start(), m.end(), m[0].lower())
+    return sorted(found, key=lambda e: e.begin)
+
+
+_ANY_DIGITS = re.compile(r"\d[\d .()-]{5}")
+
+
+def _people(text: str) -> list[tuple[int, int, str]]:
+    """Begin, end and kind of the words of names: after a title, or a known given name before capitalised words."""
+    out = []
+    for m in _TITLED.finditer(text):
+        parts = list(re.finditer(_NAME, m[2]))
+        for k, part in enumerate(parts):
+            kind = "given" if k < len(parts) - 1 and part[0].lower() in _GIVEN_OF else "name"
+            out.append((m.start(2) + part.start(), m.start(2) + part.end(), kind))
+    for m in _PAIR.finditer(text):
+        if m[1].lower() in _GIVEN_OF:
+            out.append((m.start(1), m.end(1), "given"))
+            out += [(m.start(2) + p.start(), m.start(2) + p.end(), "given" if p[0].lower() in _GIVEN_OF and p.end() < len(m[2]) else "name") for p in re.finditer(_NAME, m[2])]
+    return out
+
+
+def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
+    """The text with surrogates, and the number of entities."""
+    entities = detect(text)
+    if not entities:
+        return text, 0
+    out, at = [], 0
+    for e in entities:
+        original = text[e.begin : e.end]
+        out += [text[at : e.begin], _render(e, original, _fresh(e.kind, e.value, key, attempts.get((e.kind, e.value), 0)))]
+        at = e.end
+    return "".join([*out, text[at:]]), len(entities)
+
+
+def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, kind, begin, end (code points), value for every mention."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, e) for k, t in enumerate(batch.column(1).to_pylist()) if t for e in detect(t)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array([k for k, _ in rows], pa.int64())), pa.array([e.kind for _, e in rows], pa.string()), pa.array([e.begin for _, e in rows], pa.int64()), pa.array([e.end for _, e in rows], pa.int64()), pa.array([e.value for _, e in rows], pa.string())],
+                ["doc_id", "kind", "begin", "end", "value"],
+            )
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(found, f"doc_id {kind}, kind string, begin long, end long, value string")
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = sorted({(e.kind, e.value) for t in batch.column(0).to_pylist() if t for e in detect(t)})
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
+
+
+def ledger(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
+    """kind, value, attempt, surrogate of every distinct entity; surrogates are distinct within a kind."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [_fresh(k, v, key, a) for k, v, a in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "attempt", "surrogate"])
+
+    schema = "kind string, value string, attempt int, surrogate string"
+    known = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct, "kind string, value string").distinct().withColumn("attempt", F.lit(0))
+    table = materialize(known.mapInArrow(drawn, schema), "ledger")
+    while True:
+        met = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("first")).filter("n > 1")
+        met = materialize(met, "met")
+        if met.isEmpty():
+            return table
+        again = table.join(met.hint("merge"), ["kind", "surrogate"], "left")
+        again = again.withColumn("attempt", F.col("attempt") + F.when(F.col("n").isNotNull() & (F.col("value") != F.col("first")), 1).otherwise(0))
+        table = materialize(again.select("kind", "value", "attempt").mapInArrow(drawn, schema), "ledger")
+
+
+def _attempts(table: DataFrame) -> dict[tuple[str, str], int]:
+    """The entities that were drawn more than once. Keyed permutations leave only hashes of 64 bits to meet."""
+    rows = table.filter("attempt > 0").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError("more repeated draws than a 64-bit hash can explain: is the key in use?")
+    return {(r["kind"], r["value"]): r["attempt"] for r in rows}
+
+
+def replace(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (with surrogates), n_entities for every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(_attempts(ledger(docs, key, text_col)))
+
+    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [(t, 0) if not t else rewrite(t, key, shared.value) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in new], pa.string()), pa.array([n for _, n in new], pa.int64())], ["doc_id", "text", "n_entities"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rewritten, f"doc_id {kind}, text string, n_entities long")
+
+
+def replace_in(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All columns of `docs`, with surrogates in the text and its length brought up to date."""
+    shared = docs.sparkSession.sparkContext.broadcast(_attempts(ledger(docs, key, text_col)))
+    at = docs.columns.index(text_col)
+
+    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = pa.array([t if not t else rewrite(t, key, shared.value)[0] for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+    out = plain.mapInArrow(rewritten, plain.schema).toDF(*docs.columns)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
+    return out

@@ -41,6 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.privacy import replace
+
+    return replace(read_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaique.llm.near_dedup import components
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_privacy": op5_privacy,
     "op6_near_dedup": op6_near_dedup,
     "op7_html": op7_html,
     "op10_bpe": op10_bpe,
