@@ -1,32 +1,61 @@
-"""Corpus pipeline: quality rules, exact dedup, near-dedup, privacy, packing."""
+"""Corpus pipeline: quality rules, exact dedup, near-dedup, privacy, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet into the shared
+folder and reads it back as the next stage's docs. All stages but the last keep the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mosaique.llm.common import read_table
+from mosaique.llm.exact_dedup import drop_copies
+from mosaique.llm.near_dedup import drop_near_copies
+from mosaique.llm.packing import pack_documents
+from mosaique.llm.privacy import replace_in
+from mosaique.llm.quality import keep_good
 from mosaique.session import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from mosaique.llm.quality import keep_good
-
+    """The documents that the production policy keeps."""
     return keep_good(docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from mosaique.llm.exact_dedup import drop_copies
-
+    """One document of each group whose texts are equal without white space."""
     return drop_copies(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    return drop_near_copies(docs, k=5, percent=80)
+
+
+def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data and secrets."""
+    return replace_in(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("privacy", privacy_stage),
+    ("packing", packing_stage),
+]
 
-#: Tokenised sequences are not expressible in SQL.
+#: Surrogates and tokenised sequences are not expressible in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
