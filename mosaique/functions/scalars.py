@@ -46,11 +46,12 @@ def human_file_size(n: Column) -> Column:
 
 
 def _bytes(n: Column, form: str) -> Column:
-    value = n.cast("double")
+    value, places = n.cast("double"), int(form[2])
+    short = lambda v: F.bround(v, places)  # noqa: E731  (ties go to the even digit)
     out = F.when(value < 1024, F.format_string("%d B", n.cast("long")))
     for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(value < 1024.0 ** (power + 1), F.format_string(f"{form} {unit}", value / 1024.0**power))
-    return out.otherwise(F.format_string(f"{form} TB", value / 1024.0**4))
+        out = out.when(value < 1024.0 ** (power + 1), F.format_string(f"{form} {unit}", short(value / 1024.0**power)))
+    return out.otherwise(F.format_string(f"{form} TB", short(value / 1024.0**4)))
 
 
 def format_ms(ms: Column) -> Column:
