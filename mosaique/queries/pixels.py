@@ -1 +1,246 @@
-"""To come."""
+"""Pixels and regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from mosaique.functions import geometry as G, scalars as S
+from mosaique.operators import raster as R
+from mosaique.plans import chain as K
+from mosaique.registry import query
+from mosaique.sources import views
+
+V, RG = views.RASTER_SQL, views.REGIONS_SQL
+
+
+@query("select image_id, x, y, avg(luma) over (partition by image_id, x // 3, y // 3) as mean from v_raster", V)
+def tile_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tile_mean(views.raster(spark, sf_dir), "luma", 3).select("image_id", "x", "y", "mean")
+
+
+@query("""select image_id, x, y, band, avg(luma) over (partition by image_id, band) as mean from
+  (select *, cast(floor((t - min(t) over (partition by image_id)) / 3) as int) as band from (select *, x * cos(radians(30)) + y * sin(radians(30)) as t from v_raster))""", V)
+def band_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.band_mean(views.raster(spark, sf_dir), "luma", 3, 30).select("image_id", "x", "y", "band", "mean")
+
+
+@query("""select image_id, x, y, case when hi > lo then cast(floor(round(greatest(0, least(255, (luma - lo) * 255.0::double / (hi - lo))), 6) + 0.5) as int) else luma end as stretched from
+  (select *, quantile_cont(luma::double, 0.05) over (partition by image_id) as lo, quantile_cont(luma::double, 0.95) over (partition by image_id) as hi from v_raster)""", V)
+def percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.percentile_stretch(views.raster(spark, sf_dir), "luma", 5).select("image_id", "x", "y", "stretched")
+
+
+_GRID = "g as (select image_id, list(luma order by y, x) as p from v_raster group by image_id)"
+
+
+@query("""select image_id, x, y, 4 * luma - l - r - u - d as lap from (select *, lag(luma) over row_ as l, lead(luma) over row_ as r, lag(luma) over col as u, lead(luma) over col as d from v_raster
+  window row_ as (partition by image_id, y order by x), col as (partition by image_id, x order by y)) where l is not null and r is not null and u is not null and d is not null""", V)
+def stencil_laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.stencil(views.raster(spark, sf_dir), "luma", R.LAPLACE, "lap")
+
+
+@query("""select image_id, var_pop(4 * luma - l - r - u - d) as sharpness from (select *, lag(luma) over row_ as l, lead(luma) over row_ as r, lag(luma) over col as u, lead(luma) over col as d from v_raster
+  window row_ as (partition by image_id, y order by x), col as (partition by image_id, x order by y)) where l is not null and r is not null and u is not null and d is not null group by image_id""", V)
+def sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sharpness(views.raster(spark, sf_dir))
+
+
+def _at(dx: int, dy: int) -> str:
+    return f"p[least(7, greatest(0, y + {dy})) * 8 + least(7, greatest(0, x + {dx})) + 1]"
+
+
+_SOBEL = f"""
+s as (select image_id, x, y, sqrt(gx * gx + gy * gy) as magnitude from (select v.image_id, x, y,
+  {_at(1, -1)} - {_at(-1, -1)} + 2 * {_at(1, 0)} - 2 * {_at(-1, 0)} + {_at(1, 1)} - {_at(-1, 1)} as gx,
+  {_at(-1, 1)} - {_at(-1, -1)} + 2 * {_at(0, 1)} - 2 * {_at(0, -1)} + {_at(1, 1)} - {_at(1, -1)} as gy from v_raster v join g on v.image_id = g.image_id))"""
+
+
+@query("""select image_id, x, y, magnitude, greatest(0, least(1, magnitude / case when p <= 0 then 1 else p end)) * greatest(0, least(1, (magnitude - 180.0::double) / 580.0::double)) as score
+  from (select *, quantile_cont(magnitude, 0.92) over (partition by image_id) as p from s)""", V, _GRID, _SOBEL)
+def edge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.edge_score(views.raster(spark, sf_dir))
+
+
+@query(f"""select v.image_id, x, y, {_at(-3, 2)} as red, luma as green, {_at(3, -2)} as blue from v_raster v join g on v.image_id = g.image_id""", V, _GRID)
+def displace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels drawn apart: red by (3, -2), blue the other way."""
+    pixels = views.raster(spark, sf_dir)
+    red = R.displace(pixels, "luma", F.lit(3), F.lit(-2), "red", 8, 8)
+    blue = R.displace(pixels, "luma", F.lit(-3), F.lit(2), "blue", 8, 8).select(*R.AT, "blue")
+    return red.join(blue.hint("merge"), R.AT).select(*R.AT, "red", F.col("luma").alias("green"), "blue")
+
+
+@query(f"select v.image_id, x, y, cast(floor(({_at(-3, 0)} + {_at(-1, 0)} + luma + {_at(1, 0)} + {_at(3, 0)}) / 5.0::double) as int) as mean from v_raster v join g on v.image_id = g.image_id", V, _GRID)
+def directional_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.directional_mean(views.raster(spark, sf_dir), "luma", 5.2, 5, 0, 8, 8)
+
+
+@query("select image_id, x - 2 as x, y - 1 as y, luma from v_raster where x >= 2 and x < 7 and y >= 1 and y < 5", V)
+def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.crop(views.raster(spark, sf_dir), 2, 1, 7, 5)
+
+
+@query("select image_id, x - 1 as x, y - 1 as y, case when y - 1 <= x - 1 and x - 1 <= 5 then luma else 0 end as luma from v_raster where x between 1 and 6 and y between 1 and 6", V)
+def crop_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triangle (1,1) (6,1) (6,6), edges inside."""
+    return R.crop_polygon(views.raster(spark, sf_dir), [(1, 1), (6, 1), (6, 6)], "luma")
+
+
+@query("select image_id, 7 - x as x, y, luma, 'flip' as kind from v_raster union all select image_id, y, 7 - x, luma, 'rotate' from v_raster", V)
+def flip_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = views.raster(spark, sf_dir)
+    return R.flip(pixels, 8).withColumn("kind", F.lit("flip")).unionByName(R.rotate90(pixels, 8, 8, 1).withColumn("kind", F.lit("rotate")))
+
+
+@query("""select image_id, s as scale, greatest(1, cast(round_even(width * s, 0) as int)) as w, greatest(1, cast(round_even(height * s, 0) as int)) as h from
+  (select *, least(1, sqrt(500000 / (width * height)::double)) as s from v_catalog)""", views.CATALOG_SQL)
+def proxy_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.catalog(spark, sf_dir).select("image_id", R.proxy_size(F.col("width"), F.col("height"), 500_000).alias("p")).select("image_id", "p.scale", "p.w", "p.h")
+
+
+@query("""select image_id, x, y, least(254, greatest(0, cast(floor(greatest(0, least(255, round_even(luma / 51.0::double, 0) * 51.0::double))) as int))) + case when luma >= 230 then 1 else 0 end as quantized,
+  luma & 224 as posterized, case when luma >= 120 then 235 else 20 end as two_tone, 255 - luma as inverted,
+  cast(floor((luma * 299 + (255 - luma) * 587 + luma * 114 + 500) / 1000.0::double) as int) as grey,
+  cast(round_even((luma * (x * 30) + 255 * (255 - x * 30)) / 255.0::double, 0) as int) as flat, cast(round_even(luma + (10 - luma) * (35 / 100.0::double), 0) as int) as filled,
+  luma + (255 - luma - luma) * (40 / 100.0::double) as mixed from v_raster""", V)
+def pixel_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("luma")
+    return views.raster(spark, sf_dir).select(
+        *R.AT, S.quantize_levels(v, 6).alias("quantized"), S.posterize(v, 3).alias("posterized"), S.two_tone(v, 120, 20, 235).alias("two_tone"), S.invert(v).alias("inverted"),
+        S.luma(v, S.invert(v), v).alias("grey"), S.flatten(v, F.col("x") * 30).alias("flat"), S.solid_fill(v, 10, 35).alias("filled"), S.mix(v, S.invert(v), 40).alias("mixed"),
+    )
+
+
+def _palette_sql(channel: int) -> str:
+    cases = "".join(f" when t <= {b[0]} then floor({a[channel]} + (t - {a[0]}::double) * ({b[channel] - a[channel]} / ({b[0]}::double - {a[0]}::double)))" for a, b in zip(S.THERMAL_STOPS, S.THERMAL_STOPS[1:], strict=False))
+    return f"cast(case when t <= 0 then {S.THERMAL_STOPS[0][channel]}{cases} else {S.THERMAL_STOPS[-1][channel]} end as int)"
+
+
+@query(f"select image_id, x, y, {_palette_sql(1)} as r, {_palette_sql(2)} as g, {_palette_sql(3)} as b from (select *, luma / 255.0::double as t from v_raster)", V)
+def palette_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("luma") / 255.0
+    return views.raster(spark, sf_dir).select(*R.AT, S.palette_map(t, 0).alias("r"), S.palette_map(t, 1).alias("g"), S.palette_map(t, 2).alias("b"))
+
+
+@query("""select image_id, x, y, cast(floor(greatest(0, least(255, m + (v - m) * 1.3::double))) as int) as luma from
+  (select *, floor(round(avg(v) over (partition by image_id), 6) + 0.5) as m from (select *, greatest(0, least(255, luma * 1.2::double)) as v from v_raster))""", V)
+def adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.adjust(views.raster(spark, sf_dir), "luma", brightness=20, contrast=30).select("image_id", "x", "y", "luma")
+
+
+@query("""select image_id, x, y, case when x between 2 and 5 and y between 1 and 4 then 255 - luma else luma end as rect, case when y <= x then 255 - luma else luma end as poly, luma as empty, 255 - luma as whole from v_raster""", V)
+def apply_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle, a polygon, an empty polygon and no target at all."""
+    pixels = views.raster(spark, sf_dir)
+    for name in ("rect", "poly", "empty", "whole"):
+        pixels = pixels.withColumn(name, F.col("luma"))
+    change = S.invert(F.col("luma"))
+    pixels = R.apply_to_target(pixels, "rect", change, box=(2, 1, 5, 4))
+    pixels = R.apply_to_target(pixels, "poly", change, polygon=[(0, 0), (7, 0), (7, 7)], box=(0, 0, 1, 1))
+    pixels = R.apply_to_target(pixels, "empty", change, polygon=[(0, 0), (7, 7)])
+    return R.apply_to_target(pixels, "whole", change).select("image_id", "x", "y", "rect", "poly", "empty", "whole")
+
+
+@query("""select image_id, x, y, case when pow(2 * x - 2 * l - 4, 2) * 25 + pow(2 * y - 2 * t - 5, 2) * 16 <= 400 then luma else 0 end as luma
+  from (select *, image_id % 3 as l, image_id % 2 as t from v_raster)""", V)
+def apply_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = views.raster(spark, sf_dir)
+    boxes = pixels.select("image_id").distinct().select("image_id", G.rect(F.col("image_id") % 3, F.col("image_id") % 2, F.col("image_id") % 3 + 4, F.col("image_id") % 2 + 5).alias("box"))
+    return R.apply_outside(pixels, "luma", F.lit(0), boxes)
+
+
+_SPREAD = """
+sp as (select region_id, kind, l + ox as l, t + oy as t, r + ox as r, b + oy as b, (l + r) // 2 + ox as mx, region_id % 11 = 0 as thin from (select *, region_id * 37 % 25 * 8 as ox, region_id * 11 % 25 * 8 as oy from v_regions)),
+pt as (select event_id, event_id * 7919 % 211 as x, (event_id // 3) * 104729 % 207 as y from events)"""
+
+
+@query("""select event_id, x, y, region_id from pt join sp on x between l and r and y between t and b and case kind when 'rect' then r > l and b > t
+  when 'ellipse' then r > l and b > t and pow(2 * x - l - r, 2) * pow(b - t, 2) + pow(2 * y - t - b, 2) * pow(r - l, 2) <= pow(r - l, 2) * pow(b - t, 2)
+  else not thin and case when b = t then y = t else (x - l) * (b - t) >= (mx - l) * (y - t) and (r - x) * (b - t) >= (r - mx) * (y - t) end end""", RG, _SPREAD)
+def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ox, oy = F.col("region_id") * 37 % 25 * 8, F.col("region_id") * 11 % 25 * 8
+    spread = views.regions(spark, sf_dir).select("region_id", "kind", G.rect(F.col("box.left") + ox, F.col("box.top") + oy, F.col("box.right") + ox, F.col("box.bottom") + oy).alias("box"),
+        F.transform("points", lambda p: F.struct((p["x"] + ox).cast("int").alias("x"), (p["y"] + oy).cast("int").alias("y"))).alias("points"))
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "event_id * 7919 % 211 as x", "(event_id div 3) * 104729 % 207 as y")
+    return R.points_in_regions(points, spread)
+
+
+@query("""select region_id, least(l, r) as left, least(t, b) as top, greatest(l, r) as right, greatest(t, b) as bottom, greatest(0, r - l) as width, greatest(0, b - t) as height,
+  greatest(0, l - 2) as pad_left, least(8, b + 2) as pad_bottom, cast(round_even(l * 1.5, 0) as int) as scaled_left, cast(round_even(b * 2.5, 0) as int) as scaled_bottom,
+  cast(floor(l * 0.7::double) as int) as preview_left, cast(case when r <= l or b <= t then floor(l * 0.7::double) else greatest(floor(l * 0.7::double) + 1, ceil(r * 0.7::double)) end as int) as preview_right,
+  greatest(0, l) as crop_left, least(8, r + 1) as crop_right, least(8, b + 1) as crop_bottom from v_regions""", RG)
+def region_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box, points = F.col("box"), F.col("points")
+    rows = views.regions(spark, sf_dir).withColumns({
+        "n": G.normalize(box), "p": G.pad_clip(box, 2, F.lit(8), F.lit(8)), "s": G.scale_rect(box, 1.5, 2.5), "v": G.scale_rect_preview(box, 0.7, 0.7), "c": G.crop_box(points, F.lit(8), F.lit(8))})
+    return rows.select("region_id", "n.left", "n.top", "n.right", "n.bottom", G.width(box).alias("width"), G.height(box).alias("height"), F.col("p.left").alias("pad_left"), F.col("p.bottom").alias("pad_bottom"),
+                       F.col("s.left").alias("scaled_left"), F.col("s.bottom").alias("scaled_bottom"), F.col("v.left").alias("preview_left"), F.col("v.right").alias("preview_right"),
+                       F.col("c.left").alias("crop_left"), F.col("c.right").alias("crop_right"), F.col("c.bottom").alias("crop_bottom"))
+
+
+@query()
+def seeded_tile_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.seeded_tile_shuffle(views.raster(spark, sf_dir), "luma", 2, 40, 29)
+
+
+@query("""select image_id, x0 as left, y0 as top, least(width, x0 + 464) as right, least(height, y0 + 464) as bottom, greatest(0, x0 - 24) as in_left, greatest(0, y0 - 24) as in_top,
+  least(width, least(width, x0 + 464) + 24) as in_right, least(height, least(height, y0 + 464) + 24) as in_bottom from v_catalog, range(0, 20000, 464) a(x0), range(0, 20000, 464) b(y0)
+  where x0 < width and y0 < height and not (width <= 512 and height <= 512)
+  union all select image_id, 0, 0, width, height, 0, 0, width, height from v_catalog where width <= 512 and height <= 512""", views.CATALOG_SQL)
+def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tile_grid(views.catalog(spark, sf_dir), 512).select("image_id", "left", "top", "right", "bottom", "in_left", "in_top", "in_right", "in_bottom")
+
+
+@query("select s_suppkey as image_id, x, y, 2 * ((s_suppkey + x * 7 + y * 13) % 256) as value from supplier, range(0, 70) a(x), range(0, 50) b(y)")
+def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut into overlapping tiles, doubled tile by tile, put together again."""
+    images = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"), F.lit(70).alias("width"), F.lit(50).alias("height"))
+    pixels = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(69))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("y"))
+    pixels = pixels.withColumn("value", (F.col("image_id") + F.col("x") * 7 + F.col("y") * 13) % 256)
+    cut = R.cut_tiles(pixels, R.tile_grid(images, 64))
+    columns = ["image_id", "left", "top", "right", "bottom", "in_left", "in_top", "in_right", "in_bottom", "tx", "ty", "value"]
+    done = R.apply_on_tiles(cut.select(columns), lambda pdf: pdf.assign(value=pdf["value"] * 2), cut.select(columns).schema)
+    return R.stitch(done, 1, "value")
+
+
+@query("""select image_id, x, y, cast(floor(case when x between 1 and 6 and y between 1 and 6 then v + (greatest(0, least(255, cast(floor(round_even(m / 17.0::double, 0) * 17.0::double) as int))) - v) * 0.5::double else luma end) as int) as luma from
+  (select *, avg(v) over (partition by image_id, x // 2, y // 2) as m from (select *, cast(floor(avg(luma) over (partition by image_id, x // 3, y // 3)) as int) as v from v_raster))""", V)
+def run_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaic of 3, then half of a pixelation of 2 in 16 levels, inside a rectangle."""
+    specs = [{"name": "Mosaic", "amount": 100, "size": 3, "detail": 256}, {"name": "Pixelate", "amount": 50, "size": 2, "detail": 16}]
+    return K.run_chain(views.raster(spark, sf_dir), specs, 8, 8, box=(1, 1, 6, 6))
+
+
+_SPEC_SQL = """
+names as (select p_partkey as spec_id, (['Blur', 'Deep Blur', 'Pixelate', 'Mosaic', 'Sepia'])[p_partkey % 5 + 1] as raw, p_partkey from part),
+canon as (select *, case raw when 'Blur' then 'Soft Blur' when 'Deep Blur' then 'Privacy Blur' else raw end as name from names),
+norm as (select spec_id, name, case when p_partkey % 2 = 0 then p_partkey % 130 else 100 end as amount,
+  case when p_partkey % 3 = 0 then case when name = 'Pixelate' then p_partkey % 140 else p_partkey % 150 end else case name when 'Privacy Blur' then 24 when 'Pixelate' then 20 when 'Mosaic' then 24 else 12 end end as size,
+  case name when 'Privacy Blur' then 72 when 'Pixelate' then 0 when 'Mosaic' then 18 else 10 end as softness from canon)"""
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    given = F.expr("""map_concat(case when p_partkey % 2 = 0 then map('strength', cast(p_partkey % 130 as int)) else cast(map() as map<string, int>) end,
+      case when p_partkey % 3 = 0 then map('pixel', cast(p_partkey % 140 as int), 'pattern', cast(p_partkey % 150 as int)) else cast(map() as map<string, int>) end)""")
+    name = F.expr("element_at(array('Blur', 'Deep Blur', 'Pixelate', 'Mosaic', 'Sepia'), cast(p_partkey % 5 as int) + 1)")
+    return K.normalize_effect_specs(part.select(F.col("p_partkey").alias("spec_id"), name.alias("name"), given.alias("values")), spark)
+
+
+@query("select spec_id, name, cast(amount as int) as amount, cast(size as int) as size, softness from norm", _SPEC_SQL)
+def normalize_effect_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _specs(spark, sf_dir).select("spec_id", "name", "amount", "size", "softness")
+
+
+@query("""select spec_id, name, key, cast(value as int) as value from (select spec_id, name, 'amount' as key, amount as value, 0 as low, 100 as high from norm where name <> 'Sepia' union all
+  select spec_id, name, 'size', size, case name when 'Soft Blur' then 1 when 'Mosaic' then 3 else 2 end, case name when 'Soft Blur' then 80 when 'Privacy Blur' then 100 else 120 end from norm where name <> 'Sepia')
+  where value not between low and high""", _SPEC_SQL)
+def check_spec_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.check_spec_ranges(_specs(spark, sf_dir), spark).select("spec_id", "name", "key", "value")
+
+
+@query("select clip_id, frame_idx, cast(sum(duration_ms) over (partition by clip_id order by frame_idx) as bigint) as elapsed from v_frames", views.FRAMES_SQL)
+def apply_on_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's function (running sum) per clip."""
+    frames = views.frames(spark, sf_dir).select("clip_id", F.col("frame_idx").cast("long").alias("frame_idx"), "duration_ms")
+    return K.apply_on_clips(frames, lambda pdf: pdf.assign(elapsed=pdf["duration_ms"].cumsum())[["clip_id", "frame_idx", "elapsed"]], "clip_id long, frame_idx long, elapsed long")
