@@ -148,8 +148,7 @@ class WordBpe:
         self.final_model, self.inner_model = self.library.model, BPE(vocab=vocab, merges=merges)
         self.joined = joined_pairs(vocab, self.END)
         self.inner = Cache(lambda piece: _pack([t.id for t in self.inner_model.tokenize(piece)]), CACHE_ENTRIES // 10)
-        self.words = Cache(self._word, CACHE_ENTRIES // 2)
-        self.cache = Cache(self._chunk)
+        self.cache = Cache(self._chunk, 2 * CACHE_ENTRIES)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.library.id_to_token(k) for k in range(size)]
         self.decimals = [str(k) for k in range(size)]
@@ -171,16 +170,16 @@ class WordBpe:
         return b"".join([*map(self.inner.__getitem__, inner), end]) if inner else end
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
+        if chunk.isascii() or max(chunk) < _SETTLED:
             low = chunk.lower()
             if low.isalpha():
-                return self.words[low]
-            if low[:-1].isalpha() and not low[-1].isalnum():
-                return self.words[low[:-1]] + self.words[to_symbols(low[-1])]
+                return self.cache[low] if low != chunk else self._word(low if low.isascii() else to_symbols(low))
+            if chunk[-1] in ".,;:!?)" and low[:-1].isalpha():
+                return self.cache[low[:-1]] + self.cache[chunk[-1]]
         if any(s in chunk for s in self.special):
             return _pack(self.library.encode(chunk, add_special_tokens=False).ids)
         clean = self.library.normalizer.normalize_str(chunk)
-        return b"".join(self.words[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean))
+        return b"".join(self._word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, _WORD_CHUNK.findall(text)))
