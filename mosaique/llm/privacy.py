@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -350,12 +350,12 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
 
 
-def ledger(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", draw: Callable[[str, str, bytes, int], str] = _fresh) -> DataFrame:
     """kind, value, attempt, surrogate of every distinct entity; surrogates are distinct within a kind."""
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [_fresh(k, v, key, a) for k, v, a in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            new = [draw(k, v, key, a) for k, v, a in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "attempt", "surrogate"])
 
     schema = "kind string, value string, attempt int, surrogate string"
