@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mosaique.llm.common import SPACE, join_sized, whole_text
+from mosaique.llm.common import BROADCAST_ROWS, SPACE, whole_text
 from mosaique.session import materialize
 
 #: Digests with more than this share of the rows are split off; their table has at most 1/SUPPORT rows.
@@ -87,7 +87,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     on = F.lit(True)
     for c in key:
         on = on & F.col(c).eqNullSafe(F.col(f"{c}_r"))
-    joined = keyed.join(right.hint("broadcast" if rows <= 200_000 else "merge"), on, "left")
+    joined = keyed.join(right.hint("broadcast" if rows <= BROADCAST_ROWS else "merge"), on, "left")
     stays = joined.filter(F.col("_dedup_rows").isNull())
     if per_key.filter("_dedup_kept = 1").isEmpty():
         return stays.select(docs.columns)
