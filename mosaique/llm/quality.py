@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mosaique.llm.common import WORD, join_sized
+from mosaique.llm.common import WORD
 
 SYMBOL = re.compile(r"[#*$%&|<>]+")
 WINDOW = 5
