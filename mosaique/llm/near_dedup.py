@@ -3,9 +3,10 @@
 A document is its set of distinct word shingles. Equal sets become one class first, so that a large group of
 exact copies is one vertex. Then:
 
-1. TREES independent trees branch every class by minwise tokens: a node picks BRANCH coordinates of the
-   signature by a hash of its own name, and a class goes to the child named by its token there. Nodes with one class
-   end, nodes up to SMALL classes are leaves, larger ones branch again, at most DEPTH times.
+1. TREES independent trees branch every class by minwise tokens: a node picks coordinates of the signature by a
+   hash of its own name, and a class goes to the children named by its tokens there (the root has ROOT_BRANCH
+   children per class by one token each, other nodes BRANCH by two tokens each). Nodes with one class end,
+   nodes up to SMALL classes are leaves, larger ones branch again, to DEPTH levels.
 2. A large node first compares its members with a few pivots. Members that agree with a pivot in CLOSE of the
    signature are joined to it and leave the node; members that could be similar to one of them agree in
    CLOSE + LEAST - 1 at least (the disagreements add up at most), and are joined to the pivot too. Nothing is lost,
@@ -18,7 +19,7 @@ exact copies is one vertex. Then:
    compared with the whole group, block by block. So every pair inside a proposed group that is not
    already connected is tested exactly.
 
-At similarity 0.8 a pair is missed by one tree with probability at most 0.07, and by all with less than 1e-6;
+At similarity 0.8 a pair is missed by one tree with probability at most 0.05, and by all with less than 1e-6;
 with 96 coordinates an agreement under 0.6 has a probability of about 2e-6.
 
 Cases: a null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle
@@ -43,8 +44,8 @@ from mosaique.session import materialize
 
 COORDINATES = 96
 TREES = 5
-BRANCH = 2
-DEPTH = 4
+ROOT_BRANCH, BRANCH = 2, 4
+DEPTH = 3
 #: Classes in a leaf at most; pivots of a larger node.
 SMALL = 64
 PIVOTS = 4
@@ -124,12 +125,13 @@ def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
     return materialize(rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sig array<int>"), "sets")
 
 
-def _children(rows: DataFrame, name) -> DataFrame:
-    """node and v for BRANCH children of each row; rows have v, sig and what `name(k)` needs."""
+def _children(rows: DataFrame) -> DataFrame:
+    """node and v for BRANCH children of each row of node, v and sig."""
     child = []
     for k in range(BRANCH):
-        coordinate = F.pmod(F.xxhash64(name, F.lit(k)), F.lit(COORDINATES)).cast("int")
-        child.append(F.xxhash64(name, F.lit(k), coordinate, F.get("sig", coordinate)))
+        one = F.pmod(F.xxhash64("node", F.lit(2 * k)), F.lit(COORDINATES)).cast("int")
+        two = F.pmod(F.xxhash64("node", F.lit(2 * k + 1)), F.lit(COORDINATES)).cast("int")
+        child.append(F.xxhash64("node", F.lit(k), F.get("sig", one), F.get("sig", two)))
     return rows.select("v", F.explode(F.array(*child)).alias("node"))
 
 
@@ -137,9 +139,8 @@ def _roots(classes: DataFrame) -> DataFrame:
     """The first level of all trees. Their coordinates are all different, so that the trees are independent."""
     child = []
     for tree in range(TREES):
-        for k in range(BRANCH):
-            at = tree * BRANCH + k
-            child.append(F.xxhash64(F.lit(tree), F.lit(k), F.get("sig", F.lit(at))))
+        for k in range(ROOT_BRANCH):
+            child.append(F.xxhash64(F.lit(tree), F.lit(k), F.get("sig", F.lit(tree * ROOT_BRANCH + k))))
     return classes.select("v", F.explode(F.array(*child)).alias("node"))
 
 
@@ -209,39 +210,50 @@ def _leaf_edges(percent: int):
     return compare
 
 
+def _described(level: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of nodes with two classes or more: node, v, n_node, n_shingles, sig, and in large nodes `agree`.
+
+    `agree` has, for each pivot of the node, its v and the coordinates that it has in common with the row. The
+    pivots are the classes that a hash puts first in each of PIVOTS salts, in the same order for all nodes, so that nodes
+    with much the same members choose the same ones. Counts and pivots come from one aggregate of integers.
+    """
+    h, salt = F.xxhash64("v"), F.pmod(F.xxhash64("v", F.lit(1)), F.lit(PIVOTS))
+    firsts = [F.min(F.when(salt == k, h)).alias(f"p{k}") for k in range(PIVOTS)]
+    nodes = level.groupBy("node").agg(F.count("*").alias("n_node"), *firsts).filter("n_node > 1")
+    nodes = materialize(nodes, "nodes")
+    slots = nodes.filter(F.col("n_node") > SMALL).select("node", F.explode(F.array_compact(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("h"))
+    signed = slots.join(classes.select("v", "sig", h.alias("h")).hint("merge"), "h")
+    pivots = signed.groupBy("node").agg(F.collect_list(F.struct("v", "sig")).alias("pivots"))
+    info = nodes.select("node", "n_node").join(pivots.hint("merge"), "node", "left")
+    rows = level.join(info.hint("merge"), "node").join(classes.select("v", "n_shingles", "sig").hint("merge"), "v")
+    same = lambda p: F.aggregate(F.zip_with(p["sig"], F.col("sig"), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    agree = F.transform("pivots", lambda p: F.struct(same(p).alias("same"), p["v"].alias("p")))
+    return materialize(rows.select("node", "v", "n_node", "n_shingles", "sig", agree.alias("agree")), "described")
+
+
 def proposed_links(classes: DataFrame, percent: int) -> DataFrame:
     """src, dst: links that connect at least all classes that are similar. `classes` has v, n_shingles, sig."""
     links: list[DataFrame] = []
-    level = materialize(_roots(classes), "level")
+    level = _roots(classes)
     for depth in range(1, DEPTH + 1):
-        counts = level.groupBy("node").agg(F.count("*").alias("n_node")).filter("n_node > 1")
-        shared = materialize(level.join(counts.hint("merge"), "node").select("node", "v", "n_node"), "shared")
-        described = shared.join(classes.hint("merge"), "v")
-        leaves = described.filter(F.col("n_node") <= SMALL).select("node", "v", "n_shingles", "sig")
+        rows = _described(materialize(level, "level"), classes)
+        leaves = rows.filter(F.col("n_node") <= SMALL).select("node", "v", "n_shingles", "sig")
         leaves = leaves.repartition("node").sortWithinPartitions("node", "v")
         links.append(materialize(leaves.mapInArrow(_leaf_edges(percent), "src long, dst long").distinct(), "links"))
-        large = shared.filter(F.col("n_node") > SMALL)
+        large = rows.filter(F.col("n_node") > SMALL)
         if large.isEmpty():
             break
-        # Pivots: the members that a hash puts first, by repeated minima that combine before the shuffle.
-        order = F.struct(F.xxhash64("node", "v").alias("h"), F.col("v"))
-        pivot_rows, left = [], large.withColumn("order", order)
-        salted = left.groupBy("node", F.pmod(F.xxhash64("v", F.lit(depth)), F.lit(PIVOTS)).alias("k")).agg(F.min("order").alias("order"))
-        pivot_rows = salted.select("node", F.col("order.v").alias("v"))
-        pivots = pivot_rows.join(classes.select("v", "sig").hint("merge"), "v").groupBy("node").agg(F.collect_list(F.struct("v", "sig")).alias("pivots"))
-        pivots = materialize(pivots, "pivots")
-        members = join_sized(large.join(classes.select("v", "sig").hint("merge"), "v"), pivots, ["node"], "inner")
-        agree = F.transform("pivots", lambda p: F.struct(
-            F.aggregate(F.zip_with(p["sig"], F.col("sig"), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x).alias("same"), p["v"].alias("p")))
-        members = materialize(members.select("node", "v", "sig", agree.alias("agree")), "members")
-        near = F.filter("agree", lambda a: a["same"] >= (CLOSE + LEAST - 1) * COORDINATES)
-        links.append(members.select(F.explode(near).alias("a"), "v").select(F.col("a.p").alias("src"), F.col("v").alias("dst")).filter("src <> dst"))
-        rest = members.filter(~F.exists("agree", lambda a: a["same"] >= CLOSE * COORDINATES))
+        near = F.array_sort(F.transform(F.filter("agree", lambda a: a["same"] >= (CLOSE + LEAST - 1) * COORDINATES), lambda a: a["p"]))
+        joined = materialize(large.select("v", near.alias("near")).filter(F.size("near") > 0).distinct(), "near")
+        # One link per member, and the pivots that one member is near to are linked with each other.
+        links.append(joined.select(F.get("near", F.lit(0)).alias("src"), F.col("v").alias("dst")).filter("src <> dst"))
+        together = joined.filter(F.size("near") > 1).select("near").distinct()
+        links.append(together.select(F.get("near", F.lit(0)).alias("src"), F.explode(F.slice("near", 2, PIVOTS)).alias("dst")))
+        rest = large.filter(~F.exists("agree", lambda a: a["same"] >= CLOSE * COORDINATES))
         if depth == DEPTH:
-            first = members.groupBy("node").agg(F.min("v").alias("src"))
-            links.append(rest.select("node", "v").join(first.hint("merge"), "node").select("src", F.col("v").alias("dst")).filter("src <> dst"))
+            links.append(rest.select(F.get("agree", F.lit(0))["p"].alias("src"), F.col("v").alias("dst")).filter("src <> dst"))
         else:
-            level = materialize(_children(rest, F.col("node")), "level")
+            level = _children(rest)
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
@@ -259,14 +271,19 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(k: int, percent: int):
-    """Exact links of each block. Rows: block, side (0: compared with all, 1: only with side 0), v, label, text."""
+    """Exact links of each block. Rows: block, side (0: compared with all, 1: only with side 0), v, label, d1, d2, text.
+
+    An id may stand in several rows; only those whose set is the class's (d1, d2) count.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src: list[int] = []
         dst: list[int] = []
         for run in _runs(batches, 0):
-            side, v, label = run.column(1).to_numpy(), run.column(2).to_numpy(), run.column(3).to_numpy()
-            found = [shingle_set(t, k) for t in run.column(4).to_pylist()]
+            found = [shingle_set(t, k) for t in run.column(6).to_pylist()]
+            real = [_digest(f) == d for f, d in zip(found, zip(run.column(4).to_pylist(), run.column(5).to_pylist(), strict=True), strict=True)]
+            side, v, label = (run.column(c).to_numpy()[real] for c in (1, 2, 3))
+            found = [f for f, r in zip(found, real, strict=True) if r]
             union, first = _Union(len(v)), {}
             for i, x in enumerate(label.tolist()):
                 union.join(first.setdefault(x, i), i)
@@ -285,8 +302,8 @@ def _confirm(k: int, percent: int):
 
 
 def _confirmed(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links of rows (block, side, v, label, text), grouped by block."""
-    ordered = rows.select("block", "side", "v", "label", "text").repartition("block").sortWithinPartitions("block", "side", "v")
+    """Links of rows (block, side, v, label, d1, d2, text), grouped by block."""
+    ordered = rows.select("block", "side", "v", "label", "d1", "d2", "text").repartition("block").sortWithinPartitions("block", "side", "v")
     return materialize(ordered.mapInArrow(_confirm(k, percent), "src long, dst long"), "confirmed")
 
 
@@ -311,28 +328,13 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 def _confirm_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """v and label (smallest v of its component) of the classes that have a confirmed link."""
     sizes = groups.groupBy("g").agg(F.count("*").alias("n_group"))
-    named = materialize(groups.join(sizes.hint("merge"), "g"), "named")
-    texts = docs.select(F.col(id_col).alias("v"), whole_text(text_col).alias("text"))
-    rows = named.count()
-    texts = join_sized(texts, named, ["v"], "inner", rows)
-    # An id may stand in several rows; the row whose set is the class's is wanted, and any of them will do.
-    wanted = classes.select("v", "d1", "d2")
-
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [(a, b) == _digest(shingle_set(t, k)) for t, a, b in zip(*[batch.column(c).to_pylist() for c in ("text", "d1", "d2")], strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    repeated = docs.groupBy(F.col(id_col).alias("v")).agg(F.count("*").alias("n")).filter("n > 1 and v is not null")
-    repeated = materialize(repeated.select("v"), "repeated")
-    if not repeated.isEmpty():
-        odd = texts.join(repeated.hint("merge"), "v", "left_semi").join(wanted.hint("merge"), "v")
-        odd = odd.mapInArrow(matching, odd.schema).dropDuplicates(["v"]).select(texts.columns)
-        texts = texts.join(repeated.hint("merge"), "v", "left_anti").unionByName(odd)
+    named = groups.join(sizes.hint("merge"), "g").join(classes.select("v", "d1", "d2").hint("merge"), "v")
+    named = materialize(named.select("g", "v", "n_group", "d1", "d2"), "named")
+    texts = join_sized(docs.select(F.col(id_col).alias("v"), whole_text(text_col).alias("text")), named, ["v"], "inner")
     n_blocks = F.ceil(F.col("n_group") / F.lit(BLOCK))
-    texts = materialize(texts.select("g", "v", "n_group", n_blocks.cast("int").alias("n_blocks"), F.pmod(F.xxhash64("v"), n_blocks).cast("int").alias("b"), "text"), "candidates")
+    texts = materialize(texts.select("g", "v", "n_group", n_blocks.cast("int").alias("n_blocks"), F.pmod(F.xxhash64("v"), n_blocks).cast("int").alias("b"), "d1", "d2", "text"), "candidates")
     block = lambda *more: F.xxhash64("g", *more).alias("block")
-    own = texts.select(block("b"), F.lit(0).alias("side"), "v", F.col("v").alias("label"), "text")
+    own = texts.select(block("b"), F.lit(0).alias("side"), "v", F.col("v").alias("label"), "d1", "d2", "text")
     large = texts.filter("n_blocks > 1")
     if large.isEmpty():
         links = _confirmed(own, k, percent)
@@ -341,8 +343,8 @@ def _confirm_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: i
     order = F.struct(F.xxhash64("v", F.lit(7)).alias("h"), F.col("v"))
     pivot_ids = large.groupBy("g", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(BLOCK_PIVOTS)).alias("slot")).agg(F.min(order).alias("first"))
     pivot_ids = materialize(pivot_ids.select("g", F.col("first.v").alias("v")), "pivot_ids")
-    pivots = join_sized(large, pivot_ids, ["g", "v"], "left_semi").select("g", "v", "b", "text", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("to")).filter("to <> b")
-    first = _confirmed(own.unionByName(pivots.select(block("to"), F.lit(0).alias("side"), "v", F.col("v").alias("label"), "text")), k, percent)
+    pivots = join_sized(large, pivot_ids, ["g", "v"], "left_semi").select("g", "v", "b", "d1", "d2", "text", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("to")).filter("to <> b")
+    first = _confirmed(own.unionByName(pivots.select(block("to"), F.lit(0).alias("side"), "v", F.col("v").alias("label"), "d1", "d2", "text")), k, percent)
     labels = materialize(_renamed(connected_components(first)), "labels")
     # What is outside the largest component of its group is compared with the whole group.
     state = join_sized(large, labels, ["v"], "left").withColumn("label", F.coalesce("label", "v"))
@@ -355,9 +357,9 @@ def _confirm_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: i
     open_ = join_sized(state, main, ["g"], "inner")
     rest = open_.filter("label <> main").withColumn("r", F.pmod(F.xxhash64("v", F.lit(5)), F.col("n_rest")).cast("int"))
     to_blocks = rest.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    to_blocks = to_blocks.select(block("r", "to"), F.lit(0).alias("side"), "v", "label", "text")
+    to_blocks = to_blocks.select(block("r", "to"), F.lit(0).alias("side"), "v", "label", "d1", "d2", "text")
     to_rest = open_.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)))
-    to_rest = to_rest.select(block("r", F.col("b")), F.lit(1).alias("side"), "v", "label", "text")
+    to_rest = to_rest.select(block("r", F.col("b")), F.lit(1).alias("side"), "v", "label", "d1", "d2", "text")
     second = _confirmed(to_blocks.unionByName(to_rest), k, percent)
     return _renamed(connected_components(first.unionByName(second)))
 
