@@ -63,6 +63,7 @@ def format_ms(ms: Column) -> Column:
     return F.when(minutes >= 60, F.format_string("%d:%02d:%05.2f", F.floor(minutes / 60), minutes % 60, seconds)).otherwise(short)
 
 
+#: Fixed value: the form of a version text.
 VERSION = r"(?i)^\s*v?(\d+)\.(\d+)\.(\d+)(?:[\s._-]*rc[\s._-]*(\d+))?\s*$"
 
 

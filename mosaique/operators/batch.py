@@ -10,7 +10,7 @@ from mosaique.functions import scalars as S
 from mosaique.session import materialize
 
 #: Suffixes of supported media, output formats and their suffixes.
-SUPPORTED = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "gif", "mp4", "webm", "avif"]
+SUPPORTED = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "gif", "jfif", "mp4", "webm"]
 FORMAT_SUFFIX = {"PNG": ".png", "JPEG": ".jpg", "WebP": ".webp", "TIFF": ".tiff", "GIF": ".gif", "MP4": ".mp4", "WebM": ".webm"}
 MIB = 1024**2
 MAX_PIXELS = 300_000_000
@@ -138,14 +138,14 @@ def footprint_summary(sample: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of outcomes, status and percent per run; `results` has outcome: ok, error, cancelled or pending."""
+    """Counts of outcomes, status and percent per run; `results` has outcome: ok, error, cancelled, pending or fatal (the run itself broke)."""
     counts = results.groupBy(*keys).agg(
         F.count_if(F.col("outcome") == "ok").alias("outputs"), F.count_if(F.col("outcome") == "error").alias("errors"),
-        F.count_if(F.col("outcome") == "cancelled").alias("cancelled"), F.count("*").alias("total"),
+        F.count_if(F.col("outcome") == "cancelled").alias("cancelled"), F.count("*").alias("total"), F.count_if(F.col("outcome") == "fatal").alias("_fatal"),
     )
-    status = F.when(F.col("cancelled") > 0, "Cancelled").when(F.col("errors") == 0, "Completed").when(F.col("outputs") > 0, "Completed with errors").otherwise("Failed")
+    status = F.when(F.col("_fatal") > 0, "Failed").when(F.col("cancelled") > 0, "Cancelled").when(F.col("errors") == 0, "Completed").otherwise("Completed with errors")
     done = F.col("outputs") + F.col("errors")
-    return counts.withColumn("status", status).withColumn("percent", F.when(F.col("total") == 0, 0).otherwise(F.floor(100 * done / F.col("total"))).cast("int"))
+    return counts.withColumn("status", status).withColumn("percent", F.when(F.col("total") == 0, 0).otherwise(F.floor(100 * done / F.col("total"))).cast("int")).drop("_fatal")
 
 
 def retry_set(failed: DataFrame, files: DataFrame) -> DataFrame:

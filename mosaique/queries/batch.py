@@ -14,7 +14,7 @@ C = views.CATALOG_SQL
 _ANIMATED = "(ext in ('mp4', 'webm') or (ext = 'gif' and n_frames > 1))"
 
 
-@query("select image_id, path from v_catalog where ext in ('png','jpg','jpeg','webp','bmp','tif','tiff','gif','mp4','webm','avif')", C)
+@query("select image_id, path from v_catalog where ext in ('png','jpg','jpeg','webp','bmp','tif','tiff','gif','mp4','webm','jfif')", C)
 def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.scan_catalog(views.catalog(spark, sf_dir)).select("image_id", "path")
 
@@ -125,12 +125,12 @@ def route_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select image_id % 20 as run, count(*) filter (where o = 'ok') as outputs, count(*) filter (where o = 'error') as errors, count(*) filter (where o = 'cancelled') as cancelled, count(*) as total,
-  case when count(*) filter (where o = 'cancelled') > 0 then 'Cancelled' when count(*) filter (where o = 'error') = 0 then 'Completed' when count(*) filter (where o = 'ok') > 0 then 'Completed with errors' else 'Failed' end as status,
+  case when count(*) filter (where o = 'fatal') > 0 then 'Failed' when count(*) filter (where o = 'cancelled') > 0 then 'Cancelled' when count(*) filter (where o = 'error') = 0 then 'Completed' else 'Completed with errors' end as status,
   cast(floor(100 * count(*) filter (where o in ('ok', 'error')) / count(*)::double) as int) as percent
-  from (select image_id, case when image_id % 20 = 3 and image_id % 7 = 0 then 'cancelled' when image_id % 20 = 5 or (image_id % 20 = 6 and {_ANIMATED}) then 'error' when image_id % 9 = 8 then 'pending' else 'ok' end as o, ext, n_frames from v_catalog) group by 1""", C)
+  from (select image_id, case when image_id % 20 = 3 and image_id % 7 = 0 then 'cancelled' when image_id % 20 = 5 or (image_id % 20 = 6 and {_ANIMATED}) then 'error' when image_id % 20 = 7 and image_id % 11 = 0 then 'fatal' when image_id % 9 = 8 then 'pending' else 'ok' end as o, ext, n_frames from v_catalog) group by 1""", C)
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.col("image_id") % 20
-    outcome = F.when((run == 3) & (F.col("image_id") % 7 == 0), "cancelled").when((run == 5) | ((run == 6) & B.is_animated()), "error").when(F.col("image_id") % 9 == 8, "pending").otherwise("ok")
+    outcome = F.when((run == 3) & (F.col("image_id") % 7 == 0), "cancelled").when((run == 5) | ((run == 6) & B.is_animated()), "error").when((run == 7) & (F.col("image_id") % 11 == 0), "fatal").when(F.col("image_id") % 9 == 8, "pending").otherwise("ok")
     return B.run_summary(views.catalog(spark, sf_dir).select(run.alias("run"), outcome.alias("outcome")), ["run"])
 
 
