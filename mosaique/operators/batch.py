@@ -239,14 +239,24 @@ def collision_free_names(plan: DataFrame, existing: DataFrame) -> DataFrame:
         todo, done = materialize(todo, "todo"), materialize(done, "done")
 
 
-#: Named presets and what they set.
-PRESETS = [("Draft", 1.5, "JPEG", 80), ("Standard", 2.0, "PNG", 90), ("High", 3.0, "PNG", 95), ("Maximum", 4.0, "TIFF", 100)]
+#: Finishing presets (sharpen, denoise, contrast, brightness, saturation) and edge presets (feather, padding).
+QUALITY_PRESETS = [
+    ("Clean Photo", 0.15, 0.0, 1.02, 1.0, 1.0),
+    ("Crisp Illustration", 0.45, 0.0, 1.08, 1.0, 1.06),
+    ("Soft Portrait", 0.05, 0.35, 0.98, 1.02, 0.96),
+    ("Maximum Detail", 0.75, 0.0, 1.12, 1.0, 1.03),
+]
+EDGE_PRESETS = [("Hard edge", 0, 0), ("Soft transition", 16, 8), ("Seamless blend", 32, 16)]
 
 
-def preset_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRESETS, "preset string, scale_factor double, output_format string, quality int")
+def quality_presets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUALITY_PRESETS, "quality_preset string, sharpen double, denoise double, contrast double, brightness double, saturation double")
 
 
-def preset_lookup(df: DataFrame, presets: DataFrame) -> DataFrame:
+def edge_presets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EDGE_PRESETS, "edge_preset string, feather int, padding int")
+
+
+def preset_lookup(df: DataFrame, presets: DataFrame, on: str) -> DataFrame:
     """Rows with the parameters of their preset; unknown names have none. Presets are a handful of rows."""
-    return df.join(F.broadcast(presets), "preset", "left")
+    return df.join(F.broadcast(presets), on, "left")

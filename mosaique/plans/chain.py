@@ -24,6 +24,11 @@ ALIASES = [
     ("Blur", "Soft Blur"), ("Deep Blur", "Privacy Blur"), ("Black", "Black Redaction"), ("White", "White Redaction"), ("Noise", "Noise Redaction"),
     ("Halftone", "Halftone Dots"), ("Glitch", "Glitch Blocks"), ("Glass Tiles", "Encrypted Tiles"),
 ]
+#: Named chains of effects that have a step here (effect, amount, size, softness, detail, angle).
+CHAIN_PRESETS = {
+    "Face anonymizer": [("Privacy Blur", 100, 28, 84, 8, 0), ("Pixelate", 82, 26, 12, 12, 15)],
+    "Deep pixel mosaic": [("Pixelate", 100, 34, 0, 8, 20), ("Mosaic", 72, 24, 32, 58, 2)],
+}
 #: Where an older specification keeps the size, by effect.
 LEGACY_SIZE = {"Soft Blur": "blur", "Privacy Blur": "blur", "Pixelate": "pixel", "Mosaic": "mosaic"}
 
@@ -121,6 +126,11 @@ def run_chain(pixels: DataFrame, specs: list[dict], width: int, height: int, box
     return R.apply_to_target(both, "luma", F.col("_new"), polygon, box).drop("_new")
 
 
+def preset_specs(name: str) -> list[dict]:
+    """The specifications of a named chain, for `run_chain`."""
+    return [dict(zip(("name", "amount", "size", "softness", "detail", "angle"), spec, strict=True)) for spec in CHAIN_PRESETS[name]]
+
+
 def apply_on_clips(frames: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """A user's function on the frames of each clip, in frame order."""
 

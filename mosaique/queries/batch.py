@@ -215,11 +215,13 @@ def expire_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.expire_transfers(events, "ts", F.lit(now)).select("event_id")
 
 
-@query("select image_id, case when image_id % 6 < 4 then (['Draft','Standard','High','Maximum'])[image_id % 6 + 1] end as known, case image_id % 6 when 0 then 1.5 when 1 then 2.0 when 2 then 3.0 when 3 then 4.0 end::double as scale_factor from v_catalog", C)
+@query("""select image_id, case image_id % 6 when 0 then 0.15 when 1 then 0.45 when 2 then 0.05 when 3 then 0.75 end::double as sharpen, case image_id % 6 when 0 then 1.02 when 1 then 1.08 when 2 then 0.98 when 3 then 1.12 end::double as contrast,
+  case image_id % 4 when 0 then 0 when 1 then 16 when 2 then 32 end as feather, case image_id % 4 when 0 then 0 when 1 then 8 when 2 then 16 end as padding from v_catalog""", C)
 def preset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.catalog(spark, sf_dir).withColumn("preset", F.expr("element_at(array('Draft', 'Standard', 'High', 'Maximum', 'Other', 'None'), cast(image_id % 6 as int) + 1)"))
-    found = B.preset_lookup(rows, B.preset_table(spark))
-    return found.select("image_id", F.when(F.col("quality").isNotNull(), F.col("preset")).alias("known"), "scale_factor")
+    rows = views.catalog(spark, sf_dir).select("image_id", F.expr("element_at(array('Clean Photo', 'Crisp Illustration', 'Soft Portrait', 'Maximum Detail', 'Other', 'None'), cast(image_id % 6 as int) + 1)").alias("quality_preset"),
+        F.expr("element_at(array('Hard edge', 'Soft transition', 'Seamless blend', 'Other'), cast(image_id % 4 as int) + 1)").alias("edge_preset"))
+    found = B.preset_lookup(B.preset_lookup(rows, B.quality_presets(spark), "quality_preset"), B.edge_presets(spark), "edge_preset")
+    return found.select("image_id", "sharpen", "contrast", "feather", "padding")
 
 
 @query("select image_id, case when ext = 'txt' or image_id % 50 = 0 then path || ': ' || case when ext = 'txt' then 'unsupported' else 'unreadable' end end as message from v_catalog where ext = 'txt' or image_id % 50 = 0", C)
