@@ -14,7 +14,19 @@ WORD = re.compile(f"[^{SPACE}]+")
 BROADCAST_ROWS = 200_000
 
 
+#: Rows in an Arrow batch: texts may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, unless the session has chosen a smaller bound itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -55,7 +55,7 @@ BLOCK = 256
 BLOCK_PIVOTS = 12
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_HASHES = Cache(lambda w: xxhash.xxh64_intdigest(w), 200_000)
+_HASHES = Cache(lambda w: xxhash.xxh64_intdigest(w), 60_000)
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
