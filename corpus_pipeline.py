@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaique.llm.common import read_table
+from mosaique.llm.common import bound_batches, read_table
 from mosaique.llm.exact_dedup import drop_copies
 from mosaique.llm.near_dedup import drop_near_copies
 from mosaique.llm.packing import pack_documents
@@ -19,6 +19,7 @@ from mosaique.session import materialize
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the production policy keeps."""
+    bound_batches(spark)
     return keep_good(docs)
 
 
@@ -29,16 +30,19 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    bound_batches(spark)
     return drop_near_copies(docs, k=5, percent=80)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and secrets."""
+    bound_batches(spark)
     return replace_in(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
+    bound_batches(spark)
     return pack_documents(docs)
 
 
