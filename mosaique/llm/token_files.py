@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mosaique.llm.common import BROADCAST_ROWS, whole_text
+from mosaique.llm.common import BROADCAST_ROWS, join_sized, whole_text
 from mosaique.llm.tokens import ByteBpe, WordBpe, encoder, vocabulary
 from mosaique.session import materialize
 
@@ -224,9 +224,12 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, repeat, start, n_tokens, ids_crc32 of every document, looked up through the shards' indexes."""
-    starts = directory(spark, path).select("path", "offset", "start").collect()  # one small row per block of up to 32 MB
-    shared = spark.sparkContext.broadcast({(r.path, r.offset): r.start for r in starts})
+    """doc_id, repeat, start, n_tokens, ids_crc32 of every document, looked up through the shards' indexes.
+
+    Blocks give narrow rows with starts of their own; the directory (one row per block) is joined to those, so
+    that neither payloads nor the directory pass through the driver.
+    """
+    starts = materialize(directory(spark, path).select("path", "offset", "start"), "directory")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,12 +239,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     crc = [zlib.crc32(block.ids(s).astype("<u4").tobytes()) for s in slot.tolist()]
                     null = (block.keys["repeat"] & _NULL) != 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(block.keys["id"].astype(np.int64), mask=null), pa.array((block.keys["repeat"] & (_NULL - 1)).astype(np.int64)),
-                         pa.array(shared.value[name, at] + block.slots["first"][slot].astype(np.int64)), pa.array(block.slots["n"][slot].astype(np.int64)), pa.array(crc, pa.int64())],
-                        ["doc_id", "repeat", "start", "n_tokens", "ids_crc32"],
+                        [pa.array(block.keys["id"].astype(np.int64), mask=null), pa.array((block.keys["repeat"] & (_NULL - 1)).astype(np.int64)), pa.array(block.slots["first"][slot].astype(np.int64)),
+                         pa.array(block.slots["n"][slot].astype(np.int64)), pa.array(crc, pa.int64()), pa.array([name] * block.docs, pa.string()), pa.array([at] * block.docs, pa.int64())],
+                        ["doc_id", "repeat", "first", "n_tokens", "ids_crc32", "path", "offset"],
                     )
 
-    return _files(spark, path).mapInArrow(rows, "doc_id long, repeat long, start long, n_tokens long, ids_crc32 long")
+    found = _files(spark, path).mapInArrow(rows, "doc_id long, repeat long, first long, n_tokens long, ids_crc32 long, path string, offset long")
+    joined = join_sized(found, starts, ["path", "offset"], "inner")
+    return joined.select("doc_id", "repeat", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
