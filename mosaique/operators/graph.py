@@ -74,5 +74,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         found = found.join(step, "root", "left").select("vertex", F.coalesce("hook", "root").alias("root"))
     if hooks:
         found = materialize(found, "roots")
-    least = found.groupBy("root").agg(F.min("vertex").alias("component"))
-    return found.join(least.hint("merge"), "root").select("vertex", "component")
+    # Written first, so that the join below reads plain shuffles, which Spark can split where one component is large.
+    least = materialize(found.groupBy("root").agg(F.min("vertex").alias("component")), "least")
+    few = least.count() <= TASK_EDGES
+    return found.join(least.hint("broadcast" if few else "merge"), "root").select("vertex", "component")
