@@ -327,8 +327,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 
 def _confirm_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """v and label (smallest v of its component) of the classes that have a confirmed link."""
-    sizes = groups.groupBy("g").agg(F.count("*").alias("n_group"))
-    named = groups.join(sizes.hint("merge"), "g").join(classes.select("v", "d1", "d2").hint("merge"), "v")
+    # Written first, so that the join reads plain shuffles, which Spark can split where one group is large.
+    sizes = materialize(groups.groupBy("g").agg(F.count("*").alias("n_group")), "sizes")
+    named = join_sized(groups, sizes, ["g"], "inner").join(classes.select("v", "d1", "d2").hint("merge"), "v")
     named = materialize(named.select("g", "v", "n_group", "d1", "d2"), "named")
     texts = join_sized(docs.select(F.col(id_col).alias("v"), whole_text(text_col).alias("text")), named, ["v"], "inner")
     n_blocks = F.ceil(F.col("n_group") / F.lit(BLOCK))
