@@ -26,8 +26,8 @@ import regex
 
 from mosaique.llm.common import SPACE
 
-#: Fragments that a worker remembers (twice as many at most, about 50 MB), and the longest of them.
-CACHE_ENTRIES = 200_000
+#: Fragments that a worker remembers (twice as many at most, about 75 MB), and the longest of them.
+CACHE_ENTRIES = 300_000
 CACHE_LENGTH = 120
 
 _BYTE_CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -148,7 +148,7 @@ class WordBpe:
         self.final_model, self.inner_model = self.library.model, BPE(vocab=vocab, merges=merges)
         self.joined = joined_pairs(vocab, self.END)
         self.inner = Cache(lambda piece: _pack([t.id for t in self.inner_model.tokenize(piece)]), CACHE_ENTRIES // 10)
-        self.cache = Cache(self._chunk, 3 * CACHE_ENTRIES // 2)
+        self.cache = Cache(self._chunk)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.library.id_to_token(k) for k in range(size)]
         self.decimals = [str(k) for k in range(size)]
