@@ -18,17 +18,57 @@ PARAMETERS = [
     ("Directional Blur", "amount", 0, 100, 100), ("Directional Blur", "size", 1, 120, 28), ("Directional Blur", "softness", 2, 21, 11), ("Directional Blur", "detail", 0, 100, 0), ("Directional Blur", "angle", -90, 90, 0),
     ("Pixelate", "amount", 0, 100, 100), ("Pixelate", "size", 2, 120, 20), ("Pixelate", "softness", 0, 100, 0), ("Pixelate", "detail", 2, 256, 256), ("Pixelate", "angle", 0, 100, 0),
     ("Mosaic", "amount", 0, 100, 100), ("Mosaic", "size", 3, 120, 24), ("Mosaic", "softness", 0, 100, 18), ("Mosaic", "detail", 0, 100, 45), ("Mosaic", "angle", 1, 8, 1),
+    ("Frosted Glass", "amount", 0, 100, 100), ("Frosted Glass", "size", 1, 60, 12), ("Frosted Glass", "softness", 0, 100, 38), ("Frosted Glass", "detail", 0, 100, 28), ("Frosted Glass", "angle", 2, 40, 10),
+    ("Faceted Glass", "amount", 0, 100, 100), ("Faceted Glass", "size", 8, 120, 30), ("Faceted Glass", "softness", 0, 100, 45), ("Faceted Glass", "detail", 0, 100, 28), ("Faceted Glass", "angle", -100, 100, 0),
+    ("Encrypted Tiles", "amount", 0, 100, 100), ("Encrypted Tiles", "size", 4, 100, 24), ("Encrypted Tiles", "softness", 0, 100, 84), ("Encrypted Tiles", "detail", 0, 100, 55), ("Encrypted Tiles", "angle", 0, 80, 24),
+    ("Prism Split", "amount", 0, 100, 100), ("Prism Split", "size", 1, 80, 14), ("Prism Split", "softness", 0, 100, 8), ("Prism Split", "detail", 0, 100, 28), ("Prism Split", "angle", -180, 180, 0),
+    ("Wave Scramble", "amount", 0, 100, 100), ("Wave Scramble", "size", 8, 160, 44), ("Wave Scramble", "softness", 0, 100, 24), ("Wave Scramble", "detail", 1, 6, 2), ("Wave Scramble", "angle", -90, 90, 0),
+    ("Black Redaction", "amount", 0, 100, 100), ("Black Redaction", "size", 2, 80, 20), ("Black Redaction", "softness", 0, 100, 0), ("Black Redaction", "detail", 0, 100, 0), ("Black Redaction", "angle", -90, 90, 0),
+    ("White Redaction", "amount", 0, 100, 100), ("White Redaction", "size", 2, 80, 20), ("White Redaction", "softness", 0, 100, 0), ("White Redaction", "detail", 0, 100, 0), ("White Redaction", "angle", -90, 90, 0),
+    ("Noise Redaction", "amount", 0, 100, 92), ("Noise Redaction", "size", 1, 24, 3), ("Noise Redaction", "softness", 0, 100, 5), ("Noise Redaction", "detail", 0, 100, 45), ("Noise Redaction", "angle", 0, 100, 72),
+    ("Marker Scribble", "amount", 0, 100, 96), ("Marker Scribble", "size", 3, 100, 20), ("Marker Scribble", "softness", 0, 100, 8), ("Marker Scribble", "detail", 10, 100, 72), ("Marker Scribble", "angle", -180, 180, 0),
+    ("Redaction Tape", "amount", 0, 100, 100), ("Redaction Tape", "size", 6, 100, 22), ("Redaction Tape", "softness", 0, 100, 8), ("Redaction Tape", "detail", 0, 100, 58), ("Redaction Tape", "angle", -180, 180, 0),
+    ("Halftone Dots", "amount", 0, 100, 100), ("Halftone Dots", "size", 3, 60, 12), ("Halftone Dots", "softness", 0, 100, 15), ("Halftone Dots", "detail", 0, 100, 72), ("Halftone Dots", "angle", -90, 90, 15),
+    ("Barcode Redaction", "amount", 0, 100, 100), ("Barcode Redaction", "size", 2, 60, 8), ("Barcode Redaction", "softness", 0, 100, 0), ("Barcode Redaction", "detail", 0, 100, 78), ("Barcode Redaction", "angle", -90, 90, 0),
+    ("Ordered Dither", "amount", 0, 100, 100), ("Ordered Dither", "size", 1, 12, 3), ("Ordered Dither", "softness", 2, 8, 2), ("Ordered Dither", "detail", 0, 100, 68), ("Ordered Dither", "angle", -90, 90, 0),
+    ("Glitch Blocks", "amount", 0, 100, 100), ("Glitch Blocks", "size", 3, 80, 14), ("Glitch Blocks", "softness", 1, 120, 36), ("Glitch Blocks", "detail", 1, 100, 68), ("Glitch Blocks", "angle", -180, 180, 0),
+    ("CRT Distortion", "amount", 0, 100, 100), ("CRT Distortion", "size", 2, 30, 7), ("CRT Distortion", "softness", 0, 100, 22), ("CRT Distortion", "detail", 0, 100, 28), ("CRT Distortion", "angle", 0, 60, 8),
+    ("Silhouette", "amount", 0, 100, 100), ("Silhouette", "size", 0, 60, 8), ("Silhouette", "softness", 0, 100, 50), ("Silhouette", "detail", 0, 100, 78), ("Silhouette", "angle", 0, 100, 50),
+    ("Comic Cutout", "amount", 0, 100, 100), ("Comic Cutout", "size", 2, 16, 5), ("Comic Cutout", "softness", 1, 7, 2), ("Comic Cutout", "detail", 0, 100, 72), ("Comic Cutout", "angle", -100, 100, 32),
+    ("Thermal Map", "amount", 0, 100, 100), ("Thermal Map", "size", 0, 30, 3), ("Thermal Map", "softness", 0, 100, 72), ("Thermal Map", "detail", 0, 100, 0), ("Thermal Map", "angle", 0, 100, 58),
+    ("Photocopy", "amount", 0, 100, 100), ("Photocopy", "size", 1, 16, 2), ("Photocopy", "softness", 0, 100, 42), ("Photocopy", "detail", 0, 100, 50), ("Photocopy", "angle", 0, 100, 8),
+    ("ASCII Art", "amount", 0, 100, 100), ("ASCII Art", "size", 5, 28, 10), ("ASCII Art", "softness", 0, 100, 58), ("ASCII Art", "detail", 0, 100, 62), ("ASCII Art", "angle", 0, 100, 72), ("ASCII Art", "edge", 0, 100, 76), ("ASCII Art", "phase", 0, 100, 0),
+    ("Blueprint", "amount", 0, 100, 100), ("Blueprint", "size", 8, 64, 20), ("Blueprint", "softness", 0, 100, 14), ("Blueprint", "detail", 0, 100, 72), ("Blueprint", "angle", 0, 100, 28),
+    ("Neon Edges", "amount", 0, 100, 100), ("Neon Edges", "size", 0, 40, 8), ("Neon Edges", "softness", 0, 100, 74), ("Neon Edges", "detail", 0, 100, 64), ("Neon Edges", "angle", -180, 180, 0),
+    ("Topographic Lines", "amount", 0, 100, 100), ("Topographic Lines", "size", 6, 40, 16), ("Topographic Lines", "softness", 0, 100, 12), ("Topographic Lines", "detail", 0, 100, 68), ("Topographic Lines", "angle", 1, 8, 2),
 ]
 #: Older names of effects.
 ALIASES = [
     ("Blur", "Soft Blur"), ("Deep Blur", "Privacy Blur"), ("Black", "Black Redaction"), ("White", "White Redaction"), ("Noise", "Noise Redaction"),
     ("Halftone", "Halftone Dots"), ("Glitch", "Glitch Blocks"), ("Glass Tiles", "Encrypted Tiles"),
 ]
-#: Named chains of effects that have a step here (effect, amount, size, softness, detail, angle).
-CHAIN_PRESETS = {
-    "Face anonymizer": [("Privacy Blur", 100, 28, 84, 8, 0), ("Pixelate", 82, 26, 12, 12, 15)],
-    "Deep pixel mosaic": [("Pixelate", 100, 34, 0, 8, 20), ("Mosaic", 72, 24, 32, 58, 2)],
-}
+#: Named chains of effects, as rows (chain, position, effect, and one value for each of KEYS, 0 where the effect has none).
+CHAIN_PRESETS = [
+    ("Maximum privacy", 0, "Privacy Blur", 100, 34, 92, 15, 0, 0, 0), ("Maximum privacy", 1, "Noise Redaction", 100, 4, 2, 35, 90, 0, 0), ("Maximum privacy", 2, "Marker Scribble", 100, 24, 5, 82, -8, 0, 0),
+    ("Face anonymizer", 0, "Privacy Blur", 100, 28, 84, 8, 0, 0, 0), ("Face anonymizer", 1, "Pixelate", 82, 26, 12, 12, 15, 0, 0),
+    ("Deep pixel mosaic", 0, "Pixelate", 100, 34, 0, 8, 20, 0, 0), ("Deep pixel mosaic", 1, "Mosaic", 72, 24, 32, 58, 2, 0, 0),
+    ("Frosted privacy", 0, "Privacy Blur", 72, 20, 70, 0, 0, 0, 0), ("Frosted privacy", 1, "Frosted Glass", 100, 10, 52, 36, 9, 0, 0),
+    ("Faceted privacy", 0, "Privacy Blur", 55, 16, 55, 0, 0, 0, 0), ("Faceted privacy", 1, "Faceted Glass", 100, 34, 60, 36, 18, 0, 0),
+    ("Encrypted glass", 0, "Encrypted Tiles", 100, 22, 94, 68, 32, 0, 0), ("Encrypted glass", 1, "Prism Split", 42, 8, 12, 35, 12, 0, 0),
+    ("Document redaction", 0, "Black Redaction", 100, 20, 10, 8, 0, 0, 0), ("Document redaction", 1, "Redaction Tape", 58, 24, 4, 42, 0, 0, 0),
+    ("Whiteout", 0, "White Redaction", 100, 20, 4, 3, 0, 0, 0),
+    ("Printed censor", 0, "Halftone Dots", 100, 11, 10, 82, 15, 0, 0), ("Printed censor", 1, "Marker Scribble", 70, 14, 8, 52, -5, 0, 0),
+    ("Barcode concealment", 0, "Privacy Blur", 65, 16, 68, 0, 0, 0, 0), ("Barcode concealment", 1, "Barcode Redaction", 100, 7, 2, 84, 0, 0, 0),
+    ("Digital scramble", 0, "Encrypted Tiles", 88, 18, 78, 48, 18, 0, 0), ("Digital scramble", 1, "Glitch Blocks", 76, 12, 42, 72, 0, 0, 0), ("Digital scramble", 2, "CRT Distortion", 52, 6, 18, 22, 7, 0, 0),
+    ("Prism interference", 0, "Wave Scramble", 72, 48, 20, 3, 12, 0, 0), ("Prism interference", 1, "Prism Split", 82, 16, 8, 45, -12, 0, 0),
+    ("Anonymous silhouette", 0, "Privacy Blur", 62, 18, 70, 0, 0, 0, 0), ("Anonymous silhouette", 1, "Silhouette", 100, 8, 48, 88, 45, 0, 0),
+    ("Photocopy mask", 0, "Photocopy", 100, 3, 54, 82, 28, 0, 0), ("Photocopy mask", 1, "Marker Scribble", 42, 10, 2, 35, 0, 0, 0),
+    ("Thermal interference", 0, "Thermal Map", 100, 3, 84, 18, 68, 0, 0), ("Thermal interference", 1, "Glitch Blocks", 48, 10, 24, 38, 0, 0, 0),
+    ("ASCII mask", 0, "Privacy Blur", 36, 14, 62, 0, 0, 0, 0), ("ASCII mask", 1, "ASCII Art", 100, 9, 66, 76, 72, 84, 0),
+    ("Blueprint concealment", 0, "Blueprint", 100, 22, 16, 76, 34, 0, 0), ("Blueprint concealment", 1, "Halftone Dots", 22, 9, 0, 58, 15, 0, 0),
+    ("Neon wireframe", 0, "Neon Edges", 100, 9, 82, 72, -22, 0, 0), ("Neon wireframe", 1, "Prism Split", 26, 7, 4, 18, -10, 0, 0),
+    ("Topographic concealment", 0, "Topographic Lines", 100, 14, 14, 74, 2, 0, 0), ("Topographic concealment", 1, "Privacy Blur", 28, 10, 40, 0, 0, 0, 0),
+]
 #: Where an older specification keeps the size, by effect.
 LEGACY_SIZE = {"Soft Blur": "blur", "Privacy Blur": "blur", "Pixelate": "pixel", "Mosaic": "mosaic"}
 
@@ -37,6 +77,11 @@ def parameter_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PARAMETERS, "effect string, key string, low int, high int, default int")
 
 
+def chain_table(spark: SparkSession) -> DataFrame:
+    """The named chains: chain, position, name and KEYS, for broadcast joins."""
+    return spark.createDataFrame(CHAIN_PRESETS, "chain string, position int, name string, " + ", ".join(f"{k} int" for k in KEYS))
+
+
 def normalize_effect_specs(specs: DataFrame, spark: SparkSession) -> DataFrame:
     """Specifications (name, values: map of string to int) with the canonical name and all of KEYS.
 
@@ -63,13 +108,18 @@ def normalize_effect_specs(specs: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def check_spec_ranges(specs: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rows of `specs` whose parameters leave the table: with key, value, low, high."""
+    """Rows of `specs` whose parameters leave the table: with key, value, low, high. `unknown_effects` has those without limits."""
     entries = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in KEYS]))
     long = specs.select(*[c for c in specs.columns if c not in KEYS], entries.alias("e")).select("*", "e.key", "e.value").drop("e")
     limits = F.broadcast(parameter_table(spark).select(F.col("effect").alias("name"), "key", "low", "high"))
     return long.join(limits, ["name", "key"]).filter(~F.col("value").between(F.col("low"), F.col("high")))
 
 
+def unknown_effects(specs: DataFrame, spark: SparkSession) -> DataFrame:
+    """Rows of `specs` whose effect has no row in the table, so that no range can be checked."""
+    return specs.join(F.broadcast(parameter_table(spark).select(F.col("effect").alias("name")).distinct()), "name", "left_anti").select(*specs.columns)
+
+
 def compose(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """The steps in order; none is the identity, and a step that gives nothing is an error."""
 
@@ -128,7 +178,10 @@ def run_chain(pixels: DataFrame, specs: list[dict], width: int, height: int, box
 
 def preset_specs(name: str) -> list[dict]:
     """The specifications of a named chain, for `run_chain`."""
-    return [dict(zip(("name", "amount", "size", "softness", "detail", "angle"), spec, strict=True)) for spec in CHAIN_PRESETS[name]]
+    found = [dict(zip(("name", *KEYS), row[2:], strict=True)) for row in sorted(CHAIN_PRESETS) if row[0] == name]
+    if not found:
+        raise KeyError(name)
+    return found
 
 
 def apply_on_clips(frames: DataFrame, fn: Callable, schema: str) -> DataFrame:
