@@ -171,6 +171,53 @@ def directional_mean(pixels: DataFrame, channel: str, length: float, samples: in
     return met.groupBy(*AT).agg(F.floor(F.avg("_value")).cast("int").alias("mean"))
 
 
+def gaussian(pixels: DataFrame, channel: str, radius: float, width: int, height: int) -> DataFrame:
+    """image_id, x, y and the channel blurred by a Gaussian of that standard deviation, edges repeated, cut to an integer.
+
+    One pass along each axis; each pixel is sent to the places that it counts for, a pixel on the edge with the weight
+    of all places beyond it, and partial sums come before the shuffle.
+    """
+    reach = math.ceil(3 * radius)
+    weights = [math.exp(-d * d / (2 * radius * radius)) for d in range(-reach, reach + 1)]
+    total = sum(weights)
+    weights = [w / total for w in weights]
+    # tails[k]: what the offsets up to k - reach weigh together.
+    tails = [sum(weights[: k + 1]) for k in range(len(weights))]
+    own, tail = F.array(*map(F.lit, weights)), F.array(*map(F.lit, tails))
+    out = pixels.select(*AT, F.col(channel).cast("double").alias(channel))
+    for axis, size in (("x", width), ("y", height)):
+        if size == 1:
+            continue
+        at = F.col(axis)
+        to = F.explode(F.sequence(F.greatest(F.lit(0), at - reach), F.least(F.lit(size - 1), at + reach))).alias("_to")
+        sent = out.select(*AT, channel, to)
+        offset = (at - F.col("_to")).cast("int")
+        weight = F.when(at == 0, F.element_at(tail, offset + reach + 1)).when(at == size - 1, F.element_at(tail, reach + 1 - offset)).otherwise(F.element_at(own, offset + reach + 1))
+        other = "y" if axis == "x" else "x"
+        summed = sent.select(ID, F.col("_to").alias(axis), other, (F.col(channel) * weight).alias("_part"))
+        out = summed.groupBy(*AT).agg(F.sum("_part").alias(channel))
+    return out.select(*AT, F.floor(F.round(channel, 6)).cast("int").alias(channel))
+
+
+def tile_ramp(tiled: DataFrame, channel: str, tile: int, width: int, height: int) -> DataFrame:
+    """image_id, x, y and the channel of a picture of even tiles, drawn as straight ramps between their centres.
+
+    The row of tiles is stretched to the whole width (and column to height), as when a small picture is enlarged.
+    """
+    across, down = -(-width // tile), -(-height // tile)
+    cells = tiled.groupBy(F.col(ID).alias("_id"), F.floor(F.col("x") / tile).alias("_tx"), F.floor(F.col("y") / tile).alias("_ty")).agg(F.first(channel).alias("_value"))
+    sx, sy = (F.col("x") + 0.5) * across / width - 0.5, (F.col("y") + 0.5) * down / height - 0.5
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    asked = tiled.select(*AT, sx.alias("_sx"), sy.alias("_sy"), corners.alias("k"))
+    share = lambda s, k: F.when(F.col(k) == 0, 1 - (F.col(s) - F.floor(s))).otherwise(F.col(s) - F.floor(s))
+    asked = asked.select(
+        *AT, (share("_sx", "k.i") * share("_sy", "k.j")).alias("_w"),
+        S.clip(F.floor("_sx") + F.col("k.i"), 0, across - 1).alias("_cx"), S.clip(F.floor("_sy") + F.col("k.j"), 0, down - 1).alias("_cy"),
+    )
+    met = asked.join(cells.hint("merge"), (F.col(ID) == F.col("_id")) & (F.col("_cx") == F.col("_tx")) & (F.col("_cy") == F.col("_ty")))
+    return met.groupBy(*AT).agg(F.floor(F.round(F.sum(F.col("_value") * F.col("_w")), 6)).cast("int").alias(channel))
+
+
 def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Columns of `points` (x, y) with region_id, for every region (kind, box, points) that holds the point.
 

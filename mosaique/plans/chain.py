@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -133,43 +134,201 @@ def compose(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], D
     return chain
 
 
-def _mixed(pixels: DataFrame, channel: str, new: Column, amount: int) -> DataFrame:
+def _mixed(pixels: DataFrame, channel: str, new: Column, amount: float) -> DataFrame:
     return pixels.withColumn(channel, F.floor(S.mix(F.col(channel), new, amount)).cast("int"))
 
 
+def _refuse(spec: dict, **parts: str) -> None:
+    """An error if the specification asks for a part of the effect that isn't built (keyed by parameter)."""
+    for key, what in parts.items():
+        if spec.get(key, 0):
+            raise NotImplementedError(f"{spec['name']}: {what} ({key} {spec[key]}) is not built")
+
+
+def _grid(pixels: DataFrame, tile: int, alpha: int, wide: int = 1) -> DataFrame:
+    """Black lines `wide` pixels across, centred on the tiles' borders, over `luma` at an alpha of 255."""
+    low, high = (wide - 1) // 2, wide // 2
+
+    def on_line(at: str) -> Column:
+        # The border at k * tile covers k * tile - low .. k * tile + high; the image's own edge has no border.
+        border = F.floor((F.col(at) + low) / tile) * tile
+        return (border > 0) & (F.col(at) <= border + high)
+
+    return pixels.withColumn("luma", F.when(on_line("x") | on_line("y"), F.bround(F.col("luma") * (255 - alpha) / 255.0).cast("int")).otherwise(F.col("luma")))
+
+
+def _onto(pixels: DataFrame, changed: DataFrame, amount: float) -> DataFrame:
+    """`luma` of the pixels mixed with that of the changed picture."""
+    both = pixels.select(*R.AT, "luma").join(changed.select(*R.AT, F.col("luma").alias("_changed")).hint("merge"), R.AT)
+    return _mixed(both, "luma", F.col("_changed"), amount).drop("_changed")
+
+
+def _noise(deviation: float, *seed: int | str) -> Column:
+    """Normal noise of a pixel's place, the same in every picture; the generator is ours by design."""
+    even = lambda k: (F.pmod(F.xxhash64(F.lit("/".join(map(str, seed))), F.lit(k), "x", "y"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    return F.sqrt(-2 * F.log(even(0))) * F.cos(2 * math.pi * even(1)) * deviation
+
+
+def _grained(changed: DataFrame, spec: dict, deviation: float, share: float) -> DataFrame:
+    """A share of grey grain over `luma`."""
+    if not spec.get("detail", 0):
+        return changed
+    return _mixed(changed, "luma", F.floor(S.clip(127.5 + _noise(deviation, *(spec.get(k, 0) for k in ("name", *KEYS))))), 100 * share)
+
+
 def _pixelate(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    tile, soft, grid = max(2, spec["size"]), min(0.8, spec.get("softness", 0) / 125), spec.get("angle", 0)
+
     def step(pixels: DataFrame) -> DataFrame:
-        tiled = R.tile_mean(pixels, "luma", spec["size"])
+        tiled = R.tile_mean(pixels, "luma", tile)
         new = F.col("mean") if spec["detail"] >= 256 else S.quantize_levels(F.col("mean"), max(2, spec["detail"]))
-        return _mixed(tiled, "luma", new, spec["amount"]).drop("mean")
+        if not soft and not grid:
+            return _mixed(tiled, "luma", new, spec["amount"]).drop("mean")
+        changed = tiled.select(*R.AT, F.floor(new).cast("int").alias("luma"))
+        if soft:
+            changed = _onto(changed, R.tile_ramp(changed, "luma", tile, width, height), 100 * soft)
+        return _onto(pixels, _grid(changed, tile, min(150, round(grid * 1.5))) if grid else changed, spec["amount"])
+
+    return step
+
+
+def _mosaic(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """Tiles of a blurred picture under a grid. A grid opacity beyond 0..100 draws none: the registered query says 256."""
+    tile, grid = max(3, spec["size"]), spec.get("detail", 0)
+
+    def step(pixels: DataFrame) -> DataFrame:
+        source = pixels
+        if spec.get("softness"):
+            source = R.gaussian(pixels, "luma", max(0.2, spec["softness"] / 12), width, height)
+        tiled = R.tile_mean(source, "luma", tile)
+        if not 0 < grid <= 100 and source is pixels:
+            return _mixed(tiled, "luma", F.col("mean"), spec["amount"]).drop("mean")
+        changed = tiled.select(*R.AT, F.floor("mean").cast("int").alias("luma"))
+        if 0 < grid <= 100:
+            changed = _grid(changed, tile, min(190, round(grid * 1.9)), max(1, spec.get("angle", 1)))
+        return _onto(pixels, changed, spec["amount"])
 
     return step
 
 
 def _directional(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    grain = spec.get("detail", 0)
+
     def step(pixels: DataFrame) -> DataFrame:
         blurred = R.directional_mean(pixels, "luma", spec["size"], max(2, spec["softness"]), spec["angle"], width, height)
-        return _mixed(pixels.join(blurred.hint("merge"), R.AT), "luma", F.col("mean"), spec["amount"]).drop("mean")
+        return _onto(pixels, _grained(blurred.withColumnRenamed("mean", "luma"), spec, 2 + grain / 7, min(0.18, grain / 550)), spec["amount"])
+
+    return step
+
+
+def _blur(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """Tiles as large as the detail to destroy, with ramps between them, then a Gaussian of the whole radius."""
+    destruction, grain = spec.get("softness", 0) // (3 if spec["name"] == "Soft Blur" else 1), spec.get("detail", 0)
+    factor = max(1, round(1 + destruction / 10))
+
+    def step(pixels: DataFrame) -> DataFrame:
+        source = pixels
+        if factor > 1:
+            source = R.tile_mean(pixels, "luma", factor).select(*R.AT, F.floor("mean").cast("int").alias("luma"))
+            source = R.tile_ramp(source, "luma", factor, width, height)
+        blurred = R.gaussian(source, "luma", max(0.25, float(spec["size"])), width, height)
+        return _onto(pixels, _grained(blurred, spec, 4 + grain / 5, min(0.28, grain / 400)), spec["amount"])
 
     return step
 
 
-def _box_blur(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+def _solid(color: int) -> Callable[[dict, int, int], Callable[[DataFrame], DataFrame]]:
+    """A redaction in one colour, with a wave of light and dark across an angle and grain."""
+
+    def build(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+        texture, grain = spec.get("softness", 0), spec.get("detail", 0)
+
+        def step(pixels: DataFrame) -> DataFrame:
+            turn = math.radians(spec.get("angle", 0))
+            along = F.col("x") * F.lit(math.cos(turn)) + F.col("y") * F.lit(math.sin(turn))
+            base = F.lit(float(color))
+            if texture:
+                base = base + F.sin(along * (2 * math.pi / max(2.0, spec.get("size", 20)))) * (texture / 7)
+            if grain:
+                base = base + _noise(max(0.5, grain / 7), *(spec.get(k, 0) for k in ("name", *KEYS)))
+            return _mixed(pixels, "luma", F.floor(S.clip(base)), spec["amount"])
+
+        return step
+
+    return build
+
+
+def _wave(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """Rows across the direction shifted along it by a sum of sines."""
+    turn = math.radians(spec["angle"])
+    c, s = math.cos(turn), math.sin(turn)
+    waves, length = max(1, min(6, spec["detail"])), max(4, spec["size"])
+
     def step(pixels: DataFrame) -> DataFrame:
-        box = [(dx, dy, 1) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-        summed = R.stencil(pixels, "luma", box, "box_sum", clamp=True)
-        return _mixed(pixels.join(summed.hint("merge"), R.AT), "luma", F.col("box_sum") / 9, spec["amount"]).drop("box_sum")
+        across = F.col("y") * F.lit(c) - F.col("x") * F.lit(s)
+        total = F.lit(0.0)
+        for k in range(1, waves + 1):
+            total = total + F.sin(across * (2 * math.pi * k / length)) / k
+        total = total * (max(0, spec["softness"]) / max(1.0, sum(1 / k for k in range(1, waves + 1))))
+        dx, dy = F.col("x") - F.rint(F.col("x") - total * c), F.col("y") - F.rint(F.col("y") - total * s)
+        return _mixed(R.displace(pixels, "luma", dx, dy, "_moved", width, height), "luma", F.col("_moved"), spec["amount"]).drop("_moved")
 
     return step
 
 
-#: Effect -> builder of its step.
-STEPS = {"Pixelate": _pixelate, "Mosaic": _pixelate, "Directional Blur": _directional, "Soft Blur": _box_blur, "Privacy Blur": _box_blur}
+def _tiles(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """A seeded share of the tiles shows other tiles."""
+    _refuse(spec, detail="rotation of tiles", angle="a shift of colours")
+    tile, percent = max(4, spec["size"]), max(0, min(100, spec["softness"]))
+    if percent and (width % tile or height % tile):
+        raise NotImplementedError(f"{spec['name']}: tiles of {tile} that don't divide {width} x {height} are not built")
+
+    def step(pixels: DataFrame) -> DataFrame:
+        if not percent:
+            return pixels
+        return _onto(pixels, R.seeded_tile_shuffle(pixels, "luma", tile, percent, width * 73856093 ^ height * 19349663 ^ tile), spec["amount"])
+
+    return step
+
+
+def _barcode(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """Bars across an angle, as wide in black as their band is dark."""
+    turn = math.radians(spec["angle"])
+    period = max(4, spec["size"] * 2)
+
+    def step(pixels: DataFrame) -> DataFrame:
+        along = F.col("x") * F.lit(math.cos(turn)) + F.col("y") * F.lit(math.sin(turn))
+        banded = R.band_mean(pixels, "luma", period, spec["angle"])
+        least = pixels.groupBy(R.ID).agg(F.min(along).alias("_least"))
+        dark = S.clip((0.5 - F.col("mean") / 255.0) * (0.7 + spec["detail"] / 45) + 0.5, 0.0, 1.0)
+        local = (along - F.col("_least")) / period - F.col("band")
+        bars = banded.join(least.hint("merge"), R.ID).select(*R.AT, F.when(local < 0.12 + dark * 0.78, 10).otherwise(247).alias("luma"))
+        if spec["softness"]:
+            bars = R.gaussian(bars, "luma", spec["softness"] / 30, width, height)
+        return _onto(pixels, bars, spec["amount"])
+
+    return step
+
+
+#: Effect -> builder of its step. An effect that isn't here is refused, never swapped for another.
+STEPS = {
+    "Pixelate": _pixelate, "Mosaic": _mosaic, "Directional Blur": _directional, "Soft Blur": _blur, "Privacy Blur": _blur,
+    "Black Redaction": _solid(0), "White Redaction": _solid(255), "Wave Scramble": _wave, "Encrypted Tiles": _tiles, "Barcode Redaction": _barcode,
+}
+
+
+def _step_of(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    if spec["name"] not in STEPS:
+        raise NotImplementedError(f"{spec['name']}: the effect is not built")
+    return STEPS[spec["name"]](spec, width, height)
 
 
 def run_chain(pixels: DataFrame, specs: list[dict], width: int, height: int, box: tuple[int, int, int, int] | None = None, polygon: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Normalised specifications applied in order to `luma`, kept only where targeted; every frame gets the same chain."""
-    changed = compose(*[STEPS.get(s["name"], _box_blur)(s, width, height) for s in specs])(pixels.select(*R.AT, "luma"))
+    """Normalised specifications applied in order to `luma`, kept only where targeted; every frame gets the same chain.
+
+    An effect, or a part of one, that isn't built raises NotImplementedError.
+    """
+    changed = compose(*[_step_of(s, width, height) for s in specs])(pixels.select(*R.AT, "luma"))
     if not specs:
         return changed
     both = pixels.select(*R.AT, "luma").join(changed.select(*R.AT, F.col("luma").alias("_new")).hint("merge"), R.AT)
