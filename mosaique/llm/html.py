@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of their host.
 
 1. Each page is parsed into elements and blocks of text; every container is scored by the text of its own
-   blocks, less their link text. The best container's generalised path (tags and classes, digits folded,
-   from the body down) is the page's vote.
+   blocks, less their link text. The best container is widened to the article or main around it, or else as far
+   as the containers above it add text that isn't mostly links. Its generalised path (tags and classes, digits
+   folded, from the body down) is the page's vote.
 2. Spark sums the votes per (host, path), after each task has summed its own, and keeps the winner per host.
 3. Each page is extracted again from the element at its host's winning path; a page without such an element
    uses its own best container.
@@ -159,8 +160,39 @@ def _container(page: Page, at: int) -> int:
     return at
 
 
+def _totals(page: Page) -> tuple[list[int], list[int]]:
+    """The length of the text under each element, without what is left out: (outside links, inside links)."""
+    text, links = [0] * len(page.elements), [0] * len(page.elements)
+    for at, part, link in page.parts:
+        if part and not page.elements[at].left_out:
+            (links if link else text)[at] += len(part.strip())
+    for k in range(len(page.elements) - 1, 0, -1):
+        up = page.elements[k].parent
+        text[up] += text[k]
+        links[up] += links[k]
+    return text, links
+
+
+def _climbed(page: Page, at: int) -> int:
+    """The nearest article or main around a container; without one, the last container above that adds text, not mostly links."""
+    elements, k = page.elements, at
+    while k > 0:
+        if elements[k].tag in ("article", "main"):
+            return k
+        k = elements[k].parent
+    (text, links), k = _totals(page), at
+    while k > 0:
+        k = _container(page, elements[k].parent)
+        more, linked = text[k] - text[at], links[k] - links[at]
+        if linked and linked >= more:
+            break
+        if more:
+            at = k
+    return at
+
+
 def best_container(page: Page) -> int:
-    """The container with the highest score: its own blocks count in full, those one and two levels down less."""
+    """The container with the highest score, its own blocks in full, those one and two levels down less; and up to the whole article."""
     elements = page.elements
     gained: Counter = Counter()
     for at, text, link in page.parts:
@@ -176,7 +208,8 @@ def best_container(page: Page) -> int:
             if holder <= 0:
                 break
             holder, share = _container(page, elements[holder].parent), share / 2
-    return max((k for k, e in enumerate(elements) if e.score > 0 and not e.left_out), key=lambda k: (elements[k].score, -k), default=0)
+    best = max((k for k, e in enumerate(elements) if e.score > 0 and not e.left_out), key=lambda k: (elements[k].score, -k), default=0)
+    return _climbed(page, best)
 
 
 def text_of(page: Page, roots: set[int]) -> str:
