@@ -9,7 +9,8 @@
    uses its own best container.
 
 Inside the chosen element, menus, forms, scripts, styles, notices, adverts, shares and reader comments are
-left out by tag, role and class. Character references are decoded once; white space inside a block becomes
+left out by tag, role and class; inside an article or main only by whole class names, and headings and headers stay.
+A form that holds an article, main or most of the page's text is not left out. Character references are decoded once; white space inside a block becomes
 one space; blocks are joined in page order by one space.
 
 Cases: null or empty html gives the empty text, html without any element is plain text, a null or odd url
@@ -49,7 +50,7 @@ BLOCKS = frozenset(
     "header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article aside body center div details fieldset figure footer form header html main nav section table tbody td tr ul ol dl".split())
-LEFT_OUT = frozenset("nav footer aside form button dialog menu label input head".split())
+LEFT_OUT = frozenset("nav footer aside button dialog menu label input head".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 #: A class or id with one of these words marks what isn't the article.
 LEFT_OUT_WORDS = frozenset(
@@ -57,6 +58,9 @@ LEFT_OUT_WORDS = frozenset(
     "disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "related remark replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split()
 )
+#: Inside an article a name counts only as a whole: every word of it one of the above, or one of these for its place or shape.
+PLACE_WORDS = frozenset("area areas bar bars block blocks bottom box boxes button buttons container group icon icons inline item items link links list posts slot thread top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 #: An open element that the start of one of these ends.
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 STOPS = frozenset("table ul ol dl div section article body main".split())
@@ -80,6 +84,21 @@ class Page:
     parts: list[tuple[int, str | None, bool]] = field(default_factory=list)
 
 
+def _marked(tag: str, name: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id says that the element isn't part of an article."""
+    if tag in ("body", "html", "article", "main"):
+        return False
+    if not in_article:
+        return not LEFT_OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+    if tag in HEADINGS or name == "id" and tag != "div":
+        return False
+    for word in value.split():
+        parts = {p for p in re.split(r"[^a-z]+", word) if p}
+        if parts <= LEFT_OUT_WORDS | PLACE_WORDS and not parts.isdisjoint(LEFT_OUT_WORDS) and "header" not in parts:
+            return True
+    return False
+
+
 def _is_left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     """Whether the element isn't part of an article, and its classes for the path."""
     if tag in LEFT_OUT or tag == "header" and not in_article:
@@ -97,13 +116,14 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, str
             else:
                 if name == "class":
                     classes = "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c) for c in value.split()}))
-                out |= tag not in ("body", "html", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+                out |= _marked(tag, name, value, in_article)
     return out, classes
 
 
 def parse(html: str) -> Page:
     page = Page([Element("#root", -1, "", False, False)])
     elements, parts, stack, links = page.elements, page.parts, [0], 0
+    forms: list[int] = []
 
     def close_to(k: int) -> None:
         nonlocal links
@@ -147,13 +167,33 @@ def parse(html: str) -> Page:
         if tag in BLOCKS:
             parts.append((stack[-1], None, False))
         elements.append(Element(tag, stack[-1], path, above.left_out or out, above.in_article or tag in ("article", "main")))
+        if tag == "form" and not elements[-1].left_out:
+            forms.append(len(elements) - 1)
         if not m[4].endswith("/") or tag not in ("a", "b", "i", "span"):
             stack.append(len(elements) - 1)
             links += tag == "a"
     close_to(1)
+    if forms:
+        _leave_out_forms(page, forms)
     return page
 
 
+def _leave_out_forms(page: Page, forms: list[int]) -> None:
+    """Leave out forms, but for those that hold an article or main, or most of the page's text."""
+    elements, kept = page.elements, set()
+    for k, e in enumerate(elements):
+        if e.tag in ("article", "main") and not e.left_out:
+            up = e.parent
+            while up > 0:
+                kept.add(up)
+                up = elements[up].parent
+    text, links = _totals(page)
+    for k in forms:
+        elements[k].left_out = k not in kept and 2 * (text[k] + links[k]) <= text[0] + links[0]
+    for e in elements[min(forms) :]:
+        e.left_out |= e.parent >= 0 and elements[e.parent].left_out
+
+
 def _container(page: Page, at: int) -> int:
     while at > 0 and page.elements[at].tag not in CONTAINERS:
         at = page.elements[at].parent
