@@ -31,11 +31,14 @@ DEFAULT_KEY = b"mosaique surrogate key, to be replaced by a secret one"
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+'-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?token)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_.-]{8,}[A-Za-z0-9+/=_-])")
+#: The word may end a longer name (DB_PASSWORD, aws_secret_access_key). Values of password words need no digit.
+_SECRET = re.compile(r"(?i)(?:(?P<word>password|passwd|pwd|passphrase)|secret[_-]?key|private[_-]?key|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,}[A-Za-z0-9+/=_-])")
 _KEY_PREFIX = re.compile(r"(?<![A-Za-z0-9])(?:ghp_|gho_|sk-|xox[bap]-)[A-Za-z0-9_-]{16,}")
 _IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![\d])|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\d])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d])")
-_CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d])")
+_CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,}")
+_DIGIT_GROUP = re.compile(r"\d+")
+_VERSION_WORD = re.compile(r"(?i)\b(?:version|release|v|ver\.?)\s*$")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
@@ -141,6 +144,28 @@ def is_card(digits: str) -> bool:
     return len(digits) == 16 or 13 <= len(digits) <= 19 and _check_digit(digits[:-1]) == int(digits[-1])
 
 
+def _cards(run: str) -> list[tuple[int, int, str]]:
+    """Begin, end and digits of the cards in a run of groups of digits, the likeliest first; they may overlap.
+
+    The whole run is tried first; then each part of up to five groups. A valid check digit counts before the
+    length alone, and the groups of printed cards (one, 4-4-4-4, 4-6-5) before any others.
+    """
+    groups = [(m.start(), m.end()) for m in _DIGIT_GROUP.finditer(run)]
+    whole = "".join(run[b:e] for b, e in groups)
+    if is_card(whole):
+        return [(0, len(run), whole)]
+    found = []
+    for i in range(len(groups)):
+        for j in range(i, min(i + 5, len(groups))):
+            digits = "".join(run[b:e] for b, e in groups[i : j + 1])
+            if is_card(digits):
+                valid = _check_digit(digits[:-1]) == int(digits[-1]) and digits[0] in "23456"
+                printed = i == j or [e - b for b, e in groups[i : j + 1]] in ([4, 4, 4, 4], [4, 6, 5])
+                if valid or printed:
+                    found.append((2 * (not printed) + (not valid), -len(digits), groups[i][0], groups[j][1], digits))
+    return [x[2:] for x in sorted(found)]
+
+
 @dataclass(frozen=True)
 class Entity:
     kind: str
@@ -257,10 +282,10 @@ def detect(text: str) -> list[Entity]:
             found.append(Entity(kind, begin, end, value))
 
     low = text.lower() if any(c in text for c in "=:") else ""
-    if low and any(w in low for w in ("token", "passw", "pwd", "secret", "key")):
+    if low and any(w in low for w in ("token", "passw", "passphrase", "pwd", "secret", "key")):
         for m in _SECRET.finditer(text):
-            if any(c.isdigit() for c in m[1]):
-                add("secret", m.start(1), m.end(1), m[1])
+            if m["word"] or any(c.isdigit() for c in m["value"]):
+                add("secret", m.start("value"), m.end("value"), m["value"])
     if "AKIA" in text or "ASIA" in text:
         for m in _ACCESS_KEY.finditer(text):
             add("access_key", m.start(), m.end(), m[0])
@@ -272,7 +297,7 @@ def detect(text: str) -> list[Entity]:
             add("email", m.start(), m.end(), m[0].lower())
     if _ANY_DIGITS.search(text):
         for m in _IPV4.finditer(text):
-            if not re.search(r"(?i)(?:version|release|v|ver\.?)\s*$", text[max(0, m.start() - 10) : m.start()]):
+            if not _VERSION_WORD.search(text[max(0, m.start() - 40) : m.start()]):
                 add("ipv4", m.start(), m.end(), m[0])
         for m in _IBAN.finditer(text):
             value = m[0].replace(" ", "")
@@ -284,9 +309,8 @@ def detect(text: str) -> list[Entity]:
             if value := _phone_value(m[0]):
                 add("phone", m.start(), m.end(), value)
         for m in _CARD.finditer(text):
-            digits = "".join(c for c in m[0] if c.isdigit())
-            if is_card(digits):
-                add("card", m.start(), m.end(), digits)
+            for begin, end, digits in _cards(m[0]):
+                add("card", m.start() + begin, m.start() + end, digits)
     people = _people(text)
     if people:
         for begin, end, kind in people:
