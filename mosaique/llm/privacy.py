@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,25 +42,73 @@ _DIGIT_GROUP = re.compile(r"\d+")
 _VERSION_WORD = re.compile(r"(?i)\b(?:version|release|v|ver\.?)\s*$")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
-_LOWER = "a-zß-öø-ÿа-яёα-ωά-ώ"
-_NAME = f"[{_UPPER}][{_LOWER}]+(?:['’-][{_UPPER}][{_LOWER}]+)*"
-_TITLED = re.compile(rf"\b(Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία)\b\.?[  ]+({_NAME}(?:[  ]{_NAME}){{0,2}})")
-_PAIR = re.compile(rf"\b({_NAME})((?:[  ]{_NAME}){{1,2}})")
-
-#: Titles by gender, and given names by script and gender.
-TITLES = {"f": {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία"}, "m": {"Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"}}
+
+
+def _letters(*categories: str) -> str:
+    """The letters of some Unicode categories as ranges of a character class."""
+    codes = [c for c in range(0x2FFF) if unicodedata.category(chr(c)) in categories]
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    return "".join(chr(b) if b == e else f"{chr(b)}-{chr(e)}" for b, e in zip(starts, ends, strict=True))
+
+
+#: Capitals, and small letters with marks that combine with them, of all scripts that have both.
+_UPPER, _LOWER = _letters("Lu", "Lt"), _letters("Ll", "Mn")
+_PART = f"(?:[OD]['’])?[{_UPPER}][{_LOWER}]+(?:[{_UPPER}][{_LOWER}]+)*"
+#: A whole word: no letter before or behind it.
+_NAME = f"(?<![^\\W\\d_]){_PART}(?:['’-]{_PART})*(?![^\\W\\d_])"
+_TITLE = "Mrs|Mr|Ms|Miss|Mx|Madam|Sir|Dr|Prof|Professor|Doctor|Rev|Herr|Frau|Monsieur|Madame|Mme|Mlle|Docteur|Professeur|Maître|Señora|Señor|Señorita|Sra|Sr|Srta|Doña|Doctora|Profesor|Profesora|Signor|Signora|Dott|Pani|Господин|Госпожа|Доктор|Профессор|Κύριος|Κυρία|Δρ"
+#: What may stand between the parts of a name: particles and an initial.
+_BETWEEN = f"[ \u00a0](?:(?:von|van|vom|de|da|di|du|del|della|der|den|dos|la|le|el|al|ten|ter|zu|zur)[ \u00a0])*(?:[{_UPPER}]\\.[ \u00a0])?"
+_TITLED = re.compile(rf"\b(?:(?:{_TITLE})\b\.?[ \u00a0]+)+(?!(?:{_TITLE})\b)({_NAME}(?:{_BETWEEN}{_NAME}){{0,2}})")
+_ONE_NAME = re.compile(_NAME)
+_REST = re.compile(rf"(?:{_BETWEEN}{_NAME}){{1,2}}")
+
+#: Given names by script and gender; a name is in one list only.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Carmen Caroline Charlotte Claire Elena Emily Emma Eva Hannah Isabel Jane Julia Laura Linda Lucia Maria Mary Michelle Nicole Petra Sarah Sofia Sophie Susan".split(),
-    ("latin", "m"): "Alexander Andreas Antonio Carlos Charles Daniel David Diego Felix George Hans Henri James Jean John Jorge Lukas Martin Michael Miguel Paul Peter Pierre Robert Stefan Thomas William".split(),
-    ("cyrillic", "f"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
-    ("cyrillic", "m"): "Александр Алексей Андрей Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
-    ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
-    ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Παύλος".split(),
+    ("latin", "f"): (
+        "Alice Anna Barbara Carmen Caroline Charlotte Claire Elena Emily Emma Eva Hannah Isabel Jane Julia Laura Linda Lucia Maria Mary Michelle Nicole Petra Sarah Sofia Sophie Susan "
+        "Abigail Ada Adele Adriana Agata Agnes Agnieszka Aisha Alejandra Aleksandra Alena Alexandra Alina Alison Amanda Amber Amelia Amélie Amina Amy Ana Anastasia Andrea Angela Angelika Angelina Anika Anita "
+        "Anja Ann Anne Anneliese Annette Annie Antonia Ashley Astrid Audrey Aurélie Ava Barbora Beata Beatrice Beatriz Bernadette Beth Bettina Betty Beverly Bianca Birgit Blanca Bożena Brenda Brigitte "
+        "Brittany Camila Camille Camilla Carla Carol Carolina Catalina Catherine Cécile Cecilia Céline Chantal Chiara Chloé Chloe Christa Christina Christine Cindy Clara Claudia Consuelo Corinne Cornelia "
+        "Courtney Cristina Cynthia Dagmar Dana Daniela Danielle Danuta Deborah Debra Delphine Denise Diana Diane Dolores Donna Dora Doris Dorota Dorothy Edith Ekaterina Elaine Eleanor Eleonora Elisa "
+        "Elisabeth Élise Elizabeth Ella Ellen Éloïse Elsa Emilia Émilie Erica Erika Erin Esmeralda Esther Eugenia Evelyn Ewa Fatima Fernanda Fiona Floriane Francesca Francisca Françoise Frieda Gabriela Gabriele "
+        "Gail Geneviève Gertrud Gina Giovanna Gisela Giulia Gloria Grażyna Greta Gudrun Guadalupe Hana Hanna Heather Heidi Heike Helen Helena Hélène Helga Henrietta Hildegard Ilse Inés Ines Inga Ingeborg Ingrid "
+        "Irena Irene Irina Irma Isabella Isabelle Ivana Iwona Jacqueline Jana Janet Janice Jasmine Jeanne Jennifer Jenny Jessica Jill Joan Joana Joanna Jolanta Josefa Josefina Josephine Joyce Juana Judith Judy "
+        "Juliana Julie Juliette Justyna Jutta Karen Karin Karina Karolina Katarzyna Kate Katharina Katherine Kathleen Kathryn Kathy Katja Katrin Kayla Kelly Kimberly Kirsten Klara Krystyna Kristen Kristin "
+        "Kristina Larissa Latisha Lauren Leah Léa Leila Lena Leonie Leslie Leticia Lidia Lieselotte Lilian Lillian Lisa Lise Liv Lorena Loretta Lori Louise Lucie Lucy Luisa Lydia Lynn Madeleine Madison Magda "
+        "Magdalena Małgorzata Manon Manuela Marcela Margaret Margarita Margarete Margot Marguerite Mariana Marianne Marie Mariam Marilyn Marina Marion Marisol Marlene Marta Martha Martina Martine Mathilde Maureen "
+        "Megan Melanie Melissa Mercedes Mia Mila Milena Mireille Miriam Molly Mónica Monica Monika Monique Nadia Nadine Nancy Naomi Natalia Natalie Nathalie Nina Nora Norma Odette Olga Olivia Pamela Patricia "
+        "Paula Pauline Peggy Phyllis Pilar Priscilla Rachel Ramona Raquel Rebecca Regina Renata Renate Renée Rita Roberta Rocío Rosa Rosalie Rosemary Rosemarie Roxana Ruth Sabine Sabrina Samantha Sandra Sara "
+        "Sharon Sheila Shirley Sigrid Silvia Simona Simone Solange Sonia Sonja Stacy Stefanie Stella Stephanie Susanne Suzanne Svetlana Sylvia Sylvie Tamara Tania Tanja Tatiana Teresa Thérèse Theresa Tiffany "
+        "Tina Tracy Ulrike Ursula Uta Valentina Valeria Valérie Valerie Vanessa Vera Veronica Verónica Véronique Veronika Viktoria Virginie Vivian Viviane Waltraud Wanda Wendy Wilhelmina Xenia Ximena Yolanda "
+        "Yvette Yvonne Zofia Zoe Zoé Zuzana"
+    ).split(),
+    ("latin", "m"): (
+        "Alexander Andreas Antonio Carlos Charles Daniel David Diego Felix George Hans Henri James Jean John Jorge Lukas Martin Michael Miguel Paul Peter Pierre Robert Stefan Thomas William "
+        "Aaron Abdul Adam Adrian Adrien Ahmed Alain Alan Albert Alberto Alejandro Aleksander Alessandro Alex Alexandre Alexei Alfonso Alfred Alfredo Ali Allan Álvaro Anders Andreu Andrés André Andrew Andrzej "
+        "Andy Ángel Angelo Anthony Antoine Antonín Armando Arnaud Arnold Arthur Arturo Axel Barry Bartosz Benjamin Benoît Bernard Bernd Bertrand Björn Bogdan Boris Brandon Brian Bruce Bruno Bryan Carl Cédric César "
+        "Christian Christoph Christophe Christopher Claude Clemens Cristian Craig Damian Damien Daniele Dariusz Dario Darren Dennis Derek Detlef Didier Dieter Dietmar Dimitri Dmitri Dominik Dominique Donald Douglas "
+        "Dylan Eberhard Edgar Edmund Eduardo Edward Edwin Egon Emil Émile Emilio Emmanuel Enrico Enrique Eric Erich Erik Ernesto Étienne Ethan Eugene Eugenio Evan Ewald Fabian Fabien Fabio Federico Felipe Ferdinand "
+        "Fernando Filip Florian Francesco Francis Francisco Franck François Franz Fred Frédéric Frederick Friedrich Fritz Gabriel Gareth Gary Gaspard Georg Georges Gérard Gerald Gerardo Gerd Gerhard Gilbert Gilles Giorgio "
+        "Giovanni Giuseppe Gonzalo Gordon Grégory Gregory Grzegorz Guido Guillaume Guillermo Gunther Günter Günther Gustav Gustavo Hamid Harald Harold Harry Hassan Hector Héctor Heiko Heinrich Heinz Helmut Henrik Henry Herbert "
+        "Hermann Horst Howard Hubert Hugo Hugues Ian Ibrahim Ignacio Igor Ismael Ivan Ivo Jack Jacek Jackson Jacob Jacques Jaime Jakob Jakub Jan Janusz Jaroslav Jarosław Jason Javier Jeffrey Jens Jeremy Jérôme Jeroen Jerry "
+        "Jerzy Jesús Jiří Joachim Joaquín Joel Joe Johan Johann Johannes Jonas Jonathan José Josef Joseph Joshua Józef Juan Julien Julian Julio Jürgen Justin Kai Karl Karol Keith Kenneth Kevin Klaus Konrad Konstantin Kurt Kyle "
+        "Larry Lars Laurent Lawrence Léo Leo Leon Leonard Leonardo Leopold Lothar Louis Luca Lucas Luc Luciano Ludwig Luigi Luis Łukasz Maciej Magnus Manfred Manuel Marc Marcel Marcelo Marcin Marco Marcos Marcus Marek Mario "
+        "Marius Mark Markus Mateo Mateusz Mathias Mathieu Mats Matteo Matthew Matthias Maurice Mauricio Max Maxime Maximilian Mehmet Michał Michel Mikael Milan Miloš Mohamed Mohammed Muhammad Mustafa Nathan Nicholas Nicolas Nicolás Niels "
+        "Nikolai Nils Noah Norbert Octavio Olaf Ole Oleg Oliver Olivier Omar Oscar Óscar Oskar Oswald Otto Pablo Pascal Patrice Patrick Patryk Pavel Paweł Pedro Per Petr Philip Philipp Philippe Phillip Piotr Quentin Rafael Rafał Rainer Ralf "
+        "Ralph Ramón Ramon Randy Raphaël Raúl Raul Raymond Reinhard Rémi René Ricardo Richard Rodolfo Rodrigo Roger Roland Rolf Roman Ronald Rubén Rudolf Rüdiger Russell Ryan Salvador Samuel Santiago Scott Sebastian Sebastián Sébastien Sergei "
+        "Sergio Siegfried Simon Sławomir Stanislav Stanisław Stéphane Stephan Stephen Steve Steven Sven Sylvain Tadeusz Terry Theodor Theodore Théo Thibault Thierry Thorsten Timothy Tobias Todd Tomás Tomasz Tomáš Tony Torsten Travis Tyler Udo "
+        "Ulrich Uwe Václav Valentin Victor Vincent Vladimir Volker Walter Werner Wiesław Wilhelm Winfried Wojciech Wolfgang Xavier Yann Yannick Yusuf Yves Yuri Zachary Zbigniew Zdeněk"
+    ).split(),
+    ("cyrillic", "f"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия Александра Алина Алла Анастасия Антонина Валентина Валерия Вера Вероника Виктория Галина Дарья Евгения Елизавета Жанна Зинаида Зоя Инна Ксения Лариса Лидия Людмила Маргарита Марина Надежда Наталия Нина Оксана Полина Раиса Софья София Тамара".split(),
+    ("cyrillic", "m"): "Александр Алексей Андрей Дмитрий Иван Михаил Николай Павел Сергей Юрий Анатолий Антон Аркадий Артём Богдан Борис Вадим Валентин Валерий Василий Виктор Виталий Владимир Владислав Вячеслав Геннадий Георгий Григорий Даниил Денис Евгений Егор Игорь Илья Кирилл Константин Леонид Максим Никита Олег Пётр Роман Руслан Станислав Степан Тимофей Фёдор Ярослав".split(),
+    ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία Αγγελική Αικατερίνη Αλεξάνδρα Αναστασία Βασιλική Γεωργία Δήμητρα Ειρήνη Ευαγγελία Ευτυχία Θεοδώρα Κωνσταντίνα Παναγιώτα Παρασκευή Χριστίνα".split(),
+    ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Παύλος Ανδρέας Αντώνης Απόστολος Βασίλης Γεώργιος Δημήτριος Ευάγγελος Θεόδωρος Ιωάννης Κωνσταντίνος Μιχάλης Νικόλαος Παναγιώτης Πέτρος Σπύρος Σταύρος Χρήστος".split(),
 }
 _GIVEN_OF = {name.lower(): (key, k) for key, names in GIVEN.items() for k, name in enumerate(names)}
 #: Letters that may stand for each other: vowels and consonants of each script.
-CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåæéèêëíìîïóòôöõøúùûü", "çñßýÿðþ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "άέήίόύώ"]
+CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåæéèêëíìîïóòôöõøúùûüąāăęėēěįīıőōūůűų", "çñßýÿðþćčďđğģķļľłńňņřŕśšşșťţțźżž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "άέήίόύώ"]
 _CLASS_OF = {c: group for group in CLASSES for c in group}
 _DIGITS, _LETTERS, _CAPITALS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PUBLIC = [str(k) for k in range(1, 224) if k not in (10, 100, 127, 169, 172, 192, 198, 203)]
@@ -316,7 +365,7 @@ def detect(text: str) -> list[Entity]:
         for begin, end, kind in people:
             add(kind, begin, end, text[begin:end].lower())
         surnames = {e.value for e in found if e.kind == "name"}
-        for m in re.finditer(_NAME, text):
+        for m in _ONE_NAME.finditer(text):
             if m[0].lower() in surnames:
                 add("name", m.start(), m.end(), m[0].lower())
     return sorted(found, key=lambda e: e.begin)
@@ -325,18 +374,28 @@ def detect(text: str) -> list[Entity]:
 _ANY_DIGITS = re.compile(r"\d[\d .()-]{5}")
 
 
+def _is_given(name: str) -> bool:
+    """A listed given name, or some with hyphens between them."""
+    return name in _GIVEN_OF or "-" in name and all(part in _GIVEN_OF for part in name.split("-"))
+
+
 def _people(text: str) -> list[tuple[int, int, str]]:
     """Begin, end and kind of the words of names: after a title, or a known given name before capitalised words."""
     out = []
-    for m in _TITLED.finditer(text):
-        parts = list(re.finditer(_NAME, m[2]))
+
+    def words(begin: int, end: int) -> None:
+        parts = list(_ONE_NAME.finditer(text, begin, end))
         for k, part in enumerate(parts):
             kind = "given" if k < len(parts) - 1 and part[0].lower() in _GIVEN_OF else "name"
-            out.append((m.start(2) + part.start(), m.start(2) + part.end(), kind))
-    for m in _PAIR.finditer(text):
-        if m[1].lower() in _GIVEN_OF:
-            out.append((m.start(1), m.end(1), "given"))
-            out += [(m.start(2) + p.start(), m.start(2) + p.end(), "given" if p[0].lower() in _GIVEN_OF and p.end() < len(m[2]) else "name") for p in re.finditer(_NAME, m[2])]
+            out.append((part.start(), part.end(), kind))
+
+    for m in _TITLED.finditer(text):
+        words(m.start(1), m.end(1))
+    done = 0
+    for m in _ONE_NAME.finditer(text):
+        if m.start() >= done and _is_given(m[0].lower()) and (rest := _REST.match(text, m.end())):
+            done = rest.end()
+            words(m.start(), done)
     return out
 
 

@@ -41,3 +41,24 @@ def test_words_without_a_value_stay():
 @pytest.mark.parametrize("text,found", [("srv 10.0.0.1", 1), ("dev 10.0.0.1", 1), ("srv10.0.0.1", 1), ("v 10.0.0.1", 0), ("v10.0.0.1", 0), ("Version 10.0.0.1", 0), ("ver. 10.0.0.1", 0)])
 def test_addresses_after_words_in_v(text, found):
     assert len([e for e in privacy.detect(text) if e.kind == "ipv4"]) == found
+
+
+@pytest.mark.parametrize("text,parts", [
+    ("Jennifer Smith met Kevin Brown.", ["Jennifer", "Smith", "Kevin", "Brown"]), ("Peter Wałęsa", ["Peter", "Wałęsa"]), ("Anna Dvořák", ["Anna", "Dvořák"]),
+    ("Call Peter Novák today", ["Peter", "Novák"]), ("Dr Lovelace and Prof. Dr. Zuse", ["Lovelace", "Zuse"]), ("Dr. Kevin McDonald", ["Kevin", "McDonald"]),
+    ("Maria de la Cruz", ["Maria", "Cruz"]), ("John F. Kennedy", ["John", "Kennedy"]), ("Mary O'Brien", ["Mary", "O'Brien"]), ("Jean-Luc Picard", ["Jean-Luc", "Picard"]), ("Виктор Цой", ["Виктор", "Цой"]),
+])
+def test_whole_names(text, parts):
+    assert [text[e.begin : e.end] for e in privacy.detect(text)] == parts
+    new = privacy.rewrite(text, b"key", {})[0]
+    assert not any(part in new for part in parts)
+
+
+def test_words_that_are_no_names():
+    for text in ("Peters Smithfield is a place", "The Committee Of Ten met", "anna went home", "Dr. who", "Anna Dvořák2"):
+        assert "dvo" not in [e.value for e in privacy.detect(text)] and (text.startswith("Anna") or privacy.detect(text) == [])
+
+
+def test_given_names_are_in_one_list_each():
+    names = [n.lower() for group in privacy.GIVEN.values() for n in group]
+    assert len(names) == len(set(names)) > 900
