@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DataType
 
@@ -76,18 +79,51 @@ def read_release_feed(df: DataFrame, column: str) -> DataFrame:
     return flat.select(*[c for c in flat.columns if c != "asset"], F.col("asset.name").alias("asset_name"), F.greatest(F.lit(0).cast("long"), F.coalesce("asset.size", F.lit(0))).alias("asset_size"))
 
 
-def throttle(events: DataFrame, keys: list[str], gap_us: int, final: Column, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """The events that a throttled listener sees: at least a gap after the last one seen, and every final one.
+def throttle_rows(events: DataFrame, keys: list[str], final: Column, ts: str, order: str) -> DataFrame:
+    """What `throttle_fold` reads: keys, _order, _us, _final."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return events.select(*keys, F.col(order).cast("long").alias("_order"), micros.alias("_us"), F.coalesce(final, F.lit(False)).alias("_final"))
+
+
+def throttle_fold(rows: DataFrame, keys: list[str], gap_us: int, carry: bool = False) -> DataFrame:
+    """keys, _order and _us of the rows seen, folded in order of time.
 
-    The rule is greedy, so each key is folded in order; the fold runs on the key's sorted array in the engine.
+    The rows are sorted by key and time and pass a fold that holds one batch and one time, however many events a key has.
+    With `carry`, rows without _order are the times last seen by an earlier fold, and the same are given for the next one.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    item = F.struct(micros.alias("us"), F.col(order).alias("id"), final.alias("final"))
-    grouped = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("seen"))
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("_order").isNotNull() if carry else F.lit(True), "_us", "_order")
+    n, schema = len(keys), rows.select(*keys, "_order", "_us").schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            seen = []
+            for values in zip(*columns, strict=True):
+                if values[:n] != key:
+                    if carry and key is not None:
+                        seen.append((*key, None, last))
+                    key, last = values[:n], None
+                number, us, final = values[n:]
+                if carry and number is None:
+                    last = us
+                elif final or last is None or us is not None and us - last >= gap_us:
+                    last = us
+                    seen.append((*key, number, us))
+            yield batch_of(seen, batch.schema)
+        if carry and key is not None:
+            yield batch_of([(*key, None, last)], batch.schema)
+
+    def batch_of(seen: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in seen], like.field(k).type) for k in range(n + 2)], like.names[: n + 2])
+
+    return ordered.mapInArrow(fold, schema)
 
-    def step(acc: Column, e: Column) -> Column:
-        shows = e["final"] | acc["last"].isNull() | (e["us"] - acc["last"] >= gap_us)
-        return F.struct(F.when(shows, e["us"]).otherwise(acc["last"]).alias("last"), F.when(shows, F.concat(acc["seen"], F.array(e["id"].cast("bigint")))).otherwise(acc["seen"]).alias("seen"))
 
-    return grouped.select(*keys, F.explode(F.aggregate("items", start, step)["seen"]).alias(order))
+def throttle(events: DataFrame, keys: list[str], gap_us: int, final: Column, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """The events that a throttled listener sees: at least a gap after the last one seen, and every final one.
+
+    The rule is greedy, so each key is folded in order. Events without a time come first and are all seen.
+    """
+    seen = throttle_fold(throttle_rows(events, keys, final, ts, order), keys, gap_us)
+    return seen.select(*keys, F.col("_order").alias(order))

@@ -115,7 +115,7 @@ def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, event_id from walk where shows", _THROTTLE, recursive=True)
 def throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_to_table(spark, streams.throttle(_stream(spark, sf_dir), "user_id", "ts", "event_id", F.col("event_type") == "purchase", 24 * _HOUR))
+    return streams.throttle(spark, _stream(spark, sf_dir), "user_id", "ts", "event_id", F.col("event_type") == "purchase", 24 * _HOUR)
 
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events where user_id % 7 <> 0) where rn = 1")

@@ -5,12 +5,9 @@ Late rows: what is behind the watermark is dropped by `incremental` and `suppres
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mosaique.operators import jobs
 from mosaique.session import shared_path
 
 
@@ -48,23 +45,28 @@ def job_rollup(stream: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     return stream.groupBy(key).agg(F.max_by("status", newest).alias("status"), F.max_by("percent", newest).alias("percent"), F.count("*").alias("n_events"))
 
 
-def throttle(stream: DataFrame, key: str, ts: str, order: str, final: Column, gap_us: int, key_type: str = "long") -> DataFrame:
-    """key and order of events at least a gap after the last one let through, and of every final one; state is one time per key."""
-
-    def let_through(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["_us", order])
-        last = state.get[0] if state.exists else None
-        seen = []
-        for us, number, is_final in zip(rows["_us"], rows[order], rows["_final"], strict=True):
-            if is_final or last is None or us - last >= gap_us:
-                last = int(us)
-                seen.append(number)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: [keys[0]] * len(seen), order: seen})
+def throttle(spark: SparkSession, stream: DataFrame, key: str, ts: str, order: str, final: Column, gap_us: int) -> DataFrame:
+    """key and order of events at least a gap after the last one let through, and of every final one, of all that is available now.
 
-    rows = stream.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), final.alias("_final"))
-    return rows.groupBy(key).applyInPandasWithState(let_through, f"{key} {key_type}, {order} long", "last long", "append", GroupStateTimeout.NoTimeout)
+    Each batch is sorted by key and time and folded row by row together with the times that the batch before left, one
+    per key; a batch that is run again after a failure writes the same rows.
+    """
+    base = shared_path(spark, "throttle")
+    batches: list[int] = []
+
+    def let_through(batch: DataFrame, batch_id: int) -> None:
+        rows = jobs.throttle_rows(batch, [key], final, ts, order)
+        if batch_id:
+            known = spark.read.parquet(f"{base}/batch={batch_id - 1}").filter("_order is null")
+            rows = rows.unionByName(known.withColumn("_final", F.lit(False)))
+        jobs.throttle_fold(rows, [key], gap_us, carry=True).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        batches.append(batch_id)
+
+    stream.writeStream.foreachBatch(let_through).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    kind = stream.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, _order long, _us long"
+    written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(base) if batches else spark.createDataFrame([], schema)
+    return written.filter("_order is not null").select(key, F.col("_order").alias(order))
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
