@@ -5,7 +5,7 @@ says that rule k failed. A policy is a named, versioned set of rules: applying o
 asking what each rule costs are bitwise operations on the ledger and never read a text again.
 
 Cases: a null or empty text has no words (all measurements 0), repeated rows each get a row, an empty
-table gives an empty ledger; other columns are carried through untouched by `with_ledger`.
+table gives an empty ledger; other columns are ignored by `ledger` and carried through untouched by `keep_good`.
 """
 
 from __future__ import annotations
@@ -43,8 +43,12 @@ BITS = {name: k for k, name in enumerate(RULES)}
 POLICIES: dict[str, list[str]] = {
     "base@1": ["few_words", "repeated_windows"],
     "web@1": ["few_words", "repeated_windows", "many_words", "symbol_ratio", "short_words", "long_words", "duplicate_lines", "ellipsis_lines", "few_alphabetic_words"],
+    # No document is dropped for its size, or for being written without spaces between words.
+    "web@2": ["few_words", "repeated_windows", "symbol_ratio", "short_words", "duplicate_lines", "ellipsis_lines", "few_alphabetic_words"],
 }
 PRODUCTION = "web@1"
+#: The policy of the corpus pipeline.
+CORPUS = "web@2"
 
 
 def mask_of(policy: str) -> int:
@@ -143,17 +147,13 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.Rec
     for batch in batches:
         found = [measure(t or "") for t in batch.column(at).to_pylist()]
         columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[f"_q_{m}" for m in MEASURES]])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *MEASURES])
 
 
-def keep_good(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with all their columns, in one pass without a shuffle."""
+def keep_good(docs: DataFrame, policy: str = CORPUS, text_col: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with all their columns, by the ledger's mask in one pass without a shuffle."""
     at = docs.columns.index(text_col)
     plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", " + ", ".join(f"_q_{m} long" for m in MEASURES)
-    measured = plain.mapInArrow(lambda it: _keep_batches(it, at), schema)
-    failed = None
-    for rule in POLICIES[policy]:
-        condition = F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"_q_\1", RULES[rule]))
-        failed = condition if failed is None else failed | condition
-    return measured.filter(~failed).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", " + ", ".join(f"{m} long" for m in MEASURES)
+    table = plain.mapInArrow(lambda it: _keep_batches(it, at), schema).withColumn("failed", failed_mask())
+    return apply_policy(table, policy).filter("kept").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
