@@ -9,9 +9,12 @@
    uses its own best container.
 
 Inside the chosen element, menus, forms, scripts, styles, notices, adverts, shares and reader comments are
-left out by tag, role and class; inside an article or main only by whole class names, and headings and headers stay.
-A form that holds an article, main or most of the page's text is not left out. Character references are decoded once; white space inside a block becomes
-one space; blocks are joined in page order by one space.
+left out by tag, role and class: a class says so by its last word that isn't one for place or shape (`site-header`,
+not `social-science`), and inside an article or main only by all of its words, and headings and headers stay.
+A form that holds an article, main or most of the page's text is not left out. Tags are read as browsers read them:
+quotes count only behind an equals sign, and an unfinished tag ends the page. Character references are decoded once;
+white space inside a block becomes one space; blocks are joined in page order by one space. Time and memory grow
+with the length of a page, however deep or broken it is.
 
 Cases: null or empty html gives the empty text, html without any element is plain text, a null or odd url
 belongs to the host "", repeated rows each get a row, an empty table gives an empty result, other columns
@@ -29,18 +32,20 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mosaique.llm.common import join_sized
+from mosaique.llm.common import BROADCAST_ROWS, join_sized
 from mosaique.session import materialize
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a start tag. Possessive, so that a broken tag is read once.
+_REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_COMMENT_END = re.compile(r"--!?>")
+_ASKED = ("class", "id", "role", "hidden", "aria-hidden", "style")
+_ANY_ASKED = re.compile("class|id|role|hidden|style", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[^a-z]+")
+#: Elements whose content is no markup; it is skipped up to their end tag.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -50,7 +55,7 @@ BLOCKS = frozenset(
     "header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article aside body center div details fieldset figure footer form header html main nav section table tbody td tr ul ol dl".split())
-LEFT_OUT = frozenset("nav footer aside button dialog menu label input head".split())
+LEFT_OUT = frozenset("nav footer aside button dialog menu label input head noscript template object select option datalist canvas audio video desc metadata annotation annotation-xml".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 #: A class or id with one of these words marks what isn't the article.
 LEFT_OUT_WORDS = frozenset(
@@ -58,8 +63,11 @@ LEFT_OUT_WORDS = frozenset(
     "disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "related remark replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split()
 )
-#: Inside an article a name counts only as a whole: every word of it one of the above, or one of these for its place or shape.
-PLACE_WORDS = frozenset("area areas bar bars block blocks bottom box boxes button buttons container group icon icons inline item items link links list posts slot thread top unit wrap wrapper".split())
+#: Words for the place or shape of an element. Inside an article every word of a name must be one of these or one of the above.
+PLACE_WORDS = frozenset(
+    "area areas bar bars block blocks bottom box boxes button buttons center col column container content desktop first fixed form full global group icon icons inline inner item items last left "
+    "link links list main mobile module outer panel placeholder post posts primary right row secondary section site slot sticky thread top unit wide wrap wrapper zone".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 #: An open element that the start of one of these ends.
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -71,7 +79,10 @@ CLOSES_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "
 class Element:
     tag: str
     parent: int
-    path: str
+    #: Its part of the path, empty unless it is a container; a hash of the whole path; and the nearest container, itself included.
+    step: str
+    key: int
+    holder: int
     left_out: bool
     in_article: bool
     score: float = 0.0
@@ -84,17 +95,34 @@ class Page:
     parts: list[tuple[int, str | None, bool]] = field(default_factory=list)
 
 
+def path_of(page: Page, at: int) -> str:
+    """The generalised path of an element: the steps of the containers from the body down."""
+    steps = []
+    while at > 0:
+        steps.append(page.elements[at].step)
+        at = page.elements[at].parent
+    return "".join(reversed(steps))
+
+
+def _path_key(path: str) -> int:
+    key = 0
+    for step in path.split(">")[1:]:
+        key = hash((key, ">" + step))
+    return key
+
+
 def _marked(tag: str, name: str, value: str, in_article: bool) -> bool:
     """Whether a class or id says that the element isn't part of an article."""
     if tag in ("body", "html", "article", "main"):
         return False
-    if not in_article:
-        return not LEFT_OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-    if tag in HEADINGS or name == "id" and tag != "div":
+    if in_article and (tag in HEADINGS or name == "id" and tag != "div"):
         return False
     for word in value.split():
-        parts = {p for p in re.split(r"[^a-z]+", word) if p}
-        if parts <= LEFT_OUT_WORDS | PLACE_WORDS and not parts.isdisjoint(LEFT_OUT_WORDS) and "header" not in parts:
+        parts = [p for p in _WORDS.split(_CAMEL.sub("-", word).lower()) if p]
+        if in_article:
+            if LEFT_OUT_WORDS.issuperset(p for p in parts if p not in PLACE_WORDS) and not LEFT_OUT_WORDS.isdisjoint(parts) and "header" not in parts:
+                return True
+        elif next((p for p in reversed(parts) if p not in PLACE_WORDS), "") in LEFT_OUT_WORDS:
             return True
     return False
 
@@ -104,73 +132,120 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, str
     if tag in LEFT_OUT or tag == "header" and not in_article:
         return True, ""
     classes, out = "", False
-    if attributes and not attributes.isspace():
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
+    if attributes and _ANY_ASKED.search(attributes):
+        seen: set[str] = set()
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name = name.lower()
+            if name not in _ASKED or name in seen:
+                continue
+            seen.add(name)
+            value = "".join(values)
+            low = value.strip().lower()
             if name == "role":
-                out |= value in LEFT_OUT_ROLES
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
+                out |= low in LEFT_OUT_ROLES
+            elif name == "hidden" or name == "aria-hidden" and low == "true":
                 out = True
             elif name == "style":
-                out |= "display:none" in value.replace(" ", "")
+                out |= "display:none" in low.replace(" ", "")
             else:
                 if name == "class":
-                    classes = "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c) for c in value.split()}))
+                    classes = "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c).replace(">", "_") for c in value.lower().split()}))
                 out |= _marked(tag, name, value, in_article)
     return out, classes
 
 
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start", tag, attributes) and ("end", tag, "") in order; each character is looked at a bounded number of times."""
+    at, n = 0, len(html)
+    while at < n:
+        less = html.find("<", at)
+        if less != at:
+            yield "text", html[at : less if less >= 0 else n], ""
+            if less < 0:
+                return
+        follows = html[less + 1 : less + 2]
+        name = _NAME.match(html, less + 1) or (_NAME.match(html, less + 2) if follows == "/" else None)
+        if name and follows != "/":
+            rest = _REST.match(html, name.end())
+            if not rest:
+                return
+            tag, at = name[0].lower(), rest.end()
+            yield "start", tag, rest[1]
+            if tag in RAW:
+                end = RAW[tag].search(html, at)
+                if not end:
+                    return
+                at = end.start()
+        elif name or follows and follows in "/!?":
+            if html.startswith("<!--", less):
+                short = next((x for x in (">", "->") if html.startswith(x, less + 4)), None)
+                end = None if short else _COMMENT_END.search(html, less + 4)
+                at = less + 4 + len(short) if short else end.end() if end else n
+                continue
+            end = html.find(">", less)
+            if end < 0:
+                return
+            at = end + 1
+            if name:
+                yield "end", name[0].lower(), ""
+        else:
+            yield "text", "<", ""
+            at = less + 1
+
+
 def parse(html: str) -> Page:
-    page = Page([Element("#root", -1, "", False, False)])
+    page = Page([Element("#root", -1, "", 0, 0, False, False)])
     elements, parts, stack, links = page.elements, page.parts, [0], 0
     forms: list[int] = []
+    open_: Counter = Counter()
 
     def close_to(k: int) -> None:
         nonlocal links
         while len(stack) > k:
             gone = elements[stack.pop()]
+            open_[gone.tag] -= 1
             links -= gone.tag == "a"
             if gone.tag in BLOCKS:
                 parts.append((stack[-1], None, False))
 
-    for m in _TOKEN.finditer(html):
-        tag = m[3]
-        if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                parts.append((stack[-1], m[0], links > 0))
-            elif m[1]:
-                continue
+    for kind, tag, attributes in _tokens(html):
+        if kind == "text":
+            parts.append((stack[-1], tag, links > 0))
+            continue
+        if kind == "end":
+            if open_[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if elements[stack[k]].tag == tag:
+                        close_to(k)
+                        break
             continue
-        tag = tag.lower()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == tag:
-                    close_to(k)
-                    break
+        if tag in RAW:
             continue
-        if tag in CLOSES_P or tag in CLOSED_BY:
-            ends = CLOSED_BY.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = elements[stack[k]].tag
-                if open_tag in ends or open_tag == "p" and tag in CLOSES_P:
-                    close_to(k)
-                    break
-                if open_tag in STOPS:
-                    break
+        if tag in CLOSED_BY or open_["p"] > 0 and tag in CLOSES_P:
+            ends = CLOSED_BY.get(tag, frozenset())
+            if open_["p"] > 0 or any(open_[x] > 0 for x in ends):
+                for k in range(len(stack) - 1, 0, -1):
+                    open_tag = elements[stack[k]].tag
+                    if open_tag in ends or open_tag == "p" and tag in CLOSES_P:
+                        close_to(k)
+                        break
+                    if open_tag in STOPS:
+                        break
         if tag in VOID:
             if tag in BLOCKS:
                 parts.append((stack[-1], None, False))
             continue
         above = elements[stack[-1]]
-        out, classes = _is_left_out(tag, m[4], above.in_article)
-        path = f"{above.path}>{tag}{classes}" if tag in CONTAINERS and tag not in ("html", "tbody") else above.path
+        out, classes = _is_left_out(tag, attributes, above.in_article)
+        me, step = len(elements), f">{tag}{classes}" if tag in CONTAINERS and tag not in ("html", "tbody") else ""
         if tag in BLOCKS:
             parts.append((stack[-1], None, False))
-        elements.append(Element(tag, stack[-1], path, above.left_out or out, above.in_article or tag in ("article", "main")))
+        elements.append(Element(tag, stack[-1], step, hash((above.key, step)) if step else above.key, me if tag in CONTAINERS else above.holder, above.left_out or out, above.in_article or tag in ("article", "main")))
         if tag == "form" and not elements[-1].left_out:
-            forms.append(len(elements) - 1)
-        if not m[4].endswith("/") or tag not in ("a", "b", "i", "span"):
-            stack.append(len(elements) - 1)
+            forms.append(me)
+        if not attributes.endswith("/") or tag not in ("a", "b", "i", "span"):
+            stack.append(me)
+            open_[tag] += 1
             links += tag == "a"
     close_to(1)
     if forms:
@@ -184,7 +259,7 @@ def _leave_out_forms(page: Page, forms: list[int]) -> None:
     for k, e in enumerate(elements):
         if e.tag in ("article", "main") and not e.left_out:
             up = e.parent
-            while up > 0:
+            while up > 0 and up not in kept:
                 kept.add(up)
                 up = elements[up].parent
     text, links = _totals(page)
@@ -194,12 +269,6 @@ def _leave_out_forms(page: Page, forms: list[int]) -> None:
         e.left_out |= e.parent >= 0 and elements[e.parent].left_out
 
 
-def _container(page: Page, at: int) -> int:
-    while at > 0 and page.elements[at].tag not in CONTAINERS:
-        at = page.elements[at].parent
-    return at
-
-
 def _totals(page: Page) -> tuple[list[int], list[int]]:
     """The length of the text under each element, without what is left out: (outside links, inside links)."""
     text, links = [0] * len(page.elements), [0] * len(page.elements)
@@ -222,7 +291,7 @@ def _climbed(page: Page, at: int) -> int:
         k = elements[k].parent
     (text, links), k = _totals(page), at
     while k > 0:
-        k = _container(page, elements[k].parent)
+        k = elements[elements[k].parent].holder
         more, linked = text[k] - text[at], links[k] - links[at]
         if linked and linked >= more:
             break
@@ -240,14 +309,14 @@ def best_container(page: Page) -> int:
             n = len(text.strip())
             gained[at] += -n if link else n
     for at, n in gained.items():
-        share, holder = 1.0, _container(page, at)
+        share, holder = 1.0, elements[at].holder
         if elements[holder].tag in ("article", "main"):
             share = 1.25
         for _ in range(3):
             elements[holder].score += share * n
             if holder <= 0:
                 break
-            holder, share = _container(page, elements[holder].parent), share / 2
+            holder, share = elements[elements[holder].parent].holder, share / 2
     best = max((k for k, e in enumerate(elements) if e.score > 0 and not e.left_out), key=lambda k: (elements[k].score, -k), default=0)
     return _climbed(page, best)
 
@@ -273,13 +342,15 @@ def text_of(page: Page, roots: set[int]) -> str:
 
 def vote(html: str) -> str:
     page = parse(html)
-    return page.elements[best_container(page)].path
+    return path_of(page, best_container(page))
 
 
 def extract(html: str, path: str | None) -> str:
     """The text of the elements at `path`, or else of the page's best container."""
     page = parse(html)
-    roots = {k for k, e in enumerate(page.elements) if k and e.path == path and e.tag in CONTAINERS and not e.left_out} if path else set()
+    key = _path_key(path) if path else 0
+    # `html` and `tbody` are containers without a step of their own: they share the path above them.
+    roots = {k for k, e in enumerate(page.elements) if k and e.key == key and e.step and not e.left_out and path_of(page, k) == path} if path else set()
     text = text_of(page, roots) if roots else ""
     return text or text_of(page, {best_container(page)})
 
@@ -315,9 +386,18 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, host, path (the host's), text, n_chars of every page."""
-    winners = materialize(host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "host_paths")
+    winners = materialize(host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "votes"), "host_paths")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(url_col).alias("_host"))
-    joined = join_sized(rows, winners, ["_host"], "left").select("page_id", "url", "_host", "_path", "html")
+    n_hosts = winners.count()
+    if n_hosts <= BROADCAST_ROWS:
+        joined = join_sized(rows, winners, ["_host"], "left", n_hosts)
+    else:
+        # The hosts with the most votes go to the pages; only pages of the other, smaller hosts are shuffled.
+        hot = materialize(winners.orderBy(F.desc("votes"), "_host").limit(BROADCAST_ROWS), "hot_hosts")
+        of_hot = rows.join(hot.hint("broadcast"), "_host")
+        others = rows.join(hot.select("_host").hint("broadcast"), "_host", "left_anti").join(winners.hint("merge"), "_host", "left")
+        joined = of_hot.unionByName(others)
+    joined = joined.select("page_id", "url", "_host", "_path", "html")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
