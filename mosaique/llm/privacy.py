@@ -8,40 +8,50 @@ gender and script, a surname by one with the same pattern of vowels and consonan
 Surrogates come from a keyed permutation without fixed points of all values of the same shape, so different
 values get different surrogates, equal values (however they are written) get equal ones in every document,
 and no value stays. Values that such a permutation can't cover get a keyed hash; `ledger` checks all
-distinct entities of the corpus for surrogates that meet, and draws those anew until none do.
+distinct entities of the corpus for surrogates that meet, and draws those anew until none do. It holds keyed
+digests of values and surrogates, never the values.
+
+Whoever has the key can undo the permutations. It comes from the session's setting `spark.mosaique.secret.key`; a
+session without one gets a random key of its own, so that its surrogates agree within the session only.
 
 Cases: a null text stays null, empty texts and texts without entities stay as they are, repeated rows each get
 a row, an empty table gives an empty result, other columns are ignored by `replace` and kept by `replace_in`.
+Digits of other scripts count as digits and are replaced by digits of their script; octets with leading zeros
+equal those without and keep their width.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mosaique.llm.common import BROADCAST_ROWS
 from mosaique.session import materialize
 
-DEFAULT_KEY = b"mosaique surrogate key, to be replaced by a secret one"
+#: The setting of the session that holds the key. Its name makes Spark redact it in logs and pages.
+KEY_SETTING = "spark.mosaique.secret.key"
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+'-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 #: The word may end a longer name (DB_PASSWORD, aws_secret_access_key). Values of password words need no digit.
 _SECRET = re.compile(r"(?i)(?:(?P<word>password|passwd|pwd|passphrase)|secret[_-]?key|private[_-]?key|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,}[A-Za-z0-9+/=_-])")
 _KEY_PREFIX = re.compile(r"(?<![A-Za-z0-9])(?:ghp_|gho_|sk-|xox[bap]-)[A-Za-z0-9_-]{16,}")
-_IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
-_PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![\d])|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\d])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d])")
-_CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,}")
-_DIGIT_GROUP = re.compile(r"\d+")
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_IPV4 = re.compile(rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])")
+_PHONE = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w.+-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
+_CARD = re.compile(r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,}")
+_DIGIT_GROUP = re.compile(r"[0-9]+")
 _VERSION_WORD = re.compile(r"(?i)\b(?:version|release|v|ver\.?)\s*$")
-_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
 def _letters(*categories: str) -> str:
@@ -60,8 +70,11 @@ _NAME = f"(?<![^\\W\\d_]){_PART}(?:['’-]{_PART})*(?![^\\W\\d_])"
 _TITLE = "Mrs|Mr|Ms|Miss|Mx|Madam|Sir|Dr|Prof|Professor|Doctor|Rev|Herr|Frau|Monsieur|Madame|Mme|Mlle|Docteur|Professeur|Maître|Señora|Señor|Señorita|Sra|Sr|Srta|Doña|Doctora|Profesor|Profesora|Signor|Signora|Dott|Pani|Господин|Госпожа|Доктор|Профессор|Κύριος|Κυρία|Δρ"
 #: What may stand between the parts of a name: particles and an initial.
 _BETWEEN = f"[ \u00a0](?:(?:von|van|vom|de|da|di|du|del|della|der|den|dos|la|le|el|al|ten|ter|zu|zur)[ \u00a0])*(?:[{_UPPER}]\\.[ \u00a0])?"
-_TITLED = re.compile(rf"\b(?:(?:{_TITLE})\b\.?[ \u00a0]+)+(?!(?:{_TITLE})\b)({_NAME}(?:{_BETWEEN}{_NAME}){{0,2}})")
-_ONE_NAME = re.compile(_NAME)
+#: Names in capitals count behind a title, and where the document has them as surnames elsewhere.
+_CAPITAL_NAME = f"(?<![^\\W\\d_])[{_UPPER}]{{2,}}(?:['’-][{_UPPER}]{{2,}})*(?![^\\W\\d_])"
+_EITHER = f"(?:{_NAME}|{_CAPITAL_NAME})"
+_TITLED = re.compile(rf"\b(?:(?:{_TITLE})\b\.?[ \u00a0]+)+(?!(?:{_TITLE})\b)({_EITHER}(?:{_BETWEEN}{_EITHER}){{0,2}})")
+_ONE_NAME, _ANY_NAME = re.compile(_NAME), re.compile(_EITHER)
 _REST = re.compile(rf"(?:{_BETWEEN}{_NAME}){{1,2}}")
 
 #: Given names by script and gender; a name is in one list only.
@@ -154,6 +167,15 @@ class Permutation:
         return self._back((self._there(x) + 1) % self.n) if self.n > 1 else x
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session: its setting, or a random one that the session keeps."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found.encode()
+
+
 def permute(key: bytes, tweak: str, parts: list[tuple[str, list[str] | str]]) -> str | None:
     """Replace each part by one of its choices; None if there is nothing to choose from."""
     n, index = 1, 0
@@ -290,7 +312,18 @@ def _case_like(surrogate: str, original: str) -> str:
 
 
 def _render(entity: Entity, original: str, surrogate: str) -> str:
-    """The surrogate in the notation of this mention."""
+    """The surrogate in the notation and the digits of this mention."""
+    new = _in_notation(entity, original, surrogate)
+    other = None if original.isascii() else _OTHER_DIGIT.search(original)
+    if other:
+        zero = ord(other[0]) - unicodedata.decimal(other[0])
+        new = "".join(chr(zero + int(c)) if c in _DIGITS else c for c in new)
+    return new
+
+
+def _in_notation(entity: Entity, original: str, surrogate: str) -> str:
+    if entity.kind == "ipv4":
+        return ".".join(n.zfill(len(o)) if o[0] == "0" or not o.isascii() else n for o, n in zip(original.split("."), surrogate.split("."), strict=True))
     if entity.kind in ("card", "ssn", "phone", "iban"):
         new = surrogate.rpartition("+")[2]
         digits = iter(new)
@@ -309,11 +342,11 @@ def _render(entity: Entity, original: str, surrogate: str) -> str:
 
 
 def _phone_value(text: str) -> str | None:
-    digits = "".join(c for c in text if c.isdigit())
+    digits = "".join(c for c in text if c in _DIGITS)
     if not 7 <= len(digits) <= 15:
         return None
     if text.startswith("+"):
-        country = re.match(r"\+(\d{1,3}?)(?=[ .(-]|\d{10}$|$)", text)
+        country = re.match(r"\+([0-9]{1,3}?)(?=[ .(-]|[0-9]{10}$|$)", text)
         head = country[1] if country else digits[:1]
         national = digits[len(head) :]
         return national if head == "1" and len(national) == 10 else f"{head}+{national}"
@@ -323,17 +356,22 @@ def _phone_value(text: str) -> str | None:
 def detect(text: str) -> list[Entity]:
     """The entities of a text, in order and without overlaps."""
     found: list[Entity] = []
-    taken: list[tuple[int, int]] = []
+    begins: list[int] = []
+    ends: list[int] = []
+    if not text.isascii():
+        text = _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
 
     def add(kind: str, begin: int, end: int, value: str) -> None:
-        if all(end <= b or begin >= e for b, e in taken):
-            taken.append((begin, end))
+        at = bisect_right(begins, begin)
+        if (not at or ends[at - 1] <= begin) and (at == len(begins) or end <= begins[at]):
+            begins.insert(at, begin)
+            ends.insert(at, end)
             found.append(Entity(kind, begin, end, value))
 
     low = text.lower() if any(c in text for c in "=:") else ""
     if low and any(w in low for w in ("token", "passw", "passphrase", "pwd", "secret", "key")):
         for m in _SECRET.finditer(text):
-            if m["word"] or any(c.isdigit() for c in m["value"]):
+            if m["word"] or any(c in _DIGITS for c in m["value"]):
                 add("secret", m.start("value"), m.end("value"), m["value"])
     if "AKIA" in text or "ASIA" in text:
         for m in _ACCESS_KEY.finditer(text):
@@ -347,7 +385,7 @@ def detect(text: str) -> list[Entity]:
     if _ANY_DIGITS.search(text):
         for m in _IPV4.finditer(text):
             if not _VERSION_WORD.search(text[max(0, m.start() - 40) : m.start()]):
-                add("ipv4", m.start(), m.end(), m[0])
+                add("ipv4", m.start(), m.end(), ".".join(str(int(part)) for part in m[0].split(".")))
         for m in _IBAN.finditer(text):
             value = m[0].replace(" ", "")
             if 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
@@ -365,13 +403,16 @@ def detect(text: str) -> list[Entity]:
         for begin, end, kind in people:
             add(kind, begin, end, text[begin:end].lower())
         surnames = {e.value for e in found if e.kind == "name"}
-        for m in _ONE_NAME.finditer(text):
+        for m in _ANY_NAME.finditer(text):
             if m[0].lower() in surnames:
                 add("name", m.start(), m.end(), m[0].lower())
     return sorted(found, key=lambda e: e.begin)
 
 
-_ANY_DIGITS = re.compile(r"\d[\d .()-]{5}")
+_ANY_DIGITS = re.compile(r"[0-9][0-9 .()-]{5}")
+
+
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
 
 
 def _is_given(name: str) -> bool:
@@ -384,7 +425,7 @@ def _people(text: str) -> list[tuple[int, int, str]]:
     out = []
 
     def words(begin: int, end: int) -> None:
-        parts = list(_ONE_NAME.finditer(text, begin, end))
+        parts = list(_ANY_NAME.finditer(text, begin, end))
         for k, part in enumerate(parts):
             kind = "given" if k < len(parts) - 1 and part[0].lower() in _GIVEN_OF else "name"
             out.append((part.start(), part.end(), kind))
@@ -399,7 +440,7 @@ def _people(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
+def rewrite(text: str, key: bytes, attempts: dict[bytes, int]) -> tuple[str, int]:
     """The text with surrogates, and the number of entities."""
     entities = detect(text)
     if not entities:
@@ -407,7 +448,7 @@ def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
     out, at = [], 0
     for e in entities:
         original = text[e.begin : e.end]
-        out += [text[at : e.begin], _render(e, original, _fresh(e.kind, e.value, key, attempts.get((e.kind, e.value), 0)))]
+        out += [text[at : e.begin], _render(e, original, _fresh(e.kind, e.value, key, attempts.get(_digest(key, e.kind, e.value), 0) if attempts else 0))]
         at = e.end
     return "".join([*out, text[at:]]), len(entities)
 
@@ -427,43 +468,55 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(found, f"doc_id {kind}, kind string, begin long, end long, value string")
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = sorted({(e.kind, e.value) for t in batch.column(0).to_pylist() if t for e in detect(t)})
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
+def _digest(key: bytes, kind: str, value: str) -> bytes:
+    """What stands for a value in stored tables."""
+    return hashlib.blake2b(f"{kind}\1{value}".encode(), key=hashlib.sha256(key).digest(), digest_size=16, person=b"ledger").digest()
 
 
-def ledger(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", draw: Callable[[str, str, bytes, int], str] = _fresh) -> DataFrame:
-    """kind, value, attempt, surrogate of every distinct entity; surrogates are distinct within a kind."""
+def ledger(docs: DataFrame, key: bytes, text_col: str = "text", draw: Callable[[str, str, bytes, int], str] = _fresh) -> DataFrame:
+    """kind, value, attempt, surrogate of every distinct entity, both as keyed digests; surrogates are distinct within a kind.
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [draw(k, v, key, a) for k, v, a in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "attempt", "surrogate"])
+    Where surrogates meet, all values but one are drawn anew from the texts, which alone hold them.
+    """
+    texts = docs.select(F.col(text_col).alias("text"))
+    schema = "kind string, value binary, attempt int, surrogate binary"
+
+    def drawn(attempts: dict[bytes, int] | None) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(attempts)
+
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chosen = shared.value
+            for batch in batches:
+                known = {(e.kind, e.value) for t in batch.column(0).to_pylist() if t for e in detect(t)}
+                rows = [(k, v, _digest(key, k, v)) for k, v in sorted(known)]
+                rows = [(k, d, a, _digest(key, k, draw(k, v, key, a))) for k, v, d in rows if (a := 0 if chosen is None else chosen.get(d, -1)) >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.string(), pa.binary(), pa.int32(), pa.binary()))], ["kind", "value", "attempt", "surrogate"])
+
+        return texts.mapInArrow(rows_of, schema).distinct()
 
-    schema = "kind string, value string, attempt int, surrogate string"
-    known = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct, "kind string, value string").distinct().withColumn("attempt", F.lit(0))
-    table = materialize(known.mapInArrow(drawn, schema), "ledger")
+    table = materialize(drawn(None), "ledger")
     while True:
         met = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("first")).filter("n > 1")
         met = materialize(met, "met")
         if met.isEmpty():
             return table
-        again = table.join(met.hint("merge"), ["kind", "surrogate"], "left")
-        again = again.withColumn("attempt", F.col("attempt") + F.when(F.col("n").isNotNull() & (F.col("value") != F.col("first")), 1).otherwise(0))
-        table = materialize(again.select("kind", "value", "attempt").mapInArrow(drawn, schema), "ledger")
+        again = table.join(met.hint("merge"), ["kind", "surrogate"]).filter(F.col("value") != F.col("first"))
+        again = materialize(again.select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "again")
+        stay = table.join(again.select("kind", "value").hint("merge"), ["kind", "value"], "left_anti")
+        table = materialize(stay.unionByName(drawn(_attempts(again))), "ledger")
 
 
-def _attempts(table: DataFrame) -> dict[tuple[str, str], int]:
+def _attempts(table: DataFrame) -> dict[bytes, int]:
     """The entities that were drawn more than once. Keyed permutations leave only hashes of 64 bits to meet."""
     rows = table.filter("attempt > 0").limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
         raise ValueError("more repeated draws than a 64-bit hash can explain: is the key in use?")
-    return {(r["kind"], r["value"]): r["attempt"] for r in rows}
+    return {bytes(r["value"]): r["attempt"] for r in rows}
 
 
-def replace(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (with surrogates), n_entities for every document."""
+def replace(docs: DataFrame, key: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (with surrogates), n_entities for every document. Without a key, the session's is used."""
+    key = key or session_key(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_attempts(ledger(docs, key, text_col)))
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,8 +528,9 @@ def replace(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rewritten, f"doc_id {kind}, text string, n_entities long")
 
 
-def replace_in(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def replace_in(docs: DataFrame, key: bytes | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All columns of `docs`, with surrogates in the text and its length brought up to date."""
+    key = key or session_key(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_attempts(ledger(docs, key, text_col)))
     at = docs.columns.index(text_col)
 
