@@ -6,11 +6,13 @@ is what is maximised, so the model finds out by itself which sentences offend, a
 names them.
 
 The classifier is fitted on at most MAX_POSITIVE + MAX_NEGATIVE labelled documents (chosen by a hash of their
-id) with at most MAX_WORDS features; features are counted in the tasks, and only features restricted to those
-come to the driver. Every document is scored from its whole text.
+id). Features are counted in the tasks, and only the chosen ones come to the driver: by default the `max_words` that
+tell most, of those in `min_documents` documents or more; None and 1 set no bound. Of a labelled document,
+at most `max_sentences` sentences with chosen features are learnt from, spread over the whole text (None: all). Every
+document is scored from its whole text.
 
-Cases: a null or empty text is one sentence without words, repeated rows each get a row, documents without a
-label are only scored, a null label is no label, without labels of both kinds every score is the base rate
+Cases: a null or empty text is one sentence without words, repeated rows each get a score, of the rows with one
+labelled id one is learnt from (the one that a hash of its text puts first), documents without a label are only scored, a null label is no label, without labels of both kinds every score is the base rate
 of the labels (0.5 if there are none), an empty table gives an empty result, other columns are ignored.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +37,7 @@ from mosaique.session import materialize
 MAX_POSITIVE = 3_000
 MAX_NEGATIVE = 6_000
 MAX_WORDS = 600
+MAX_SENTENCES = 5_000
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Documents of the sample that a feature must be in.
@@ -101,7 +105,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     order = [F.xxhash64("key"), F.col("key")]
     chosen = known.filter("label = 1").orderBy(*order).limit(MAX_POSITIVE).unionByName(known.filter("label = 0").orderBy(*order).limit(MAX_NEGATIVE))
     found = docs.select(F.col(id_col).alias("key"), whole_text(text_col).alias("text")).join(F.broadcast(chosen), "key")
-    return materialize(found.select("key", "text", "label"), "labelled")
+    one = found.groupBy("key", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return materialize(one.select("key", "text", "label"), "labelled")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +118,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[w] for w in every], pa.int64()) for c in counts]], ["word", "n0", "n1"])
 
 
-def _vocabulary(sample: DataFrame, n0: int, n1: int) -> list[str]:
+def _vocabulary(sample: DataFrame, n0: int, n1: int, max_words: int | None, min_documents: int) -> list[str]:
     """The features that tell most about the label: highest likelihood ratio."""
     counted = sample.select("text", "label").mapInArrow(_count_words, "word string, n0 long, n1 long")
-    counted = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= MIN_DOCUMENTS)
+    counted = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= min_documents)
 
     def fits(k: Column, n: Column) -> Column:
         part = k / n
@@ -124,10 +129,14 @@ def _vocabulary(sample: DataFrame, n0: int, n1: int) -> list[str]:
 
     a, b, every = F.col("n1"), F.col("n0"), F.lit(float(n0 + n1))
     gain = F.round(fits(a, F.lit(float(n1))) + fits(b, F.lit(float(n0))) - fits(a + b, every), 6)
-    return [r.word for r in counted.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(MAX_WORDS).collect()]
+    ordered = counted.withColumn("gain", gain).orderBy(F.desc("gain"), "word")
+    return [r.word for r in (ordered if max_words is None else ordered.limit(max_words)).select("word").collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_words: int | None = MAX_WORDS, min_documents: int = MIN_DOCUMENTS, max_sentences: int | None = MAX_SENTENCES,
+) -> Model:
     sample = training_sample(docs, labels, id_col, text_col, label_col)
     by_label = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = by_label.get(0, 0), by_label.get(1, 0)
@@ -135,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rate = n1 / (n0 + n1) if n0 + n1 else 0.5
         rate = min(max(rate, 1e-6), 1 - 1e-6)
         return Model(math.log(rate / (1 - rate)))
-    vocabulary = _vocabulary(sample, n0, n1)
+    vocabulary = _vocabulary(sample, n0, n1, max_words, min_documents)
     at = {w: k for k, w in enumerate(vocabulary)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = []
             for key, text, label in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found = sentences(text)
-                sentence, word, kept = [], [], 0
-                for m in found:
-                    known = sorted(at[f] for f in features_of(m[0]) if f in at)
-                    if known:
-                        sentence += [kept] * len(known)
-                        word += known
-                        kept += 1
-                rows.append((key, label, kept, max(len(found), 1) - kept, sentence, word))
+                known = [sorted(at[f] for f in features_of(m[0]) if f in at) for m in found]
+                known = [x for x in known if x]
+                plain = max(len(found), 1) - len(known)
+                if max_sentences is not None and len(known) > max_sentences:
+                    order = sorted(range(len(known)), key=lambda k: zlib.crc32(f"{k} {known[k]}".encode()))
+                    known = [known[k] for k in sorted(order[:max_sentences])]
+                sentence = [k for k, x in enumerate(known) for _ in x]
+                rows.append((key, label, len(known), plain, sentence, [w for x in known for w in x]))
             kinds = [batch.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             names = ["key", "label", "n_known", "n_plain", "sentence", "word"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
