@@ -60,12 +60,15 @@ def repeated_words(words: list[str], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    h = np.fromiter(map(hash, words), np.int64, len(words)).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(window):
-            key = (key ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
+    numbers: dict[str, int] = {}
+    number = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    # Equal keys are equal windows: no hash stands in for the words.
+    key, span = number[:n], len(numbers)
+    for k in range(1, window):
+        if span * len(numbers) >= 1 << 63:
+            found, key = np.unique(key, return_inverse=True)
+            span = len(found)
+        key, span = key * len(numbers) + number[k : k + n], span * len(numbers)
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     same = ranked[1:] == ranked[:-1]

@@ -67,8 +67,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaique.llm import quality
+    from mosaique.session import materialize
 
-    table = quality.ledger(read_table(spark, sf_dir, "documents"))
+    table = materialize(quality.ledger(read_table(spark, sf_dir, "documents")), "ledger")
     table = quality.apply_policy(table, quality.PRODUCTION, "verdict")
     table = quality.apply_policy(table, "base@1", "base_kept")
     return table.select(
@@ -97,16 +98,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+#: The rules as a reader would state them, in bit order and from the table of words and lines.
 _SQL_RULES = {
-    "few_words": "n_words < 10",
-    "repeated_windows": "100 * n_repeat_words > 20 * n_words",
-    "many_words": "n_words > 1000000",
-    "symbol_ratio": "10 * n_symbols > 3 * n_words",
-    "short_words": "2 * word_chars < 5 * n_words",
-    "long_words": "word_chars > 12 * n_words",
-    "duplicate_lines": "n_lines >= 4 and 2 * n_dup_lines > n_lines",
-    "ellipsis_lines": "n_lines >= 4 and 10 * n_ellipsis_lines > 3 * n_lines",
-    "few_alphabetic_words": "2 * n_alpha_words < n_words",
+    "few_words": "len(words) between 0 and 9",
+    "repeated_windows": "not (coalesce(n_repeat_words, 0) <= len(words) / 5)",
+    "many_words": "len(words) >= 1000001",
+    "symbol_ratio": "len(words) * 0.3 < n_symbols",
+    "short_words": "case when len(words) > 0 then word_chars / len(words) < 2.5 else false end",
+    "long_words": "case when len(words) > 0 then word_chars / len(words) > 12 else false end",
+    "duplicate_lines": "len(lines) > 3 and len(list_distinct(lines)) < len(lines) / 2",
+    "ellipsis_lines": "len(lines) > 3 and n_ellipsis_lines > len(lines) * 0.3",
+    "few_alphabetic_words": "n_alpha_words < len(words) - n_alpha_words",
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,7 +133,7 @@ m as (select w.doc_id, len(words) as n_words,
              length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
              len(lines) - len(list_distinct(lines)) as n_dup_lines,
-             coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines,
+             coalesce(n_repeat_words, 0) as n_repeat_words, words, lines,
              len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) as n_ellipsis_lines,
              len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) as n_alpha_words
       from w left join cov using (doc_id)),
