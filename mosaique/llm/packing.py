@@ -243,8 +243,10 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows, _ = best_plan(histogram, capacity)
     names = ["_length", "_low", "_high", "_bin", "_per_bin", "_offset"]
     plan_rows = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
-    salts = max(64, sum(histogram.values()) // RANKED_TOGETHER)
-    salted = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # A length with many pieces is ranked in parts of about RANKED_TOGETHER; its number of parts follows its own count.
+    parts = spark.createDataFrame([(length, -(-n // RANKED_TOGETHER)) for length, n in histogram.items()], "_salted long, _salts long")
+    salted = table.join(F.broadcast(parts), F.col("length") == F.col("_salted")).drop("_salted")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts"))).drop("_salts")
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
