@@ -43,7 +43,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def frequent_digests(table: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Candidates of the Misra-Gries summary: every digest above `support` of the rows, and some others."""
-    summary = table.select("digest").coalesce(SUMMARIES).stat.freqItems(["digest"], support)
+    # As many summaries as the cluster has cores: each has at most 1/support rows, and one task adds them up.
+    tasks = max(SUMMARIES, table.sparkSession.sparkContext.defaultParallelism)
+    summary = table.select("digest").coalesce(tasks).stat.freqItems(["digest"], support)
     return summary.select(F.explode("digest_freqItems").alias("digest"))
 
 
