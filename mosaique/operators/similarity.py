@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaique.functions import scalars as S
+from mosaique.operators import raster as R
 from mosaique.operators.graph import connected_components
 from mosaique.session import materialize
 
 THRESHOLD = 88
-#: 8 x 8 rasters give 64 bits of mean hash and 56 of difference hash, and one channel of 8 bins.
-A_BITS, D_BITS, L1_SCALE = 64, 56, 2.0
+#: Rows in a tile of the exact pair join, about; rows that a hash may become for its bands.
+TILE_ROWS, MAX_KEYS = 4_000, 100
+
+
+class Layout(NamedTuple):
+    """Bits of the two hashes, and the largest distance of two histograms."""
+
+    a_bits: int = 64
+    d_bits: int = 64
+    l1: float = 6.0
+
+
+#: Whole rasters: 8 x 8 and 9 x 8 grey means, three channels of 8 bins. Ready-made 8 x 8 arrays: 56 bits of difference, one channel.
+WHOLE, ARRAYS = Layout(), Layout(64, 56, 2.0)
 
 
 def average_hash(luma: Column) -> Column:
@@ -51,6 +67,41 @@ def fingerprints(rasters: DataFrame) -> DataFrame:
     )
 
 
+def raster_fingerprints(pixels: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """image_id, width, height, a_hash, d_hash, color_hist (24) and sharpness of pixel rows (image_id, x, y, r, g, b) of any size.
+
+    Grey values are averaged over the cells of an 8 x 8 and a 9 x 8 grid by the area that a pixel shares with a cell, in
+    integers: all cells of a grid have the same area, so sums compare as means do. Each task adds up what it has
+    before the shuffle; what is gathered per image are its 136 cells and 24 bins.
+    """
+    size = pixels.groupBy(id_col).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    sized = pixels.join(size.hint("merge"), id_col).withColumn("luma", S.luma(F.col("r"), F.col("g"), F.col("b")))
+
+    def share(at: str, length: str, cells: int) -> Column:
+        """Cells that a pixel touches along one axis, with the length it shares with each (in parts of 1/cells)."""
+        p, n = F.col(at).cast("long"), F.col(length).cast("long")
+        first, last = F.floor(p * cells / n), F.floor(((p + 1) * cells - 1) / n)
+        return F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("cell"), (F.least((p + 1) * cells, (k + 1) * n) - F.greatest(p * cells, k * n)).alias("part")))
+
+    def grid(across: int) -> DataFrame:
+        cells = sized.select(id_col, "luma", F.explode(share("x", "width", across)).alias("cx"), share("y", "height", 8).alias("ys"))
+        cells = cells.select(id_col, "luma", "cx", F.explode("ys").alias("cy"))
+        return cells.groupBy(id_col, (F.col("cy.cell") * across + F.col("cx.cell")).cast("int").alias("cell")).agg(F.sum(F.col("luma") * F.col("cx.part") * F.col("cy.part")).alias("total"))
+
+    def gathered(table: DataFrame, key: str, value: str, to: str) -> DataFrame:
+        return table.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda c: c[value]).alias(to))
+
+    binned = pixels.select(id_col, F.explode(F.array(*[F.floor(F.col(c) / 32) + 8 * k for k, c in enumerate("rgb")])).cast("int").alias("bin"))
+    counts = binned.groupBy(id_col, "bin").agg(F.count("*").alias("n"))
+    hist = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    out = size
+    for part in (gathered(grid(8), "cell", "total", "a"), gathered(grid(9), "cell", "total", "d"), hist, R.sharpness(sized.select(id_col, "x", "y", "luma"))):
+        out = out.join(part.hint("merge"), id_col, "left")
+    area = F.col("width").cast("long") * F.col("height")
+    share_of = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda b: F.coalesce(F.try_element_at("bins", b), F.lit(0)) / area)
+    return out.select(id_col, "width", "height", average_hash(F.col("a")).alias("a_hash"), difference_hash(F.col("d"), 9).alias("d_hash"), share_of.alias("color_hist"), F.coalesce("sharpness", F.lit(0.0)).alias("sharpness"))
+
+
 def exact_fingerprint_dedup(fp: DataFrame, key: list[str], id_col: str = "image_id") -> tuple[DataFrame, DataFrame]:
     """(one row per key: that of the smallest id; copies as src, dst star links). The second keeps copies off the pair join."""
     least = fp.groupBy(*key).agg(F.min(id_col).alias("_rep"))
@@ -58,10 +109,10 @@ def exact_fingerprint_dedup(fp: DataFrame, key: list[str], id_col: str = "image_
     return tied.filter(F.col(id_col) == F.col("_rep")).drop("_rep"), tied.filter(F.col(id_col) != F.col("_rep")).select(F.col("_rep").alias("src"), F.col(id_col).alias("dst"))
 
 
-def _scored(pairs: DataFrame, threshold: float, id_col: str) -> DataFrame:
+def _scored(pairs: DataFrame, threshold: float, id_col: str, layout: Layout) -> DataFrame:
     """Pairs of l_* and r_* columns with both hash distances inside the bound: exact score, then the threshold."""
     l1 = S.hist_l1(F.col("l_color_hist"), F.col("r_color_hist"))
-    score = S.visual_score(F.col("ha"), F.col("hd"), l1, A_BITS, D_BITS, L1_SCALE)
+    score = S.visual_score(F.col("ha"), F.col("hd"), l1, *layout)
     return pairs.select(F.col(f"l_{id_col}").alias("src"), F.col(f"r_{id_col}").alias("dst"), score.alias("score")).filter(F.col("score") >= threshold)
 
 
@@ -70,72 +121,104 @@ def _sides(fp: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     return fp.select([F.col(c).alias(f"l_{c}") for c in columns]), fp.select([F.col(c).alias(f"r_{c}") for c in columns])
 
 
-def _distances(pairs: DataFrame, threshold: int) -> DataFrame:
+def _distances(pairs: DataFrame, threshold: int, layout: Layout) -> DataFrame:
     pairs = pairs.withColumn("ha", S.hamming(F.col("l_a_hash"), F.col("r_a_hash"))).withColumn("hd", S.hamming(F.col("l_d_hash"), F.col("r_d_hash")))
-    return pairs.filter(S.within_hash_bound(F.col("ha"), F.col("hd"), threshold, A_BITS, D_BITS))
+    return pairs.filter(S.within_hash_bound(F.col("ha"), F.col("hd"), threshold, layout.a_bits, layout.d_bits))
 
 
-def similar_pairs_exact(fp: DataFrame, threshold: int = THRESHOLD, blocks: int = 16, id_col: str = "image_id") -> DataFrame:
+def similar_pairs_exact(fp: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None, id_col: str = "image_id", layout: Layout = ARRAYS) -> DataFrame:
     """src < dst, score of every pair at the threshold or more.
 
     The square of all pairs is cut into blocks x blocks tiles; the join is an equi-join on the tile, so that it
-    shuffles evenly and never plans a Cartesian product. Each row goes to `blocks` tiles; choose blocks so that
-    a tile fits a task.
+    shuffles evenly and never plans a Cartesian product. Each row goes to `blocks` tiles; by default there are so many
+    that a tile meets about TILE_ROWS rows of each side.
     """
+    blocks = blocks or max(4, -(-fp.count() // TILE_ROWS))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left, right = _sides(fp, id_col)
     left = left.withColumn("bi", F.pmod(F.xxhash64(f"l_{id_col}"), F.lit(blocks)).cast("int")).withColumn("bj", other)
     right = right.withColumn("bj", F.pmod(F.xxhash64(f"r_{id_col}"), F.lit(blocks)).cast("int")).withColumn("bi", other)
     tiles = left.hint("shuffle_hash").join(right, ["bi", "bj"]).filter(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
-    return _scored(_distances(tiles, threshold), threshold, id_col)
+    return _scored(_distances(tiles, threshold, layout), threshold, id_col, layout)
 
 
-def band_plan(threshold: int) -> tuple[int, int]:
-    """(bands, radius) that lose no pair: with a total distance D, one of m bands differs in at most r bits if m (r + 1) > D.
+class Bands(NamedTuple):
+    """One hash cut into `count` bands: similar pairs agree in one of them up to left + right flipped bits."""
 
-    Above D = 20 bands are too short to select, and (0, 0) asks for the exact join.
+    hash: str
+    bits: int
+    count: int
+    left: int
+    right: int
+
+
+def _ball(bits: int, radius: int) -> int:
+    return sum(math.comb(bits, k) for k in range(radius + 1))
+
+
+def _bands(name: str, bits: int, distance: int) -> tuple[Bands, float]:
+    """The cheapest bands that lose no pair within a distance, and the share of random pairs that meet in them.
+
+    Of m bands one differs in at most r bits if m (r + 1) > distance; both sides flip up to half of r.
     """
-    most = A_BITS * D_BITS * (100 - threshold) // min(S.WEIGHT_A * D_BITS, S.WEIGHT_D * A_BITS)
-    if most <= 8:
-        return max(3, most + 1), 0  # a band must fit an integer
-    if most <= 20:
-        return most // 2 + 1, 1
-    return 0, 0
-
-
-def candidate_pairs_banded(fp: DataFrame, threshold: int = THRESHOLD, id_col: str = "image_id") -> DataFrame:
-    """The same pairs as `similar_pairs_exact`, from an equi-join on bands of the two hashes."""
-    bands, radius = band_plan(threshold)
-    if not bands:
-        return similar_pairs_exact(fp, threshold, id_col=id_col)
+    best = None
+    for r in range(3):
+        m = distance // (r + 1) + 1
+        width = bits // m
+        left, right = (r + 1) // 2, r // 2
+        if width and m * _ball(-(-bits // m), left) <= MAX_KEYS:
+            share = min(1.0, m * _ball(width, r) / 2.0**width)
+            if best is None or share < best[1]:
+                best = Bands(name, bits, m, left, right), share
+    return best or (Bands(name, bits, 1, 0, 0), 1.0)
+
+
+def band_plan(threshold: int, layout: Layout = ARRAYS) -> list[Bands]:
+    """Bands that lose no pair at the threshold, or nothing if they would meet a tenth of all pairs.
+
+    The score bounds a weighted sum of both distances. Pairs that differ in at most k bits of the mean hash meet in its
+    bands; the others use up so much of the bound that few bits are left for the difference hash. k is where the two
+    together cost least.
+    """
+    wa, wd, room = S.WEIGHT_A * layout.d_bits, S.WEIGHT_D * layout.a_bits, layout.a_bits * layout.d_bits * (100 - threshold)
+    best: tuple[float, list[Bands]] = (0.1, [])
+    for k in range(-1, room // wa + 1):
+        left = room - wa * (k + 1)
+        parts = ([_bands("a_hash", layout.a_bits, k)] if k >= 0 else []) + ([_bands("d_hash", layout.d_bits, left // wd)] if left >= 0 else [])
+        cost = sum(share for _, share in parts)
+        if cost < best[0]:
+            best = cost, [bands for bands, _ in parts]
+    return best[1]
+
+
+def candidate_pairs_banded(fp: DataFrame, threshold: int = THRESHOLD, id_col: str = "image_id", layout: Layout = ARRAYS) -> DataFrame:
+    """The same pairs as `similar_pairs_exact`, from an equi-join on bands of the hashes.
+
+    The join reads plain shuffles, so that Spark can split a value of a band that very many rows share. Thresholds so low
+    that bands select nothing take the exact join.
+    """
+    plan = band_plan(threshold, layout)
+    if not plan:
+        return similar_pairs_exact(fp, threshold, id_col=id_col, layout=layout)
     left, right = _sides(fp, id_col)
-    total, cuts = A_BITS + D_BITS, [round(k * (A_BITS + D_BITS) / bands) for k in range(bands + 1)]
-
-    def band(prefix: str, low: int, high: int) -> Column:
-        """Bits low..high-1 of the two hashes taken together."""
-        a, d = F.col(f"{prefix}_a_hash"), F.col(f"{prefix}_d_hash")
-        take = lambda c, lo, hi: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
-        if high <= A_BITS:
-            return take(a, low, high)
-        if low >= A_BITS:
-            return take(d, low - A_BITS, high - A_BITS)
-        return F.shiftleft(take(d, 0, high - A_BITS), A_BITS - low).bitwiseOR(take(a, low, A_BITS))
-
-    def keys(prefix: str, flips: bool) -> Column:
+
+    def keys(prefix: str, side: str) -> Column:
         out = []
-        for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            value = band(prefix, low, high)
-            near = [value] + ([value.bitwiseXOR(F.lit(1 << bit).cast("long")) for bit in range(high - low)] if flips else [])
-            out += [F.struct(F.lit(k).alias("band"), v.alias("value")) for v in near]
+        for at, bands in enumerate(plan):
+            value = F.col(f"{prefix}_{bands.hash}")
+            cuts = [round(k * bands.bits / bands.count) for k in range(bands.count + 1)]
+            for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                part = value if high - low == 64 else F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+                flips = [part.bitwiseXOR(F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")) for bit in range(high - low)] if getattr(bands, side) else []
+                out += [F.struct(F.lit(100 * at + k).alias("band"), v.alias("value")) for v in [part, *flips]]
         return F.array(*out)
 
-    assert cuts[-1] == total
-    probe = left.withColumn("key", F.explode(keys("l", radius == 1))).select("*", "key.band", "key.value").drop("key")
-    build = right.withColumn("key", F.explode(keys("r", False))).select("*", "key.band", "key.value").drop("key")
+    probe = left.withColumn("key", F.explode(keys("l", "left"))).select("*", "key.band", "key.value").drop("key")
+    build = right.withColumn("key", F.explode(keys("r", "right"))).select("*", "key.band", "key.value").drop("key")
     met = probe.hint("merge").join(build, ["band", "value"]).filter(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
-    # Each band also meets pairs that an earlier band has met; the score is computed once per pair.
-    close = _distances(met, threshold).drop("band", "value").dropDuplicates([f"l_{id_col}", f"r_{id_col}"])
-    return _scored(close, threshold, id_col)
+    # A pair may meet in several bands; the score is computed once per pair.
+    close = _distances(met, threshold, layout).drop("band", "value").dropDuplicates([f"l_{id_col}", f"r_{id_col}"])
+    return _scored(close, threshold, id_col, layout)
 
 
 def members(fp: DataFrame, pairs: DataFrame, copies: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
@@ -154,11 +237,11 @@ def pick_anchor(table: DataFrame, id_col: str = "image_id") -> DataFrame:
     return table.groupBy("group_key").agg(F.min_by(F.struct(F.col(id_col).alias("id"), "path", "a_hash", "d_hash", "color_hist"), order).alias("anchor"))
 
 
-def score_to_anchor(table: DataFrame, anchors: DataFrame, id_col: str = "image_id") -> DataFrame:
+def score_to_anchor(table: DataFrame, anchors: DataFrame, id_col: str = "image_id", layout: Layout = ARRAYS) -> DataFrame:
     """Members with score_to_anchor; it may be under the threshold, since groups are transitive."""
     joined = table.join(anchors.hint("merge"), "group_key")
     a = F.col("anchor")
-    score = S.visual_score(S.hamming(F.col("a_hash"), a["a_hash"]), S.hamming(F.col("d_hash"), a["d_hash"]), S.hist_l1(F.col("color_hist"), a["color_hist"]), A_BITS, D_BITS, L1_SCALE)
+    score = S.visual_score(S.hamming(F.col("a_hash"), a["a_hash"]), S.hamming(F.col("d_hash"), a["d_hash"]), S.hist_l1(F.col("color_hist"), a["color_hist"]), *layout)
     return joined.withColumn("score_to_anchor", F.when(F.col(id_col) == a["id"], 100.0).otherwise(score)).withColumn("anchor_id", a["id"]).withColumn("anchor_path", a["path"]).drop("anchor")
 
 
@@ -168,11 +251,12 @@ def group_summary(table: DataFrame) -> DataFrame:
 
 
 def number_groups(groups: DataFrame) -> DataFrame:
-    """Groups with group_no from 1: most members first, then most bytes, then anchor path.
+    """Groups with group_no from 1: most members first, then most bytes, then anchor path."""
+    return _numbered(groups, [F.desc("n_members"), F.desc("total_bytes"), F.lower("anchor_path"), F.col("group_key")])
 
-    Numbers come from range-partitioned order: each partition counts its rows, and starts after those before it.
-    """
-    order = [F.desc("n_members"), F.desc("total_bytes"), F.lower("anchor_path"), F.col("group_key")]
+
+def _numbered(groups: DataFrame, order: list[Column]) -> DataFrame:
+    """Numbers from range-partitioned order: each partition counts its rows, and starts after those before it."""
     ranged = materialize(groups.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftrightunsigned(F.col("_at"), 33)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
@@ -220,11 +304,13 @@ def checked_summary(table: DataFrame) -> DataFrame:
 
 
 def drop_removed(table: DataFrame, removed: DataFrame) -> DataFrame:
-    """Members without the removed paths: groups under two go, anchors are picked anew, scores stay."""
+    """Members without the removed paths: groups under two go, the others are numbered anew in their order, anchors are picked anew, scores stay."""
     left = table.join(removed.select("path").distinct().hint("merge"), "path", "left_anti")
     left = left.withColumn("_n", F.count("*").over(Window.partitionBy("group_key"))).filter("_n > 1").drop("_n", "anchor_id", "anchor_path")
     anchors = pick_anchor(left).select("group_key", F.col("anchor.id").alias("anchor_id"), F.col("anchor.path").alias("anchor_path"))
-    return left.join(anchors.hint("merge"), "group_key")
+    order = left.select("group_key", F.col("group_no").alias("_old")).distinct()
+    numbers = _numbered(order, [F.col("_old"), F.col("group_key")]).select("group_key", "group_no")
+    return left.drop("group_no").join(anchors.hint("merge"), "group_key").join(numbers.hint("merge"), "group_key")
 
 
 def manifest(table: DataFrame) -> DataFrame:
@@ -241,13 +327,13 @@ def write_manifest_csv(table: DataFrame, path: str) -> None:
     manifest(table).orderBy("group", "path").write.mode("overwrite").option("header", True).csv(path)
 
 
-def similar_groups(fp: DataFrame, threshold: int = THRESHOLD, banded: bool = True, rule: str = "resolution") -> DataFrame:
+def similar_groups(fp: DataFrame, threshold: int = THRESHOLD, banded: bool = True, rule: str = "resolution", layout: Layout = ARRAYS) -> DataFrame:
     """From fingerprints to reviewed members: group_no, member_no, score_to_anchor, anchor and `checked`."""
     fp = materialize(fp, "fingerprints")
     distinct, copies = exact_fingerprint_dedup(fp, ["a_hash", "d_hash", "color_hist"])
-    pairs = (candidate_pairs_banded if banded else similar_pairs_exact)(distinct, threshold)
+    pairs = (candidate_pairs_banded if banded else similar_pairs_exact)(distinct, threshold, layout=layout)
     table = materialize(members(fp, pairs, copies), "members")
-    scored = materialize(score_to_anchor(table, pick_anchor(table)), "scored")
+    scored = materialize(score_to_anchor(table, pick_anchor(table), layout=layout), "scored")
     numbered = number_groups(group_summary(scored)).select("group_key", "group_no", "n_members", "total_bytes", "min_score")
     return check_except_best(order_members(scored.join(numbered.hint("merge"), "group_key")), rule)
 

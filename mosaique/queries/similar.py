@@ -109,9 +109,9 @@ reach as (select src as v, src as r from links union select l.src, r.r from link
 comp as (select v as image_id, min(r) as group_key from reach group by v)"""
 
 
-@query("select image_id as vertex, group_key as component from comp", _RASTERS, _FP, _pairs(72), _COMPONENTS, recursive=True)
+@query("select image_id as vertex, group_key as component from comp", _RASTERS, _FPD, _pairs(88), _COMPONENTS, recursive=True)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected_components(sim.similar_pairs_exact(materialize(fingerprint_table(spark, sf_dir), "fp"), 72))
+    return graph.connected_components(sim.candidate_pairs_banded(materialize(fingerprint_table(spark, sf_dir, planted=True), "fp")))
 
 
 _GROUPS = f"""
@@ -126,28 +126,28 @@ ordered as (select s.*, n.group_no, n.n_members, row_number() over (partition by
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sim.similar_groups(fingerprint_table(spark, sf_dir), 72)
+    return sim.similar_groups(fingerprint_table(spark, sf_dir, planted=True))
 
 
 @query("""select group_no, member_no, image_id, path, anchor_id, score_to_anchor, n_members,
   row_number() over (partition by group_key order by width * height desc, size_bytes desc, sharpness desc, member_no) > 1 as checked from ordered""",
-       _RASTERS, _FP, _pairs(72), _COMPONENTS, _GROUPS, recursive=True)
+       _RASTERS, _FPD, _pairs(88), _COMPONENTS, _GROUPS, recursive=True)
 def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: from rasters to numbered groups with anchors, scores and what to keep."""
     return _reviewed(spark, sf_dir).select("group_no", "member_no", "image_id", "path", "anchor_id", "score_to_anchor", "n_members", "checked")
 
 
-@query("select group_no, n_members, total_bytes, min_score, anchor_path from numbered", _RASTERS, _FP, _pairs(72), _COMPONENTS, _GROUPS, recursive=True)
+@query("select group_no, n_members, total_bytes, min_score, anchor_path from numbered", _RASTERS, _FPD, _pairs(88), _COMPONENTS, _GROUPS, recursive=True)
 def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fp = materialize(fingerprint_table(spark, sf_dir), "fp")
-    table = materialize(sim.members(fp, sim.similar_pairs_exact(fp, 72)), "members")
+    fp = materialize(fingerprint_table(spark, sf_dir, planted=True), "fp")
+    table = materialize(sim.members(fp, sim.candidate_pairs_banded(fp)), "members")
     scored = sim.score_to_anchor(table, sim.pick_anchor(table))
     return sim.number_groups(sim.group_summary(scored)).select("group_no", "n_members", "total_bytes", "min_score", "anchor_path")
 
 
 @query(" union all ".join(f"""select '{rule}' as rule, image_id from (select image_id, row_number() over (partition by group_key order by {order}, member_no) as rn from ordered) where rn = 1"""
        for rule, order in {"resolution": "width * height desc, size_bytes desc, sharpness desc", "sharpest": "sharpness desc, width * height desc", "newest": "mtime desc", "oldest": "mtime",
-                           "largest": "size_bytes desc", "smallest": "size_bytes", "shortest": "length(path)"}.items()), _RASTERS, _FP, _pairs(72), _COMPONENTS, _GROUPS, recursive=True)
+                           "largest": "size_bytes desc", "smallest": "size_bytes", "shortest": "length(path)"}.items()), _RASTERS, _FPD, _pairs(88), _COMPONENTS, _GROUPS, recursive=True)
 def keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of the seven rules keeps."""
     table = materialize(_reviewed(spark, sf_dir).drop("checked"), "ordered")
@@ -160,23 +160,23 @@ def keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select count(*) filter (where rn > 1) as n_checked, count(*) as n_members from
   (select row_number() over (partition by group_key order by width * height desc, size_bytes desc, sharpness desc, member_no) as rn from ordered)""",
-       _RASTERS, _FP, _pairs(72), _COMPONENTS, _GROUPS, recursive=True)
+       _RASTERS, _FPD, _pairs(88), _COMPONENTS, _GROUPS, recursive=True)
 def checked_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.checked_summary(_reviewed(spark, sf_dir))
 
 
-@query("""select group_key, image_id, first_value(image_id) over w as anchor_id, score_to_anchor from
-  (select *, count(*) over (partition by group_key) as n from scored where image_id % 3 <> 0) where n > 1
+@query("""select group_key, image_id, first_value(image_id) over w as anchor_id, score_to_anchor, cast(dense_rank() over (order by group_no) as bigint) as group_no from
+  (select *, count(*) over (partition by group_key) as n from ordered where image_id % 3 <> 0) where n > 1
   window w as (partition by group_key order by width * height desc, size_bytes desc, sharpness desc, path, image_id)""",
-       _RASTERS, _FP, _pairs(72), _COMPONENTS, _GROUPS, recursive=True)
+       _RASTERS, _FPD, _pairs(88), _COMPONENTS, _GROUPS, recursive=True)
 def drop_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = materialize(_reviewed(spark, sf_dir), "reviewed")
-    return sim.drop_removed(table, table.filter("image_id % 3 = 0")).select("group_key", "image_id", "anchor_id", "score_to_anchor")
+    return sim.drop_removed(table, table.filter("image_id % 3 = 0")).select("group_key", "image_id", "anchor_id", "score_to_anchor", "group_no")
 
 
 @query("""select group_no as "group", row_number() over (partition by group_key order by width * height desc, size_bytes desc, sharpness desc, member_no) > 1 as checked,
   score_to_anchor, path, anchor_path, width, height, printf('%.3f', width * height / 1e6) as megapixels, size_bytes, mtime, printf('%.2f', sharpness) as sharpness from ordered""",
-       _RASTERS, _FP, _pairs(72), _COMPONENTS, _GROUPS, recursive=True)
+       _RASTERS, _FPD, _pairs(88), _COMPONENTS, _GROUPS, recursive=True)
 def manifest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the review file and reads it back."""
     path = shared_path(spark, "manifest")
