@@ -8,8 +8,10 @@ one window.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mosaique.functions import geometry as G, scalars as S
@@ -18,17 +20,29 @@ ID = "image_id"
 AT = [ID, "x", "y"]
 
 
+#: Pixels in an Arrow batch that `read_rasters` hands on.
+PIXEL_ROWS = 500_000
+
+
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
     """Stills under a path as pixels: image_id (path), x, y, r, g, b, a. Undecodable files have no pixels (see `bad_rasters`)."""
     images = spark.read.format("image").load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").filter("width > 0")
-    flat = images.select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("k"))
-    byte = lambda c: F.conv(F.hex(F.substring("data", F.col("k") * F.col("nChannels") + c + 1, F.lit(1))), 16, 10).cast("int")
-    grey = F.col("nChannels") == 1
-    return flat.select(
-        F.col("origin").alias(ID), (F.col("k") % F.col("width")).alias("x"), F.floor(F.col("k") / F.col("width")).cast("int").alias("y"),
-        F.when(grey, byte(0)).otherwise(byte(2)).alias("r"), F.when(grey, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"),
-        F.when(F.col("nChannels") == 4, byte(3)).otherwise(255).alias("a"),
-    )
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                origin, width, height, channels = (batch.column(c)[k].as_py() for c in range(4))
+                data = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8).reshape(width * height, channels)
+                for low in range(0, len(data), PIXEL_ROWS):
+                    part = data[low : low + PIXEL_ROWS].astype(np.int32)
+                    at = np.arange(low, low + len(part))
+                    # Bytes come as blue, green, red, alpha; one channel is grey.
+                    b, g, r = (part[:, min(c, channels - 1)] for c in range(3))
+                    alpha = part[:, 3] if channels == 4 else np.full(len(part), 255, np.int32)
+                    columns = [(at % width).astype(np.int32), (at // width).astype(np.int32), r, g, b, alpha]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(origin, len(part)), *map(pa.array, columns)], [ID, "x", "y", "r", "g", "b", "a"])
+
+    return images.mapInArrow(pixels, f"{ID} string, x int, y int, r int, g int, b int, a int")
 
 
 def bad_rasters(spark: SparkSession, path: str) -> DataFrame:
@@ -109,14 +123,21 @@ SOBEL_Y = [(-1, -1, -1), (0, -1, -2), (1, -1, -1), (-1, 1, 1), (0, 1, 2), (1, 1,
 
 
 def stencil(pixels: DataFrame, channel: str, kernel: list[tuple[int, int, int]], to: str, clamp: bool = False) -> DataFrame:
-    """image_id, x, y and the weighted sum over neighbours.
+    """image_id, x, y and the weighted sum over neighbours; see `stencils`."""
+    return stencils(pixels, channel, {to: kernel}, clamp)
+
+
+def stencils(pixels: DataFrame, channel: str, kernels: dict[str, list[tuple[int, int, int]]], clamp: bool = False) -> DataFrame:
+    """image_id, x, y and one weighted sum over neighbours per kernel, in one pass.
 
     Each pixel is sent to the places that it counts for (a small fixed number) and summed there, with partial
     sums before the shuffle. Without `clamp`, places that lack a neighbour have no row; with it, edges repeat.
     """
+    weights = {name: {(dx, dy): w for dx, dy, w in kernel} for name, kernel in kernels.items()}
+    places = sorted({at for found in weights.values() for at in found})
     if clamp:
         size = pixels.groupBy(ID).agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-        reach = max(max(abs(dx), abs(dy)) for dx, dy, _ in kernel)
+        reach = max(max(abs(dx), abs(dy)) for dx, dy in places)
         span = F.sequence(F.lit(-reach), F.lit(reach))
         sized = pixels.join(size.hint("merge"), ID)
         # Pixels on the edge also stand for the places beyond it.
@@ -126,13 +147,13 @@ def stencil(pixels: DataFrame, channel: str, kernel: list[tuple[int, int, int]],
         source = source.select(ID, (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), channel, "mx", "my")
     else:
         source = pixels.select(*AT, channel)
-    parts = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in kernel]))
+    parts = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), *[F.lit(found.get((dx, dy), 0)).alias(name) for name, found in weights.items()]) for dx, dy in places]))
     moved = source.withColumn("k", parts)
-    moved = moved.select(ID, (F.col("x") - F.col("k.dx")).alias("x"), (F.col("y") - F.col("k.dy")).alias("y"), (F.col(channel) * F.col("k.w")).alias("_part"), *(["mx", "my"] if clamp else []))
+    moved = moved.select(ID, (F.col("x") - F.col("k.dx")).alias("x"), (F.col("y") - F.col("k.dy")).alias("y"), *[(F.col(channel) * F.col(f"k.{name}")).alias(name) for name in weights], *(["mx", "my"] if clamp else []))
     if clamp:
         moved = moved.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") <= F.col("mx")) & (F.col("y") <= F.col("my")))
-    summed = moved.groupBy(*AT).agg(F.sum("_part").alias(to), F.count("*").alias("_n"))
-    return summed.filter(F.col("_n") == len(kernel)).drop("_n")
+    summed = moved.groupBy(*AT).agg(*[F.sum(name).alias(name) for name in weights], F.count("*").alias("_n"))
+    return summed.filter(F.col("_n") == len(places)).drop("_n")
 
 
 def sharpness(pixels: DataFrame, channel: str = "luma") -> DataFrame:
@@ -141,11 +162,14 @@ def sharpness(pixels: DataFrame, channel: str = "luma") -> DataFrame:
 
 
 def edge_score(pixels: DataFrame, channel: str = "luma") -> DataFrame:
-    """image_id, x, y, magnitude and score: share of the image's 92nd percentile, times how abrupt the step is."""
-    gx = stencil(pixels, channel, SOBEL_X, "gx", clamp=True)
-    gy = stencil(pixels, channel, SOBEL_Y, "gy", clamp=True)
-    both = gx.join(gy.hint("merge"), AT).withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
-    scale = both.groupBy(ID).agg(F.percentile("magnitude", 0.92).alias("p"))
+    """image_id, x, y, magnitude and score: share of the image's 92nd percentile, times how abrupt the step is.
+
+    Both gradients come from one pass. The percentile is taken over counted magnitudes: those of integer values repeat, so that an
+    image is far fewer rows than pixels.
+    """
+    both = stencils(pixels, channel, {"gx": SOBEL_X, "gy": SOBEL_Y}, clamp=True).withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+    counted = both.groupBy(ID, "magnitude").agg(F.count("*").alias("_n"))
+    scale = counted.groupBy(ID).agg(F.percentile("magnitude", F.lit(0.92), F.col("_n")).alias("p"))
     joined = both.join(scale.hint("merge"), ID).withColumn("p", F.when(F.col("p") <= 0, 1.0).otherwise(F.col("p")))
     relative, absolute = S.clip(F.col("magnitude") / F.col("p"), 0.0, 1.0), S.clip((F.col("magnitude") - 180.0) / 580.0, 0.0, 1.0)
     return joined.select(*AT, "magnitude", (relative * absolute).alias("score"))
@@ -221,18 +245,24 @@ def tile_ramp(tiled: DataFrame, channel: str, tile: int, width: int, height: int
 def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Columns of `points` (x, y) with region_id, for every region (kind, box, points) that holds the point.
 
-    The bounding box of a region is cut into unit cells of the grid: an equi-join, and only then the exact test.
+    The bounding box of a region is cut into cells whose side, a power of two, follows its size, so that no region has more
+    than 36 cells. A point is looked up once per side in use (a few dozen at most): an equi-join, and only then the exact test.
     """
-    cell = 8
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
     polygon = F.col("kind") == "polygon"
     low_x, high_x = F.when(polygon, F.array_min(xs)).otherwise(F.col("box.left")), F.when(polygon, F.array_max(xs)).otherwise(F.col("box.right"))
     low_y, high_y = F.when(polygon, F.array_min(ys)).otherwise(F.col("box.top")), F.when(polygon, F.array_max(ys)).otherwise(F.col("box.bottom"))
-    cells = regions.withColumn("_cx", F.explode(F.sequence(F.floor(low_x / cell), F.floor(high_x / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(low_y / cell), F.floor(high_y / cell))))
-    placed = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    boxed = regions.withColumns({"_lx": low_x, "_hx": high_x, "_ly": low_y, "_hy": high_y}).filter("_hx >= _lx and _hy >= _ly")
+    longest = F.greatest(F.col("_hx") - F.col("_lx"), F.col("_hy") - F.col("_ly")).cast("double")
+    boxed = boxed.withColumn("_side", F.greatest(F.lit(3), F.ceil(F.log2(F.greatest(F.lit(1.0), longest / 4)))).cast("int"))
+    sides = sorted(r[0] for r in boxed.select("_side").distinct().collect())
+    down = lambda c, side: F.floor(F.col(c) / F.pow(F.lit(2.0), side)).cast("long")
+    cells = boxed.withColumn("_cx", F.explode(F.sequence(down("_lx", F.col("_side")), down("_hx", F.col("_side"))))).withColumn("_cy", F.explode(F.sequence(down("_ly", F.col("_side")), down("_hy", F.col("_side")))))
+    placed = points.withColumn("_side", F.explode(F.array(*[F.lit(k) for k in sides]).cast("array<int>")))
+    placed = placed.withColumn("_cx", down("x", F.col("_side"))).withColumn("_cy", down("y", F.col("_side")))
     x, y = F.col("x"), F.col("y")
     hit = F.when(polygon, G.in_polygon(x, y, F.col("points"))).when(F.col("kind") == "ellipse", G.in_ellipse(x, y, F.col("box"))).otherwise(G.in_rect(x, y, F.col("box")))
-    return placed.join(cells.hint("merge"), ["_cx", "_cy"]).filter(hit).select(*points.columns, "region_id")
+    return placed.join(cells.hint("merge"), ["_side", "_cx", "_cy"]).filter(hit).select(*points.columns, "region_id")
 
 
 def target_hit(polygon: list[tuple[int, int]] | None, box: tuple[int, int, int, int] | None) -> Column:
@@ -266,14 +296,32 @@ def adjust(pixels: DataFrame, channel: str, brightness: int = 0, contrast: int =
     return out.withColumn(channel, F.floor(channel).cast("int"))
 
 
+def adjust_colors(pixels: DataFrame, brightness: int = 0, contrast: int = 0, saturation: int = 0) -> DataFrame:
+    """r, g, b: brightness toward black, contrast around the image's mean grey (rounded), saturation toward each pixel's grey; cut to integers after each."""
+    out = pixels
+    whole = lambda c: F.floor(F.round(c, 6)).cast("int")
+    grey = S.luma(F.col("r"), F.col("g"), F.col("b"))
+    if brightness:
+        out = out.withColumns({c: whole(S.brightness(F.col(c), brightness)) for c in "rgb"})
+    if contrast:
+        out = with_group_mean(out.withColumn("_luma", grey), "_luma", [ID], "_grey")
+        mean = F.floor(F.round("_grey", 6) + 0.5)
+        out = out.withColumns({c: whole(S.toward(F.col(c), mean, contrast)) for c in "rgb"}).drop("_luma", "_grey")
+    if saturation:
+        out = out.withColumn("_grey", grey)
+        out = out.withColumns({c: whole(S.toward(F.col(c), F.col("_grey"), saturation)) for c in "rgb"}).drop("_grey")
+    return out
+
+
 def seeded_tile_shuffle(pixels: DataFrame, channel: str, tile: int, percent: int, seed: int) -> DataFrame:
     """A seeded share of each image's tiles shows the content of other tiles; the same call gives the same picture.
 
-    Targets and sources are the tiles that two keyed hashes put first; the k-th target takes the k-th source.
+    Targets and sources are the tiles that two keyed digests put first; the k-th target takes the k-th source.
     """
     tiled = pixels.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
     tiles = tiled.select(ID, "tx", "ty").distinct()
-    order = lambda salt: F.row_number().over(Window.partitionBy(ID).orderBy(F.xxhash64(F.lit(seed), F.lit(salt), ID, "tx", "ty"), "tx", "ty"))
+    digest = lambda salt: F.md5(F.concat_ws("/", F.lit(seed), F.lit(salt), ID, "tx", "ty").cast("binary"))
+    order = lambda salt: F.row_number().over(Window.partitionBy(ID).orderBy(digest(salt), "tx", "ty"))
     count = F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy(ID)) * percent / 100))
     ranked = tiles.withColumn("target", order(1)).withColumn("source", order(2)).withColumn("n", count)
     pairs = ranked.filter("target <= n").select(ID, F.col("target").alias("rank"), "tx", "ty").join(
@@ -285,28 +333,50 @@ def seeded_tile_shuffle(pixels: DataFrame, channel: str, tile: int, percent: int
     return met.select(*AT, F.coalesce("_value", channel).alias(channel))
 
 
-def tile_grid(images: DataFrame, tile: int) -> DataFrame:
-    """Overlapping tiles of images (width, height): core boxes without overlap, and the larger boxes to read."""
+def _tiling(tile: int) -> tuple[int, int]:
+    """(overlap, core side) of tiles."""
     overlap = min(24, max(8, tile // 16))
-    core = max(32, tile - overlap * 2)
+    return overlap, max(32, tile - overlap * 2)
+
+
+def _tile_boxes(cells: DataFrame, tile: int) -> DataFrame:
+    """Boxes of tiles (left, top) of images (width, height): cores without overlap, and the larger boxes to read."""
+    overlap, core = _tiling(tile)
     whole = (F.col("width") <= tile) & (F.col("height") <= tile)
-    xs = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("width") - 1, F.lit(core)))
-    ys = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("height") - 1, F.lit(core)))
-    cells = images.withColumn("left", F.explode(xs)).withColumn("top", F.explode(ys)).withColumn("_whole", whole)
-    cells = cells.withColumn("right", F.when(F.col("_whole"), F.col("width")).otherwise(F.least("width", F.col("left") + core)))
-    cells = cells.withColumn("bottom", F.when(F.col("_whole"), F.col("height")).otherwise(F.least("height", F.col("top") + core)))
-    grow = F.when(F.col("_whole"), 0).otherwise(overlap)
+    cells = cells.withColumn("right", F.when(whole, F.col("width")).otherwise(F.least("width", F.col("left") + core)))
+    cells = cells.withColumn("bottom", F.when(whole, F.col("height")).otherwise(F.least("height", F.col("top") + core)))
+    grow = F.when(whole, 0).otherwise(overlap)
     return cells.withColumns({
         "in_left": F.greatest(F.lit(0), F.col("left") - grow), "in_top": F.greatest(F.lit(0), F.col("top") - grow),
         "in_right": F.least("width", F.col("right") + grow), "in_bottom": F.least("height", F.col("bottom") + grow),
-    }).drop("_whole")
+    })
+
+
+def tile_grid(images: DataFrame, tile: int) -> DataFrame:
+    """Overlapping tiles of images (width, height): core boxes without overlap, and the larger boxes to read."""
+    _, core = _tiling(tile)
+    whole = (F.col("width") <= tile) & (F.col("height") <= tile)
+    starts = lambda length: F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(length) - 1, F.lit(core)))
+    return _tile_boxes(images.withColumn("left", F.explode(starts("width"))).withColumn("top", F.explode(starts("height"))), tile)
+
+
+def cut_tiles(pixels: DataFrame, images: DataFrame, tile: int) -> DataFrame:
+    """The pixels of each tile's larger box, with coordinates inside it (tx, ty) and the tile's boxes.
+
+    The one to four tiles of a pixel follow from its place and its image's size: a pixel never meets the image's other tiles.
+    """
+    overlap, core = _tiling(tile)
+    sized = pixels.join(images.select(ID, "width", "height").hint("merge"), ID)
+    whole = (F.col("width") <= tile) & (F.col("height") <= tile)
 
+    def starts(at: str, length: str) -> Column:
+        first, last = F.greatest(F.lit(0), F.floor((F.col(at) - overlap) / core)), F.floor((F.col(at) + overlap) / core)
+        near = F.transform(F.sequence(first, last), lambda k: (k * core).cast("int"))
+        return F.when(whole, F.array(F.lit(0))).otherwise(F.filter(near, lambda k: k < F.col(length)))
 
-def cut_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
-    """The pixels of each tile's larger box, with coordinates inside it (tx, ty); `tiles` comes from `tile_grid`."""
+    cells = _tile_boxes(sized.withColumn("left", F.explode(starts("x", "width"))).withColumn("top", F.explode(starts("y", "height"))), tile)
     inside = (F.col("x") >= F.col("in_left")) & (F.col("x") < F.col("in_right")) & (F.col("y") >= F.col("in_top")) & (F.col("y") < F.col("in_bottom"))
-    cut = pixels.join(tiles.hint("merge"), ID).filter(inside)
-    return cut.withColumn("tx", F.col("x") - F.col("in_left")).withColumn("ty", F.col("y") - F.col("in_top")).drop("x", "y")
+    return cells.filter(inside).withColumn("tx", F.col("x") - F.col("in_left")).withColumn("ty", F.col("y") - F.col("in_top")).drop("x", "y")
 
 
 def apply_on_tiles(cut: DataFrame, fn: Callable, schema: str) -> DataFrame:

@@ -91,7 +91,7 @@ def raster_fingerprints(pixels: DataFrame, id_col: str = "image_id") -> DataFram
     def gathered(table: DataFrame, key: str, value: str, to: str) -> DataFrame:
         return table.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda c: c[value]).alias(to))
 
-    binned = pixels.select(id_col, F.explode(F.array(*[F.floor(F.col(c) / 32) + 8 * k for k, c in enumerate("rgb")])).cast("int").alias("bin"))
+    binned = pixels.select(id_col, F.explode(F.array(*[(F.floor(F.col(c) / 32) + 8 * k).cast("int") for k, c in enumerate("rgb")])).alias("bin"))
     counts = binned.groupBy(id_col, "bin").agg(F.count("*").alias("n"))
     hist = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
     out = size

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mosaique.functions import geometry as G, scalars as S
-from mosaique.operators import raster as R
+from mosaique.operators import raster as R, similarity as sim
 from mosaique.plans import chain as K
 from mosaique.registry import query
-from mosaique.sources import views
+from mosaique.session import shared_path
+from mosaique.sources import media, views
 
 V, RG = views.RASTER_SQL, views.REGIONS_SQL
 
@@ -178,7 +181,19 @@ def region_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("c.left").alias("crop_left"), F.col("c.right").alias("crop_right"), F.col("c.bottom").alias("crop_bottom"))
 
 
-@query()
+def _shuffle_sql(seed: int, percent: int, pixels: str = "v_raster") -> str:
+    """Tiles of 2 on 8 x 8 pictures: the k-th target shows the k-th source."""
+    digest = lambda salt: f"md5(concat_ws('/', '{seed}', '{salt}', image_id, tx, ty))"
+    return f"""
+t as (select *, row_number() over (partition by image_id order by {digest(1)}, tx, ty) as target, row_number() over (partition by image_id order by {digest(2)}, tx, ty) as source
+  from (select distinct image_id, x // 2 as tx, y // 2 as ty from {pixels})),
+pr as (select a.image_id, a.tx, a.ty, b.tx as sx, b.ty as sy from t a join t b on a.image_id = b.image_id and a.target = b.source
+  where a.target <= greatest(1, round_even(16 * {percent} / 100.0::double, 0))),
+shuffled as (select p.image_id, p.x, p.y, coalesce(q.luma, p.luma) as luma from {pixels} p left join pr on pr.image_id = p.image_id and tx = p.x // 2 and ty = p.y // 2
+  left join {pixels} q on q.image_id = p.image_id and q.x = sx * 2 + p.x % 2 and q.y = sy * 2 + p.y % 2)"""
+
+
+@query("select * from shuffled", V, _shuffle_sql(29, 40))
 def seeded_tile_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.seeded_tile_shuffle(views.raster(spark, sf_dir), "luma", 2, 40, 29)
 
@@ -191,16 +206,80 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tile_grid(views.catalog(spark, sf_dir), 512).select("image_id", "left", "top", "right", "bottom", "in_left", "in_top", "in_right", "in_bottom")
 
 
-@query("select s_suppkey as image_id, x, y, 2 * ((s_suppkey + x * 7 + y * 13) % 256) as value from supplier, range(0, 70) a(x), range(0, 50) b(y)")
+@query("select image_id, x * 2 + i as x, y * 2 + j as y, luma + 1 as luma from v_joined, range(0, 2) a(i), range(0, 2) b(j)", V, views.JOINED_SQL)
 def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut into overlapping tiles, doubled tile by tile, put together again."""
-    images = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"), F.lit(70).alias("width"), F.lit(50).alias("height"))
-    pixels = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(69))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("y"))
-    pixels = pixels.withColumn("value", (F.col("image_id") + F.col("x") * 7 + F.col("y") * 13) % 256)
-    cut = R.cut_tiles(pixels, R.tile_grid(images, 64))
-    columns = ["image_id", "left", "top", "right", "bottom", "in_left", "in_top", "in_right", "in_bottom", "tx", "ty", "value"]
-    done = R.apply_on_tiles(cut.select(columns), lambda pdf: pdf.assign(value=pdf["value"] * 2), cut.select(columns).schema)
-    return R.stitch(done, 1, "value")
+    """Cut into overlapping tiles, enlarged twice tile by tile, put together again."""
+    pixels = views.joined_raster(spark, sf_dir)
+    images = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    columns = ["image_id", "left", "top", "right", "bottom", "in_left", "in_top", "in_right", "in_bottom", "tx", "ty", "luma"]
+    cut = R.cut_tiles(pixels, images, 48).select(columns)
+
+    def enlarged(pdf):
+        four = pdf.loc[pdf.index.repeat(4)].reset_index(drop=True)
+        k = four.index % 4
+        return four.assign(tx=four["tx"] * 2 + k % 2, ty=four["ty"] * 2 + k // 2, luma=four["luma"] + 1)
+
+    return R.stitch(R.apply_on_tiles(cut, enlarged, cut.schema), 2, "luma")
+
+
+@query("""select image_id, x, y, luma as r, luma as g, luma as b, 255 as a from v_raster""", V)
+def read_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every vector as a bitmap file and reads the files back as pixels."""
+    path = shared_path(spark, "bitmaps")
+    views.bitmaps(spark, sf_dir).select("image_id", F.col("content").cast("string").alias("value")).write.partitionBy("image_id").text(path)
+    pixels = R.read_rasters(spark, path)
+    return pixels.withColumn("image_id", F.regexp_extract("image_id", r"image_id=(\d+)", 1).cast("long"))
+
+
+@query("select * from (values " + ", ".join(f"('{t}')" for t in "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()) + ") t(name)")
+def scan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the tables themselves, by name: a scan of metadata only."""
+    files = media.scan_media(spark, sf_dir, suffixes=["parquet"])
+    return files.filter("size_bytes > 0 and mtime is not null").select(F.regexp_extract("path", r"([a-z_]+)\.parquet", 1).alias("name")).distinct()
+
+
+_RGB = """
+c0 as (select *, cast(floor((r * 299 + g * 587 + b * 114 + 500) / 1000.0::double) as int) as luma from v_colored)"""
+_SIZED = """
+s as (select *, max(x) over (partition by image_id) + 1 as w, max(y) over (partition by image_id) + 1 as h from c0)"""
+
+
+def _cells(name: str, across: int) -> str:
+    shared = lambda p, n, cells, k: f"(least(({p} + 1) * {cells}, ({k} + 1) * {n}) - greatest({p} * {cells}, {k} * {n}))"
+    wx, wy = shared("x", "w", across, "cx"), shared("y", "h", 8, "cy")
+    return f"""
+{name} as (select image_id, cy * {across} + cx as cell, sum(luma * {wx} * {wy}) as total from s, range(0, {across}) q(cx), range(0, 8) z(cy) where {wx} > 0 and {wy} > 0 group by 1, 2)"""
+
+
+_SIGNED = "cast(case when {0} >= 9223372036854775808 then {0} - 18446744073709551616 else {0} end as bigint)"
+
+
+@query(f"""select image_id, width, height, {_SIGNED.format("ua")} as a_hash, {_SIGNED.format("ud")} as d_hash, color_hist, coalesce(sharpness, 0) as sharpness from
+  (select image_id, max(w) as width, max(h) as height from s group by image_id)
+  join (select image_id, sum(case when total * 64 >= every then cast(1 as hugeint) << cast(63 - cell as int) else 0 end) as ua from (select *, sum(total) over (partition by image_id) as every from c8) group by image_id) using (image_id)
+  join (select image_id, sum(case when cell % 9 > 0 and total > before then cast(1 as hugeint) << cast(63 - (cell // 9 * 8 + cell % 9 - 1) as int) else 0 end) as ud
+    from (select *, lag(total) over (partition by image_id order by cell) as before from c9) group by image_id) using (image_id)
+  join (select image_id, list(n / area order by k) as color_hist from (select image_id, k, count(*) filter (where v // 32 = k % 8) / 1.0::double as n, count(*) as area
+    from (select image_id, k, case k // 8 when 0 then r when 1 then g else b end as v from c0, range(0, 24) e(k)) group by 1, 2) group by image_id) using (image_id)
+  left join (select image_id, var_pop(4 * luma - l - rr - u - d) as sharpness from (select *, lag(luma) over row_ as l, lead(luma) over row_ as rr, lag(luma) over col as u, lead(luma) over col as d from c0
+    window row_ as (partition by image_id, y order by x), col as (partition by image_id, x order by y)) where l is not null and rr is not null and u is not null and d is not null group by image_id) using (image_id)""",
+       V, views.COLORED_SQL, _RGB, _SIZED, _cells("c8", 8), _cells("c9", 9))
+def raster_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From coloured pixels of 24 x 8 pictures to both hashes, the three-channel histogram and sharpness."""
+    return sim.raster_fingerprints(views.colored(spark, sf_dir))
+
+
+_STEP = "cast(floor(round(greatest(0, least(255, {})), 6)) as int)"
+
+
+@query(f"""select image_id, x, y, {_STEP.format("k + (r - k) * 1.4::double")} as r, {_STEP.format("k + (g - k) * 1.4::double")} as g, {_STEP.format("k + (b - k) * 1.4::double")} as b from
+  (select *, cast(floor((r * 299 + g * 587 + b * 114 + 500) / 1000.0::double) as int) as k from
+  (select image_id, x, y, {_STEP.format("m + (r - m) * 1.3::double")} as r, {_STEP.format("m + (g - m) * 1.3::double")} as g, {_STEP.format("m + (b - m) * 1.3::double")} as b from
+  (select *, floor(round(avg(cast(floor((r * 299 + g * 587 + b * 114 + 500) / 1000.0::double) as int)) over (partition by image_id), 6) + 0.5) as m from
+  (select image_id, x, y, {_STEP.format("r * 0.8::double")} as r, {_STEP.format("g * 0.8::double")} as g, {_STEP.format("b * 0.8::double")} as b from v_colored))))""", V, views.COLORED_SQL)
+def adjust_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Darker, with more contrast and more saturation."""
+    return R.adjust_colors(views.colored(spark, sf_dir), brightness=-20, contrast=30, saturation=40)
 
 
 @query("""select image_id, x, y, cast(floor(case when x between 1 and 6 and y between 1 and 6 then v + (greatest(0, least(255, cast(floor(round_even(m / 17.0::double, 0) * 17.0::double) as int))) - v) * 0.5::double else luma end) as int) as luma from
@@ -211,32 +290,136 @@ def run_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.run_chain(views.raster(spark, sf_dir), specs, 8, 8, box=(1, 1, 6, 6))
 
 
-_SPEC_SQL = """
-names as (select p_partkey as spec_id, (['Blur', 'Deep Blur', 'Pixelate', 'Mosaic', 'Sepia'])[p_partkey % 5 + 1] as raw, p_partkey from part),
-canon as (select *, case raw when 'Blur' then 'Soft Blur' when 'Deep Blur' then 'Privacy Blur' else raw end as name from names),
-norm as (select spec_id, name, case when p_partkey % 2 = 0 then p_partkey % 130 else 100 end as amount,
-  case when p_partkey % 3 = 0 then case when name = 'Pixelate' then p_partkey % 140 else p_partkey % 150 end else case name when 'Privacy Blur' then 24 when 'Pixelate' then 20 when 'Mosaic' then 24 else 12 end end as size,
-  case name when 'Privacy Blur' then 72 when 'Pixelate' then 0 when 'Mosaic' then 18 else 10 end as softness from canon)"""
+#: All effects, all old names, and one that nobody knows.
+_NAMES = [*dict.fromkeys(e for e, *_ in K.PARAMETERS), *(a for a, _ in K.ALIASES), "Sepia"]
+_values = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+_GIVEN = {
+    "amount": ("strength", "p_partkey % 2 = 0", "p_partkey % 130"), "softness": ("softness", "p_partkey % 5 = 0", "p_partkey % 160"), "detail": ("detail", "p_partkey % 7 = 0", "p_partkey % 270"),
+    "angle": ("angle", "p_partkey % 11 = 0", "p_partkey % 250 - 125"), "edge": ("edge", "p_partkey % 13 = 0", "p_partkey % 120"), "phase": ("phase", "p_partkey % 17 = 0", "p_partkey % 120"),
+}
+
+
+def _norm(key: str) -> str:
+    legacy = "case when p_partkey % 3 = 0 then case when name = 'Pixelate' then p_partkey % 140 else p_partkey % 150 end end"
+    given = legacy if key == "size" else f"case when {_GIVEN[key][1]} then {_GIVEN[key][2]} end"
+    return f"cast(coalesce({given}, case when d.effect is null then soft.{key} else d.{key} end, 0) as int) as {key}"
+
+
+_PARAMS_SQL = f"""
+params as (select * from (values {_values(K.PARAMETERS)}) v(effect, key, low, high, def)),
+dflt as (select effect, {", ".join(f"max(def) filter (where key = '{k}') as {k}" for k in K.KEYS)} from params group by effect)"""
+_SPEC_SQL = f"""
+names as (select p_partkey as spec_id, ([{", ".join(f"'{n}'" for n in _NAMES)}])[p_partkey % {len(_NAMES)} + 1] as raw, p_partkey from part),
+canon as (select names.*, coalesce(a.name, raw) as name from names left join (values {_values(K.ALIASES)}) a(alias, name) on raw = alias),
+norm as (select spec_id, name, {", ".join(map(_norm, K.KEYS))} from canon left join dflt d on name = d.effect cross join (select * from dflt where effect = 'Soft Blur') soft)"""
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A specification per part: names from all effects, with some values given under new and old keys."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    given = F.expr("""map_concat(case when p_partkey % 2 = 0 then map('strength', cast(p_partkey % 130 as int)) else cast(map() as map<string, int>) end,
-      case when p_partkey % 3 = 0 then map('pixel', cast(p_partkey % 140 as int), 'pattern', cast(p_partkey % 150 as int)) else cast(map() as map<string, int>) end)""")
-    name = F.expr("element_at(array('Blur', 'Deep Blur', 'Pixelate', 'Mosaic', 'Sepia'), cast(p_partkey % 5 as int) + 1)")
+    none = "cast(map() as map<string, int>)"
+    some = [(when, f"'{key}', cast({value} as int)") for key, when, value in _GIVEN.values()] + [("p_partkey % 3 = 0", "'pixel', cast(p_partkey % 140 as int), 'pattern', cast(p_partkey % 150 as int)")]
+    given = F.expr("map_concat(" + ", ".join(f"case when {when} then map({pairs}) else {none} end" for when, pairs in some) + ")")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
     return K.normalize_effect_specs(part.select(F.col("p_partkey").alias("spec_id"), name.alias("name"), given.alias("values")), spark)
 
 
-@query("select spec_id, name, cast(amount as int) as amount, cast(size as int) as size, softness from norm", _SPEC_SQL)
+@query("select * from norm", _PARAMS_SQL, _SPEC_SQL)
 def normalize_effect_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _specs(spark, sf_dir).select("spec_id", "name", "amount", "size", "softness")
+    return _specs(spark, sf_dir).select("spec_id", "name", *K.KEYS)
 
 
-@query("""select spec_id, name, key, cast(value as int) as value from (select spec_id, name, 'amount' as key, amount as value, 0 as low, 100 as high from norm where name <> 'Sepia' union all
-  select spec_id, name, 'size', size, case name when 'Soft Blur' then 1 when 'Mosaic' then 3 else 2 end, case name when 'Soft Blur' then 80 when 'Privacy Blur' then 100 else 120 end from norm where name <> 'Sepia')
-  where value not between low and high""", _SPEC_SQL)
+@query(f"""select spec_id, name, key, value, low, high from ({" union all ".join(f"select spec_id, name, '{k}' as key, {k} as value from norm" for k in K.KEYS)}) n
+  join params p on p.effect = n.name and p.key = n.key where value not between low and high""".replace("select spec_id, name, key, value, low", "select spec_id, name, n.key, value, low", 1), _PARAMS_SQL, _SPEC_SQL)
 def check_spec_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.check_spec_ranges(_specs(spark, sf_dir), spark).select("spec_id", "name", "key", "value")
+    return K.check_spec_ranges(_specs(spark, sf_dir), spark).select("spec_id", "name", "key", "value", "low", "high")
+
+
+_CHAINS = sorted({row[0] for row in K.CHAIN_PRESETS})
+
+
+@query(f"""select p_partkey as part_id, c.*, not exists (select 1 from params p where p.effect = c.name and case p.key {" ".join(f"when '{k}' then c.{k}" for k in K.KEYS)} end not between low and high) as in_range
+  from part join (values {_values(K.CHAIN_PRESETS)}) c(chain, position, name, {", ".join(K.KEYS)}) on chain = ([{", ".join(f"'{n}'" for n in _CHAINS)}])[p_partkey % {len(_CHAINS)} + 1]""", _PARAMS_SQL)
+def named_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of a named chain for every part, all within the ranges of their effects."""
+    name = F.element_at(F.array(*map(F.lit, _CHAINS)), (F.col("p_partkey") % len(_CHAINS) + 1).cast("int"))
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part_id"), name.alias("chain"))
+    steps = asked.join(F.broadcast(K.chain_table(spark)), "chain")
+    wrong = K.check_spec_ranges(steps, spark).select("part_id", "position", F.lit(True).alias("_wrong")).distinct()
+    return steps.join(wrong.hint("merge"), ["part_id", "position"], "left").withColumn("in_range", F.col("_wrong").isNull()).select("part_id", "chain", "position", "name", *K.KEYS, "in_range")
+
+
+def _one(spark: SparkSession, sf_dir: str, name: str, **values: int) -> DataFrame:
+    """One effect over all pictures."""
+    return K.run_chain(views.raster(spark, sf_dir), [{"name": name} | dict.fromkeys(K.KEYS, 0) | values], 8, 8)
+
+
+def _redaction_sql(color: int, size: int, texture: int, angle: int, amount: int) -> str:
+    base = f"{color} + sin((x * cos(radians({angle})) + y * sin(radians({angle}))) * (2 * pi() / {size})) * ({texture} / 7.0::double)"
+    return f"select image_id, x, y, cast(floor(luma + (floor(greatest(0, least(255, {base}))) - luma) * ({amount} / 100.0::double)) as int) as luma from v_raster"
+
+
+@query(_redaction_sql(0, 20, 40, 30, 100), V)
+def effect_black_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Black Redaction", amount=100, size=20, softness=40, angle=30)
+
+
+@query(_redaction_sql(255, 12, 80, -45, 100), V)
+def effect_white_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "White Redaction", amount=100, size=12, softness=80, angle=-45)
+
+
+@query("select v.image_id, x, y, cast(floor(luma + (cast(floor((" + " + ".join(_at(d, 0) for d in (-2, -1, 0, 1, 2)) + ") / 5.0::double) as int) - luma) * 0.8::double) as int) as luma from v_raster v join g on v.image_id = g.image_id", V, _GRID)
+def effect_directional_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Directional Blur", amount=80, size=5, softness=5)
+
+
+_KERNEL = [math.exp(-d * d / 2) for d in range(-3, 4)]
+_KERNEL = [w / sum(_KERNEL) for w in _KERNEL]
+
+
+def _blur_sql(amount: int) -> str:
+    """A Gaussian of deviation 1 as two passes over rows and columns with edges repeated."""
+    row = " + ".join(f"{w!r}::double * p[y * 8 + least(7, greatest(0, x + {d})) + 1]" for d, w in zip(range(-3, 4), _KERNEL, strict=True))
+    col = " + ".join(f"{w!r}::double * q[least(7, greatest(0, y + {d})) * 8 + x + 1]" for d, w in zip(range(-3, 4), _KERNEL, strict=True))
+    return f"""select image_id, x, y, cast(floor(luma + (cast(floor(round({col}, 6)) as int) - luma) * ({amount} / 100.0::double)) as int) as luma
+      from (select r.*, list(across) over (partition by image_id order by y, x rows between unbounded preceding and unbounded following) as q from (select v.*, {row} as across from v_raster v join g on v.image_id = g.image_id) r)"""
+
+
+@query(_blur_sql(100), V, _GRID)
+def effect_soft_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Soft Blur", amount=100, size=1, softness=10)
+
+
+@query(_blur_sql(60), V, _GRID)
+def effect_privacy_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Privacy Blur", amount=60, size=1, softness=4)
+
+
+_WAVE = "((sin(y * (2 * pi() / 6)) + sin(y * (4 * pi() / 6)) / 2) * (3 / 1.5::double))"
+
+
+@query(f"""select v.image_id, x, y, p[y * 8 + cast(greatest(0, least(7, round_even(x - {_WAVE}, 0))) as int) + 1] as luma from v_raster v join g on v.image_id = g.image_id""", V, _GRID)
+def effect_wave_scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Wave Scramble", amount=100, size=6, softness=3, detail=2)
+
+
+@query("""select image_id, x, y, case when (x - mx) / 4.0::double - band < 0.12 + greatest(0, least(1, (0.5 - mean / 255.0::double) * (0.7 + 84 / 45.0::double) + 0.5)) * 0.78 then 10 else 247 end as luma from
+  (select *, avg(luma) over (partition by image_id, band) as mean from (select *, min(x) over (partition by image_id) as mx, cast(floor((x - min(x) over (partition by image_id)) / 4.0::double) as int) as band from v_raster))""", V)
+def effect_barcode_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Barcode Redaction", amount=100, size=2, detail=84)
+
+
+_TILE_SEED = 8 * 73856093 ^ 8 * 19349663 ^ 4
+
+
+def _shuffle4_sql() -> str:
+    return _shuffle_sql(_TILE_SEED, 100).replace("x // 2", "x // 4").replace("y // 2", "y // 4").replace("* 2 +", "* 4 +").replace("% 2 ", "% 4 ").replace("% 2)", "% 4)").replace("16 * 100", "4 * 100")
+
+
+@query("select image_id, x, y, cast(floor(v.luma + (s.luma - v.luma) * 0.9::double) as int) as luma from v_raster v join shuffled s using (image_id, x, y)", V, _shuffle4_sql())
+def effect_encrypted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Encrypted Tiles", amount=90, size=4, softness=100)
 
 
 @query("select clip_id, frame_idx, cast(sum(duration_ms) over (partition by clip_id order by frame_idx) as bigint) as elapsed from v_frames", views.FRAMES_SQL)

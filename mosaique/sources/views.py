@@ -24,6 +24,23 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.selectExpr("image_id", "cast(pos % 8 as int) as x", "cast(pos div 8 as int) as y", "luma")
 
 
+def colored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, x, y, r, g, b: three vectors side by side as a 24 x 8 picture (the last one may be narrower)."""
+    return raster(spark, sf_dir).selectExpr("image_id div 3 as image_id", "cast(image_id % 3 * 8 + x as int) as x", "y", "luma as r", "cast((luma * 3 + x * 5 + y) % 256 as int) as g", "255 - luma as b")
+
+
+def joined_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, x, y, luma: 64 vectors as one 64 x 64 picture (the last one may have a gap)."""
+    return raster(spark, sf_dir).selectExpr("image_id div 64 as image_id", "cast(image_id % 8 * 8 + x as int) as x", "cast(image_id % 64 div 8 * 8 + y as int) as y", "luma")
+
+
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id and content: each vector as a 24-bit bitmap file of 8 x 8 grey pixels."""
+    header = "424DF60000000000000036000000280000000800000008000000010018000000" + "0000C0000000130B0000130B00000000000000000000"
+    pixel = "repeat(lpad(hex(element_at(luma, cast((7 - k div 8) * 8 + k % 8 + 1 as int))), 2, '0'), 3)"
+    return raster_arrays(spark, sf_dir).selectExpr("image_id", f"unhex(concat('{header}', array_join(transform(sequence(0, 63), k -> {pixel}), ''))) as content")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, frame_idx, duration_ms, event_type, value: each user's events as the frames of a clip."""
     events = _table(spark, sf_dir, "events").selectExpr(
@@ -79,6 +96,12 @@ v_raster as (select vec_id as image_id, cast((pos - 1) % 8 as int) as x, cast((p
   cast(greatest(0, least(255, floor((cast(embedding[pos] as double) + 0.5) * 255))) as int) as luma
   from embeddings, range(1, 65) r(pos))"""
 
+COLORED_SQL = """
+v_colored as (select image_id // 3 as image_id, cast(image_id % 3 * 8 + x as int) as x, y, luma as r, cast((luma * 3 + x * 5 + y) % 256 as int) as g, 255 - luma as b from v_raster)"""
+
+JOINED_SQL = """
+v_joined as (select image_id // 64 as image_id, cast(image_id % 8 * 8 + x as int) as x, cast(image_id % 64 // 8 * 8 + y as int) as y, luma from v_raster)"""
+
 FRAMES_SQL = """
 v_frames as (select clip_id, frame_idx, coalesce((nxt - us) // 1000, 100) as duration_ms, event_type, value
   from (select user_id clip_id, row_number() over w - 1 frame_idx, epoch_us(ts) us, lead(epoch_us(ts)) over w nxt, event_type, value
