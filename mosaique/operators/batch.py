@@ -205,7 +205,7 @@ def collision_free_names(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """final_name for every row of `plan` (folder, name, position): name, name (2), name (3)... free of `existing` and of earlier rows.
 
     The rows that want one name are numbered, the taken numbers are removed from 1, 2, 3..., and the k-th row gets
-    the k-th free number. A number may make a name that another row wants as it is; such rows go into another
+    the k-th free number, by one running count over both in order. A number may make a name that another row wants as it is; such rows go into another
     round, against all names given so far. Rounds end when every row has a name.
     """
     split = [F.regexp_replace("name", r"(?<=.)\.[^.]+$", "").alias("stem"), F.regexp_extract("name", r"^.+(\.[^.]+)$", 1).alias("suffix")]
@@ -221,11 +221,14 @@ def collision_free_names(plan: DataFrame, existing: DataFrame) -> DataFrame:
         used = plain.unionByName(numbered).join(wanted.hint("merge"), ["folder", "stem", "suffix"], "left_semi").distinct()
         # Slot s has s - (used slots up to s) free ones below it; the used ones, sorted, say how far each rank moves.
         order = Window.partitionBy("folder", "stem", "suffix").orderBy("slot")
-        steps = used.withColumn("free_before", F.col("slot") - F.row_number().over(order))
-        ranked = todo.withColumn("rank", F.row_number().over(Window.partitionBy("folder", "stem", "suffix").orderBy("position")))
-        moves = steps.groupBy("folder", "stem", "suffix").agg(F.sort_array(F.collect_list("free_before")).alias("moves"))
-        named = ranked.join(moves.hint("merge"), ["folder", "stem", "suffix"], "left")
-        slot = F.col("rank") + F.coalesce(F.size(F.filter("moves", lambda m: m < F.col("rank"))), F.lit(0))
+        key = ["folder", "stem", "suffix"]
+        steps = used.select(*key, (F.col("slot") - F.row_number().over(order)).cast("long").alias("_at"), F.lit(1).alias("_moves"))
+        ranked = todo.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("position")))
+        # Ranks and used slots in one order: a rank moves by the used slots that have fewer free ones below them.
+        both = ranked.withColumns({"_at": F.col("rank").cast("long"), "_moves": F.lit(0)}).unionByName(steps, allowMissingColumns=True)
+        before = Window.partitionBy(*key).orderBy("_at", "_moves").rowsBetween(Window.unboundedPreceding, -1)
+        named = both.withColumn("moved", F.coalesce(F.sum("_moves").over(before), F.lit(0))).filter("_moves = 0")
+        slot = F.col("rank") + F.col("moved")
         given = F.when(slot == 1, F.concat("stem", "suffix")).otherwise(F.concat(F.col("stem"), F.lit(" ("), slot.cast("string"), F.lit(")"), F.col("suffix")))
         named = named.withColumn("final_name", given)
         first = Window.partitionBy("folder", "final_name").orderBy(F.col("final_name") != F.col("name"), "position")

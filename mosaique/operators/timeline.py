@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mosaique.session import materialize
+
 #: Limits of import plans.
 SOFT_FRAMES, SOFT_MS, HARD_FRAMES = 900, 60_000, 9_000
 SOFT_PIXELS, HARD_PIXELS = 160_000_000, 1_000_000_000
@@ -53,10 +55,14 @@ def frame_at(frames: DataFrame, positions: DataFrame) -> DataFrame:
 
 def frame_at_loop(frames: DataFrame, elapsed: DataFrame) -> DataFrame:
     """elapsed (clip_id, first, last, elapsed) with frame_idx: the frame on show when frames first..last repeat."""
-    bounds = frame_bounds(frames).select(F.col(KEY).alias("_clip"), F.col("frame_idx").alias("_frame"), "start_ms", "end_ms")
-    edges = elapsed.join(bounds.hint("merge"), (F.col(KEY) == F.col("_clip")) & F.col("_frame").between(F.col("first"), F.col("last")))
-    per = edges.groupBy(KEY, "first", "last", "elapsed").agg(F.min("start_ms").alias("_from"), F.max("end_ms").alias("_to"))
-    per = per.withColumn("_t", F.col("_from") + F.pmod(F.col("elapsed"), F.col("_to") - F.col("_from")))
+    bounds = materialize(frame_bounds(frames).select(KEY, "frame_idx", "start_ms", "end_ms"), "bounds")
+    ends = bounds.groupBy(KEY).agg(F.min("frame_idx").alias("_low"), F.max("frame_idx").alias("_high"))
+    held = elapsed.join(ends.hint("merge"), KEY).withColumns({"_first": F.greatest("first", "_low"), "_last": F.least("last", "_high")}).filter("_first <= _last")
+    # Only the two frames at the ends of a range are looked up.
+    at = lambda name, bound, to: bounds.select(F.col(KEY).alias(f"{name}_clip"), F.col("frame_idx").alias(f"{name}_frame"), F.col(bound).alias(to)).hint("merge")
+    per = held.join(at("_a", "start_ms", "_from"), (F.col(KEY) == F.col("_a_clip")) & (F.col("_first") == F.col("_a_frame")))
+    per = per.join(at("_b", "end_ms", "_to"), (F.col(KEY) == F.col("_b_clip")) & (F.col("_last") == F.col("_b_frame")))
+    per = per.select(KEY, "first", "last", "elapsed", (F.col("_from") + F.pmod(F.col("elapsed"), F.col("_to") - F.col("_from"))).alias("_t")).distinct()
     at = frame_at(frames, per.select(KEY, F.col("_t").alias("position")).distinct()).withColumnRenamed("position", "_t")
     return per.join(at.hint("merge"), [KEY, "_t"]).select(KEY, "first", "last", "elapsed", "frame_idx")
 

@@ -134,27 +134,29 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.run_summary(views.catalog(spark, sf_dir).select(run.alias("run"), outcome.alias("outcome")), ["run"])
 
 
-@query("select distinct path from v_catalog where image_id % 5 = 0 and path in (select path from v_catalog where image_id % 3 = 0)", C)
+@query("select distinct path from v_catalog where (ext = 'txt' or n_frames > 20 or width * height > 2000000) and path in (select path from v_catalog where size_bytes > 0 and not has_alpha)", C)
 def retry_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What failed (no picture, too many frames or pixels) and still lies there (files without transparency)."""
     rows = views.catalog(spark, sf_dir)
-    return B.retry_set(rows.filter("image_id % 5 = 0"), rows.filter("image_id % 3 = 0"))
+    return B.retry_set(rows.filter("ext = 'txt' or n_frames > 20 or width * height > 2000000"), rows.filter("size_bytes > 0 and not has_alpha"))
 
 
-@query("""select path, position from (select path, row_number() over (order by min(image_id)) - 1 as position from v_catalog where image_id % 4 = 0 group by path)
-  union all select path, (select count(distinct path) from v_catalog where image_id % 4 = 0) + row_number() over (order by min(image_id), path) - 1
-  from v_catalog where image_id % 3 = 0 and path not in (select path from v_catalog where image_id % 4 = 0) group by path""", C)
+@query("""select path, position from (select path, row_number() over (order by min(image_id)) - 1 as position from v_catalog where n_frames > 1 group by path)
+  union all select path, (select count(distinct path) from v_catalog where n_frames > 1) + row_number() over (order by min(image_id), path) - 1
+  from v_catalog where path not in (select path from v_catalog where n_frames > 1) group by path""", C)
 def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(views.catalog(spark, sf_dir).select("path", F.col("image_id").alias("position")), "catalog")
-    empty = rows.limit(0)
-    queue = materialize(B.append_new(empty, rows.filter("position % 4 = 0")), "queue")
-    return B.append_new(queue, rows.filter("position % 3 = 0"))
+    """Animations are queued first, then the whole catalogue is added."""
+    rows = materialize(views.catalog(spark, sf_dir).select("path", F.col("image_id").alias("position"), "n_frames"), "catalog")
+    queue = materialize(B.append_new(rows.limit(0), rows.filter("n_frames > 1")), "queue")
+    return B.append_new(queue, rows)
 
 
-@query("""select image_id from v_catalog where image_id % 2 = 1 and regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') not in
-  (select regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') from v_catalog where image_id % 40 = 0)""", C)
+@query("""select image_id from v_catalog where regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') not in
+  (select regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') from v_catalog where ext in ('mp4', 'gif') and n_frames > 25)""", C)
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metadata against the long animations."""
     rows = views.catalog(spark, sf_dir)
-    return B.orphans(rows.filter("image_id % 2 = 1"), rows.filter("image_id % 40 = 0")).select("image_id")
+    return B.orphans(rows, rows.filter("ext in ('mp4', 'gif') and n_frames > 25")).select("image_id")
 
 
 _NAME = "regexp_extract(path, '([^/]*)$', 1)"

@@ -43,11 +43,13 @@ def frame_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.frame_at(frames, asked)
 
 
-@query("""select clip_id, 1 as first, cast(n - 2 as int) as last, elapsed, (select max(frame_idx) from b x where x.clip_id = q.clip_id and x.s <= q.lo + q.elapsed % (q.hi - q.lo)) as frame_idx from
-  (select clip_id, max(n) as n, min(s) filter (where frame_idx = 1) as lo, max(e) filter (where frame_idx = n - 2) as hi, cast(max(total) * 3 + 12345 as bigint) as elapsed from b where n >= 4 group by clip_id) q""", FR, _CLEAN, _BOUNDS)
+@query("""select clip_id, first, last, elapsed, (select max(frame_idx) from b x where x.clip_id = q.clip_id and x.s <= q.lo + q.elapsed % (q.hi - q.lo)) as frame_idx from
+  (select clip_id, cast(least(1, max(n) - 1) as int) as first, cast(greatest(least(1, max(n) - 1), max(n) - 2) as int) as last, min(s) filter (where frame_idx = least(1, n - 1)) as lo,
+     max(e) filter (where frame_idx = greatest(least(1, n - 1), n - 2)) as hi, cast(case when max(n) > 1 then max(total) else 0 end * 3 + 12345 as bigint) as elapsed from b group by clip_id) q""", FR, _CLEAN, _BOUNDS)
 def frame_at_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = views.frames(spark, sf_dir)
-    asked = T.clip_summary(frames).filter("n_frames >= 4").select("clip_id", F.lit(1).alias("first"), (F.col("n_frames") - 2).cast("int").alias("last"), (F.col("total_ms") * 3 + 12345).alias("elapsed"))
+    first, n = F.least(F.lit(1), F.col("n_frames") - 1), F.col("n_frames")
+    asked = T.clip_summary(frames).select("clip_id", first.cast("int").alias("first"), F.greatest(first, n - 2).cast("int").alias("last"), (F.col("total_ms") * 3 + 12345).alias("elapsed"))
     return T.frame_at_loop(frames, asked)
 
 

@@ -45,10 +45,13 @@ def reach_workers(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder instead.
+    Without that setting a session on one machine (a test) gets a temporary folder; a cluster gets an error.
     """
     found = spark.conf.get(_OWN_DIR, None) or spark.sparkContext.getConf().get(_OWN_DIR)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{_OWN_DIR} must name a folder that driver and executors share ({master} is no single machine)")
         found = "file://" + tempfile.mkdtemp(prefix="mosaique-")
         spark.conf.set(_OWN_DIR, found)
     if not spark.sparkContext.getCheckpointDir():
@@ -57,8 +60,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used yet."""
-    return f"{shared_dir(spark)}/mosaique/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nobody has used yet, in a folder of this application."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/mosaique/{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; none of its results may be in use any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

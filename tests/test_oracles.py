@@ -48,7 +48,7 @@ def test_queries_without_sql_are_known():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-def test_entry_module_without_llm(spark, sf_dir):
+def test_entry_module(spark, sf_dir):
     import __spark_entry__ as entry
 
     assert "similar_groups" in entry.queries() and "similar_groups" in entry.oracle_sql()
