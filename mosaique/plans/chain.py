@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mosaique.functions import scalars as S
 from mosaique.operators import raster as R
+from mosaique.session import materialize
 
 KEYS = ("amount", "size", "softness", "detail", "angle", "edge", "phase")
 
@@ -310,11 +311,82 @@ def _barcode(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataF
     return step
 
 
+def _silhouette(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """Two tones on either side of a share of the stretched range."""
+    dark = max(0, min(100, spec["angle"]))
+    edge = max(0, min(255, round(255 * spec["softness"] / 100)))
+
+    def step(pixels: DataFrame) -> DataFrame:
+        grey = R.gaussian(pixels, "luma", spec["size"] / 8, width, height) if spec["size"] else pixels
+        spread = R.percentile_stretch(grey, "luma", max(0, round((100 - spec["detail"]) / 12)))
+        return _onto(pixels, spread.select(*R.AT, S.two_tone(F.col("stretched"), edge, dark, 255 - dark).alias("luma")), spec["amount"])
+
+    return step
+
+
+def _grey(pixels: DataFrame) -> DataFrame:
+    return pixels.select(*R.AT, S.luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"))
+
+
+def _mixed_colors(pixels: DataFrame, changed: DataFrame, amount: float) -> DataFrame:
+    """r, g, b of the pixels mixed with those of the changed picture."""
+    new = changed.select(*R.AT, *[F.col(c).alias(f"_{c}") for c in "rgb"])
+    both = pixels.select(*R.AT, "r", "g", "b").join(new.hint("merge"), R.AT)
+    return both.select(*R.AT, *[F.floor(S.mix(F.col(c), F.col(f"_{c}"), amount)).cast("int").alias(c) for c in "rgb"])
+
+
+EDGES = [(dx, dy, 8 if dx == dy == 0 else -1) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
+def _thermal(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """Grey as heat: three overlapping ramps, moved by a phase, darker along edges."""
+    gain, phase, edges = 0.55 + spec["softness"] / 55, spec["detail"] / 100, spec["angle"]
+
+    def step(pixels: DataFrame) -> DataFrame:
+        grey = _grey(pixels)
+        smooth = R.gaussian(grey, "luma", spec["size"] / 4, width, height) if spec["size"] else grey
+        heat = S.clip((F.col("luma") / 255.0 - 0.5) * gain + 0.5, 0.0, 1.0)
+        heat = F.pmod(F.round(heat + phase, 9), F.lit(1.0))
+        table = smooth.select(*R.AT, heat.alias("_t"))
+        shade = F.lit(1.0)
+        if edges:
+            # The outermost pixels have no full neighbourhood and keep their grey as their edge.
+            found = R.stencil(grey, "luma", EDGES, "_edge")
+            table = table.join(grey.join(found.hint("merge"), R.AT, "left").select(*R.AT, S.clip(F.coalesce("_edge", "luma")).alias("_edge")).hint("merge"), R.AT)
+            shade = S.clip(1 - F.col("_edge") / 255.0 * (edges / 180), 0.3, 1.0)
+        ramp = lambda at: S.clip(1.5 - F.abs(4 * F.col("_t") - at), 0.0, 1.0)
+        colors = [F.floor(F.round(ramp(at) * shade * 255, 6)).cast("int").alias(c) for c, at in zip("rgb", (3, 2, 1), strict=True)]
+        return _mixed_colors(pixels, table.select(*R.AT, *colors), spec["amount"])
+
+    return step
+
+
+def _prism(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    """Red and blue drawn apart along an angle, blurred, with more colour."""
+    turn, far = math.radians(spec["angle"]), max(1, spec["size"])
+    dx, dy = round(math.cos(turn) * far), round(math.sin(turn) * far)
+
+    def step(pixels: DataFrame) -> DataFrame:
+        out = pixels.select(*R.AT, "g")
+        for c, way in (("r", 1), ("b", -1)):
+            moved = R.displace(pixels.select(*R.AT, c), c, F.lit(way * dx), F.lit(way * dy), "_moved", width, height)
+            out = out.join(moved.select(*R.AT, F.col("_moved").alias(c)).hint("merge"), R.AT)
+        if spec["softness"]:
+            parts = [R.gaussian(out.select(*R.AT, c), c, max(0.2, spec["softness"] / 18), width, height) for c in "rgb"]
+            out = parts[0].join(parts[1].hint("merge"), R.AT).join(parts[2].hint("merge"), R.AT)
+        return _mixed_colors(pixels, R.adjust_colors(out, saturation=spec["detail"]), spec["amount"])
+
+    return step
+
+
 #: Effect -> builder of its step. An effect that isn't here is refused, never swapped for another.
 STEPS = {
     "Pixelate": _pixelate, "Mosaic": _mosaic, "Directional Blur": _directional, "Soft Blur": _blur, "Privacy Blur": _blur,
-    "Black Redaction": _solid(0), "White Redaction": _solid(255), "Wave Scramble": _wave, "Encrypted Tiles": _tiles, "Barcode Redaction": _barcode,
+    "Black Redaction": _solid(0), "White Redaction": _solid(255), "Wave Scramble": _wave, "Encrypted Tiles": _tiles, "Barcode Redaction": _barcode, "Silhouette": _silhouette,
 }
+#: Effects that need colours; and those that look at grey and give every channel the same picture.
+COLOR_STEPS = {"Thermal Map": _thermal, "Prism Split": _prism}
+FROM_GREY = {"Barcode Redaction", "Silhouette"}
 
 
 def _step_of(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
@@ -335,6 +407,32 @@ def run_chain(pixels: DataFrame, specs: list[dict], width: int, height: int, box
     return R.apply_to_target(both, "luma", F.col("_new"), polygon, box).drop("_new")
 
 
+def run_chain_colors(pixels: DataFrame, specs: list[dict], width: int, height: int, box: tuple[int, int, int, int] | None = None, polygon: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The same on r, g and b: effects of one channel go over each; every step is written, so that plans don't multiply."""
+    steps = [COLOR_STEPS[s["name"]](s, width, height) if s["name"] in COLOR_STEPS else _on_channels(s, width, height) for s in specs]
+    changed = original = pixels.select(*R.AT, "r", "g", "b")
+    for k, step in enumerate(steps):
+        changed = step(materialize(changed, "colors") if k else changed)
+    if not specs:
+        return changed
+    new = changed.select(*R.AT, *[F.col(c).alias(f"_{c}") for c in "rgb"])
+    both = original.join(new.hint("merge"), R.AT)
+    hit = R.target_hit(polygon, box)
+    return both.select(*R.AT, *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"])
+
+
+def _on_channels(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
+    def step(pixels: DataFrame) -> DataFrame:
+        if spec["name"] in FROM_GREY:
+            changed = _step_of(spec | {"amount": 100}, width, height)(_grey(pixels))
+            return _mixed_colors(pixels, changed.select(*R.AT, *[F.col("luma").alias(c) for c in "rgb"]), spec["amount"])
+        build = _step_of(spec, width, height)
+        parts = [build(pixels.select(*R.AT, F.col(c).alias("luma"))).select(*R.AT, F.col("luma").alias(c)) for c in "rgb"]
+        return parts[0].join(parts[1].hint("merge"), R.AT).join(parts[2].hint("merge"), R.AT)
+
+    return step
+
+
 def preset_specs(name: str) -> list[dict]:
     """The specifications of a named chain, for `run_chain`."""
     found = [dict(zip(("name", *KEYS), row[2:], strict=True)) for row in sorted(CHAIN_PRESETS) if row[0] == name]

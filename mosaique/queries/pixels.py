@@ -422,6 +422,36 @@ def effect_encrypted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one(spark, sf_dir, "Encrypted Tiles", amount=90, size=4, softness=100)
 
 
+@query("""select image_id, x, y, case when s >= 128 then 155 else 100 end as luma from (select *, case when hi > lo then floor(round(greatest(0, least(255, (luma - lo) * 255.0::double / (hi - lo))), 6) + 0.5) else luma end as s from
+  (select *, quantile_cont(luma::double, 0.02) over (partition by image_id) as lo, quantile_cont(luma::double, 0.98) over (partition by image_id) as hi from v_raster))""", V)
+def effect_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, sf_dir, "Silhouette", amount=100, softness=50, detail=78, angle=100)
+
+
+def _colors(spark: SparkSession, sf_dir: str, name: str, **values: int) -> DataFrame:
+    return K.run_chain_colors(views.colored(spark, sf_dir), [{"name": name} | dict.fromkeys(K.KEYS, 0) | values], 24, 8)
+
+
+_HEAT = "(round(greatest(0, least(1, (luma / 255.0::double - 0.5) * (0.55 + 72 / 55.0::double) + 0.5)) + 0.2, 9) % 1.0::double)"
+_RAMP = "cast(floor({0} + (floor(round(greatest(0, least(1, 1.5 - abs(4 * {1} - {2}))) * greatest(0.3, least(1, 1 - e / 255.0::double * (58 / 180.0::double))) * 255, 6)) - {0}) * 0.9::double) as int) as {0}"
+
+
+@query(f"""select image_id, x, y, {", ".join(_RAMP.format(c, _HEAT, at) for c, at in (("r", 3), ("g", 2), ("b", 1)))} from (select *, greatest(0, least(255,
+    coalesce(9 * luma - (l + luma + rr + ul + u + ur + dl + d + dr), luma))) as e from (select *, lag(luma) over row_ as l, lead(luma) over row_ as rr, lag(luma) over col as u, lead(luma) over col as d,
+    lag(ll) over col as ul, lag(lr) over col as ur, lead(ll) over col as dl, lead(lr) over col as dr from (select *, lag(luma) over row_ as ll, lead(luma) over row_ as lr from c0 window row_ as (partition by image_id, y order by x))
+    window row_ as (partition by image_id, y order by x), col as (partition by image_id, x order by y)))""", V, views.COLORED_SQL, _RGB)
+def effect_thermal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _colors(spark, sf_dir, "Thermal Map", amount=90, softness=72, detail=20, angle=58)
+
+
+@query("""select image_id, x, y, cast(floor(round(greatest(0, least(255, k + (r2 - k) * 1.28::double)), 6)) as int) as r, cast(floor(round(greatest(0, least(255, k + (g - k) * 1.28::double)), 6)) as int) as g,
+  cast(floor(round(greatest(0, least(255, k + (b2 - k) * 1.28::double)), 6)) as int) as b from (select *, cast(floor((r2 * 299 + g * 587 + b2 * 114 + 500) / 1000.0::double) as int) as k from
+  (select v.image_id, v.x, v.y, v.g, q.r as r2, z.b as b2 from v_colored v
+   join v_colored q on q.image_id = v.image_id and q.x = greatest(0, v.x - 3) and q.y = least(7, v.y + 2) join v_colored z on z.image_id = v.image_id and z.x = least(23, v.x + 3) and z.y = greatest(0, v.y - 2)))""", V, views.COLORED_SQL)
+def effect_prism_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _colors(spark, sf_dir, "Prism Split", amount=100, size=4, detail=28, angle=-34)
+
+
 @query("select clip_id, frame_idx, cast(sum(duration_ms) over (partition by clip_id order by frame_idx) as bigint) as elapsed from v_frames", views.FRAMES_SQL)
 def apply_on_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's function (running sum) per clip."""
