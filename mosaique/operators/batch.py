@@ -15,6 +15,7 @@ FORMAT_SUFFIX = {"PNG": ".png", "JPEG": ".jpg", "WebP": ".webp", "TIFF": ".tiff"
 MIB = 1024**2
 MAX_PIXELS = 300_000_000
 
+#: Settings of a batch job and what they are unless chosen.
 DEFAULTS: dict[str, object] = {
     "mode": "Scale factor", "scale_factor": 2.0, "target_width": 1920, "target_height": 1080, "output_format": "PNG", "skip_if_larger": False,
     "max_workers": 4, "animation_fps": 0, "video_bitrate_kbps": 0, "gif_colors": 256, "tile_size": 0, "ai_preview_max_side": 800,
