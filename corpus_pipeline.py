@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet into the shared
 folder and reads it back as the next stage's docs. All stages but the last keep the columns of `documents`.
+
+Cases, in every stage: a null text counts as empty (and is dropped by the quality rules, which ask for ten words);
+rows with a null id are judged by their text like any others, but near-dedup never links them; rows repeated as a
+whole are copies of each other, of which exact dedup keeps one; other columns pass through all stages but the last,
+whatever their names are (helper columns have names of their own, and columns are read by position in Python); an empty
+table gives an empty table with the same columns, and no pieces in the end; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -18,30 +24,30 @@ from mosaique.session import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the production policy keeps."""
+    """The documents that the corpus policy keeps, by the mask of failed rules; too short, repetitive or garbled ones go."""
     bound_batches(spark)
     return keep_good(docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose texts are equal without white space."""
+    """One document of each group whose texts are equal without white space: the longest, then the smallest id."""
     return drop_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles: the smallest id. Texts without words stay."""
     bound_batches(spark)
     return drop_near_copies(docs, k=5, percent=80)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data and secrets."""
+    """All documents, with surrogates for personal data and secrets, and `n_chars` brought up to date. Null texts stay null."""
     bound_batches(spark)
     return replace_in(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
+    """Every piece of every document with its place in a sequence; a text without tokens is one piece with the end id."""
     bound_batches(spark)
     return pack_documents(docs)
 
