@@ -81,8 +81,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("doc_id").alias(key[0]), F.col("n_points").alias(key[1]), F.col("digest").alias(key[2])
     ).agg(F.count("*").alias("_dedup_rows"), F.max(F.col("kept").cast("int")).alias("_dedup_kept"))
     per_key = materialize(per_key.filter("_dedup_kept = 0 or _dedup_rows > 1"), "dropped")
-    keyed = docs.withColumns({
-        key[0]: F.col(id_col), key[1]: F.char_length(whole_text(text_col)).cast("long"), key[2]: text_digest(text_col),
+    # Columns go by place meanwhile, so that none of them can have the name of a helper.
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+    own_id, own_text = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
+    keyed = plain.withColumns({
+        key[0]: F.col(own_id), key[1]: F.char_length(whole_text(own_text)).cast("long"), key[2]: text_digest(own_text),
     })
     rows = per_key.count()
     right = per_key.select(*[F.col(c).alias(f"{c}_r") for c in key], "_dedup_rows", "_dedup_kept")
@@ -92,6 +95,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = keyed.join(right.hint("broadcast" if rows <= BROADCAST_ROWS else "merge"), on, "left")
     stays = joined.filter(F.col("_dedup_rows").isNull())
     if per_key.filter("_dedup_kept = 1").isEmpty():
-        return stays.select(docs.columns)
+        return stays.select(plain.columns).toDF(*docs.columns)
     repeated = joined.filter("_dedup_kept = 1").dropDuplicates(key)
-    return stays.select(docs.columns).unionByName(repeated.select(docs.columns))
+    return stays.select(plain.columns).unionByName(repeated.select(plain.columns)).toDF(*docs.columns)
