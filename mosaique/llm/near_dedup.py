@@ -4,23 +4,23 @@ A document is its set of distinct word shingles. Equal sets become one class fir
 exact copies is one vertex. Then:
 
 1. TREES independent trees branch every class by minwise tokens: a node picks coordinates of the signature by a
-   hash of its own name, and a class goes to the children named by its tokens there (the root has ROOT_BRANCH
-   children per class by one token each, other nodes BRANCH by two tokens each). Nodes with one class end,
-   nodes up to SMALL classes are leaves, larger ones branch again, to DEPTH levels.
-2. A large node first compares its members with a few pivots. Members that agree with a pivot in CLOSE of the
-   signature are joined to it and leave the node; members that could be similar to one of them agree in
-   CLOSE + LEAST - 1 at least (the disagreements add up at most), and are joined to the pivot too. Nothing is lost,
-   and a large group of near copies does not branch on.
-3. Leaves are compared exhaustively by signature; pairs that agree in LEAST are joined. What is still too
-   large at DEPTH is joined as a whole.
-4. These joins only propose groups. Each proposed group is confirmed on the full sets: blocks of at most
-   BLOCK classes are compared pair by pair, skipping pairs that are already connected. A group of more than
-   one block adds the same pivots to each of its blocks, and whatever does not end in its largest component is
-   compared with the whole group, block by block. So every pair inside a proposed group that is not
-   already connected is tested exactly.
-
-At similarity 0.8 a pair is missed by one tree with probability at most 0.05, and by all with less than 1e-6;
-with 96 coordinates an agreement under 0.6 has a probability of about 2e-6.
+   hash of its own name, and a class goes to the BRANCH children named by its tokens there (by one token at the
+   root, by two below it). Nodes with one class end.
+2. A node of up to SMALL classes is compared exhaustively, by signature first; what agrees in LEAST with another
+   class of the node is compared on the full sets. Nodes that propose the same classes are compared once.
+3. A larger node is cut into chunks of about SMALL classes, all with the same PIVOTS classes added, which are
+   compared in the same way. All links so far give connected components, and only what lies outside a node's
+   largest component can still need a link there. If that is nothing, the node is done: a large group of
+   near copies ends here. If it is at most SMALL classes, they are compared with every chunk. Otherwise the node
+   branches on, to DEPTH levels, and the last level compares all that is left, tile by tile.
+
+Every link is confirmed on the full sets, and every pair that meets in an undivided node is tested unless it is
+already connected. Rows grow with a node's size, never with its square, but for nodes that stay loose to the
+last level. At similarity 0.8 two classes share a given root node with a probability of 0.8, and a node that
+branches keeps them together in some child with 0.87: a pair is missed with about 1e-7 where root nodes are
+enough, with 1e-4 after four levels of branching. With 96 coordinates an agreement under 0.6 has a probability of about
+2e-6. Shingles are 64-bit hashes; a false match of two different shingles has a probability of about 1e-13
+for a pair of long texts, and one alone moves a similarity by less than the limit can tell.
 
 Cases: a null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle
 make one shingle of all of them; rows repeated with one id share its component; rows with a null id are never
@@ -44,15 +44,13 @@ from mosaique.session import materialize
 
 COORDINATES = 96
 TREES = 5
-ROOT_BRANCH, BRANCH = 2, 4
-DEPTH = 3
-#: Classes in a leaf at most; pivots of a larger node.
-SMALL = 64
-PIVOTS = 4
-LEAST, CLOSE = 0.6, 0.85
-#: Classes that are compared with each other in one group.
-BLOCK = 256
-BLOCK_PIVOTS = 12
+BRANCH = 2
+DEPTH = 8
+#: Classes that are compared with each other at once; classes that all chunks of a larger node share.
+SMALL = 512
+PIVOTS = 12
+#: Share of the coordinates in which two classes agree before their sets are compared.
+LEAST = 0.6
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _HASHES = Cache(lambda w: xxhash.xxh64_intdigest(w), 60_000)
@@ -125,43 +123,49 @@ def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
     return materialize(rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sig array<int>"), "sets")
 
 
+def _roots(classes: DataFrame) -> DataFrame:
+    """The first level of all trees. Their coordinates are all different, so that the trees are independent."""
+    child = []
+    for tree in range(TREES):
+        for k in range(BRANCH):
+            child.append(F.xxhash64(F.lit(tree), F.lit(k), F.get("sig", F.lit(tree * BRANCH + k))))
+    return classes.select("v", F.explode(F.array(*child)).alias("node"))
+
+
 def _children(rows: DataFrame) -> DataFrame:
-    """node and v for BRANCH children of each row of node, v and sig."""
+    """node, v and label for BRANCH children, by two tokens each, of each row of node, v, label and sig."""
     child = []
     for k in range(BRANCH):
         one = F.pmod(F.xxhash64("node", F.lit(2 * k)), F.lit(COORDINATES)).cast("int")
         two = F.pmod(F.xxhash64("node", F.lit(2 * k + 1)), F.lit(COORDINATES)).cast("int")
         child.append(F.xxhash64("node", F.lit(k), F.get("sig", one), F.get("sig", two)))
-    return rows.select("v", F.explode(F.array(*child)).alias("node"))
-
-
-def _roots(classes: DataFrame) -> DataFrame:
-    """The first level of all trees. Their coordinates are all different, so that the trees are independent."""
-    child = []
-    for tree in range(TREES):
-        for k in range(ROOT_BRANCH):
-            child.append(F.xxhash64(F.lit(tree), F.lit(k), F.get("sig", F.lit(tree * ROOT_BRANCH + k))))
-    return classes.select("v", F.explode(F.array(*child)).alias("node"))
+    return rows.select("v", "label", F.explode(F.array(*child)).alias("node"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
-    """The rows of each key, from batches that are sorted by it."""
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, cut so that all rows with one value of the first column (sorted by it) come together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = batch.column(key).to_numpy()
-        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
-        if held and held[-1].column(key)[0].as_py() != values[0]:
-            yield pa.Table.from_batches(held)
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if held and (last or held[-1].column(0)[0].as_py() != key[0]):
+            # Rows of the run that is held end where the key changes; what follows up to the last run is whole too.
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
             held = []
-        for low, high in zip(edges, edges[1:], strict=False):
-            if low:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(low, high - low))
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)]).combine_chunks()
+        held.append(batch.slice(last))
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The flat values of a list column and where each row begins."""
+    whole = column.combine_chunks()
+    ends = whole.offsets.to_numpy()
+    return whole.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
 
 
 class _Union:
@@ -174,92 +178,48 @@ class _Union:
             k = self.up[k]
         return k
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
         a, b = self.find(a), self.find(b)
         self.up[max(a, b)] = min(a, b)
+        return a != b
 
 
-def _edges_batch(src: list[int], dst: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+def _meetings(percent: int):
+    """The classes of each unit that could be similar, as smaller units named by a hash of their members.
 
+    Rows: unit, side (0: compared with all, 1: only with side 0), v, label, n_shingles, sig. Two classes meet when their
+    labels differ, their sizes allow the similarity and their signatures agree in LEAST.
+    """
 
-def _leaf_edges(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src: list[int] = []
-        dst: list[int] = []
-        for run in _runs(batches, 0):
-            v, n = run.column(1).to_numpy(), run.column(2).to_numpy()
-            sig = run.column(3).combine_chunks()
-            sig = sig.values.to_numpy()[sig.offsets[0].as_py() : sig.offsets[-1].as_py()].reshape(len(v), COORDINATES)
-            union, least = _Union(len(v)), LEAST * COORDINATES
-            for i in range(len(v) - 1):
-                fits = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
-                if fits.any():
-                    near = np.flatnonzero(fits & ((sig[i + 1 :] == sig[i]).sum(axis=1) >= least))
-                    for j in near.tolist():
-                        union.join(i, i + 1 + j)
-            for i in range(len(v)):
-                if (root := union.find(i)) != i:
-                    src.append(int(v[root]))
-                    dst.append(int(v[i]))
-            if len(src) > 20_000:
-                yield _edges_batch(src, dst)
-                src, dst = [], []
-        yield _edges_batch(src, dst)
+        for run in _whole_runs(batches):
+            unit, side, v, label, n = (run.column(c).to_numpy() for c in range(5))
+            sig = _lists(run.column(5))[0].reshape(len(v), COORDINATES)
+            union, met = _Union(len(v)), np.zeros(len(v), bool)
+            left, step = np.flatnonzero(side == 0), 1
+            while len(left := left[left + step < len(v)]) and len(left := left[unit[left] == unit[left + step]]):
+                other = left + step
+                fits = (label[left] != label[other]) & (100 * np.minimum(n[left], n[other]) >= percent * np.maximum(n[left], n[other]))
+                i, j = left[fits], other[fits]
+                near = (sig[i] == sig[j]).sum(axis=1) >= LEAST * COORDINATES
+                for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                    union.join(a, b)
+                met[i[near]] = met[j[near]] = True
+                step += 1
+            found = np.flatnonzero(met)
+            root = np.fromiter((union.find(k) for k in found.tolist()), np.int64, len(found))
+            found = found[np.lexsort((found, root))]
+            root.sort()
+            edges = [*np.flatnonzero(np.r_[True, root[1:] != root[:-1]]).tolist(), len(root)] if len(root) else [0]
+            name = np.empty(len(found), np.int64)
+            for low, high in zip(edges, edges[1:], strict=False):
+                members = np.stack([v[found[low:high]], side[found[low:high]]])
+                name[low:high] = np.uint64(xxhash.xxh64_intdigest(members[:, np.argsort(members[0], kind="stable")].tobytes())).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(side[found]), pa.array(v[found]), pa.array(label[found])], ["unit", "side", "v", "label"])
 
     return compare
 
 
-def _described(level: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of nodes with two classes or more: node, v, n_node, n_shingles, sig, and in large nodes `agree`.
-
-    `agree` has, for each pivot of the node, its v and the coordinates that it has in common with the row. The
-    pivots are the classes that a hash puts first in each of PIVOTS salts, in the same order for all nodes, so that nodes
-    with much the same members choose the same ones. Counts and pivots come from one aggregate of integers.
-    """
-    h, salt = F.xxhash64("v"), F.pmod(F.xxhash64("v", F.lit(1)), F.lit(PIVOTS))
-    firsts = [F.min(F.when(salt == k, h)).alias(f"p{k}") for k in range(PIVOTS)]
-    nodes = level.groupBy("node").agg(F.count("*").alias("n_node"), *firsts).filter("n_node > 1")
-    nodes = materialize(nodes, "nodes")
-    slots = nodes.filter(F.col("n_node") > SMALL).select("node", F.explode(F.array_compact(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("h"))
-    signed = slots.join(classes.select("v", "sig", h.alias("h")).hint("merge"), "h")
-    pivots = signed.groupBy("node").agg(F.collect_list(F.struct("v", "sig")).alias("pivots"))
-    info = nodes.select("node", "n_node").join(pivots.hint("merge"), "node", "left")
-    rows = level.join(info.hint("merge"), "node").join(classes.select("v", "n_shingles", "sig").hint("merge"), "v")
-    same = lambda p: F.aggregate(F.zip_with(p["sig"], F.col("sig"), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    agree = F.transform("pivots", lambda p: F.struct(same(p).alias("same"), p["v"].alias("p")))
-    return materialize(rows.select("node", "v", "n_node", "n_shingles", "sig", agree.alias("agree")), "described")
-
-
-def proposed_links(classes: DataFrame, percent: int) -> DataFrame:
-    """src, dst: links that connect at least all classes that are similar. `classes` has v, n_shingles, sig."""
-    links: list[DataFrame] = []
-    level = _roots(classes)
-    for depth in range(1, DEPTH + 1):
-        rows = _described(materialize(level, "level"), classes)
-        leaves = rows.filter(F.col("n_node") <= SMALL).select("node", "v", "n_shingles", "sig")
-        leaves = leaves.repartition("node").sortWithinPartitions("node", "v")
-        links.append(materialize(leaves.mapInArrow(_leaf_edges(percent), "src long, dst long").distinct(), "links"))
-        large = rows.filter(F.col("n_node") > SMALL)
-        if large.isEmpty():
-            break
-        near = F.array_sort(F.transform(F.filter("agree", lambda a: a["same"] >= (CLOSE + LEAST - 1) * COORDINATES), lambda a: a["p"]))
-        joined = materialize(large.select("v", near.alias("near")).filter(F.size("near") > 0).distinct(), "near")
-        # One link per member, and the pivots that one member is near to are linked with each other.
-        links.append(joined.select(F.get("near", F.lit(0)).alias("src"), F.col("v").alias("dst")).filter("src <> dst"))
-        together = joined.filter(F.size("near") > 1).select("near").distinct()
-        links.append(together.select(F.get("near", F.lit(0)).alias("src"), F.explode(F.slice("near", 2, PIVOTS)).alias("dst")))
-        rest = large.filter(~F.exists("agree", lambda a: a["same"] >= CLOSE * COORDINATES))
-        if depth == DEPTH:
-            links.append(rest.select(F.get("agree", F.lit(0))["p"].alias("src"), F.col("v").alias("dst")).filter("src <> dst"))
-        else:
-            level = _children(rest)
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return found
-
-
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if 100 * len(small) < percent * len(large):
@@ -270,52 +230,162 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(k: int, percent: int):
-    """Exact links of each block. Rows: block, side (0: compared with all, 1: only with side 0), v, label, d1, d2, text.
+def _similar_pairs(sets: list[np.ndarray], side: np.ndarray, union: _Union, percent: int) -> Iterator[tuple[int, int]]:
+    """Exactly similar pairs that connect what `union` does not hold together yet.
 
-    An id may stand in several rows; only those whose set is the class's (d1, d2) count.
+    Few sets are compared pair by pair; more through an inverted index, which gives the intersections of one set
+    with all others at once.
     """
+    m = len(sets)
+    if m <= 4:
+        for i in range(m):
+            for j in range(i + 1, m):
+                if side[i] == 0 and union.find(i) != union.find(j) and _similar(sets[i], sets[j], percent) and union.join(i, j):
+                    yield i, j
+        return
+    n = np.fromiter(map(len, sets), np.int64, m)
+    owner = np.repeat(np.arange(m), n)
+    _, word, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posting = owner[np.argsort(word, kind="stable")]
+    first = np.cumsum(df) - df
+    begin = np.cumsum(n) - n
+    for i in range(m):
+        if side[i]:
+            return
+        roots = np.fromiter(map(union.find, range(m)), np.int64, m)
+        if (roots == roots[0]).all():
+            return
+        mine = word[begin[i] : begin[i] + n[i]]
+        size = df[mine]
+        at = np.repeat(first[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        both = np.bincount(posting[at], minlength=m)
+        for j in np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (roots != roots[i])).tolist():
+            if (j > i or side[j]) and union.join(i, j):
+                yield i, j
+
+
+def _confirm(percent: int):
+    """Exact links of each unit. Rows: unit, side, v, label, words (the whole set)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src: list[int] = []
-        dst: list[int] = []
-        for run in _runs(batches, 0):
-            found = [shingle_set(t, k) for t in run.column(6).to_pylist()]
-            real = [_digest(f) == d for f, d in zip(found, zip(run.column(4).to_pylist(), run.column(5).to_pylist(), strict=True), strict=True)]
-            side, v, label = (run.column(c).to_numpy()[real] for c in (1, 2, 3))
-            found = [f for f, r in zip(found, real, strict=True) if r]
-            union, first = _Union(len(v)), {}
-            for i, x in enumerate(label.tolist()):
-                union.join(first.setdefault(x, i), i)
-            for i in np.flatnonzero(side == 0).tolist():
-                for j in range(len(v)):
-                    if (j > i or side[j] == 1) and union.find(i) != union.find(j) and _similar(found[i], found[j], percent):
-                        union.join(i, j)
-                        src.append(int(v[i]))
-                        dst.append(int(v[j]))
-            if len(src) > 20_000:
-                yield _edges_batch(src, dst)
-                src, dst = [], []
-        yield _edges_batch(src, dst)
+        for run in _whole_runs(batches):
+            unit, side, v, label = (run.column(c).to_numpy() for c in range(4))
+            words = [np.frombuffer(x.as_buffer(), "<u8") for x in run.column(4)]
+            edges = [*np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]).tolist(), len(unit)]
+            src: list[int] = []
+            dst: list[int] = []
+            for low, high in zip(edges, edges[1:], strict=False):
+                union, first = _Union(high - low), {}
+                for i, x in enumerate(label[low:high].tolist()):
+                    union.join(first.setdefault(x, i), i)
+                for i, j in _similar_pairs(words[low:high], side[low:high], union, percent):
+                    src.append(int(v[low + i]))
+                    dst.append(int(v[low + j]))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return compare
 
 
-def _confirmed(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links of rows (block, side, v, label, d1, d2, text), grouped by block."""
-    ordered = rows.select("block", "side", "v", "label", "d1", "d2", "text").repartition("block").sortWithinPartitions("block", "side", "v")
-    return materialize(ordered.mapInArrow(_confirm(k, percent), "src long, dst long"), "confirmed")
+def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """v and words (its whole set as bytes) of the wanted classes (v, d1, d2), from the texts, read once.
+
+    An id may stand in several rows; only those whose set is the class's (d1, d2) count.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, k) for t in batch.column(3).to_pylist()]
+            real = [_digest(f) == d for f, d in zip(found, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True)]
+            kept = pa.array([f.astype("<u8").tobytes() for f, r in zip(found, real, strict=True) if r], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(real, pa.bool_())), kept], ["v", "words"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("v"), whole_text(text_col).alias("text"))
+    texts = join_sized(texts, wanted, ["v"], "inner").select("v", "d1", "d2", "text")
+    return materialize(texts.mapInArrow(words, "v long, words binary"), "words")
+
+
+def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """src, dst: exactly similar classes, enough to connect all that are. `classes` has v, d1, d2, n_shingles, sig."""
+    small = F.lit(SMALL)
+    sized = classes.select("v", "n_shingles", "sig").hint("merge")
+    words: DataFrame | None = None
+    links: list[DataFrame] = []
+
+    def meet(units: DataFrame) -> DataFrame:
+        rows = units.join(sized, "v").select("unit", "side", "v", "label", "n_shingles", "sig")
+        rows = rows.repartition("unit").sortWithinPartitions("unit", "side", "v")
+        return materialize(rows.mapInArrow(_meetings(percent), "unit long, side int, v long, label long").distinct(), "meetings")
+
+    def confirm(met: DataFrame) -> None:
+        """Reads the texts of the classes that meet for the first time; sets that are known stay in `words`."""
+        nonlocal words
+        asked = materialize(met.select("v").distinct(), "asked")
+        new = asked if words is None else asked.join(words.select("v").hint("merge"), "v", "left_anti")
+        new = materialize(new.join(classes.select("v", "d1", "d2").hint("merge"), "v"), "wanted")
+        if words is None or not new.isEmpty():
+            more = _whole_sets(docs, new, k, id_col, text_col)
+            words = more if words is None else words.unionByName(more)
+        have = join_sized(words, asked, ["v"], "left_semi").groupBy("v").agg(F.any_value("words").alias("words"))
+        rows = met.join(have.hint("merge"), "v").select("unit", "side", "v", "label", "words")
+        rows = rows.repartition("unit").sortWithinPartitions("unit", "side", "v")
+        links.append(materialize(rows.mapInArrow(_confirm(percent), "src long, dst long").distinct(), "links"))
+
+    def united() -> DataFrame:
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        return found
+
+    level = _roots(classes).withColumn("label", F.col("v"))
+    for depth in range(1, DEPTH + 1):
+        level = materialize(level, "level")
+        # Written first, so that the join reads plain shuffles, which Spark can split where one node is large.
+        # A node whose members are connected already has nothing to add.
+        nodes = level.groupBy("node").agg(F.count("*").alias("n_node"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+        nodes = materialize(nodes.filter("_low <> _high").select("node", "n_node"), "nodes")
+        n_chunks = F.ceil(F.col("n_node") / small).cast("int")
+        rows = level.join(nodes.hint("merge"), "node").select("node", "v", "label", "n_node", n_chunks.alias("n_chunks"), F.pmod(F.xxhash64("v", F.lit(depth)), n_chunks).cast("int").alias("chunk"))
+        rows = materialize(rows, "rows")
+        large = rows.filter(F.col("n_node") > small)
+        first = F.min(F.struct(F.xxhash64("v").alias("h"), "v", "label", "n_chunks", "chunk")).alias("first")
+        pivots = large.groupBy("node", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(PIVOTS)).alias("slot")).agg(first).select("node", "first.*")
+        pivots = pivots.select("node", "v", "label", "chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("to")).filter("to <> chunk")
+        in_chunk = lambda rows, chunk: rows.select(F.xxhash64("node", chunk).alias("unit"), F.lit(0).alias("side"), "v", "label")
+        confirm(meet(in_chunk(rows, "chunk").unionByName(in_chunk(pivots, "to"))))
+        if large.isEmpty():
+            break
+        labels = materialize(connected_components(united()).withColumnRenamed("vertex", "v"), "labels")
+        # In each large node only what is outside its largest component can still need a link.
+        state = large.drop("label").join(labels.hint("merge"), "v", "left").withColumn("label", F.coalesce("component", "v")).drop("component")
+        state = materialize(state, "state")
+        parts = materialize(state.groupBy("node", "label").agg(F.count("*").alias("n")), "parts")
+        main = parts.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"))
+        main = materialize(main.filter("n_rest > 0"), "main")
+        if main.isEmpty():
+            break
+        opened = join_sized(state, main, ["node"], "inner")
+        last = depth == DEPTH
+        ends = opened if last else opened.filter(F.col("n_rest") <= small)
+        n_tiles = F.ceil(F.col("n_rest") / small).cast("int")
+        tile = F.pmod(F.xxhash64("v", F.lit(5)), n_tiles).cast("int")
+        tiled = lambda rows, tile, chunk, side: rows.select(F.xxhash64("node", tile, chunk, F.lit("rest")).alias("unit"), F.lit(side).alias("side"), "v", "label")
+        rest = ends.filter("label <> main").select("node", "v", "label", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("to"))
+        all_ = ends.select("node", "v", "label", "chunk", F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("to"))
+        confirm(meet(tiled(rest, "tile", "to", 0).unionByName(tiled(all_, "to", "chunk", 1))))
+        if last:
+            break
+        branching = opened.filter(F.col("n_rest") > small).select("node", "v", "label")
+        level = _children(branching.join(classes.select("v", "sig").hint("merge"), "v"))
+    return united()
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document. `docs` should be a table read from storage."""
     table = sets(docs, k, id_col, text_col)
     real = table.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.count("*").alias("n_rows"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
+    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").cast("long").alias("v"), F.count("*").alias("n_rows"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    groups = connected_components(proposed_links(classes.select("v", "n_shingles", "sig"), percent)).withColumnRenamed("vertex", "v").withColumnRenamed("component", "g")
-    groups = materialize(groups, "groups")
-    labels = _confirm_groups(docs, classes, groups, k, percent, id_col, text_col)
+    labels = _renamed(connected_components(confirmed_links(docs, classes, k, percent, id_col, text_col)))
     linked = classes.select("d1", "d2", "v", "n_rows").join(labels.hint("merge"), "v", "left")
     linked = linked.filter("label is not null or n_rows > 1")
     linked = materialize(linked.select("d1", "d2", F.coalesce("label", "v").alias("component_id")), "linked")
@@ -325,46 +395,6 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirm_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """v and label (smallest v of its component) of the classes that have a confirmed link."""
-    # Written first, so that the join reads plain shuffles, which Spark can split where one group is large.
-    sizes = materialize(groups.groupBy("g").agg(F.count("*").alias("n_group")), "sizes")
-    named = join_sized(groups, sizes, ["g"], "inner").join(classes.select("v", "d1", "d2").hint("merge"), "v")
-    named = materialize(named.select("g", "v", "n_group", "d1", "d2"), "named")
-    texts = join_sized(docs.select(F.col(id_col).alias("v"), whole_text(text_col).alias("text")), named, ["v"], "inner")
-    n_blocks = F.ceil(F.col("n_group") / F.lit(BLOCK))
-    texts = materialize(texts.select("g", "v", "n_group", n_blocks.cast("int").alias("n_blocks"), F.pmod(F.xxhash64("v"), n_blocks).cast("int").alias("b"), "d1", "d2", "text"), "candidates")
-    block = lambda *more: F.xxhash64("g", *more).alias("block")
-    own = texts.select(block("b"), F.lit(0).alias("side"), "v", F.col("v").alias("label"), "d1", "d2", "text")
-    large = texts.filter("n_blocks > 1")
-    if large.isEmpty():
-        links = _confirmed(own, k, percent)
-        return _renamed(connected_components(links))
-    # The same pivots stand in each block of a large group.
-    order = F.struct(F.xxhash64("v", F.lit(7)).alias("h"), F.col("v"))
-    pivot_ids = large.groupBy("g", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(BLOCK_PIVOTS)).alias("slot")).agg(F.min(order).alias("first"))
-    pivot_ids = materialize(pivot_ids.select("g", F.col("first.v").alias("v")), "pivot_ids")
-    pivots = join_sized(large, pivot_ids, ["g", "v"], "left_semi").select("g", "v", "b", "d1", "d2", "text", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("to")).filter("to <> b")
-    first = _confirmed(own.unionByName(pivots.select(block("to"), F.lit(0).alias("side"), "v", F.col("v").alias("label"), "d1", "d2", "text")), k, percent)
-    labels = materialize(_renamed(connected_components(first)), "labels")
-    # What is outside the largest component of its group is compared with the whole group.
-    state = join_sized(large, labels, ["v"], "left").withColumn("label", F.coalesce("label", "v"))
-    state = materialize(state, "state")
-    by_label = state.groupBy("g", "label").agg(F.count("*").alias("n"))
-    main = by_label.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n_main"))
-    main = materialize(main.filter("all > n_main").select("g", "main", F.ceil((F.col("all") - F.col("n_main")) / F.lit(BLOCK)).cast("int").alias("n_rest")), "main")
-    if main.isEmpty():
-        return labels
-    open_ = join_sized(state, main, ["g"], "inner")
-    rest = open_.filter("label <> main").withColumn("r", F.pmod(F.xxhash64("v", F.lit(5)), F.col("n_rest")).cast("int"))
-    to_blocks = rest.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    to_blocks = to_blocks.select(block("r", "to"), F.lit(0).alias("side"), "v", "label", "d1", "d2", "text")
-    to_rest = open_.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)))
-    to_rest = to_rest.select(block("r", F.col("b")), F.lit(1).alias("side"), "v", "label", "d1", "d2", "text")
-    second = _confirmed(to_blocks.unionByName(to_rest), k, percent)
-    return _renamed(connected_components(first.unionByName(second)))
-
-
 def _renamed(found: DataFrame) -> DataFrame:
     return found.withColumnRenamed("vertex", "v").withColumnRenamed("component", "label")
 
@@ -374,4 +404,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     gone = components(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
     gone = materialize(gone, "gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(gone.hint("broadcast" if few else "merge"), F.col(id_col) == F.col("_gone_id"), "left_anti")
+    # Columns go by place meanwhile, so that none of them can have the name of a helper.
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+    own = F.col(f"_c{docs.columns.index(id_col)}")
+    return plain.join(gone.hint("broadcast" if few else "merge"), own == F.col("_gone_id"), "left_anti").toDF(*docs.columns)
