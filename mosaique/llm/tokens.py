@@ -1,8 +1,9 @@
 """Encoders that give the tokenizers library's ids, with a bounded cache of fragments in each worker.
 
-A text is first cut where no token can cross: in front of a space after a visible character, and around
-runs of white space. Each fragment is encoded once by the library's model and remembered; a document's
-ids are the concatenation of its fragments' ids.
+A text whose characters have settled classes is cut as the model's own pattern cuts it. Any other text is cut
+only where no token can cross: in front of a space after a visible character, and around runs of white space.
+Each fragment is encoded once by the library's model and remembered; a document's ids are the concatenation of
+its fragments' ids.
 
 `ByteBpe` is for byte-level models whose pattern keeps white space. `WordBpe` is for models that drop white
 space and mark word ends; inside a word it also cuts between two byte symbols that stand side by side in
@@ -18,6 +19,7 @@ import json
 import os
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -26,7 +28,7 @@ import regex
 
 from mosaique.llm.common import SPACE
 
-#: Fragments that a worker remembers (twice as many at most, about 75 MB), and the longest of them.
+#: Fragments that a worker remembers (twice as many at most, about 100 MB), and the longest of them.
 CACHE_ENTRIES = 300_000
 CACHE_LENGTH = 120
 
@@ -38,6 +40,24 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _SETTLED = "Ͱ"
 
 
+def _ranges(kinds: str) -> str:
+    """The settled characters of some Unicode categories as ranges of a character class."""
+    codes = [c for c in range(ord(_SETTLED)) if unicodedata.category(chr(c))[0] in kinds]
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    return "".join(f"{chr(b)}-{chr(e)}" for b, e in zip(starts, ends, strict=True))
+
+
+_L, _N = _ranges("L"), _ranges("N")
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+#: The models' patterns for settled texts without rare white space; letters, which nothing else begins with, come first.
+_BYTE_PIECES = re.compile(f" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{SPACE}{_L}{_N}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+_WORD_PIECES = re.compile(f"[{_L}]+|{_ENDINGS}|[{_N}]|[^{SPACE}{_L}{_N}]+")
+_UNSETTLED = re.compile(f"[^\x00-{chr(ord(_SETTLED) - 1)}]")
+#: What lower-casing or composition could move out of the settled characters, or make depend on its neighbours.
+_UNSETTLED_WORD = re.compile("[^\x00-\u017f]|[\u0130\x1c-\x1f\x85\xa0]")
+
+
 def byte_symbols() -> dict[int, str]:
     """Byte -> printable symbol: printable Latin-1 stands for itself, the rest moves above 255 in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -98,7 +118,8 @@ class ByteBpe:
         self.model = self.library.model
         spec = json.loads(self.library.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cache = Cache(self._chunk)
+        # Twice as many as for words in lower case: capitals and a leading space make fragments of their own.
+        self.cache = Cache(self._chunk, 2 * CACHE_ENTRIES)
 
     def whole(self, text: str) -> bool:
         """Must the library see this text in one piece?"""
@@ -123,12 +144,12 @@ class ByteBpe:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        return _BYTE_CHUNK.findall(text)
+        return (_BYTE_PIECES if text.isascii() or not _UNSETTLED.search(text) else _BYTE_CHUNK).findall(text)
 
     def encode(self, text: str) -> bytes:
         if self.whole(text):
             return self.encode_whole(text)
-        return b"".join(map(self.cache.__getitem__, _BYTE_CHUNK.findall(text)))
+        return b"".join(map(self.cache.__getitem__, self.chunks(text)))
 
 
 class WordBpe:
@@ -182,7 +203,11 @@ class WordBpe:
         return b"".join(self._word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, _WORD_CHUNK.findall(text)))
+        if _UNSETTLED_WORD.search(text) or any(s in text for s in self.special):
+            pieces = _WORD_CHUNK.findall(text)
+        else:
+            pieces = _WORD_PIECES.findall(text.lower())
+        return b"".join(map(self.cache.__getitem__, pieces))
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens, joined by spaces."""
