@@ -7,14 +7,18 @@ file system it knows serve), little-endian throughout:
     | payload: the raw ids of the documents in ascending key order
     | per slot of the index: u32 fingerprint, u32 place in key order, u64 first id, u32 number of ids
     | index: u32 levels, then per level u64 seed, u64 bits, the bit words (u64), ranks per word (u32)
-    | keys in order: i64 doc_id, u32 repeat (0 for the first row with that id; null ids are marked in it)
+    | keys in order: i64 doc_id, u32 repeat (0 for the block's first row with that id; null ids are marked in it)
 
 and ends with a line feed. The index (levels of collision-free bits, numbered by rank) maps each key to its
 own slot in constant time; the stored fingerprint rejects keys that the shard does not hold, and the key
 itself settles the rest. A directory with one row per block (first and last id, ids before it) leads to the block.
 
+Texts are ranged by id before they are encoded: ranging ids instead would encode every text twice, once for the
+sample that chooses the ranges. A file holds FILE_BLOCKS blocks at most, which bounds what a reader takes into memory.
+
 Cases: a null or empty text holds only the end id, rows repeated with one id keep one entry each (told apart
-by `repeat`), null ids come first, an empty table gives no blocks and an empty result.
+by `repeat` within a block) in the order of their texts and may fill several tasks, null ids come first, an empty
+table gives no blocks and an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ _SLOT = np.dtype([("print", "<u4"), ("place", "<u4"), ("first", "<u8"), ("n", "<
 _KEY = np.dtype([("id", "<i8"), ("repeat", "<u4")])
 #: A block is closed when its payload reaches this size.
 BLOCK_BYTES = 32 << 20
+#: Blocks in a file at most.
+FILE_BLOCKS = 4
+#: One in so many blocks begins a fence; keys meet the blocks of their fence only.
+FENCE = 64
 _NULL = 1 << 31
 
 
@@ -194,13 +202,16 @@ def write_shards(docs: DataFrame, path: str, model: str = "byte_bpe_50k.json", e
                 size += len(ids[-1])
                 if size >= BLOCK_BYTES:
                     yield block()
-                    keys, ids, size = [], [], 0
+                    keys, ids, size, last = [], [], 0, None
         if keys:
             yield block()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(shard, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    # The hash of the text spreads an id with very many rows over several tasks.
+    spread = F.xxhash64("text")
+    rows = rows.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, "text")
+    # The text sink writes the bytes of a value as they are; blocks are bytes, whatever the type is called.
+    rows.mapInArrow(shard, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -249,16 +260,48 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("doc_id", "repeat", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def fences(blocks_table: DataFrame) -> list[int]:
+    """Every FENCE-th first id in order: one number per FENCE blocks, some ten thousand for a hundred TB of texts."""
+    ranged = blocks_table.filter("first_id is not null").select("first_id").repartitionByRange("first_id").sortWithinPartitions("first_id")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(-at % FENCE, batch.num_rows, FENCE)))
+            at += batch.num_rows
+
+    return sorted({r[0] for r in ranged.mapInArrow(some, "first_id long").collect()})
+
+
+def _fenced(rows: DataFrame, edges: list[int], low: str, high: str) -> DataFrame:
+    """The rows with `fence`, once for each fence between the ids in `low` and `high`."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(edges, np.int64))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = (np.searchsorted(shared.value, batch.column(batch.schema.get_field_index(c)).to_numpy(), "right") for c in (low, high))
+            n = last - first + 1
+            rows = np.repeat(np.arange(batch.num_rows), n)
+            fence = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(fence.astype(np.int64))], [*batch.schema.names, "fence"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(number, f"{schema}, fence long")
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, repeat and ids (array of int) for the given ids; ids that no shard holds give no row.
 
-    The directory routes each key to the blocks whose id range holds it (a range join against one small row
-    per block); each file then answers its own keys through its index.
+    Keys and the directory's blocks are joined on fences, which cut the range of ids so that a key meets some FENCE
+    blocks and takes those whose id range holds it; each file then answers its own keys through its indexes.
     """
     blocks_table = materialize(directory(spark, path).select("path", "first_id", "last_id"), "directory")
+    edges = fences(blocks_table)
     wanted = keys.select(F.col(id_col).cast("long").alias("key")).filter("key is not null").distinct()
-    routed = wanted.join(F.broadcast(blocks_table), (F.col("key") >= F.col("first_id")) & (F.col("key") <= F.col("last_id")))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = materialize(_fenced(wanted, edges, "key", "key"), "keys")
+    ranges = materialize(_fenced(blocks_table, edges, "first_id", "last_id"), "ranges")
+    few = wanted.count() <= BROADCAST_ROWS
+    routed = ranges.join(wanted.hint("broadcast" if few else "merge"), "fence").filter("key between first_id and last_id")
     asked = materialize(routed.groupBy("path").agg(F.array_sort(F.collect_set("key")).alias("keys")), "asked")
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,5 +318,6 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_i
                         left, repeat = left[slot >= 0], repeat + 1
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["doc_id", "repeat", "ids"])
 
+    # Only the files that are asked are opened where these are few.
     files = _files(spark, path).join(asked.hint("broadcast" if few else "merge"), "path").select("content", "keys")
     return files.mapInArrow(answers, "doc_id long, repeat long, ids array<int>")
