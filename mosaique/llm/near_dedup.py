@@ -309,7 +309,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
     small = F.lit(SMALL)
     sized = classes.select("v", "n_shingles", "sig").hint("merge")
     words: DataFrame | None = None
+    labels: DataFrame | None = None
     links: list[DataFrame] = []
+    seen = 0
 
     def meet(units: DataFrame) -> DataFrame:
         rows = units.join(sized, "v").select("unit", "side", "v", "label", "n_shingles", "sig")
@@ -354,11 +356,13 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
         confirm(meet(in_chunk(rows, "chunk").unionByName(in_chunk(pivots, "to"))))
         if large.isEmpty():
             break
-        labels = materialize(connected_components(united()).withColumnRenamed("vertex", "v"), "labels")
+        if labels is None or any(not more.isEmpty() for more in links[seen:]):
+            labels = connected_components(united()).withColumnRenamed("vertex", "v")
+        seen = len(links)
         # In each large node only what is outside its largest component can still need a link.
         state = large.drop("label").join(labels.hint("merge"), "v", "left").withColumn("label", F.coalesce("component", "v")).drop("component")
         state = materialize(state, "state")
-        parts = materialize(state.groupBy("node", "label").agg(F.count("*").alias("n")), "parts")
+        parts = state.groupBy("node", "label").agg(F.count("*").alias("n"))
         main = parts.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"))
         main = materialize(main.filter("n_rest > 0"), "main")
         if main.isEmpty():
@@ -366,13 +370,15 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
         opened = join_sized(state, main, ["node"], "inner")
         last = depth == DEPTH
         ends = opened if last else opened.filter(F.col("n_rest") <= small)
+        some_end = last or not main.filter(F.col("n_rest") <= small).isEmpty()
         n_tiles = F.ceil(F.col("n_rest") / small).cast("int")
         tile = F.pmod(F.xxhash64("v", F.lit(5)), n_tiles).cast("int")
         tiled = lambda rows, tile, chunk, side: rows.select(F.xxhash64("node", tile, chunk, F.lit("rest")).alias("unit"), F.lit(side).alias("side"), "v", "label")
         rest = ends.filter("label <> main").select("node", "v", "label", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("to"))
         all_ = ends.select("node", "v", "label", "chunk", F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("to"))
-        confirm(meet(tiled(rest, "tile", "to", 0).unionByName(tiled(all_, "to", "chunk", 1))))
-        if last:
+        if some_end:
+            confirm(meet(tiled(rest, "tile", "to", 0).unionByName(tiled(all_, "to", "chunk", 1))))
+        if last or main.filter(F.col("n_rest") > small).isEmpty():
             break
         branching = opened.filter(F.col("n_rest") > small).select("node", "v", "label")
         level = _children(branching.join(classes.select("v", "sig").hint("merge"), "v"))
