@@ -85,6 +85,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.resample import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.exact_search import search
+
+    return search(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -96,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_resample": op11_resample,
+    "op12_exact_search": op12_exact_search,
 }
 
 #: The rules as a reader would state them, in bit order and from the table of words and lines.
@@ -141,4 +155,39 @@ f as (select *, """ + " + ".join(f"case when {c} then {1 << k} else 0 end" for k
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept,
        cast(failed as bigint) as failed
 from f""",
+    "op11_resample": r"""
+with steps as materialized (
+  select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, n::bigint)) as tab),
+docs as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
+aims as (select list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from benchmark),
+f as materialized (
+  select doc_id, w, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as fs from docs),
+occ as (select doc_id, fs, unnest(fs) as x from f),
+toc as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as x from aims),
+distinct_x as (select x from occ union select x from toc),
+hexed as (select x, hex(encode(x)) as h from distinct_x),
+crc as materialized (
+  select x, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2*i+1:2*i+1]) - 1) * 16 + instr('0123456789ABCDEF', h[2*i+2:2*i+2]) - 1),
+    lambda c, b: xor(c // 256, tab[1 + xor(c % 256, b::bigint)]), 4294967295::bigint), 4294967295::bigint) % 10000 as b
+  from hexed, steps),
+s as (select b, count(*) as n from occ join crc using (x) group by b),
+t as (select b, count(*) as n from toc join crc using (x) group by b),
+whole as (select (select coalesce(sum(n), 0) from s)::double + 10000 as vs, (select coalesce(sum(n), 0) from t)::double + 10000 as vt),
+gain as (select b, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * vs / ((s.n + 1)::double * vt)))::bigint as g from s left join t using (b), whole),
+wt as (select doc_id, count(*) as n_features, floor(sum(g) / count(*)::double)::bigint as weight from occ join crc using (x) join gain using (b) group by doc_id),
+sc as (
+  select f.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    list_reduce(list_transform(range(1, 9), lambda i: instr('0123456789abcdef', substr(sha256('7:' || f.doc_id), i, 1)) - 1), lambda a, c: a * 16 + c, 0::bigint) as h
+  from f left join wt using (doc_id)),
+scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score, n_features >= 39 as able from sc),
+placed as (select *, row_number() over (partition by able order by score desc, doc_id) as place, count(*) over (partition by able) as n_able from scored)
+select doc_id, n_features::bigint as n_features, weight, score, case when able and place <= 25 * n_able // 100 then place end as rank from placed""",
+    "op12_exact_search": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
+      from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5""",
 }
