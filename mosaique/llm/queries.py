@@ -97,6 +97,12 @@ def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaique.llm.prefix_trie import trie
+
+    return trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op11_resample": op11_resample,
     "op12_exact_search": op12_exact_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: The rules as a reader would state them, in bit order and from the table of words and lines.
