@@ -197,4 +197,33 @@ p as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigin
       from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5""",
+    "op13_prefix_trie": r"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null),
+c as (
+  select conv_id, conv_id - conv_id % 20 as base,
+    xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda a: ascii(a)::bigint),
+      lambda r, b: list_reduce(range(8), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end, xor(r, b)), 4294967295::bigint), 4294967295::bigint) % 4 as h
+  from (select distinct conv_id from t)),
+head as (select c.conv_id, pos, role, text from c join t on t.conv_id = c.base and pos < h),
+n_head as (select conv_id, count(*) as n from head group by conv_id),
+r as (
+  select * from head union all
+  select t.conv_id, pos - h + coalesce(n, 0), role, text from t join c using (conv_id) left join n_head using (conv_id) where pos >= h),
+m as materialized (
+  select conv_id, pos + 1 as d, string_agg(sha256(length(role) || ':' || role || text), '' order by pos) over (partition by conv_id order by pos) as k,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from r
+  union all select conv_id, 0, '', 0 from c),
+p as materialized (select *, case when d > 0 then k[1:64 * (d - 1)] end as pk from m),
+v as materialized (select k, min(conv_id) as conv_id, any_value(d) as d, any_value(pk) as pk, any_value(words) as words, count(*) as n from p group by k),
+kids as (select pk as k, count(*) as n_children from v where pk is not null group by pk),
+sub as (
+  select p.k, count(*) filter (kids.k is null) as n_leaves, sum((v.n - 1) * v.words) as saved
+  from v join p on p.conv_id = v.conv_id and p.d <= v.d left join kids on kids.k = v.k group by p.k),
+last as (select conv_id, arg_max(k, d) as k from p group by conv_id),
+e as (select k, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as sha from last group by k)
+select v.conv_id, v.d as depth, up.conv_id as parent_conv_id, v.n as n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved::bigint as saved_tokens, coalesce(sha, sha256('')) as ends_sha256
+from v left join v up on up.k = v.pk left join kids on kids.k = v.k join sub on sub.k = v.k left join e on e.k = v.k""",
 }
