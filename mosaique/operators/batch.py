@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mosaique.functions import scalars as S
+from mosaique.operators.scan import numbered, scan
 from mosaique.session import materialize
 
 #: Suffixes of supported media, output formats and their suffixes.
@@ -163,13 +164,9 @@ def append_new(queue: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def _dense(fresh: DataFrame, start: DataFrame) -> DataFrame:
     """path and position from `start` on, in the order of position: counted per range partition, so no window spans the table."""
-    ranged = materialize(fresh.repartitionByRange("position").sortWithinPartitions("position", "path").withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    part = F.shiftrightunsigned("_at", 33)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(start))
-    joined = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return joined.select("path", (F.col("start") + F.col("_before") + F.col("_at") - F.shiftleft(F.col("_part"), 33)).alias("position"))
+    placed = numbered(fresh, ["position", "path"], "_at")
+    # One row.
+    return placed.join(F.broadcast(start)).select("path", (F.col("start") + F.col("_at") - 1).alias("position"))
 
 
 def orphans(meta: DataFrame, files: DataFrame) -> DataFrame:
@@ -221,17 +218,17 @@ def collision_free_names(plan: DataFrame, existing: DataFrame) -> DataFrame:
         numbered = parts.filter(number != "").select("folder", F.regexp_replace("full", r" \(\d{1,9}\)$", "").alias("stem"), "suffix", number.cast("int").alias("slot")).filter("slot >= 2")
         used = plain.unionByName(numbered).join(wanted.hint("merge"), ["folder", "stem", "suffix"], "left_semi").distinct()
         # Slot s has s - (used slots up to s) free ones below it; the used ones, sorted, say how far each rank moves.
-        order = Window.partitionBy("folder", "stem", "suffix").orderBy("slot")
         key = ["folder", "stem", "suffix"]
-        steps = used.select(*key, (F.col("slot") - F.row_number().over(order)).cast("long").alias("_at"), F.lit(1).alias("_moves"))
-        ranked = todo.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("position")))
+        steps = scan(used, key, ["slot"], number="_no").select(*key, (F.col("slot") - F.col("_no")).cast("long").alias("_at"), F.lit(1).alias("_moves"))
+        ranked = scan(todo, key, ["position"], number="rank")
         # Ranks and used slots in one order: a rank moves by the used slots that have fewer free ones below them.
         both = ranked.withColumns({"_at": F.col("rank").cast("long"), "_moves": F.lit(0)}).unionByName(steps, allowMissingColumns=True)
-        before = Window.partitionBy(*key).orderBy("_at", "_moves").rowsBetween(Window.unboundedPreceding, -1)
-        named = both.withColumn("moved", F.coalesce(F.sum("_moves").over(before), F.lit(0))).filter("_moves = 0")
+        # Rows to name add 0, so that the sum up to a row is the sum before it.
+        named = scan(both, key, ["_at", "_moves"], sums={"moved": F.col("_moves")}).filter("_moves = 0")
         slot = F.col("rank") + F.col("moved")
         given = F.when(slot == 1, F.concat("stem", "suffix")).otherwise(F.concat(F.col("stem"), F.lit(" ("), slot.cast("string"), F.lit(")"), F.col("suffix")))
         named = named.withColumn("final_name", given)
+        # Of rows with one result the first wins. Those of one name have different numbers, so that few rows meet here.
         first = Window.partitionBy("folder", "final_name").orderBy(F.col("final_name") != F.col("name"), "position")
         named = materialize(named.withColumn("wins", F.row_number().over(first) == 1).select("folder", "name", "position", "stem", "suffix", "final_name", "wins"), "named")
         fixed = named.filter("wins").select("folder", "name", "position", "final_name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DataType
 
 from mosaique.functions import scalars as S
+from mosaique.operators.scan import scan
 
 
 def job_history(jobs: DataFrame, n: int = 200) -> DataFrame:
@@ -51,11 +53,14 @@ def recent_items(events: DataFrame, limit: int, keys: list[str], path: str = "pa
 
 def suppress_repeats(errors: DataFrame, keys: list[str], gap: str, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Errors with `shown`: nothing of the same signature within the gap before; and `suppressed` after each shown one."""
-    seq = Window.partitionBy(*keys).orderBy(ts, order)
-    before = F.lag(ts).over(seq)
-    rows = errors.withColumn("shown", before.isNull() | (F.col(ts) - F.expr(f"interval {gap}") >= before))
-    rows = rows.withColumn("_burst", F.sum(F.col("shown").cast("int")).over(seq.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("suppressed", F.count("*").over(Window.partitionBy(*keys, "_burst")) - 1).drop("_burst")
+    rows = scan(errors, keys, [ts, order], lasts={"_before": F.col(ts)})
+    shown = F.col("_before").isNull() | (F.col(ts) - F.expr(f"interval {gap}") >= F.col("_before"))
+    rows = scan(rows.withColumn("shown", shown).drop("_before"), keys, [ts, order], sums={"_burst": F.col("shown").cast("int")})
+    # A burst may be nearly all rows: it is counted with partial sums, and joined by plain shuffles that Spark can split.
+    by = [*keys, "_burst"]
+    sizes = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg((F.count("*") - 1).alias("suppressed"))
+    met = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return rows.join(sizes.hint("merge"), met).select(*errors.columns, "shown", "suppressed")
 
 
 def read_json_records(df: DataFrame, column: str, schema: str | DataType) -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,12 @@
 """Pixel tables (image_id, x, y and one column per channel): tiles, bands, stencils, displacement, regions.
 
-Neighbours are met by equi-joins on shifted coordinates; only kernels and regions (a handful of rows) are
-broadcast. Statistics per image are aggregates that are joined back, so that a large image is not
+Stencils and blurs work inside array blocks with borders (`halo`); displaced pixels are looked up by an equi-join. Statistics per image are aggregates that are joined back, so that a large image is not
 one window.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 from collections.abc import Callable, Iterator
 
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mosaique.functions import geometry as G, scalars as S
+from mosaique.operators import halo
 
 ID = "image_id"
 AT = [ID, "x", "y"]
@@ -128,32 +129,15 @@ def stencil(pixels: DataFrame, channel: str, kernel: list[tuple[int, int, int]],
 
 
 def stencils(pixels: DataFrame, channel: str, kernels: dict[str, list[tuple[int, int, int]]], clamp: bool = False) -> DataFrame:
-    """image_id, x, y and one weighted sum over neighbours per kernel, in one pass.
+    """image_id, x, y and one weighted sum over neighbours per kernel, in one pass over blocks with borders.
 
-    Each pixel is sent to the places that it counts for (a small fixed number) and summed there, with partial
-    sums before the shuffle. Without `clamp`, places that lack a neighbour have no row; with it, edges repeat.
+    Without `clamp`, places that lack a neighbour have no row; with it, edges repeat. Sums of integers are integers.
     """
     weights = {name: {(dx, dy): w for dx, dy, w in kernel} for name, kernel in kernels.items()}
-    places = sorted({at for found in weights.values() for at in found})
-    if clamp:
-        size = pixels.groupBy(ID).agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-        reach = max(max(abs(dx), abs(dy)) for dx, dy in places)
-        span = F.sequence(F.lit(-reach), F.lit(reach))
-        sized = pixels.join(size.hint("merge"), ID)
-        # Pixels on the edge also stand for the places beyond it.
-        ex = F.filter(span, lambda d: (d == 0) | ((F.col("x") == 0) & (d < 0)) | ((F.col("x") == F.col("mx")) & (d > 0)))
-        ey = F.filter(span, lambda d: (d == 0) | ((F.col("y") == 0) & (d < 0)) | ((F.col("y") == F.col("my")) & (d > 0)))
-        source = sized.withColumn("ox", F.explode(ex)).withColumn("oy", F.explode(ey))
-        source = source.select(ID, (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), channel, "mx", "my")
-    else:
-        source = pixels.select(*AT, channel)
-    parts = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), *[F.lit(found.get((dx, dy), 0)).alias(name) for name, found in weights.items()]) for dx, dy in places]))
-    moved = source.withColumn("k", parts)
-    moved = moved.select(ID, (F.col("x") - F.col("k.dx")).alias("x"), (F.col("y") - F.col("k.dy")).alias("y"), *[(F.col(channel) * F.col(f"k.{name}")).alias(name) for name in weights], *(["mx", "my"] if clamp else []))
-    if clamp:
-        moved = moved.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") <= F.col("mx")) & (F.col("y") <= F.col("my")))
-    summed = moved.groupBy(*AT).agg(*[F.sum(name).alias(name) for name in weights], F.count("*").alias("_n"))
-    return summed.filter(F.col("_n") == len(places)).drop("_n")
+    reach = max(max(abs(dx), abs(dy)) for found in weights.values() for dx, dy in found)
+    found = halo.on_blocks(pixels, channel, reach, halo.weighted(weights, reach), list(weights), clamp)
+    whole = pixels.schema[channel].dataType.typeName() in ("byte", "short", "integer", "long")
+    return found.select(*AT, *[F.col(name).cast("long" if whole else "double").alias(name) for name in weights])
 
 
 def sharpness(pixels: DataFrame, channel: str = "luma") -> DataFrame:
@@ -175,51 +159,34 @@ def edge_score(pixels: DataFrame, channel: str = "luma") -> DataFrame:
     return joined.select(*AT, "magnitude", (relative * absolute).alias("score"))
 
 
-def displace(pixels: DataFrame, channel: str, dx: Column, dy: Column, to: str, width: int, height: int) -> DataFrame:
-    """Each pixel with the value at (x - dx, y - dy), held inside the image: a look-up join."""
-    asked = pixels.withColumn("_sx", S.clip(F.col("x") - dx, 0, width - 1).cast("int")).withColumn("_sy", S.clip(F.col("y") - dy, 0, height - 1).cast("int"))
+def displace(pixels: DataFrame, channel: str, dx: Column, dy: Column, to: str) -> DataFrame:
+    """Each pixel with the value at (x - dx, y - dy), held inside its own picture: a look-up join. A pixel whose source is missing keeps null."""
+    size = pixels.groupBy(F.col(ID).alias("_id")).agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
+    sized = pixels.join(size.hint("merge"), F.col(ID).eqNullSafe(F.col("_id"))).drop("_id")
+    held = lambda at, most: F.greatest(F.lit(0), F.least(F.col(most), at)).cast("int")
+    asked = sized.withColumn("_sx", held(F.col("x") - dx, "_mx")).withColumn("_sy", held(F.col("y") - dy, "_my"))
     source = pixels.select(F.col(ID).alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(channel).alias(to))
-    met = (F.col(ID) == F.col("_id")) & (F.col("_sx") == F.col("_x")) & (F.col("_sy") == F.col("_y"))
-    return asked.join(source.hint("merge"), met).drop("_id", "_x", "_y", "_sx", "_sy")
+    met = F.col(ID).eqNullSafe(F.col("_id")) & (F.col("_sx") == F.col("_x")) & (F.col("_sy") == F.col("_y"))
+    return asked.join(source.hint("merge"), met, "left").drop("_id", "_x", "_y", "_sx", "_sy", "_mx", "_my")
 
 
-def directional_mean(pixels: DataFrame, channel: str, length: float, samples: int, angle: float, width: int, height: int) -> DataFrame:
-    """image_id, x, y and the mean of evenly spaced samples along an angle, cut to an integer."""
+def directional_mean(pixels: DataFrame, channel: str, length: float, samples: int, angle: float) -> DataFrame:
+    """image_id, x, y and the mean of evenly spaced samples along an angle, edges repeated, cut to an integer."""
     c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
     offsets = [-length / 2 + length * k / (samples - 1) for k in range(samples)]
-    steps = F.explode(F.array(*[F.struct(F.lit(round(c * o)).alias("dx"), F.lit(round(s * o)).alias("dy")) for o in offsets]))
-    source = pixels.select(F.col(ID).alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(channel).alias("_value"))
-    asked = pixels.select(*AT).withColumn("k", steps)
-    sx, sy = S.clip(F.col("x") - F.col("k.dx"), 0, width - 1), S.clip(F.col("y") - F.col("k.dy"), 0, height - 1)
-    met = asked.join(source.hint("merge"), (F.col(ID) == F.col("_id")) & (sx == F.col("_x")) & (sy == F.col("_y")))
-    return met.groupBy(*AT).agg(F.floor(F.avg("_value")).cast("int").alias("mean"))
+    count = collections.Counter((-round(c * o), -round(s * o)) for o in offsets)
+    found = stencils(pixels, channel, {"mean": [(dx, dy, n) for (dx, dy), n in count.items()]}, clamp=True)
+    return found.select(*AT, F.floor(F.col("mean") / samples).cast("int").alias("mean"))
 
 
-def gaussian(pixels: DataFrame, channel: str, radius: float, width: int, height: int) -> DataFrame:
+def gaussian(pixels: DataFrame, channel: str, radius: float) -> DataFrame:
     """image_id, x, y and the channel blurred by a Gaussian of that standard deviation, edges repeated, cut to an integer.
 
-    One pass along each axis; each pixel is sent to the places that it counts for, a pixel on the edge with the weight
-    of all places beyond it, and partial sums come before the shuffle.
+    Both axes are summed inside blocks with borders: what is shuffled doesn't depend on the radius.
     """
     reach = math.ceil(3 * radius)
-    weights = [math.exp(-d * d / (2 * radius * radius)) for d in range(-reach, reach + 1)]
-    total = sum(weights)
-    weights = [w / total for w in weights]
-    # tails[k]: what the offsets up to k - reach weigh together.
-    tails = [sum(weights[: k + 1]) for k in range(len(weights))]
-    own, tail = F.array(*map(F.lit, weights)), F.array(*map(F.lit, tails))
-    out = pixels.select(*AT, F.col(channel).cast("double").alias(channel))
-    for axis, size in (("x", width), ("y", height)):
-        if size == 1:
-            continue
-        at = F.col(axis)
-        to = F.explode(F.sequence(F.greatest(F.lit(0), at - reach), F.least(F.lit(size - 1), at + reach))).alias("_to")
-        sent = out.select(*AT, channel, to)
-        offset = (at - F.col("_to")).cast("int")
-        weight = F.when(at == 0, F.element_at(tail, offset + reach + 1)).when(at == size - 1, F.element_at(tail, reach + 1 - offset)).otherwise(F.element_at(own, offset + reach + 1))
-        other = "y" if axis == "x" else "x"
-        summed = sent.select(ID, F.col("_to").alias(axis), other, (F.col(channel) * weight).alias("_part"))
-        out = summed.groupBy(*AT).agg(F.sum("_part").alias(channel))
+    weights = np.exp(-np.arange(-reach, reach + 1.0) ** 2 / (2 * radius * radius))
+    out = halo.on_blocks(pixels, channel, reach, halo.separable(weights / weights.sum(), reach, channel), [channel], clamp=True)
     return out.select(*AT, F.floor(F.round(channel, 6)).cast("int").alias(channel))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaique.session import materialize
 
-_PART, _TIE, _KEY, _AT = "_scan_part", "_scan_tie", "_scan_key", "_scan_at"
+_PART, _KEY, _POS, _AT = "_scan_part", "_scan_key", "_scan_pos", "_scan_at"
 
 
 def _named(cols: Sequence[str | Column]) -> list[Column]:
@@ -45,63 +45,47 @@ def scan(
     No keys: one scan over the whole table.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = {f"_scan_sum{k}": F.coalesce(e, F.lit(0)) for k, e in enumerate(sums.values())}
     value |= {f"_scan_last{k}": e for k, e in enumerate(lasts.values())}
     key = F.struct(*_named(keys)) if keys else F.struct(F.lit(0))
-    own = _named(order)
-    table = df.withColumns({_TIE: F.monotonically_increasing_id(), _KEY: key, **value})
-    dealt = table.repartitionByRange(n, _KEY, *own, _TIE).withColumn(_PART, F.spark_partition_id())
+    own = [F.col(_KEY), *_named(order), F.col("_scan_tie")]
+    table = df.withColumns({"_scan_tie": F.monotonically_increasing_id(), _KEY: key, **value})
+    dealt = table.repartitionByRange(n, *own).sortWithinPartitions(*own)
+    dealt = dealt.withColumns({_PART: F.spark_partition_id(), _POS: F.monotonically_increasing_id()}).drop("_scan_tie")
     dealt = materialize(dealt, "scan")
 
-    within = Window.partitionBy(_PART, _KEY).orderBy(*own, _TIE)
+    within = Window.partitionBy(_PART, _KEY).orderBy(_POS)
     upto, before = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
     local = {f"{_AT}_n": F.row_number().over(within).cast("long")} if number else {}
     local |= {f"{_AT}_sum{k}": F.sum(f"_scan_sum{k}").over(upto) for k in range(len(sums))}
     local |= {f"{_AT}_last{k}": F.last(f"_scan_last{k}", ignorenulls=True).over(before) for k in range(len(lasts))}
-    rows = dealt.withColumns(local)
-
-    joined = rows.join(F.broadcast(_carried(dealt, own, len(sums), len(lasts))), [_PART], "left")
+    joined = dealt.withColumns(local).join(F.broadcast(_carried(dealt, len(sums), len(lasts))), [_PART], "left")
     follows = F.col(_KEY).eqNullSafe(F.col("_scan_lo"))
-    carry = lambda name, least: F.coalesce(F.when(follows, F.col(name)), least)
     out = {}
     if number:
-        out[number] = F.col(f"{_AT}_n") + carry("_scan_c", F.lit(0))
+        out[number] = F.col(f"{_AT}_n") + F.coalesce(F.when(follows, F.col("_scan_c")), F.lit(0))
     for k, name in enumerate(sums):
-        out[name] = F.col(f"{_AT}_sum{k}") + carry(f"_scan_csum{k}", F.lit(0))
+        out[name] = F.col(f"{_AT}_sum{k}") + F.coalesce(F.when(follows, F.col(f"_scan_c_sum{k}")), F.lit(0))
     for k, name in enumerate(lasts):
-        out[name] = F.coalesce(f"{_AT}_last{k}", F.when(follows, F.col(f"_scan_clast{k}")))
+        out[name] = F.coalesce(f"{_AT}_last{k}", F.when(follows, F.col(f"_scan_c_last{k}")))
     return joined.select(*[joined[f"`{c}`"] for c in df.columns if c not in out], *[e.alias(c) for c, e in out.items()])
 
 
-def _carried(dealt: DataFrame, order: list[Column], n_sums: int, n_lasts: int) -> DataFrame:
-    """Per partition what its first key holds in the partitions before it; one row a partition, written."""
-    edges = dealt.groupBy(_PART).agg(F.min(_KEY).alias("_scan_lo"), F.max(_KEY).alias("_scan_hi"))
-    edges = materialize(edges, "edges")
-    # Of each partition's last key; a struct of order values finds the last row, nulls aside.
-    tail = dealt.join(F.broadcast(edges.select(_PART, "_scan_hi")), _PART).filter(F.col(_KEY).eqNullSafe(F.col("_scan_hi")))
-    tail = tail.groupBy(_PART).agg(
-        F.count("*").alias("_scan_c"),
-        *[F.sum(f"_scan_sum{k}").alias(f"_scan_csum{k}") for k in range(n_sums)],
-    )
-    if n_lasts:
-        found = dealt.join(F.broadcast(edges.select(_PART, "_scan_hi")), _PART).filter(F.col(_KEY).eqNullSafe(F.col("_scan_hi")))
-        at = Window.partitionBy(_PART, _KEY).orderBy(*order, _TIE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        found = found.select(_PART, *[F.last(f"_scan_last{k}", ignorenulls=True).over(at).alias(f"_scan_clast{k}") for k in range(n_lasts)])
-        tail = tail.join(found.dropDuplicates([_PART]).hint("merge"), _PART)
-    edges = edges.join(tail.hint("merge"), _PART)
-    # As many rows as partitions: one window is enough.
+def _carried(dealt: DataFrame, n_sums: int, n_lasts: int) -> DataFrame:
+    """Per partition what its first key holds in the partitions before it: one row a partition."""
+    held = [F.count("*").alias("_scan_c"), *[F.sum(f"_scan_sum{k}").alias(f"_scan_c_sum{k}") for k in range(n_sums)]]
+    held += [F.max_by(f"_scan_last{k}", F.when(F.col(f"_scan_last{k}").isNotNull(), F.col(_POS))).alias(f"_scan_c_last{k}") for k in range(n_lasts)]
+    per_key = dealt.groupBy(_PART, _KEY).agg(*held)
+    names = [c for c in per_key.columns if c.startswith("_scan_c")]
+    # A partition's keys are in order, so that only its last one can go on in the next.
+    edges = per_key.groupBy(_PART).agg(F.min(_KEY).alias("_scan_lo"), F.max(_KEY).alias("_scan_hi"), F.max_by(F.struct(*names), _KEY).alias("_scan_x"))
     run = Window.partitionBy("_scan_hi").orderBy(_PART).rowsBetween(Window.unboundedPreceding, 0)
+    summed = lambda c: F.last(f"_scan_x.{c}", ignorenulls=True).over(run) if "_last" in c else F.sum(f"_scan_x.{c}").over(run)
+    upto = edges.select(_PART, "_scan_lo", "_scan_hi", *[summed(c).alias(c) for c in names])
     every = Window.orderBy(_PART)
-    totals = [F.sum("_scan_c").over(run).alias("_scan_c")]
-    totals += [F.sum(f"_scan_csum{k}").over(run).alias(f"_scan_csum{k}") for k in range(n_sums)]
-    totals += [F.last(f"_scan_clast{k}", ignorenulls=True).over(run).alias(f"_scan_clast{k}") for k in range(n_lasts)]
-    upto = edges.select(_PART, "_scan_lo", "_scan_hi", *totals)
-    names = [c for c in upto.columns if c.startswith("_scan_c")]
     same = F.lag("_scan_hi").over(every).eqNullSafe(F.col("_scan_lo"))
-    carried = upto.select(_PART, "_scan_lo", *[F.when(same, F.lag(c).over(every)).alias(c) for c in names])
-    return materialize(carried, "carried")
+    return upto.select(_PART, "_scan_lo", *[F.when(same, F.lag(c).over(every)).alias(c) for c in names])
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:

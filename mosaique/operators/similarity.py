@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mosaique.functions import scalars as S
 from mosaique.operators import raster as R
 from mosaique.operators.graph import connected_components
+from mosaique.operators.scan import numbered, scan
 from mosaique.session import materialize
 
 THRESHOLD = 88
@@ -252,24 +253,13 @@ def group_summary(table: DataFrame) -> DataFrame:
 
 def number_groups(groups: DataFrame) -> DataFrame:
     """Groups with group_no from 1: most members first, then most bytes, then anchor path."""
-    return _numbered(groups, [F.desc("n_members"), F.desc("total_bytes"), F.lower("anchor_path"), F.col("group_key")])
-
-
-def _numbered(groups: DataFrame, order: list[Column]) -> DataFrame:
-    """Numbers from range-partitioned order: each partition counts its rows, and starts after those before it."""
-    ranged = materialize(groups.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftrightunsigned(F.col("_at"), 33)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.col("_at") - F.shiftleft(part, 33)
-    numbered = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return numbered.withColumn("group_no", F.col("_start") + within + 1).drop("_at", "_part", "_n", "_start")
+    return numbered(groups, [F.desc("n_members"), F.desc("total_bytes"), F.lower("anchor_path"), "group_key"], "group_no")
 
 
 def order_members(table: DataFrame) -> DataFrame:
     """Members with member_no from 1: best score, then most pixels, then path."""
-    order = Window.partitionBy("group_key").orderBy(F.desc("score_to_anchor"), F.desc(F.col("width").cast("long") * F.col("height")), F.lower("path"), "image_id")
-    return table.withColumn("member_no", F.row_number().over(order))
+    order = [F.desc("score_to_anchor"), F.desc(F.col("width").cast("long") * F.col("height")), F.lower("path"), "image_id"]
+    return scan(table, ["group_key"], order, number="member_no")
 
 
 def keep_rules() -> dict[str, list[Column]]:
@@ -288,8 +278,8 @@ def keep_rules() -> dict[str, list[Column]]:
 
 def keep_best(table: DataFrame, rule: str = "resolution") -> DataFrame:
     """Ordered members with `best`: the one that the rule keeps."""
-    order = Window.partitionBy("group_key").orderBy(*keep_rules()[rule], "member_no")
-    return table.withColumn("best", F.row_number().over(order) == 1)
+    place = scan(table, ["group_key"], [*keep_rules()[rule], "member_no"], number="_keep_no")
+    return place.withColumn("best", F.col("_keep_no") == 1).drop("_keep_no")
 
 
 def check_except_best(table: DataFrame, rule: str = "resolution") -> DataFrame:
@@ -306,10 +296,11 @@ def checked_summary(table: DataFrame) -> DataFrame:
 def drop_removed(table: DataFrame, removed: DataFrame) -> DataFrame:
     """Members without the removed paths: groups under two go, the others are numbered anew in their order, anchors are picked anew, scores stay."""
     left = table.join(removed.select("path").distinct().hint("merge"), "path", "left_anti")
-    left = left.withColumn("_n", F.count("*").over(Window.partitionBy("group_key"))).filter("_n > 1").drop("_n", "anchor_id", "anchor_path")
+    several = left.groupBy("group_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("group_key")
+    left = left.drop("anchor_id", "anchor_path").join(several.hint("merge"), "group_key", "left_semi")
     anchors = pick_anchor(left).select("group_key", F.col("anchor.id").alias("anchor_id"), F.col("anchor.path").alias("anchor_path"))
     order = left.select("group_key", F.col("group_no").alias("_old")).distinct()
-    numbers = _numbered(order, [F.col("_old"), F.col("group_key")]).select("group_key", "group_no")
+    numbers = numbered(order, ["_old", "group_key"], "group_no").select("group_key", "group_no")
     return left.drop("group_no").join(anchors.hint("merge"), "group_key").join(numbers.hint("merge"), "group_key")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mosaique.operators.scan import scan
 from mosaique.session import materialize
 
 #: Limits of import plans.
@@ -31,8 +32,8 @@ def _order() -> Window:
 
 def frame_bounds(frames: DataFrame) -> DataFrame:
     """start_ms and end_ms of every frame, from cleaned durations."""
-    running = F.sum("duration_ms").over(_order().rowsBetween(Window.unboundedPreceding, 0))
-    return clean_durations(frames).withColumn("end_ms", running).withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
+    bounded = scan(clean_durations(frames), [KEY], ["frame_idx"], sums={"end_ms": F.col("duration_ms")})
+    return bounded.withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
 
 
 def clip_summary(frames: DataFrame) -> DataFrame:
@@ -44,12 +45,11 @@ def clip_summary(frames: DataFrame) -> DataFrame:
 def frame_at(frames: DataFrame, positions: DataFrame) -> DataFrame:
     """positions (clip_id, position) with frame_idx: the last frame that starts at or before it, held within the clip.
 
-    An as-of join as one sort per clip: starts and positions in one stream, the last start seen wins.
+    An as-of join as one sort: starts and positions in one stream, the last start seen wins, also over range partitions.
     """
     starts = frame_bounds(frames).select(KEY, F.col("start_ms").alias("_t"), F.lit(0).alias("_kind"), F.col("frame_idx").cast("long").alias("_frame"), F.lit(None).cast("long").alias("position"))
     asked = positions.select(KEY, F.greatest(F.col("position").cast("long"), F.lit(0)).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_frame"), F.col("position").cast("long"))
-    order = Window.partitionBy(KEY).orderBy("_t", "_kind", "_frame").rowsBetween(Window.unboundedPreceding, 0)
-    both = starts.unionByName(asked).withColumn("frame_idx", F.last("_frame", ignorenulls=True).over(order))
+    both = scan(starts.unionByName(asked), [KEY], ["_t", "_kind", "_frame"], lasts={"frame_idx": F.col("_frame")})
     return both.filter("_kind = 1 and frame_idx is not null").select(KEY, "position", "frame_idx")
 
 

@@ -200,7 +200,7 @@ def _mosaic(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFr
     def step(pixels: DataFrame) -> DataFrame:
         source = pixels
         if spec.get("softness"):
-            source = R.gaussian(pixels, "luma", max(0.2, spec["softness"] / 12), width, height)
+            source = R.gaussian(pixels, "luma", max(0.2, spec["softness"] / 12))
         tiled = R.tile_mean(source, "luma", tile)
         if not 0 < grid <= 100 and source is pixels:
             return _mixed(tiled, "luma", F.col("mean"), spec["amount"]).drop("mean")
@@ -216,7 +216,7 @@ def _directional(spec: dict, width: int, height: int) -> Callable[[DataFrame], D
     grain = spec.get("detail", 0)
 
     def step(pixels: DataFrame) -> DataFrame:
-        blurred = R.directional_mean(pixels, "luma", spec["size"], max(2, spec["softness"]), spec["angle"], width, height)
+        blurred = R.directional_mean(pixels, "luma", spec["size"], max(2, spec["softness"]), spec["angle"])
         return _onto(pixels, _grained(blurred.withColumnRenamed("mean", "luma"), spec, 2 + grain / 7, min(0.18, grain / 550)), spec["amount"])
 
     return step
@@ -232,7 +232,7 @@ def _blur(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFram
         if factor > 1:
             source = R.tile_mean(pixels, "luma", factor).select(*R.AT, F.floor("mean").cast("int").alias("luma"))
             source = R.tile_ramp(source, "luma", factor, width, height)
-        blurred = R.gaussian(source, "luma", max(0.25, float(spec["size"])), width, height)
+        blurred = R.gaussian(source, "luma", max(0.25, float(spec["size"])))
         return _onto(pixels, _grained(blurred, spec, 4 + grain / 5, min(0.28, grain / 400)), spec["amount"])
 
     return step
@@ -272,7 +272,7 @@ def _wave(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFram
             total = total + F.sin(across * (2 * math.pi * k / length)) / k
         total = total * (max(0, spec["softness"]) / max(1.0, sum(1 / k for k in range(1, waves + 1))))
         dx, dy = F.col("x") - F.rint(F.col("x") - total * c), F.col("y") - F.rint(F.col("y") - total * s)
-        return _mixed(R.displace(pixels, "luma", dx, dy, "_moved", width, height), "luma", F.col("_moved"), spec["amount"]).drop("_moved")
+        return _mixed(R.displace(pixels, "luma", dx, dy, "_moved"), "luma", F.col("_moved"), spec["amount"]).drop("_moved")
 
     return step
 
@@ -305,7 +305,7 @@ def _barcode(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataF
         local = (along - F.col("_least")) / period - F.col("band")
         bars = banded.join(least.hint("merge"), R.ID).select(*R.AT, F.when(local < 0.12 + dark * 0.78, 10).otherwise(247).alias("luma"))
         if spec["softness"]:
-            bars = R.gaussian(bars, "luma", spec["softness"] / 30, width, height)
+            bars = R.gaussian(bars, "luma", spec["softness"] / 30)
         return _onto(pixels, bars, spec["amount"])
 
     return step
@@ -317,7 +317,7 @@ def _silhouette(spec: dict, width: int, height: int) -> Callable[[DataFrame], Da
     edge = max(0, min(255, round(255 * spec["softness"] / 100)))
 
     def step(pixels: DataFrame) -> DataFrame:
-        grey = R.gaussian(pixels, "luma", spec["size"] / 8, width, height) if spec["size"] else pixels
+        grey = R.gaussian(pixels, "luma", spec["size"] / 8) if spec["size"] else pixels
         spread = R.percentile_stretch(grey, "luma", max(0, round((100 - spec["detail"]) / 12)))
         return _onto(pixels, spread.select(*R.AT, S.two_tone(F.col("stretched"), edge, dark, 255 - dark).alias("luma")), spec["amount"])
 
@@ -344,7 +344,7 @@ def _thermal(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataF
 
     def step(pixels: DataFrame) -> DataFrame:
         grey = _grey(pixels)
-        smooth = R.gaussian(grey, "luma", spec["size"] / 4, width, height) if spec["size"] else grey
+        smooth = R.gaussian(grey, "luma", spec["size"] / 4) if spec["size"] else grey
         heat = S.clip((F.col("luma") / 255.0 - 0.5) * gain + 0.5, 0.0, 1.0)
         heat = F.pmod(F.round(heat + phase, 9), F.lit(1.0))
         table = smooth.select(*R.AT, heat.alias("_t"))
@@ -369,10 +369,10 @@ def _prism(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFra
     def step(pixels: DataFrame) -> DataFrame:
         out = pixels.select(*R.AT, "g")
         for c, way in (("r", 1), ("b", -1)):
-            moved = R.displace(pixels.select(*R.AT, c), c, F.lit(way * dx), F.lit(way * dy), "_moved", width, height)
+            moved = R.displace(pixels.select(*R.AT, c), c, F.lit(way * dx), F.lit(way * dy), "_moved")
             out = out.join(moved.select(*R.AT, F.col("_moved").alias(c)).hint("merge"), R.AT)
         if spec["softness"]:
-            parts = [R.gaussian(out.select(*R.AT, c), c, max(0.2, spec["softness"] / 18), width, height) for c in "rgb"]
+            parts = [R.gaussian(out.select(*R.AT, c), c, max(0.2, spec["softness"] / 18)) for c in "rgb"]
             out = parts[0].join(parts[1].hint("merge"), R.AT).join(parts[2].hint("merge"), R.AT)
         return _mixed_colors(pixels, R.adjust_colors(out, saturation=spec["detail"]), spec["amount"])
 

@@ -68,14 +68,14 @@ def edge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def displace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels drawn apart: red by (3, -2), blue the other way."""
     pixels = views.raster(spark, sf_dir)
-    red = R.displace(pixels, "luma", F.lit(3), F.lit(-2), "red", 8, 8)
-    blue = R.displace(pixels, "luma", F.lit(-3), F.lit(2), "blue", 8, 8).select(*R.AT, "blue")
+    red = R.displace(pixels, "luma", F.lit(3), F.lit(-2), "red")
+    blue = R.displace(pixels, "luma", F.lit(-3), F.lit(2), "blue").select(*R.AT, "blue")
     return red.join(blue.hint("merge"), R.AT).select(*R.AT, "red", F.col("luma").alias("green"), "blue")
 
 
 @query(f"select v.image_id, x, y, cast(floor(({_at(-3, 0)} + {_at(-1, 0)} + luma + {_at(1, 0)} + {_at(3, 0)}) / 5.0::double) as int) as mean from v_raster v join g on v.image_id = g.image_id", V, _GRID)
 def directional_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.directional_mean(views.raster(spark, sf_dir), "luma", 5.2, 5, 0, 8, 8)
+    return R.directional_mean(views.raster(spark, sf_dir), "luma", 5.2, 5, 0)
 
 
 @query("select image_id, x - 2 as x, y - 1 as y, luma from v_raster where x >= 2 and x < 7 and y >= 1 and y < 5", V)
@@ -446,8 +446,8 @@ def effect_thermal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select image_id, x, y, cast(floor(round(greatest(0, least(255, k + (r2 - k) * 1.28::double)), 6)) as int) as r, cast(floor(round(greatest(0, least(255, k + (g - k) * 1.28::double)), 6)) as int) as g,
   cast(floor(round(greatest(0, least(255, k + (b2 - k) * 1.28::double)), 6)) as int) as b from (select *, cast(floor((r2 * 299 + g * 587 + b2 * 114 + 500) / 1000.0::double) as int) as k from
-  (select v.image_id, v.x, v.y, v.g, q.r as r2, z.b as b2 from v_colored v
-   join v_colored q on q.image_id = v.image_id and q.x = greatest(0, v.x - 3) and q.y = least(7, v.y + 2) join v_colored z on z.image_id = v.image_id and z.x = least(23, v.x + 3) and z.y = greatest(0, v.y - 2)))""", V, views.COLORED_SQL)
+  (select v.image_id, v.x, v.y, v.g, q.r as r2, z.b as b2 from (select *, max(x) over (partition by image_id) as mx, max(y) over (partition by image_id) as my from v_colored) v
+   join v_colored q on q.image_id = v.image_id and q.x = greatest(0, v.x - 3) and q.y = least(v.my, v.y + 2) join v_colored z on z.image_id = v.image_id and z.x = least(v.mx, v.x + 3) and z.y = greatest(0, v.y - 2)))""", V, views.COLORED_SQL)
 def effect_prism_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _colors(spark, sf_dir, "Prism Split", amount=100, size=4, detail=28, angle=-34)
 
