@@ -194,7 +194,7 @@ def _pixelate(spec: dict, width: int, height: int) -> Callable[[DataFrame], Data
 
 
 def _mosaic(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFrame]:
-    """Tiles of a blurred picture under a grid. A grid opacity beyond 0..100 draws none: the registered query says 256."""
+    """Tiles of a blurred picture under a grid."""
     tile, grid = max(3, spec["size"]), spec.get("detail", 0)
 
     def step(pixels: DataFrame) -> DataFrame:
@@ -202,10 +202,10 @@ def _mosaic(spec: dict, width: int, height: int) -> Callable[[DataFrame], DataFr
         if spec.get("softness"):
             source = R.gaussian(pixels, "luma", max(0.2, spec["softness"] / 12))
         tiled = R.tile_mean(source, "luma", tile)
-        if not 0 < grid <= 100 and source is pixels:
+        if not grid and source is pixels:
             return _mixed(tiled, "luma", F.col("mean"), spec["amount"]).drop("mean")
         changed = tiled.select(*R.AT, F.floor("mean").cast("int").alias("luma"))
-        if 0 < grid <= 100:
+        if grid:
             changed = _grid(changed, tile, min(190, round(grid * 1.9)), max(1, spec.get("angle", 1)))
         return _onto(pixels, changed, spec["amount"])
 

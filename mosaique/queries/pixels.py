@@ -283,10 +283,11 @@ def adjust_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select image_id, x, y, cast(floor(case when x between 1 and 6 and y between 1 and 6 then v + (greatest(0, least(255, cast(floor(round_even(m / 17.0::double, 0) * 17.0::double) as int))) - v) * 0.5::double else luma end) as int) as luma from
-  (select *, avg(v) over (partition by image_id, x // 2, y // 2) as m from (select *, cast(floor(avg(luma) over (partition by image_id, x // 3, y // 3)) as int) as v from v_raster))""", V)
+  (select *, avg(v) over (partition by image_id, x // 2, y // 2) as m from (select image_id, x, y, luma, case when (x > 0 and x % 3 = 0) or (y > 0 and y % 3 = 0) then cast(round_even(t * 179 / 255.0::double, 0) as int) else t end as v
+  from (select *, cast(floor(avg(luma) over (partition by image_id, x // 3, y // 3)) as int) as t from v_raster)))""", V)
 def run_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mosaic of 3, then half of a pixelation of 2 in 16 levels, inside a rectangle."""
-    specs = [{"name": "Mosaic", "amount": 100, "size": 3, "detail": 256}, {"name": "Pixelate", "amount": 50, "size": 2, "detail": 16}]
+    """Mosaic of 3 under a grid, then half of a pixelation of 2 in 16 levels, inside a rectangle."""
+    specs = [{"name": "Mosaic", "amount": 100, "size": 3, "detail": 40}, {"name": "Pixelate", "amount": 50, "size": 2, "detail": 16}]
     return K.run_chain(views.raster(spark, sf_dir), specs, 8, 8, box=(1, 1, 6, 6))
 
 
