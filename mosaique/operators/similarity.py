@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mosaique.functions import scalars as S
-from mosaique.operators import raster as R
+from mosaique.operators import metric, raster as R
 from mosaique.operators.graph import connected_components
 from mosaique.operators.scan import numbered, scan
 from mosaique.session import materialize
@@ -16,6 +16,8 @@ from mosaique.session import materialize
 THRESHOLD = 88
 #: Rows in a tile of the exact pair join, about; rows that a hash may become for its bands.
 TILE_ROWS, MAX_KEYS = 4_000, 100
+#: What testing a pair costs where writing, moving and sorting a row costs 1.
+PAIR_COST = 0.02
 
 
 class Layout(NamedTuple):
@@ -139,7 +141,7 @@ def similar_pairs_exact(fp: DataFrame, threshold: int = THRESHOLD, blocks: int |
     left, right = _sides(fp, id_col)
     left = left.withColumn("bi", F.pmod(F.xxhash64(f"l_{id_col}"), F.lit(blocks)).cast("int")).withColumn("bj", other)
     right = right.withColumn("bj", F.pmod(F.xxhash64(f"r_{id_col}"), F.lit(blocks)).cast("int")).withColumn("bi", other)
-    tiles = left.hint("shuffle_hash").join(right, ["bi", "bj"]).filter(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
+    tiles = left.hint("merge").join(right, ["bi", "bj"]).filter(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
     return _scored(_distances(tiles, threshold, layout), threshold, id_col, layout)
 
 
@@ -157,51 +159,61 @@ def _ball(bits: int, radius: int) -> int:
     return sum(math.comb(bits, k) for k in range(radius + 1))
 
 
-def _bands(name: str, bits: int, distance: int) -> tuple[Bands, float]:
-    """The cheapest bands that lose no pair within a distance, and the share of random pairs that meet in them.
+def _bands(name: str, bits: int, distance: int, rows: int) -> tuple[Bands, float]:
+    """The cheapest bands that lose no pair within a distance, and what they cost a row of a table of so many.
 
-    Of m bands one differs in at most r bits if m (r + 1) > distance; both sides flip up to half of r.
+    Of m bands one differs in at most r bits if m (r + 1) > distance; both sides flip up to half of r. A row costs what it
+    writes, and PAIR_COST for each row that it is likely to meet.
     """
     best = None
     for r in range(3):
         m = distance // (r + 1) + 1
         width = bits // m
         left, right = (r + 1) // 2, r // 2
-        if width and m * _ball(-(-bits // m), left) <= MAX_KEYS:
+        wide = -(-bits // m)
+        if width and m * _ball(wide, left) <= MAX_KEYS:
             share = min(1.0, m * _ball(width, r) / 2.0**width)
-            if best is None or share < best[1]:
-                best = Bands(name, bits, m, left, right), share
-    return best or (Bands(name, bits, 1, 0, 0), 1.0)
+            cost = m * (_ball(wide, left) + _ball(wide, right)) + PAIR_COST * rows * share
+            if best is None or cost < best[1]:
+                best = Bands(name, bits, m, left, right), cost
+    return best or (Bands(name, bits, 1, 0, 0), 2 + PAIR_COST * rows)
 
 
-def band_plan(threshold: int, layout: Layout = ARRAYS) -> list[Bands]:
-    """Bands that lose no pair at the threshold, or nothing if they would meet a tenth of all pairs.
+def band_plan(threshold: int, layout: Layout = ARRAYS, rows: int = 1_000_000) -> list[Bands]:
+    """Bands that lose no pair at the threshold, or nothing if meeting every row once is cheaper.
 
     The score bounds a weighted sum of both distances. Pairs that differ in at most k bits of the mean hash meet in its
     bands; the others use up so much of the bound that few bits are left for the difference hash. k is where the two
-    together cost least.
+    together cost least, rows and meetings counted.
     """
     wa, wd, room = S.WEIGHT_A * layout.d_bits, S.WEIGHT_D * layout.a_bits, layout.a_bits * layout.d_bits * (100 - threshold)
-    best: tuple[float, list[Bands]] = (0.1, [])
+    best: tuple[float, list[Bands]] = (8 + 0.5 * PAIR_COST * rows, [])
     for k in range(-1, room // wa + 1):
         left = room - wa * (k + 1)
-        parts = ([_bands("a_hash", layout.a_bits, k)] if k >= 0 else []) + ([_bands("d_hash", layout.d_bits, left // wd)] if left >= 0 else [])
-        cost = sum(share for _, share in parts)
+        parts = ([_bands("a_hash", layout.a_bits, k, rows)] if k >= 0 else []) + ([_bands("d_hash", layout.d_bits, left // wd, rows)] if left >= 0 else [])
+        cost = sum(one for _, one in parts)
         if cost < best[0]:
             best = cost, [bands for bands, _ in parts]
     return best[1]
 
 
+def similar_pairs_metric(fp: DataFrame, threshold: float = 72, id_col: str = "image_id", layout: Layout = ARRAYS, pivots: int | None = None) -> DataFrame:
+    """The same pairs as `similar_pairs_exact`, from cells around pivots and the triangle inequality."""
+    met = metric.candidate_pairs(fp, threshold, id_col, tuple(layout), pivots)
+    return _scored(_distances(met, threshold, layout), threshold, id_col, layout)
+
+
 def candidate_pairs_banded(fp: DataFrame, threshold: int = THRESHOLD, id_col: str = "image_id", layout: Layout = ARRAYS) -> DataFrame:
     """The same pairs as `similar_pairs_exact`, from an equi-join on bands of the hashes.
 
-    The join reads plain shuffles, so that Spark can split a value of a band that very many rows share. Thresholds so low
-    that bands select nothing take the exact join.
+    Only ids and hashes go into the bands; histograms are joined to the pairs that both hashes leave. The join reads
+    plain shuffles, so that Spark can split a value of a band that very many rows share. Thresholds at which bands select too little
+    take the metric join.
     """
-    plan = band_plan(threshold, layout)
+    plan = band_plan(threshold, layout, fp.count())
     if not plan:
-        return similar_pairs_exact(fp, threshold, id_col=id_col, layout=layout)
-    left, right = _sides(fp, id_col)
+        return similar_pairs_metric(fp, threshold, id_col, layout)
+    left, right = (side.drop(f"{p}_color_hist") for p, side in zip("lr", _sides(fp, id_col), strict=True))
 
     def keys(prefix: str, side: str) -> Column:
         out = []
@@ -218,7 +230,9 @@ def candidate_pairs_banded(fp: DataFrame, threshold: int = THRESHOLD, id_col: st
     build = right.withColumn("key", F.explode(keys("r", "right"))).select("*", "key.band", "key.value").drop("key")
     met = probe.hint("merge").join(build, ["band", "value"]).filter(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
     # A pair may meet in several bands; the score is computed once per pair.
-    close = _distances(met, threshold, layout).drop("band", "value").dropDuplicates([f"l_{id_col}", f"r_{id_col}"])
+    close = _distances(met, threshold, layout).select(f"l_{id_col}", f"r_{id_col}", "ha", "hd").distinct()
+    for p in "lr":
+        close = close.join(fp.select(F.col(id_col).alias(f"{p}_{id_col}"), F.col("color_hist").alias(f"{p}_color_hist")).hint("merge"), f"{p}_{id_col}")
     return _scored(close, threshold, id_col, layout)
 
 

@@ -84,6 +84,17 @@ def candidate_pairs_banded_88(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.candidate_pairs_banded(materialize(fingerprint_table(spark, sf_dir, planted=True), "fp"), 88)
 
 
+@query("select * from pairs", _RASTERS, _FPD, _pairs(72))
+def similar_pairs_metric_72(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim.similar_pairs_metric(materialize(fingerprint_table(spark, sf_dir, planted=True), "fp"), 72)
+
+
+@query("select * from pairs", _RASTERS, _FPD, _pairs(80))
+def candidate_pairs_80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold at which bands select nothing."""
+    return sim.candidate_pairs_banded(materialize(fingerprint_table(spark, sf_dir, planted=True), "fp"), 80)
+
+
 @query("select * from pairs", _RASTERS, _FPD, _pairs(100))
 def candidate_pairs_banded_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.candidate_pairs_banded(materialize(fingerprint_table(spark, sf_dir, planted=True), "fp"), 100)
