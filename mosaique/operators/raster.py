@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mosaique.functions import geometry as G, scalars as S
 from mosaique.operators import halo
+from mosaique.operators.cover import points_in_regions
 
 ID = "image_id"
 AT = [ID, "x", "y"]
@@ -209,29 +210,6 @@ def tile_ramp(tiled: DataFrame, channel: str, tile: int, width: int, height: int
     return met.groupBy(*AT).agg(F.floor(F.round(F.sum(F.col("_value") * F.col("_w")), 6)).cast("int").alias(channel))
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """Columns of `points` (x, y) with region_id, for every region (kind, box, points) that holds the point.
-
-    The bounding box of a region is cut into cells whose side, a power of two, follows its size, so that no region has more
-    than 36 cells. A point is looked up once per side in use (a few dozen at most): an equi-join, and only then the exact test.
-    """
-    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    polygon = F.col("kind") == "polygon"
-    low_x, high_x = F.when(polygon, F.array_min(xs)).otherwise(F.col("box.left")), F.when(polygon, F.array_max(xs)).otherwise(F.col("box.right"))
-    low_y, high_y = F.when(polygon, F.array_min(ys)).otherwise(F.col("box.top")), F.when(polygon, F.array_max(ys)).otherwise(F.col("box.bottom"))
-    boxed = regions.withColumns({"_lx": low_x, "_hx": high_x, "_ly": low_y, "_hy": high_y}).filter("_hx >= _lx and _hy >= _ly")
-    longest = F.greatest(F.col("_hx") - F.col("_lx"), F.col("_hy") - F.col("_ly")).cast("double")
-    boxed = boxed.withColumn("_side", F.greatest(F.lit(3), F.ceil(F.log2(F.greatest(F.lit(1.0), longest / 4)))).cast("int"))
-    sides = sorted(r[0] for r in boxed.select("_side").distinct().collect())
-    down = lambda c, side: F.floor(F.col(c) / F.pow(F.lit(2.0), side)).cast("long")
-    cells = boxed.withColumn("_cx", F.explode(F.sequence(down("_lx", F.col("_side")), down("_hx", F.col("_side"))))).withColumn("_cy", F.explode(F.sequence(down("_ly", F.col("_side")), down("_hy", F.col("_side")))))
-    placed = points.withColumn("_side", F.explode(F.array(*[F.lit(k) for k in sides]).cast("array<int>")))
-    placed = placed.withColumn("_cx", down("x", F.col("_side"))).withColumn("_cy", down("y", F.col("_side")))
-    x, y = F.col("x"), F.col("y")
-    hit = F.when(polygon, G.in_polygon(x, y, F.col("points"))).when(F.col("kind") == "ellipse", G.in_ellipse(x, y, F.col("box"))).otherwise(G.in_rect(x, y, F.col("box")))
-    return placed.join(cells.hint("merge"), ["_side", "_cx", "_cy"]).filter(hit).select(*points.columns, "region_id")
-
-
 def target_hit(polygon: list[tuple[int, int]] | None, box: tuple[int, int, int, int] | None) -> Column:
     """Whether a pixel is targeted: a polygon first, else a rectangle, else everything; empty ones target nothing."""
     if polygon:
@@ -249,9 +227,10 @@ def apply_to_target(pixels: DataFrame, channel: str, change: Column, polygon: li
 
 
 def apply_outside(pixels: DataFrame, channel: str, change: Column, protected: DataFrame) -> DataFrame:
-    """The channel changed wherever no protected ellipse (image_id, box) is."""
-    spots = protected.select(F.col(ID).alias("_id"), "box")
-    held = pixels.join(spots.hint("merge"), (F.col(ID) == F.col("_id")) & G.in_ellipse(F.col("x"), F.col("y"), F.col("box")), "left_semi").select(*AT, F.lit(True).alias("_held"))
+    """The channel changed wherever no protected ellipse (image_id, box) is; ellipses are looked up by their coverings."""
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    spots = protected.select(ID, F.lit(0).alias("region_id"), F.lit("ellipse").alias("kind"), "box", none.alias("points"))
+    held = points_in_regions(pixels.select(*AT), spots, on=[ID]).select(*AT).distinct().withColumn("_held", F.lit(True))
     return pixels.join(held.hint("merge"), AT, "left").withColumn(channel, F.when(F.col("_held"), F.col(channel)).otherwise(change)).drop("_held")
 
 
