@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mosaique.functions import scalars as S
 from mosaique.operators import jobs as J
 from mosaique.registry import query
+from mosaique.session import shared_path
 from mosaique.sources import views
-from mosaique.streaming import streams
+from mosaique.streaming import stateful, streams
 
 RL = views.RELEASES_SQL
 _HOUR = 3_600_000_000
@@ -77,7 +78,7 @@ def suppress_repeats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
   (select *, case when prev is null or epoch_us(ts) - epoch_us(prev) > {36 * _HOUR} then 1 else 0 end as new from e)) group by user_id, g
   having epoch_us(max(ts)) + {36 * _HOUR} <= (select epoch_us(max(ts)) - {24 * _HOUR} from events)""", "e as (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from events)")
 def expire_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.run_to_table(spark, streams.expire(_stream(spark, sf_dir), ["user_id"], "ts", "36 hours", "24 hours"))
+    out = streams.run_to_table(spark, stateful.expire(_stream(spark, sf_dir), "user_id", "ts", 36 * _HOUR, "24 hours"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last_seen")})
 
 
@@ -115,7 +116,7 @@ def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, event_id from walk where shows", _THROTTLE, recursive=True)
 def throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.throttle(spark, _stream(spark, sf_dir), "user_id", "ts", "event_id", F.col("event_type") == "purchase", 24 * _HOUR)
+    return stateful.throttle(spark, _stream(spark, sf_dir), "user_id", "ts", "event_id", F.col("event_type") == "purchase", 24 * _HOUR, shared_path(spark, "throttle"))
 
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events where user_id % 7 <> 0) where rn = 1")

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: arrivals, incremental work, throttling, suppression, roll-ups, expiry.
+"""Structured Streaming forms: arrivals, incremental work, suppression, roll-ups, revisions (throttling and expiry: `stateful`).
 
 Late rows: what is behind the watermark is dropped by `incremental` and `suppress_repeats`.
 """
@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mosaique.operators import jobs
 from mosaique.session import materialize, shared_path
 
 
@@ -33,43 +32,12 @@ def suppress_repeats(errors: DataFrame, keys: list[str], gap_us: int, ts: str, d
     return bursts.drop("w")
 
 
-def expire(stream: DataFrame, keys: list[str], ts: str, idle: str, delay: str) -> DataFrame:
-    """A row per key and stretch of activity once it has been idle for so long: first, last seen, events."""
-    window = F.session_window(ts, idle)
-    stretches = stream.withWatermark(ts, delay).groupBy(*keys, window.alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last_seen"), F.count("*").alias("n"))
-    return stretches.drop("w")
-
-
 def job_rollup(stream: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     """Newest state per job, for update or complete mode."""
     newest = F.struct(ts, order)
     return stream.groupBy(key).agg(F.max_by("status", newest).alias("status"), F.max_by("percent", newest).alias("percent"), F.count("*").alias("n_events"))
 
 
-def throttle(spark: SparkSession, stream: DataFrame, key: str, ts: str, order: str, final: Column, gap_us: int) -> DataFrame:
-    """key and order of events at least a gap after the last one let through, and of every final one, of all that is available now.
-
-    Each batch is sorted by key and time and folded row by row together with the times that the batch before left, one
-    per key; a batch that is run again after a failure writes the same rows.
-    """
-    base = shared_path(spark, "throttle")
-    batches: list[int] = []
-
-    def let_through(batch: DataFrame, batch_id: int) -> None:
-        rows = jobs.throttle_rows(batch, [key], final, ts, order)
-        if batch_id:
-            known = spark.read.parquet(f"{base}/batch={batch_id - 1}").filter("_order is null")
-            rows = rows.unionByName(known.withColumn("_final", F.lit(False)))
-        jobs.throttle_fold(rows, [key], gap_us, carry=True).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
-        batches.append(batch_id)
-
-    stream.writeStream.foreachBatch(let_through).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    kind = stream.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, _order long, _us long"
-    written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(base) if batches else spark.createDataFrame([], schema)
-    return written.filter("_order is not null").select(key, F.col("_order").alias(order))
-
-
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
     """Everything that is available now, written to a table in the shared folder and read back.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mosaique.operators import jobs
-from mosaique.streaming import streams
+from mosaique.streaming import stateful, streams
 
 
 def brute(rows, gap):
@@ -35,11 +35,46 @@ def test_throttle_collects_no_group(spark):
     assert jobs.throttle(events.limit(0), ["user_id"], 90, F.col("final")).count() == 0
 
 
-def test_stream_carries_times_over_batches(spark, tmp_path):
-    """The order of the batches is that of their times, so the stream sees what the table does."""
-    folder = str(tmp_path / "in")
+def test_stream_carries_times_over_batches_and_restarts(spark, tmp_path):
+    """The order of the batches is that of their times, so the stream sees what the table does; a second run goes on from the checkpoint."""
+    folder, base = str(tmp_path / "in"), str(tmp_path / "base")
     for k in range(3):
         table(spark, k * 2000, k * 2000 + 2000).coalesce(1).write.mode("append").parquet(folder)
+        if k == 0:
+            continue
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        found = stateful.throttle(spark, stream, "user_id", "ts", "event_id", F.col("final"), 90, base)
+        assert sorted(map(tuple, found.collect())) == brute(local(spark.read.parquet(folder)), 90)
+
+
+def test_state_holds_a_time_a_key(spark, tmp_path):
+    """A batch of one key changes the state of one key: later batches don't write the others again."""
+    folder, base = str(tmp_path / "in"), str(tmp_path / "base")
+    rows = [[(u, 1_000_000, u, False) for u in range(400)], [(7, 5_000_000, 1000, False)]]
+    for part in rows:
+        spark.createDataFrame(part, "user_id long, us long, event_id long, final boolean").select("user_id", F.timestamp_micros("us").alias("ts"), "event_id", "final").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        found = stateful.throttle(spark, stream, "user_id", "ts", "event_id", F.col("final"), 90, base)
+    assert found.count() == 401
+    held = spark.read.format("statestore").option("stateVarName", "last").load(f"{base}/state")
+    assert held.count() == 400 and held.filter("key.user_id = 7").select("value.value.us").first()[0] == 5_000_000
+
+
+def test_timers_give_what_idle_time_gives(spark, tmp_path):
+    """Stretches of activity over several batches, out of order within the delay, against a plain walk."""
+    folder = str(tmp_path / "in")
+    times = [(k % 5, (1000 + k * 37 % 90 + 60 * (k // 90)) * 1_000_000) for k in range(360)] + [(9, 10_000_000_000)]
+    for k in range(0, len(times), 90):
+        spark.createDataFrame(times[k : k + 90], "user_id long, us long").select("user_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    found = streams.throttle(spark, stream, "user_id", "ts", "event_id", F.col("final"), 90)
-    assert sorted(map(tuple, found.collect())) == brute(local(spark.read.parquet(folder)), 90)
+    found = streams.run_to_table(spark, stateful.expire(stream, "user_id", "ts", 2_000_000, "90 seconds"))
+    want = []
+    for user in range(5):
+        own = sorted(us for u, us in times if u == user)
+        start = 0
+        for k in range(1, len(own) + 1):
+            if k == len(own) or own[k] - own[k - 1] > 2_000_000:
+                want.append((user, own[start], own[k - 1], k - start))
+                start = k
+    got = found.select("user_id", F.unix_micros("first"), F.unix_micros("last_seen"), "n")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
