@@ -107,6 +107,24 @@ def path_parent(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def normal_path(path: Column) -> Column:
+    """The path without `.`, `..` and repeated slashes; what stands before a scheme's first slash stays, and nothing lies above a root.
+
+    A relative path keeps the `..` that lead out of it; an empty one is `.`.
+    """
+    scheme = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]*)", 1)
+    rest = F.substr(path, F.length(scheme) + 1)
+    rooted = rest.startswith("/") | (scheme != "")
+
+    def fold(held: Column, part: Column) -> Column:
+        last = F.try_element_at(held, F.lit(-1))
+        up = F.when(last.isNull() & rooted, held).when(last.isNull() | (last == ".."), F.array_append(held, part)).otherwise(F.slice(held, 1, F.size(held) - 1))
+        return F.when(part.isin("", "."), held).when(part == "..", up).otherwise(F.array_append(held, part))
+
+    parts = F.array_join(F.aggregate(F.split(rest, "/"), F.array().cast("array<string>"), fold), "/")
+    return F.when(rooted, F.concat(scheme, F.lit("/"), parts)).otherwise(F.when(parts == "", ".").otherwise(parts))
+
+
 def path_suffix(path: Column) -> Column:
     """With the dot; empty without one, or if the name only starts with it."""
     return F.regexp_extract(path_name(path), r"^.+(\.[^.]+)$", 1)

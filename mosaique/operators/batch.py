@@ -176,8 +176,8 @@ def orphans(meta: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def expand_roots(roots: DataFrame) -> DataFrame:
-    """path and position of several listings (root_pos, path): each path once, at its first place; . and // are folded."""
-    clean = roots.withColumn("path", F.regexp_replace(F.regexp_replace("path", r"/\./", "/"), r"/{2,}", "/"))
+    """path and position of several listings (root_pos, path): each path once, at its first place; ., .. and // are resolved."""
+    clean = roots.withColumn("path", S.normal_path(F.col("path")))
     first = clean.groupBy("path").agg(F.min(F.struct("root_pos", F.lower("path").alias("l"))).alias("at"))
     return first.select("path", F.col("at.root_pos").alias("root_pos"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from mosaique.functions import geometry as G, scalars as S
 from mosaique.operators import halo
 from mosaique.operators.cover import points_in_regions
+from mosaique.operators.selection import percentiles
 
 ID = "image_id"
 AT = [ID, "x", "y"]
@@ -110,10 +111,9 @@ def band_mean(pixels: DataFrame, channel: str, period: int, angle: float) -> Dat
 def percentile_stretch(pixels: DataFrame, channel: str, cutoff: float) -> DataFrame:
     """The middle of each image's values spread over 0..255; `cutoff` percent go at either end.
 
-    Values are counted first (256 at most per image), so that the exact percentiles need no sort of the pixels.
+    The exact percentiles come from counted values, without a sort of the pixels.
     """
-    counted = pixels.groupBy(ID, channel).agg(F.count("*").alias("_n"))
-    ends = counted.groupBy(ID).agg(F.percentile(F.col(channel), F.lit(cutoff / 100), F.col("_n")).alias("low"), F.percentile(F.col(channel), F.lit(1 - cutoff / 100), F.col("_n")).alias("high"))
+    ends = percentiles(pixels, [ID], channel, {"low": cutoff / 100, "high": 1 - cutoff / 100})
     joined = pixels.join(ends.hint("merge"), ID)
     spread = S.clip((F.col(channel) - F.col("low")) * 255.0 / (F.col("high") - F.col("low")))
     return joined.withColumn("stretched", F.when(F.col("high") > F.col("low"), F.floor(F.round(spread, 6) + 0.5).cast("int")).otherwise(F.col(channel)))
@@ -149,12 +149,10 @@ def sharpness(pixels: DataFrame, channel: str = "luma") -> DataFrame:
 def edge_score(pixels: DataFrame, channel: str = "luma") -> DataFrame:
     """image_id, x, y, magnitude and score: share of the image's 92nd percentile, times how abrupt the step is.
 
-    Both gradients come from one pass. The percentile is taken over counted magnitudes: those of integer values repeat, so that an
-    image is far fewer rows than pixels.
+    Both gradients come from one pass, and the percentile from counted magnitudes, refined where they are many.
     """
     both = stencils(pixels, channel, {"gx": SOBEL_X, "gy": SOBEL_Y}, clamp=True).withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
-    counted = both.groupBy(ID, "magnitude").agg(F.count("*").alias("_n"))
-    scale = counted.groupBy(ID).agg(F.percentile("magnitude", F.lit(0.92), F.col("_n")).alias("p"))
+    scale = percentiles(both, [ID], "magnitude", {"p": 0.92})
     joined = both.join(scale.hint("merge"), ID).withColumn("p", F.when(F.col("p") <= 0, 1.0).otherwise(F.col("p")))
     relative, absolute = S.clip(F.col("magnitude") / F.col("p"), 0.0, 1.0), S.clip((F.col("magnitude") - 180.0) / 580.0, 0.0, 1.0)
     return joined.select(*AT, "magnitude", (relative * absolute).alias("score"))

@@ -22,7 +22,7 @@ def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select path, min(image_id % 3) as root_pos from v_catalog group by path", C)
 def expand_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three listings of the same files, written in different ways."""
-    rows = views.catalog(spark, sf_dir).select((F.col("image_id") % 3).alias("root_pos"), F.expr("case image_id % 2 when 0 then replace(path, '/lib/', '/lib/./') else replace(path, '/lib/', '//lib//') end as path"))
+    rows = views.catalog(spark, sf_dir).select((F.col("image_id") % 3).alias("root_pos"), F.expr("case image_id % 4 when 0 then replace(path, '/lib/', '/lib/./') when 1 then replace(path, '/lib/', '//lib//') when 2 then replace(path, '/lib/', '/lib/new/old/../../') else concat('/..', path) end as path"))
     return B.expand_roots(rows)
 
 

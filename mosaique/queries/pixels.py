@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mosaique.functions import geometry as G, scalars as S
 from mosaique.operators import raster as R, similarity as sim
+from mosaique.operators.scan import numbered
 from mosaique.plans import chain as K
 from mosaique.registry import query
 from mosaique.session import shared_path
@@ -231,11 +232,16 @@ def read_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.withColumn("image_id", F.regexp_extract("image_id", r"image_id=(\d+)", 1).cast("long"))
 
 
-@query("select * from (values " + ", ".join(f"('{t}')" for t in "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()) + ") t(name)")
+@query("""select s_nationkey, sum(length(s_name) + 1)::bigint as size_bytes, row_number() over (order by 'nation=' || s_nationkey || '/') as position from supplier group by s_nationkey""")
 def scan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the tables themselves, by name: a scan of metadata only."""
-    files = media.scan_media(spark, sf_dir, suffixes=["parquet"])
-    return files.filter("size_bytes > 0 and mtime is not null").select(F.regexp_extract("path", r"([a-z_]+)\.parquet", 1).alias("name")).distinct()
+    """Writes a text file of supplier names per nation beside files of another kind, and lists the first with size and order; a missing root adds none."""
+    path = shared_path(spark, "listing")
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("value"))
+    names.repartition("nation").write.partitionBy("nation").text(f"{path}/names")
+    names.write.csv(f"{path}/other")
+    files = media.scan_media(spark, path, suffixes=["txt"]).unionByName(media.scan_media(spark, f"{path}/missing"))
+    files = numbered(files.filter("mtime is not null"), [F.lower("path")], "position")
+    return files.select(F.regexp_extract("path", r"nation=(\d+)/", 1).cast("int").alias("s_nationkey"), "size_bytes", "position")
 
 
 _RGB = """
