@@ -9,7 +9,7 @@ from mosaique.operators import jobs as J
 from mosaique.registry import query
 from mosaique.session import shared_path
 from mosaique.sources import views
-from mosaique.streaming import stateful, streams
+from mosaique.streaming import log_table, stateful, streams
 
 RL = views.RELEASES_SQL
 _HOUR = 3_600_000_000
@@ -82,13 +82,6 @@ def expire_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last_seen")})
 
 
-@query("select distinct user_id, event_type, cast(ts as date) as day from events")
-def incremental_fingerprints_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One piece of work per user, type and day, however often it is asked for."""
-    rows = _stream(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return streams.run_to_table(spark, streams.incremental(rows, ["user_id", "event_type", "day"], "ts", "400 days").select("user_id", "event_type", "day"))
-
-
 @query("select event_id from events where user_id not in (select user_id from events where event_id % 50 = 0)")
 def media_arrivals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals of users that are not known yet."""
@@ -122,9 +115,10 @@ def throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events where user_id % 7 <> 0) where rn = 1")
 def latest_revision_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (users) at their latest revision (event), without those that no longer exist."""
-    sink = streams.LatestRevisions(spark, "user_id", "event_id")
+    sink = log_table.LatestRevisions(spark, "user_id", "event_id")
     sink.follow(_stream(spark, sf_dir).select("user_id", "event_id", "event_type"))
-    return sink.drop_orphans(_events(spark, sf_dir).filter("user_id % 7 <> 0")).select("user_id", "event_id", "event_type")
+    sink.remove_orphans(_events(spark, sf_dir).filter("user_id % 7 <> 0"))
+    return sink.table().select("user_id", "event_id", "event_type")
 
 
 _VERSION = r"'^\s*v?(\d+)\.(\d+)\.(\d+)(?:[\s._-]*rc[\s._-]*(\d+))?\s*$'"

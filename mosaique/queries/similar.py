@@ -9,6 +9,7 @@ from mosaique.operators import graph, similarity as sim
 from mosaique.registry import query
 from mosaique.session import materialize, shared_path
 from mosaique.sources import views
+from mosaique.streaming import log_table
 
 _COLUMNS = (
     "concat('/lib/', image_id % 13, '/', image_id, '.png') as path", "cast(64 + (image_id % 5) * 40 as int) as width", "cast(48 + (image_id % 3) * 16 as int) as height",
@@ -69,6 +70,22 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_table(spark, sf_dir).select("image_id", "a_hash", "d_hash", "color_hist", "sharpness")
 
 
+@query("select image_id, a_hash, d_hash, color_hist, sharpness from fp", _RASTERS, _FP)
+def incremental_fingerprints_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of rasters through a stored cache: what has the path, size and time of a known file isn't computed again."""
+    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")
+    files = arriving.selectExpr("concat('/lib/', vec_id, '.png') as path", "64 as size_bytes", "label as mtime", "vec_id", "embedding")
+
+    def compute(rows: DataFrame) -> DataFrame:
+        rasters = rows.selectExpr("path", "size_bytes", "mtime", "vec_id as image_id", f"{views.LUMA_ARRAY} as luma")
+        return sim.fingerprints(rasters).select("path", "size_bytes", "mtime", "image_id", "a_hash", "d_hash", "color_hist", "sharpness")
+
+    cache = log_table.FingerprintCache(spark, compute)
+    cache.follow(files)
+    return cache.table().select("image_id", "a_hash", "d_hash", "color_hist", "sharpness")
+
+
 @query("select * from pairs", _RASTERS, _FP, _pairs(72))
 def similar_pairs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.similar_pairs_exact(materialize(fingerprint_table(spark, sf_dir), "fp"), 72)

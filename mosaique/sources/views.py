@@ -12,10 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LUMA_ARRAY = "transform(embedding, v -> cast(greatest(0, least(255, floor((cast(v as double) + 0.5D) * 255))) as int))"
+
+
 def raster_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, luma (array of 64): each vector as an 8 x 8 raster, row by row."""
-    value = "transform(embedding, v -> cast(greatest(0, least(255, floor((cast(v as double) + 0.5D) * 255))) as int))"
-    return _table(spark, sf_dir, "embeddings").selectExpr("vec_id as image_id", f"{value} as luma")
+    return _table(spark, sf_dir, "embeddings").selectExpr("vec_id as image_id", f"{LUMA_ARRAY} as luma")
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,13 @@
-"""Structured Streaming forms: arrivals, incremental work, suppression, roll-ups, revisions (throttling and expiry: `stateful`).
+"""Structured Streaming forms: arrivals, suppression, roll-ups (throttling and expiry: `stateful`; revisions and cached work: `log_table`).
 
-Late rows: what is behind the watermark is dropped by `incremental` and `suppress_repeats`.
+Late rows: what is behind the watermark is dropped by `suppress_repeats`.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mosaique.session import materialize, shared_path
+from mosaique.session import shared_path
 
 
 def arrivals(spark: SparkSession, path: str, schema: str, known: DataFrame | None = None, key: str = "path") -> DataFrame:
@@ -17,11 +16,6 @@ def arrivals(spark: SparkSession, path: str, schema: str, known: DataFrame | Non
     return stream if known is None else stream.join(known.select(key).distinct(), key, "left_anti")
 
 
-def incremental(stream: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
-    """Each key once within the watermark: unchanged files aren't done again, changed ones (another key) are."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
-
-
 def suppress_repeats(errors: DataFrame, keys: list[str], gap_us: int, ts: str, delay: str) -> DataFrame:
     """One row per burst: first (shown) and suppressed; a burst ends when the gap passes without the signature.
 
@@ -62,68 +56,3 @@ def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append", k
 
     writer.foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], stream.schema)
-
-
-class LatestRevisions:
-    """A table of the latest revision per key, fed by batches of a stream; unchanged revisions are not written again.
-
-    The table lies in PARTS parts by a hash of the key. A batch writes the parts that it changes under its own number, and
-    then which parts those are: that second write publishes the batch, so readers see whole batches, a batch that is
-    run again after a failure writes the same, and a new process finds the table where the old one left it.
-    """
-
-    PARTS = 16
-
-    def __init__(self, spark: SparkSession, key: str, revision: str, base: str | None = None):
-        self.spark, self.key, self.revision = spark, key, revision
-        self.base = base or shared_path(spark, "revisions")
-
-    def _part(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.PARTS)).cast("int")
-
-    def _published(self, before: int | None = None) -> dict[int, int]:
-        """Part -> the batch that wrote it last, of the batches before a number."""
-        try:
-            rows = self.spark.read.schema("part int, batch long").parquet(f"{self.base}/published")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return {}
-        rows = rows if before is None else rows.filter(F.col("batch") < before)
-        return {r[0]: r[1] for r in rows.groupBy("part").agg(F.max("batch")).collect()}  # PARTS rows at most
-
-    def _read(self, published: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.base}/data/batch={batch}/part={part}" for part, batch in sorted(published.items())]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def table(self) -> DataFrame | None:
-        return self._read(self._published())
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        columns = [c for c in batch.columns if c != self.key]
-        newest = batch.groupBy(self.key).agg(F.max_by(F.struct(*columns), F.col(self.revision)).alias("r")).select(self.key, "r.*").withColumn("part", self._part())
-        newest = materialize(newest, "newest")
-        published = self._published(batch_id)
-        current = self._read({p: published[p] for (p,) in newest.select("part").distinct().collect() if p in published})
-        changed = newest
-        if current is not None:
-            old = current.select(self.key, F.col(self.revision).alias("_old"))
-            changed = newest.join(old.hint("merge"), self.key, "left").filter(F.col("_old").isNull() | (F.col(self.revision) > F.col("_old"))).drop("_old")
-            changed = materialize(changed, "changed")
-        parts = sorted(p for (p,) in changed.select("part").distinct().collect())
-        if not parts:
-            return
-        if current is not None:
-            stay = current.withColumn("part", self._part()).filter(F.col("part").isin(parts))
-            changed = stay.join(changed.select(self.key).hint("merge"), self.key, "left_anti").unionByName(changed)
-        changed.repartition(len(parts), "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.base}/data/batch={batch_id}")
-        marks = self.spark.createDataFrame([(p, batch_id) for p in parts], "part int, batch long").coalesce(1)
-        marks.write.mode("overwrite").parquet(f"{self.base}/published/of={batch_id}")
-
-    def drop_orphans(self, alive: DataFrame) -> DataFrame:
-        """The table without keys that no longer exist."""
-        return self.table().join(alive.select(self.key).distinct().hint("merge"), self.key, "left_semi")
-
-    def follow(self, stream: DataFrame) -> None:
-        """All that is available now; the stream's own state lies beside the table, so that another process goes on from it."""
-        stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", f"{self.base}/state").trigger(availableNow=True).start().awaitTermination()
