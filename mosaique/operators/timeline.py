@@ -235,9 +235,15 @@ def plan_edit_reduction(clips: DataFrame, budget: int) -> DataFrame:
     small = (F.col("_scale") < 0.5) & (n > 2)
     rows = rows.withColumn("_s", F.when(small, F.least(F.greatest(F.col("_s"), F.ceil(n / at_half)), F.greatest(F.lit(1), half))).otherwise(F.col("_s")))
     rows = rows.withColumn("_scale", F.greatest(F.lit(0.25), F.when(small, fit(F.col("_s"))).otherwise(F.col("_scale"))))
-    fits = F.filter(F.sequence(F.col("_s"), F.greatest(F.col("_s"), half)), lambda s: F.col("_area") * F.greatest(F.lit(2), F.ceil(n / s)) * F.col("_scale") * F.col("_scale") <= budget)
-    rows = rows.withColumn("_s", F.coalesce(F.get(fits, F.lit(0)), F.greatest(F.col("_s"), half)))
+    # The most frames that fit, checked where the division may have been rounded; the smallest stride that keeps so few follows.
+    one = lambda frames: F.col("_area") * frames * F.col("_scale") * F.col("_scale")
+    most = F.floor(budget / one(F.lit(1)))
+    most = F.when(one(most + 1) <= budget, most + 1).when(one(most) > budget, most - 1).otherwise(most)
+    rows = rows.withColumn("_most", F.when(F.col("_area") > 0, most).otherwise(n))
+    longest = F.greatest(F.col("_s"), half)
+    wanted = F.when(F.col("_most") >= 2, F.greatest(F.col("_s"), F.ceil(n / F.col("_most"))))
+    rows = rows.withColumn("_s", F.when(wanted <= longest, wanted).otherwise(longest))
     fine = F.col("_all") <= budget
     scale = F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.col("_scale"), F.sqrt(budget / F.greatest(F.lit(1), F.col("_area") * kept(F.col("_s"))))))
     rows = rows.withColumn("stride", F.when(fine, 1).otherwise(F.greatest(F.lit(1), F.col("_s"))).cast("long")).withColumn("scale", F.when(fine, 1.0).otherwise(scale))
-    return rows.drop("_all", "_area", "_s", "_scale")
+    return rows.drop("_all", "_area", "_s", "_scale", "_most")

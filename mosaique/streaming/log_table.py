@@ -24,8 +24,8 @@ MAX_CHANGES = 32
 class LogTable:
     """The newest row per key; the batch that was written last wins."""
 
-    def __init__(self, spark: SparkSession, key: str, base: str | None = None):
-        self.spark, self.key = spark, key
+    def __init__(self, spark: SparkSession, key: str | list[str], base: str | None = None):
+        self.spark, self.key = spark, [key] if isinstance(key, str) else key
         self.base = base or shared_path(spark, "log")
 
     def _published(self, before: int | None = None) -> tuple[int | None, list[int]]:
@@ -52,7 +52,7 @@ class LogTable:
             return None
         rows = self.spark.read.parquet(*paths)
         columns = [c for c in rows.columns if not c.startswith("_log_")]
-        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*columns, "_log_gone"), "_log_batch").alias("r"))
+        newest = rows.groupBy(*self.key).agg(F.max_by(F.struct(*columns, "_log_gone"), "_log_batch").alias("r"))
         return newest.filter("not r._log_gone").select(*[F.col(f"r.{c}").alias(c) for c in columns])
 
     def table(self) -> DataFrame | None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mosaique.session import shared_path
+from mosaique.streaming.log_table import LogTable
 
 
 def arrivals(spark: SparkSession, path: str, schema: str, known: DataFrame | None = None, key: str = "path") -> DataFrame:
@@ -35,8 +36,8 @@ def job_rollup(stream: DataFrame, key: str, ts: str, order: str) -> DataFrame:
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
     """Everything that is available now, written to a table in the shared folder and read back.
 
-    A complete result is what the last batch wrote. An update result is merged by `key`: each batch writes what the batch
-    before it left, with its own rows in place of those with the same key, so that a batch that is run again writes the same.
+    A complete result is what the last batch wrote. An update result is a log by `key`: each batch writes its own rows alone, and
+    readers take the newest one of each key; a batch that is run again writes the same.
     """
     path = shared_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True)
@@ -45,12 +46,14 @@ def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append", k
         return spark.read.schema(stream.schema).parquet(path)
     if mode == "update" and not key:
         raise ValueError("an update result needs the key that its rows replace each other by")
+    if mode == "update":
+        log = LogTable(spark, key, path)
+        writer.foreachBatch(lambda batch, batch_id: log.write(batch, batch_id)).start().awaitTermination()
+        found = log.table()
+        return spark.createDataFrame([], stream.schema) if found is None else found
     last: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if mode == "update" and batch_id:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id - 1}")
-            batch = before.join(batch.select(*key).hint("merge"), key, "left_anti").select(*batch.columns).unionByName(batch)
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         last.append(batch_id)
 
