@@ -14,33 +14,41 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 ID = "image_id"
 #: Side of a block where the kernel's reach allows it.
 SIDE = 64
 _AROUND = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)]
-_BORDER = T.StructType([T.StructField(n, t) for n, t in (("i", T.IntegerType()), ("j", T.IntegerType()), ("values", T.BinaryType()), ("known", T.BinaryType()))])
+#: Bytes of blocks in an Arrow batch, about, and the bounds of its rows.
+BATCH_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 25, 64, 1_000
 
 #: (values, known) with borders -> name -> (values, known) of the block itself.
 Kernel = Callable[[np.ndarray, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]
 
 
-def _strip(side: int, reach: int, i: int, j: int) -> tuple[slice, slice]:
-    """Rows and columns of a block that its neighbour in direction (i, j) needs."""
-    cut = lambda d: slice(0, side) if d == 0 else slice(side - reach, side) if d > 0 else slice(0, reach)
-    return cut(j), cut(i)
+def _from(side: int, reach: int, d: int) -> slice:
+    """Rows or columns of a block that its neighbour in direction d needs."""
+    return slice(0, side) if d == 0 else slice(side - reach, side) if d > 0 else slice(0, reach)
 
 
-def _place(side: int, reach: int, i: int, j: int) -> tuple[slice, slice]:
-    """Where a block's array with borders holds what came in direction (i, j)."""
-    cut = lambda d: slice(reach, reach + side) if d == 0 else slice(0, reach) if d > 0 else slice(reach + side, side + 2 * reach)
-    return cut(j), cut(i)
+def _to(side: int, reach: int, d: int) -> int:
+    """Where a block's array with borders holds what came in direction d."""
+    return reach if d == 0 else 0 if d > 0 else reach + side
+
+
+def _bound_batches(spark: SparkSession, side: int, reach: int) -> None:
+    """Bound what a Python worker holds at once, unless the session has chosen a smaller bound itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = min(MOST_ROWS, max(LEAST_ROWS, BATCH_BYTES // (9 * (side + 2 * reach) ** 2)))
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def on_blocks(pixels: DataFrame, channel: str, reach: int, kernel: Kernel, names: list[str], clamp: bool = False, side: int = SIDE) -> DataFrame:
     """image_id, x, y and the named results (double) of a kernel that looks `reach` pixels around."""
     side = max(side, reach)
+    _bound_batches(pixels.sparkSession, side, reach)
     id_type = pixels.schema[ID].dataType
     tall = lambda c: F.floor(F.col(c) / side).cast("int")
     blocks = pixels.withColumns({"_bx": tall("x"), "_by": tall("y")}).groupBy(ID, "_bx", "_by").agg(
@@ -53,21 +61,22 @@ def on_blocks(pixels: DataFrame, channel: str, reach: int, kernel: Kernel, names
             for r in range(batch.num_rows):
                 bx, by, mx, my = (batch.column(c)[r].as_py() for c in (1, 2, 4, 5))
                 x, y, v = (f.to_numpy() for f in batch.column(3)[r].values.flatten())
-                values, known = np.zeros((side, side)), np.zeros((side, side), np.uint8)
+                # Only as much of the block as its pixels take up.
+                shape = (my - by * side + 1, mx - bx * side + 1)
+                values, known = np.zeros(shape), np.zeros(shape, np.uint8)
                 values[y - by * side, x - bx * side] = v
                 known[y - by * side, x - bx * side] = 1
-                sent = [(i, j) for i, j in _AROUND if reach or (i, j) == (0, 0)]
-                parts = [_strip(side, reach, i, j) for i, j in sent]
-                columns = [
-                    pa.array([bx + i for i, _ in sent], pa.int32()), pa.array([by + j for _, j in sent], pa.int32()), pa.array([i for i, _ in sent], pa.int32()), pa.array([j for _, j in sent], pa.int32()),
-                    pa.array([values[p].tobytes() for p in parts], pa.binary()), pa.array([known[p].tobytes() for p in parts], pa.binary()),
-                    pa.array([mx] * len(sent), pa.int32()), pa.array([my] * len(sent), pa.int32()),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[r].as_py()] * len(sent), batch.schema.field(0).type), *columns], [ID, "bx", "by", "i", "j", "values", "known", "mx", "my"])
-
-    sent = blocks.select(ID, "_bx", "_by", "_p", F.col("_mx").cast("int"), F.col("_my").cast("int")).mapInArrow(
-        cut, T.StructType([T.StructField(ID, id_type), *[T.StructField(n, T.IntegerType()) for n in ("bx", "by", "i", "j")], T.StructField("values", T.BinaryType()), T.StructField("known", T.BinaryType()), T.StructField("mx", T.IntegerType()), T.StructField("my", T.IntegerType())]))
-    whole = sent.groupBy(ID, "bx", "by").agg(F.collect_list(F.struct("i", "j", "values", "known")).alias("parts"))
+                parts = {(i, j): (_from(side, reach, j), _from(side, reach, i)) for i, j in _AROUND if reach or (i, j) == (0, 0)}
+                parts = {d: at for d, at in parts.items() if d == (0, 0) or known[at].any()}
+                ints = [[bx + i for i, _ in parts], [by + j for _, j in parts], [i for i, _ in parts], [j for _, j in parts], [values[at].shape[1] for at in parts.values()], [mx] * len(parts), [my] * len(parts)]
+                arrays = [pa.array([part[at].tobytes() for at in parts.values()], pa.binary()) for part in (values, known)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[r].as_py()] * len(parts), batch.schema.field(0).type), *[pa.array(c, pa.int32()) for c in ints], *arrays], [ID, "bx", "by", "i", "j", "w", "mx", "my", "values", "known"])
+
+    ints = [T.StructField(n, T.IntegerType()) for n in ("bx", "by", "i", "j", "w", "mx", "my")]
+    schema = T.StructType([T.StructField(ID, id_type), *ints, T.StructField("values", T.BinaryType()), T.StructField("known", T.BinaryType())])
+    sent = blocks.select(ID, "_bx", "_by", "_p", F.col("_mx").cast("int"), F.col("_my").cast("int")).mapInArrow(cut, schema)
+    whole = sent.groupBy(ID, "bx", "by").agg(F.collect_list(F.struct("i", "j", "w", "values", "known")).alias("parts"))
     # Borders that were sent beyond the picture meet no block of their own.
     whole = whole.filter(F.exists("parts", lambda p: (p["i"] == 0) & (p["j"] == 0)))
     if clamp:
@@ -80,17 +89,21 @@ def on_blocks(pixels: DataFrame, channel: str, reach: int, kernel: Kernel, names
         for batch in batches:
             for r in range(batch.num_rows):
                 bx, by, mx, my = (batch.column(c)[r].as_py() for c in (1, 2, 4, 5))
-                values, known = np.zeros((side + 2 * reach,) * 2), np.zeros((side + 2 * reach,) * 2, bool)
-                for part in batch.column(3)[r].as_py():
-                    at = _place(side, reach, part["i"], part["j"])
-                    shape = values[at].shape
-                    values[at] = np.frombuffer(part["values"], float).reshape(shape)
-                    known[at] = np.frombuffer(part["known"], np.uint8).reshape(shape)
-                own = known[reach : reach + side, reach : reach + side].copy()
+                parts = batch.column(3)[r].as_py()
+                # As high and wide as its pixels and those above and beside them, or as the block where a neighbour follows.
+                wide = side if any(p["i"] < 0 for p in parts) else max(p["w"] for p in parts if p["i"] == 0)
+                high = side if any(p["j"] < 0 for p in parts) else max(len(p["known"]) // p["w"] for p in parts if p["j"] == 0)
+                values, known = np.zeros((high + 2 * reach, wide + 2 * reach)), np.zeros((high + 2 * reach, wide + 2 * reach), bool)
+                for p in parts:
+                    there = np.frombuffer(p["known"], np.uint8).reshape(-1, p["w"])
+                    y, x = _to(side, reach, p["j"]), _to(side, reach, p["i"])
+                    values[y : y + there.shape[0], x : x + there.shape[1]] = np.frombuffer(p["values"], float).reshape(there.shape)
+                    known[y : y + there.shape[0], x : x + there.shape[1]] = there
+                own = known[reach : reach + high, reach : reach + wide].copy()
                 if clamp:
                     # What lies beyond the picture repeats its edge.
-                    beside = lambda b, m: np.clip(np.arange(b * side - reach, (b + 1) * side + reach), 0, m) - (b * side - reach)
-                    ys, xs = np.clip(beside(by, my), 0, side + 2 * reach - 1), np.clip(beside(bx, mx), 0, side + 2 * reach - 1)
+                    beside = lambda b, n, m: np.clip(np.arange(b * side - reach, b * side + n + reach), 0, m) - (b * side - reach)
+                    ys, xs = np.clip(beside(by, high, my), 0, high + 2 * reach - 1), np.clip(beside(bx, wide, mx), 0, wide + 2 * reach - 1)
                     values, known = values[np.ix_(ys, xs)], known[np.ix_(ys, xs)]
                 found = kernel(values, known)
                 for _, there in found.values():

@@ -32,12 +32,12 @@ def plain_stencil(p, kernel, clamp):
 
 
 @pytest.mark.parametrize("clamp", [False, True])
-@pytest.mark.parametrize("holes", [0.0, 0.02])
+@pytest.mark.parametrize("holes", [0.0, 0.02, 0.97])
 def test_stencils_over_several_blocks(spark, monkeypatch, clamp, holes):
     monkeypatch.setattr(halo, "SIDE", 16)
     monkeypatch.setattr(halo.on_blocks, "__defaults__", (False, 16))
     pictures = {1: picture(1, 50, 37, holes), 2: picture(2, 16, 16, holes), 3: picture(3, 1, 40), 4: {(0, 0): 7}}
-    kernel = [(0, 0, 4), (-3, 0, -1), (3, 1, -1), (0, -2, -2)]
+    kernel = [(0, 0, 4), (-3, 0, -1), (3, 1, -1), (0, -2, -2)] if holes < 0.5 else [(0, 0, 4)] + [(3, 3, 1)] * clamp
     found = R.stencils(table(spark, pictures), "luma", {"a": kernel, "b": [(0, 0, 1)]}, clamp)
     assert dict(found.dtypes)["a"] == "bigint"
     got = {(r["image_id"], r["x"], r["y"]): (r["a"], r["b"]) for r in found.collect()}
