@@ -8,9 +8,11 @@
 3. Each page is extracted again from the element at its host's winning path; a page without such an element
    uses its own best container.
 
-Inside the chosen element, menus, forms, scripts, styles, notices, adverts, shares and reader comments are
-left out by tag, role and class: a class says so by its last word that isn't one for place or shape (`site-header`,
-not `social-science`), and inside an article or main only by all of its words, and headings and headers stay.
+Menus, forms, scripts, styles, notices, adverts, shares and reader comments are left out by tag, role, class and id. While
+a container is looked for, a name says so by its last word that isn't one for place or shape (`cookie-banner`, not
+`social-science`); inside the chosen container, as inside every article and main, only by all of its words (`related-articles`,
+not `price-share`). Headings stay there, and so does a header with a heading that is the container's own: it has no
+menu, is not mostly links, is not named as the site's, and no heading of its rank follows outside it.
 A form that holds an article, main or most of the page's text is not left out. Tags are read as browsers read them:
 quotes count only behind an equals sign, and an unfinished tag ends the page. Character references are decoded once;
 white space inside a block becomes one space; blocks are joined in page order by one space. Time and memory grow
@@ -43,6 +45,8 @@ _COMMENT_END = re.compile(r"--!?>")
 _ASKED = ("class", "id", "role", "hidden", "aria-hidden", "style")
 _ANY_ASKED = re.compile("class|id|role|hidden|style", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Numbers and sizes (300x250) in names say nothing.
+_NUMBERS = re.compile(r"[0-9]+(?:x[0-9]+)*")
 _WORDS = re.compile(r"[^a-z]+")
 #: Elements whose content is no markup; it is skipped up to their end tag.
 RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
@@ -65,10 +69,18 @@ LEFT_OUT_WORDS = frozenset(
 )
 #: Words for the place or shape of an element. Inside an article every word of a name must be one of these or one of the above.
 PLACE_WORDS = frozenset(
-    "area areas bar bars block blocks bottom box boxes button buttons center col column container content desktop first fixed form full global group icon icons inline inner item items last left "
-    "link links list main mobile module outer panel placeholder post posts primary right row secondary section site slot sticky thread top unit wide wrap wrapper zone".split()
+    "area areas articles bar bars block blocks body bottom box boxes button buttons center col column container content count desktop facebook fb first fixed form full global group icon icons inline inner item "
+    "items label last left link links list main message messages mobile module outer panel placeholder post posts primary reader readers right row secondary section site slot sticky stories text thread top unit "
+    "user users wide wrap wrapper zone".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+RANKS = {f"h{k}": k for k in range(1, 7)}
+#: Words that, beside it, make a header one of the site.
+SITE_WORDS = frozenset("site page global main top web app blog fixed sticky mobile desktop".split())
+#: Words that mark a section of reader comments also as the id of an element that isn't a div.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words that say nothing of a paragraph: it may quote, or be a remark of the author.
+PARAGRAPH_WORDS = frozenset("comment comments notice remark reply header".split())
 #: An open element that the start of one of these ends.
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 STOPS = frozenset("table ul ol dl div section article body main".split())
@@ -83,8 +95,13 @@ class Element:
     step: str
     key: int
     holder: int
+    #: Left out by its own tag and names, as they are judged outside and inside an article; and itself or something above it, outside.
+    outer: bool
+    inner: bool
     left_out: bool
     in_article: bool
+    #: A header that stays only if its heading is the container's.
+    header: bool = False
     score: float = 0.0
 
 
@@ -111,27 +128,33 @@ def _path_key(path: str) -> int:
     return key
 
 
-def _marked(tag: str, name: str, value: str, in_article: bool) -> bool:
-    """Whether a class or id says that the element isn't part of an article."""
-    if tag in ("body", "html", "article", "main"):
-        return False
-    if in_article and (tag in HEADINGS or name == "id" and tag != "div"):
-        return False
+def _marked(tag: str, name: str, value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id says that the element isn't part of an article, as read outside and inside one; and whether it is a plain header."""
+    outer = inner = header = False
     for word in value.split():
-        parts = [p for p in _WORDS.split(_CAMEL.sub("-", word).lower()) if p]
-        if in_article:
-            if LEFT_OUT_WORDS.issuperset(p for p in parts if p not in PLACE_WORDS) and not LEFT_OUT_WORDS.isdisjoint(parts) and "header" not in parts:
-                return True
-        elif next((p for p in reversed(parts) if p not in PLACE_WORDS), "") in LEFT_OUT_WORDS:
-            return True
-    return False
-
-
-def _is_left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether the element isn't part of an article, and its classes for the path."""
-    if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True, ""
-    classes, out = "", False
+        parts = [p for p in _WORDS.split(_CAMEL.sub("-", _NUMBERS.sub("-", word)).lower()) if p]
+        listed = LEFT_OUT_WORDS.intersection(parts)
+        if not listed or tag == "p" and listed <= PARAGRAPH_WORDS:
+            continue
+        if "header" in listed:
+            if len(parts) == 1:
+                header = True
+                continue
+            if SITE_WORDS.isdisjoint(parts):
+                listed -= {"header"}
+                parts = [p for p in parts if p != "header"]
+        last = next((p for p in reversed(parts) if p not in PLACE_WORDS), "")
+        outer |= last in LEFT_OUT_WORDS
+        whole = bool(listed) and LEFT_OUT_WORDS.issuperset(p for p in parts if p not in PLACE_WORDS)
+        inner |= whole and (name == "class" or tag == "div" or not listed.isdisjoint(COMMENT_WORDS))
+    return outer, inner, header
+
+
+def _is_left_out(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
+    """Whether the element isn't part of an article, as read outside and inside one, whether it is a header, and its classes for the path."""
+    if tag in LEFT_OUT:
+        return True, True, False, ""
+    classes, outer, inner, header = "", False, False, tag == "header"
     if attributes and _ANY_ASKED.search(attributes):
         seen: set[str] = set()
         for name, *values in _ATTRIBUTE.findall(attributes):
@@ -141,17 +164,24 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, str
             seen.add(name)
             value = "".join(values)
             low = value.strip().lower()
+            hidden = False
             if name == "role":
-                out |= low in LEFT_OUT_ROLES
+                hidden = low in LEFT_OUT_ROLES
             elif name == "hidden" or name == "aria-hidden" and low == "true":
-                out = True
+                hidden = True
             elif name == "style":
-                out |= "display:none" in low.replace(" ", "")
+                hidden = "display:none" in low.replace(" ", "")
             else:
                 if name == "class":
                     classes = "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c).replace(">", "_") for c in value.lower().split()}))
-                out |= _marked(tag, name, value, in_article)
-    return out, classes
+                if tag not in ("body", "html", "article", "main"):
+                    out, within, plain = _marked(tag, name, value)
+                    outer |= out
+                    header |= plain
+                    inner |= within and (tag not in HEADINGS or tag == "header")
+            outer |= hidden
+            inner |= hidden
+    return outer, inner, header, classes
 
 
 def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -194,9 +224,10 @@ def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 def parse(html: str) -> Page:
-    page = Page([Element("#root", -1, "", 0, 0, False, False)])
+    page = Page([Element("#root", -1, "", 0, 0, False, False, False, False)])
     elements, parts, stack, links = page.elements, page.parts, [0], 0
     forms: list[int] = []
+    headers = False
     open_: Counter = Counter()
 
     def close_to(k: int) -> None:
@@ -236,11 +267,16 @@ def parse(html: str) -> Page:
                 parts.append((stack[-1], None, False))
             continue
         above = elements[stack[-1]]
-        out, classes = _is_left_out(tag, attributes, above.in_article)
+        outer, inner, header, classes = _is_left_out(tag, attributes)
+        if above.in_article:
+            # Headers and headings of an article are its own.
+            inner, header = inner and tag != "header", False
+            outer = inner
+        headers |= header
         me, step = len(elements), f">{tag}{classes}" if tag in CONTAINERS and tag not in ("html", "tbody") else ""
         if tag in BLOCKS:
             parts.append((stack[-1], None, False))
-        elements.append(Element(tag, stack[-1], step, hash((above.key, step)) if step else above.key, me if tag in CONTAINERS else above.holder, above.left_out or out, above.in_article or tag in ("article", "main")))
+        elements.append(Element(tag, stack[-1], step, hash((above.key, step)) if step else above.key, me if tag in CONTAINERS else above.holder, outer, inner, above.left_out or outer, above.in_article or tag in ("article", "main"), header))
         if tag == "form" and not elements[-1].left_out:
             forms.append(me)
         if not attributes.endswith("/") or tag not in ("a", "b", "i", "span"):
@@ -248,11 +284,45 @@ def parse(html: str) -> Page:
             open_[tag] += 1
             links += tag == "a"
     close_to(1)
+    if headers:
+        _judge_headers(page)
     if forms:
         _leave_out_forms(page, forms)
     return page
 
 
+def _inherit(elements: list[Element], first: int = 1) -> None:
+    for e in elements[first:]:
+        e.left_out = e.outer or elements[e.parent].left_out
+
+
+def _judge_headers(page: Page) -> None:
+    """Leave out headers, but for those whose heading is the one of the container around them."""
+    elements = page.elements
+    n = len(elements)
+    text, links = _totals(page)
+    menu = [False] * n
+    #: How many headings of each rank each element holds, as six numbers of 32 bits in one.
+    ranks = [0] * n
+    for k in range(n - 1, 0, -1):
+        e = elements[k]
+        menu[k] |= e.tag in ("nav", "menu", "form")
+        if e.tag in RANKS and not e.left_out:
+            ranks[k] += 1 << 32 * (RANKS[e.tag] - 1)
+        menu[e.parent] |= menu[k]
+        ranks[e.parent] += ranks[k]
+    for k, e in enumerate(elements):
+        if not e.header:
+            continue
+        around = elements[e.parent]
+        rank = next((r for r in range(6) if ranks[k] >> 32 * r & 0xFFFFFFFF), None)
+        higher = (1 << 32 * ((rank or 0) + 1)) - 1
+        stays = rank is not None and around.holder > 0 and elements[around.holder].tag not in ("body", "html")
+        if not stays or menu[k] or 2 * links[k] > text[k] + links[k] or ranks[around.holder] & higher != ranks[k] & higher:
+            e.outer = e.inner = True
+    _inherit(elements)
+
+
 def _leave_out_forms(page: Page, forms: list[int]) -> None:
     """Leave out forms, but for those that hold an article or main, or most of the page's text."""
     elements, kept = page.elements, set()
@@ -264,9 +334,8 @@ def _leave_out_forms(page: Page, forms: list[int]) -> None:
                 up = elements[up].parent
     text, links = _totals(page)
     for k in forms:
-        elements[k].left_out = k not in kept and 2 * (text[k] + links[k]) <= text[0] + links[0]
-    for e in elements[min(forms) :]:
-        e.left_out |= e.parent >= 0 and elements[e.parent].left_out
+        elements[k].outer = elements[k].inner = k not in kept and 2 * (text[k] + links[k]) <= text[0] + links[0]
+    _inherit(elements, min(forms))
 
 
 def _totals(page: Page) -> tuple[list[int], list[int]]:
@@ -322,10 +391,14 @@ def best_container(page: Page) -> int:
 
 
 def text_of(page: Page, roots: set[int]) -> str:
-    """The text under the given elements, without what is left out."""
-    elements, inside = page.elements, [False] * len(page.elements)
+    """The text under the given elements, without what is left out: as inside an article, unless the element is the whole page."""
+    elements, inside, whole = page.elements, [False] * len(page.elements), [False] * len(page.elements)
     for k, e in enumerate(elements):
-        inside[k] = k in roots or e.parent >= 0 and inside[e.parent]
+        if k in roots:
+            inside[k], whole[k] = True, k == 0 or e.tag in ("body", "html")
+        elif k:
+            whole[k] = whole[e.parent]
+            inside[k] = inside[e.parent] and not (e.left_out if whole[k] else e.inner)
     blocks: list[str] = []
     run: list[str] = []
     for at, text, _ in page.parts:
@@ -333,7 +406,7 @@ def text_of(page: Page, roots: set[int]) -> str:
             if run:
                 blocks.append("".join(run))
                 run = []
-        elif inside[at] and not elements[at].left_out:
+        elif inside[at]:
             run.append(text)
     blocks.append("".join(run))
     clean = (_SPACE.sub(" ", unescape(b)).strip() for b in blocks)
