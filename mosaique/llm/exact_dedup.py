@@ -16,7 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mosaique.llm.common import BROADCAST_ROWS, SPACE, whole_text
+from mosaique.llm import places
+from mosaique.llm.common import SPACE, whole_text
 from mosaique.session import materialize
 
 #: Digests with more than this share of the rows are split off; their table has at most 1/SUPPORT rows.
@@ -73,28 +74,20 @@ def exact_groups(table: DataFrame, support: float = SUPPORT) -> DataFrame:
     return hot.select(columns).unionByName(rest.select(columns)).withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Only the (few) dropped keys travel, never the texts."""
-    groups = exact_groups(digests(docs, id_col, text_col))
-    key = ["_dedup_id", "_dedup_points", "_dedup_digest"]
-    per_key = groups.filter(F.col("group_size") > 1).groupBy(
-        F.col("doc_id").alias(key[0]), F.col("n_points").alias(key[1]), F.col("digest").alias(key[2])
-    ).agg(F.count("*").alias("_dedup_rows"), F.max(F.col("kept").cast("int")).alias("_dedup_kept"))
-    per_key = materialize(per_key.filter("_dedup_kept = 0 or _dedup_rows > 1"), "dropped")
-    # Columns go by place meanwhile, so that none of them can have the name of a helper.
-    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_read: bool = False) -> DataFrame:
+    """The rows that stay, with all their columns. Texts are read for their digests and once more for the rows that stay; none is shuffled.
+
+    `as_read` says that `docs` is a table read from files as it is; any other is written first. Of rows with equal
+    ids and texts of equal length the first in the order of files and rows stays.
+    """
+    table = docs if as_read else places.stored(docs)
     own_id, own_text = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
-    keyed = plain.withColumns({
-        key[0]: F.col(own_id), key[1]: F.char_length(whole_text(own_text)).cast("long"), key[2]: text_digest(own_text),
-    })
-    rows = per_key.count()
-    right = per_key.select(*[F.col(c).alias(f"{c}_r") for c in key], "_dedup_rows", "_dedup_kept")
-    on = F.lit(True)
-    for c in key:
-        on = on & F.col(c).eqNullSafe(F.col(f"{c}_r"))
-    joined = keyed.join(right.hint("broadcast" if rows <= BROADCAST_ROWS else "merge"), on, "left")
-    stays = joined.filter(F.col("_dedup_rows").isNull())
-    if per_key.filter("_dedup_kept = 1").isEmpty():
-        return stays.select(plain.columns).toDF(*docs.columns)
-    repeated = joined.filter("_dedup_kept = 1").dropDuplicates(key)
-    return stays.select(plain.columns).unionByName(repeated.select(plain.columns)).toDF(*docs.columns)
+    keyed = places.with_places(table).select(
+        F.col(own_id).alias("doc_id"),
+        F.char_length(whole_text(own_text)).cast("long").alias("n_points"),
+        text_digest(own_text).alias("digest"),
+        F.struct("_file", "_row").alias("row"),
+    )
+    gone = exact_groups(materialize(keyed, "digests")).filter("not kept").select("row.*")
+    kept = places.at_places(table, gone, inside=False)
+    return kept.drop("_file", "_row").toDF(*docs.columns)

@@ -37,7 +37,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from mosaique.llm.common import BROADCAST_ROWS, join_sized, whole_text
+from mosaique.llm import places
+from mosaique.llm.common import join_sized, whole_text
 from mosaique.llm.tokens import Cache
 from mosaique.operators.graph import connected_components
 from mosaique.session import materialize
@@ -287,21 +288,23 @@ def _confirm(percent: int):
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """v and words (its whole set as bytes) of the wanted classes (v, d1, d2), from the texts, read once.
+    """v, d1, d2 and words (its whole set as bytes) of the rows with a wanted v, chosen by their places while the texts are read.
 
-    An id may stand in several rows; only those whose set is the class's (d1, d2) count.
+    An id may stand in several rows: (d1, d2) tells which of them is the class.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, k) for t in batch.column(3).to_pylist()]
-            real = [_digest(f) == d for f, d in zip(found, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True)]
-            kept = pa.array([f.astype("<u8").tobytes() for f, r in zip(found, real, strict=True) if r], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(real, pa.bool_())), kept], ["v", "words"])
+            found = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            digests = [_digest(f) for f in found]
+            ends = [pa.array([d[n] for d in digests], pa.int64()) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ends, pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], ["v", "d1", "d2", "words"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("v"), whole_text(text_col).alias("text"))
-    texts = join_sized(texts, wanted, ["v"], "inner").select("v", "d1", "d2", "text")
-    return materialize(texts.mapInArrow(words, "v long, words binary"), "words")
+    own_id, own_text = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
+    at = places.with_places(docs).select(F.col(own_id).cast("long").alias("v"), "_file", "_row")
+    at = at.join(wanted.select("v").hint("merge"), "v", "left_semi").select("_file", "_row")
+    texts = places.at_places(docs, at, inside=True).select(F.col(own_id).cast("long").alias("v"), whole_text(own_text).alias("text"))
+    return materialize(texts.mapInArrow(words, "v long, d1 long, d2 long, words binary"), "words")
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -321,13 +324,12 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
     def confirm(met: DataFrame) -> None:
         """Reads the texts of the classes that meet for the first time; sets that are known stay in `words`."""
         nonlocal words
-        asked = materialize(met.select("v").distinct(), "asked")
-        new = asked if words is None else asked.join(words.select("v").hint("merge"), "v", "left_anti")
-        new = materialize(new.join(classes.select("v", "d1", "d2").hint("merge"), "v"), "wanted")
+        asked = materialize(met.select("v").distinct().join(classes.select("v", "d1", "d2").hint("merge"), "v"), "asked")
+        new = asked if words is None else materialize(asked.join(words.select("v").hint("merge"), "v", "left_anti"), "wanted")
         if words is None or not new.isEmpty():
             more = _whole_sets(docs, new, k, id_col, text_col)
             words = more if words is None else words.unionByName(more)
-        have = join_sized(words, asked, ["v"], "left_semi").groupBy("v").agg(F.any_value("words").alias("words"))
+        have = join_sized(words, asked, ["v", "d1", "d2"], "left_semi").groupBy("v").agg(F.any_value("words").alias("words"))
         rows = met.join(have.hint("merge"), "v").select("unit", "side", "v", "label", "words")
         rows = rows.repartition("unit").sortWithinPartitions("unit", "side", "v")
         links.append(materialize(rows.mapInArrow(_confirm(percent), "src long, dst long").distinct(), "links"))
@@ -385,8 +387,12 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
     return united()
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document. `docs` should be a table read from storage."""
+def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", as_read: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
+
+    `as_read` says that `docs` is a table read from files as it is; any other is written first.
+    """
+    docs = docs if as_read else places.stored(docs)
     table = sets(docs, k, id_col, text_col)
     real = table.filter("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").cast("long").alias("v"), F.count("*").alias("n_rows"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
@@ -405,12 +411,14 @@ def _renamed(found: DataFrame) -> DataFrame:
     return found.withColumnRenamed("vertex", "v").withColumnRenamed("component", "label")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay (the smallest id of each component), with all their columns. Only dropped ids travel."""
-    gone = components(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", as_read: bool = False) -> DataFrame:
+    """The documents that stay (the smallest id of each component), with all their columns. Ids and places travel, never texts.
+
+    `as_read` says that `docs` is a table read from files as it is; any other is written first.
+    """
+    table = docs if as_read else places.stored(docs)
+    gone = components(table, k, percent, id_col, text_col, as_read=True).filter("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
     gone = materialize(gone, "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    # Columns go by place meanwhile, so that none of them can have the name of a helper.
-    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
     own = F.col(f"_c{docs.columns.index(id_col)}")
-    return plain.join(gone.hint("broadcast" if few else "merge"), own == F.col("_gone_id"), "left_anti").toDF(*docs.columns)
+    at = places.with_places(table).select(own.alias("_id"), "_file", "_row").join(gone.hint("merge"), F.col("_id") == F.col("_gone_id"), "left_semi")
+    return places.at_places(table, at.select("_file", "_row"), inside=False).drop("_file", "_row").toDF(*docs.columns)

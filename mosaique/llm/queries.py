@@ -50,7 +50,7 @@ def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaique.llm.near_dedup import components
 
-    return components(read_table(spark, sf_dir, "documents"), k=4, percent=80)
+    return components(read_table(spark, sf_dir, "documents"), k=4, percent=80, as_read=True)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
