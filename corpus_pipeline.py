@@ -31,13 +31,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose texts are equal without white space: the longest, then the smallest id."""
-    return drop_copies(docs)
+    return drop_copies(docs, as_read=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on five-word shingles: the smallest id. Texts without words stay."""
     bound_batches(spark)
-    return drop_near_copies(docs, k=5, percent=80)
+    return drop_near_copies(docs, k=5, percent=80, as_read=True)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
