@@ -39,7 +39,9 @@ from mosaique.session import materialize
 #: The setting of the session that holds the key. Its name makes Spark redact it in logs and pages.
 KEY_SETTING = "spark.mosaique.secret.key"
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+'-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+#: What stands before an @, and the domain behind it.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'-")
+_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 #: The word may end a longer name (DB_PASSWORD, aws_secret_access_key). Values of password words need no digit.
 _SECRET = re.compile(r"(?i)(?:(?P<word>password|passwd|pwd|passphrase)|secret[_-]?key|private[_-]?key|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,}[A-Za-z0-9+/=_-])")
@@ -120,6 +122,14 @@ GIVEN = {
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Παύλος Ανδρέας Αντώνης Απόστολος Βασίλης Γεώργιος Δημήτριος Ευάγγελος Θεόδωρος Ιωάννης Κωνσταντίνος Μιχάλης Νικόλαος Παναγιώτης Πέτρος Σπύρος Σταύρος Χρήστος".split(),
 }
 _GIVEN_OF = {name.lower(): (key, k) for key, names in GIVEN.items() for k, name in enumerate(names)}
+
+
+def _plain(name: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+
+
+#: Listed names by their letters without accents; one without any comes first.
+_GIVEN_PLAIN = {_plain(name): name for name in sorted(_GIVEN_OF, key=lambda n: (n == _plain(n), n))}
 #: Letters that may stand for each other: vowels and consonants of each script.
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåæéèêëíìîïóòôöõøúùûüąāăęėēěįīıőōūůűų", "çñßýÿðþćčďđğģķļľłńňņřŕśšşșťţțźżž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "άέήίόύώ"]
 _CLASS_OF = {c: group for group in CLASSES for c in group}
@@ -380,8 +390,8 @@ def detect(text: str) -> list[Entity]:
         for m in _KEY_PREFIX.finditer(text) if any(p in text for p in ("ghp_", "gho_", "sk-", "xox")) else ():
             add("secret", m.start(), m.end(), m[0])
     if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add("email", m.start(), m.end(), m[0].lower())
+        for begin, end in _emails(text):
+            add("email", begin, end, text[begin:end].lower())
     if _ANY_DIGITS.search(text):
         for m in _IPV4.finditer(text):
             if not _VERSION_WORD.search(text[max(0, m.start() - 40) : m.start()]):
@@ -401,11 +411,15 @@ def detect(text: str) -> list[Entity]:
     people = _people(text)
     if people:
         for begin, end, kind in people:
-            add(kind, begin, end, text[begin:end].lower())
+            add(kind, begin, end, _given_value(text[begin:end]) or "" if kind == "given" else text[begin:end].lower())
+        # All other mentions of these people in the document, also by the surname or the given name alone.
         surnames = {e.value for e in found if e.kind == "name"}
+        given = {e.value for e in found if e.kind == "given"}
         for m in _ANY_NAME.finditer(text):
             if m[0].lower() in surnames:
                 add("name", m.start(), m.end(), m[0].lower())
+            elif (value := _given_value(m[0])) in given:
+                add("given", m.start(), m.end(), value)
     return sorted(found, key=lambda e: e.begin)
 
 
@@ -415,9 +429,33 @@ _ANY_DIGITS = re.compile(r"[0-9][0-9 .()-]{5}")
 _OTHER_DIGIT = re.compile(r"[^\D0-9]")
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of e-mail addresses, sought from each @ outwards: no character is looked at more than a few times."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > done and text[begin - 1] in _LOCAL:
+            begin -= 1
+        while begin < at and text[begin] in "._%+'-":
+            begin += 1
+        domain = _DOMAIN.match(text, at + 1) if begin < at else None
+        done = domain.end() if domain else at + 1
+        if domain:
+            yield begin, done
+        at = text.find("@", done)
+
+
+def _given_value(name: str) -> str | None:
+    """The listed given name that this is, also if only the accents differ."""
+    low = name.lower()
+    if low in _GIVEN_OF or low.isascii():
+        return low if low in _GIVEN_OF else None
+    return _GIVEN_PLAIN.get(_plain(low))
+
+
 def _is_given(name: str) -> bool:
     """A listed given name, or some with hyphens between them."""
-    return name in _GIVEN_OF or "-" in name and all(part in _GIVEN_OF for part in name.split("-"))
+    return bool(_given_value(name)) or "-" in name and all(_given_value(part) for part in name.split("-"))
 
 
 def _people(text: str) -> list[tuple[int, int, str]]:
@@ -427,14 +465,14 @@ def _people(text: str) -> list[tuple[int, int, str]]:
     def words(begin: int, end: int) -> None:
         parts = list(_ANY_NAME.finditer(text, begin, end))
         for k, part in enumerate(parts):
-            kind = "given" if k < len(parts) - 1 and part[0].lower() in _GIVEN_OF else "name"
+            kind = "given" if k < len(parts) - 1 and _given_value(part[0]) else "name"
             out.append((part.start(), part.end(), kind))
 
     for m in _TITLED.finditer(text):
         words(m.start(1), m.end(1))
     done = 0
     for m in _ONE_NAME.finditer(text):
-        if m.start() >= done and _is_given(m[0].lower()) and (rest := _REST.match(text, m.end())):
+        if m.start() >= done and _is_given(m[0]) and (rest := _REST.match(text, m.end())):
             done = rest.end()
             words(m.start(), done)
     return out

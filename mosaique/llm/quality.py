@@ -45,8 +45,10 @@ POLICIES: dict[str, list[str]] = {
     "web@1": ["few_words", "repeated_windows", "many_words", "symbol_ratio", "short_words", "long_words", "duplicate_lines", "ellipsis_lines", "few_alphabetic_words"],
     # No document is dropped for its size, or for being written without spaces between words.
     "web@2": ["few_words", "repeated_windows", "symbol_ratio", "short_words", "duplicate_lines", "ellipsis_lines", "few_alphabetic_words"],
+    # Nor for its size here.
+    "web@3": ["few_words", "repeated_windows", "symbol_ratio", "short_words", "long_words", "duplicate_lines", "ellipsis_lines", "few_alphabetic_words"],
 }
-PRODUCTION = "web@1"
+PRODUCTION = "web@3"
 #: The policy of the corpus pipeline.
 CORPUS = "web@2"
 

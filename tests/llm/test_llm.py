@@ -233,7 +233,7 @@ def test_quality_odd_and_ablation(spark, odd_docs, no_docs):
     kept = quality.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns and kept.filter("doc_id in (3, 4, 5, 8)").count() == 0 and kept.filter("doc_id = 1").count() == 1
     masks = [r.failed for r in table.collect()]
-    mask = quality.mask_of("web@1")
+    mask = quality.mask_of(quality.PRODUCTION)
     for r in quality.ablation(table).collect():
         bit = 1 << quality.BITS[r.rule]
         assert r.failed_docs == sum(bool(m & bit) for m in masks) and r.failed_alone == sum(m & mask == bit for m in masks)
@@ -538,7 +538,8 @@ def test_sql(spark, name):
 
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
+        con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     want = con.sql(queries.ORACLE_SQL[name]).select(*columns).fetchall()
