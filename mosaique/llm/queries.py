@@ -159,7 +159,7 @@ m as (select w.doc_id, len(words) as n_words,
              len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) as n_alpha_words
       from w left join cov using (doc_id)),
 f as (select *, """ + " + ".join(f"case when {c} then {1 << k} else 0 end" for k, c in enumerate(_SQL_RULES.values())) + r""" as failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, (failed & 507) = 0 as kept,
        cast(failed as bigint) as failed
 from f""",
     "op11_resample": r"""
