@@ -6,10 +6,10 @@ is what is maximised, so the model finds out by itself which sentences offend, a
 names them.
 
 The classifier is fitted on at most MAX_POSITIVE + MAX_NEGATIVE labelled documents (chosen by a hash of their
-id). Features are counted in the tasks, and only the chosen ones come to the driver: by default the `max_words` that
-tell most, of those in `min_documents` documents or more; None and 1 set no bound. Of a labelled document,
-at most `max_sentences` sentences with chosen features are learnt from, spread over the whole text (None: all). Every
-document is scored from its whole text.
+id), its only bound. Features are counted in the tasks, and those come to the driver that tell more than the best of as many
+useless ones would: the logarithm of their number (the risk inflation criterion). All sentences of a labelled document are
+learnt from; those with the same features are one with a multiplicity, which loses nothing. `max_words`,
+`min_documents` and `max_sentences` can bound a fit further; by default they don't. Every document is scored from its whole text.
 
 Cases: a null or empty text is one sentence without words, repeated rows each get a score, of the rows with one
 labelled id one is learnt from (the one that a hash of its text puts first), documents without a label are only scored, a null label is no label, without labels of both kinds every score is the base rate
@@ -28,6 +28,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mosaique.llm.common import whole_text
@@ -36,12 +37,8 @@ from mosaique.session import materialize
 
 MAX_POSITIVE = 3_000
 MAX_NEGATIVE = 6_000
-MAX_WORDS = 600
-MAX_SENTENCES = 5_000
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: Documents of the sample that a feature must be in.
-MIN_DOCUMENTS = 4
 THRESHOLD = 0.7
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -119,9 +116,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocabulary(sample: DataFrame, n0: int, n1: int, max_words: int | None, min_documents: int) -> list[str]:
-    """The features that tell most about the label: highest likelihood ratio."""
+    """The features whose likelihood ratio is more than chance gives the best of so many, those that tell most first."""
     counted = sample.select("text", "label").mapInArrow(_count_words, "word string, n0 long, n1 long")
     counted = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= min_documents)
+    counted = materialize(counted, "features")
+    n_features = max(1, counted.count())
 
     def fits(k: Column, n: Column) -> Column:
         part = k / n
@@ -129,13 +128,13 @@ def _vocabulary(sample: DataFrame, n0: int, n1: int, max_words: int | None, min_
 
     a, b, every = F.col("n1"), F.col("n0"), F.lit(float(n0 + n1))
     gain = F.round(fits(a, F.lit(float(n1))) + fits(b, F.lit(float(n0))) - fits(a + b, every), 6)
-    ordered = counted.withColumn("gain", gain).orderBy(F.desc("gain"), "word")
+    ordered = counted.withColumn("gain", gain).filter(F.col("gain") > math.log(n_features)).orderBy(F.desc("gain"), "word")
     return [r.word for r in (ordered if max_words is None else ordered.limit(max_words)).select("word").collect()]
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_words: int | None = MAX_WORDS, min_documents: int = MIN_DOCUMENTS, max_sentences: int | None = MAX_SENTENCES,
+    max_words: int | None = None, min_documents: int = 1, max_sentences: int | None = None,
 ) -> Model:
     sample = training_sample(docs, labels, id_col, text_col, label_col)
     by_label = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -152,20 +151,19 @@ def fit(
             rows = []
             for key, text, label in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found = sentences(text)
-                known = [sorted(at[f] for f in features_of(m[0]) if f in at) for m in found]
-                known = [x for x in known if x]
-                plain = max(len(found), 1) - len(known)
-                if max_sentences is not None and len(known) > max_sentences:
-                    order = sorted(range(len(known)), key=lambda k: zlib.crc32(f"{k} {known[k]}".encode()))
-                    known = [known[k] for k in sorted(order[:max_sentences])]
-                sentence = [k for k, x in enumerate(known) for _ in x]
-                rows.append((key, label, len(known), plain, sentence, [w for x in known for w in x]))
-            kinds = [batch.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            names = ["key", "label", "n_known", "n_plain", "sentence", "word"]
+                known = Counter(tuple(sorted(at[f] for f in features_of(m[0]) if f in at)) for m in found)
+                plain = known.pop((), 0) if found else 1
+                kept = list(known)
+                if max_sentences is not None and len(kept) > max_sentences:
+                    order = sorted(range(len(kept)), key=lambda k: zlib.crc32(f"{k} {kept[k]}".encode()))
+                    kept = [kept[k] for k in sorted(order[:max_sentences])]
+                rows.append((key, label, plain, [known[x] for x in kept], [len(x) for x in kept], [w for x in kept for w in x]))
+            kinds = [batch.schema.types[0], pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3]
+            names = ["key", "label", "n_plain", "times", "n_words", "word"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     kind = sample.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, label int, n_known int, n_plain int, sentence array<int>, word array<int>"
+    schema = f"key {kind}, label int, n_plain int, times array<int>, n_words array<int>, word array<int>"
     table = sample.select("key", "text", "label").mapInArrow(features, schema).orderBy("key").toArrow()
     bias, weights = _maximise(table, len(vocabulary))
     return Model(bias, {w: float(x) for w, x in zip(vocabulary, weights, strict=True) if abs(x) > 1e-3})
@@ -173,23 +171,21 @@ def fit(
 
 def _maximise(table: pa.Table, n_words: int, steps: int = 400, rate: float = 0.1, ridge: float = 2e-6) -> tuple[float, np.ndarray]:
     """Adam on the mean log likelihood of the noisy-or, with a ridge penalty on the weights."""
-    label = table["label"].to_numpy().astype(float)
-    n_known, n_plain = table["n_known"].to_numpy(), table["n_plain"].to_numpy()
-    first = np.concatenate([[0], np.cumsum(n_known)])
-    counts = np.array([len(x) for x in table["word"].to_pylist()])
-    sentence = np.concatenate([np.zeros(0, int), *[np.asarray(x, int) for x in table["sentence"].to_pylist()]]).astype(int) + np.repeat(first[:-1], counts)
-    word = np.concatenate([np.zeros(0, int), *[np.asarray(x, int) for x in table["word"].to_pylist()]]).astype(int)
-    doc, n, total = np.repeat(np.arange(len(label)), n_known), len(label), int(first[-1])
+    label, n_plain = table["label"].to_numpy().astype(float), table["n_plain"].to_numpy()
+    n_known = pc.list_value_length(table["times"]).to_numpy()
+    times, lengths, word = (pc.list_flatten(table[name]).to_numpy() for name in ("times", "n_words", "word"))
+    n, total = len(label), len(times)
+    doc, sentence = np.repeat(np.arange(n), n_known), np.repeat(np.arange(total), lengths)
     theta = np.zeros(n_words + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = theta[-1] + np.bincount(sentence, theta[word], total)
         p, base = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-theta[-1]))
-        clean = np.bincount(doc, np.logaddexp(0, z), n) + n_plain * np.logaddexp(0, theta[-1])
+        clean = np.bincount(doc, times * np.logaddexp(0, z), n) + n_plain * np.logaddexp(0, theta[-1])
         toxic = -np.expm1(-np.maximum(clean, 1e-9))
         pull = np.where(label == 1, (1 - toxic) / np.maximum(toxic, 1e-9), -1.0)
-        by_sentence = p * pull[doc]
+        by_sentence = times * p * pull[doc]
         slope = np.empty_like(theta)
         slope[:-1] = np.bincount(word, by_sentence[sentence], n_words) / n - ridge * theta[:-1]
         slope[-1] = (by_sentence.sum() + base * (pull * n_plain).sum()) / n
