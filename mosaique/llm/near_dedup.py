@@ -5,7 +5,8 @@ exact copies is one vertex. Then:
 
 1. TREES independent trees branch every class by minwise tokens: a node picks coordinates of the signature by a
    hash of its own name, and a class goes to the BRANCH children named by its tokens there (by one token at the
-   root, by two below it). Nodes with one class end.
+   root, by two below it). Nodes with one class end. The first tree is compared before the others, which leave out nodes
+   that it has connected.
 2. A node of up to SMALL classes is compared exhaustively, by signature first; what agrees in LEAST with another
    class of the node is compared on the full sets. Nodes that propose the same classes are compared once.
 3. A larger node is cut into chunks of about SMALL classes, all with the same PIVOTS classes added, which are
@@ -124,10 +125,10 @@ def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
     return materialize(rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sig array<int>"), "sets")
 
 
-def _roots(classes: DataFrame) -> DataFrame:
-    """The first level of all trees. Their coordinates are all different, so that the trees are independent."""
+def _roots(classes: DataFrame, trees: range) -> DataFrame:
+    """The first level of some trees. Their coordinates are all different, so that the trees are independent."""
     child = []
-    for tree in range(TREES):
+    for tree in trees:
         for k in range(BRANCH):
             child.append(F.xxhash64(F.lit(tree), F.lit(k), F.get("sig", F.lit(tree * BRANCH + k))))
     return classes.select("v", F.explode(F.array(*child)).alias("node"))
@@ -312,9 +313,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
     small = F.lit(SMALL)
     sized = classes.select("v", "n_shingles", "sig").hint("merge")
     words: DataFrame | None = None
-    labels: DataFrame | None = None
     links: list[DataFrame] = []
-    seen = 0
 
     def meet(units: DataFrame) -> DataFrame:
         rows = units.join(sized, "v").select("unit", "side", "v", "label", "n_shingles", "sig")
@@ -340,8 +339,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
             found = found.unionByName(more)
         return found
 
-    level = _roots(classes).withColumn("label", F.col("v"))
-    for depth in range(1, DEPTH + 1):
+    def compared(level: DataFrame, depth: int) -> DataFrame:
+        """Compares small nodes and the chunks of larger ones; returns the rows of the larger ones. `level`: node, v, label."""
         level = materialize(level, "level")
         # Written first, so that the join reads plain shuffles, which Spark can split where one node is large.
         # A node whose members are connected already has nothing to add.
@@ -356,14 +355,27 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
         pivots = pivots.select("node", "v", "label", "chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("to")).filter("to <> chunk")
         in_chunk = lambda rows, chunk: rows.select(F.xxhash64("node", chunk).alias("unit"), F.lit(0).alias("side"), "v", "label")
         confirm(meet(in_chunk(rows, "chunk").unionByName(in_chunk(pivots, "to"))))
+        return large
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """With the component of each v, so far, as its label."""
+        return rows.join(labels.hint("merge"), "v", "left").withColumn("label", F.coalesce("component", "v")).drop("component")
+
+    # One tree alone connects most of what is similar, so that the nodes of the others are mostly connected already:
+    # a large group of near copies is compared in one tree, not in all.
+    large = compared(_roots(classes, range(1)).withColumn("label", F.col("v")), 0)
+    labels = connected_components(united()).withColumnRenamed("vertex", "v")
+    seen = len(links)
+    level = labelled(_roots(classes, range(1, TREES)).unionByName(large.select("v", "node")))
+    for depth in range(1, DEPTH + 1):
+        large = compared(level, depth)
         if large.isEmpty():
             break
-        if labels is None or any(not more.isEmpty() for more in links[seen:]):
+        if any(not more.isEmpty() for more in links[seen:]):
             labels = connected_components(united()).withColumnRenamed("vertex", "v")
         seen = len(links)
         # In each large node only what is outside its largest component can still need a link.
-        state = large.drop("label").join(labels.hint("merge"), "v", "left").withColumn("label", F.coalesce("component", "v")).drop("component")
-        state = materialize(state, "state")
+        state = materialize(labelled(large.drop("label")), "state")
         parts = state.groupBy("node", "label").agg(F.count("*").alias("n"))
         main = parts.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"))
         main = materialize(main.filter("n_rest > 0"), "main")

@@ -352,6 +352,22 @@ def test_near_dedup_large_groups(spark, near_copies, monkeypatch, small, depth):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_near(near_copies, 4, 80)
 
 
+def test_near_dedup_meets_near_copies_in_one_tree(spark, monkeypatch):
+    """A group that one tree connects is left out of the nodes of the others."""
+    base, met = [f"w{k}" for k in range(300)], []
+
+    def counted(df, name, **more):
+        out = materialize(df, name, **more)
+        if name == "rows":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    docs = materialize(spark.createDataFrame([(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(200)], "doc_id long, text string"), "copies")
+    assert {r.component_id for r in near_dedup.components(docs, 4, 80).collect()} == {0}
+    assert met[0] > 200 and sum(met) < 4 * 200
+
+
 def test_near_dedup_repeated_ids(spark):
     """Rows with one id: each set of the id takes part, and all its rows share a component."""
     base = [f"w{k}" for k in range(60)]
