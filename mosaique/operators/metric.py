@@ -8,8 +8,8 @@ their sum D is one. A pair is similar if D is at most a radius.
 2. A row can be similar to one of another cell only if the triangle inequality allows it: D(row, pivot) is within the radius
    of the distances that the cell's own rows have to their pivot, and at most 2 radii more than the distance to its own pivot. To such
    cells it is sent as well; of each two cells one sends to the other, so that no pair meets twice.
-3. Inside a cell its own rows meet all rows in tiles of bounded size (an equi-join), a pair only if the distances to the
-   pivot differ by at most the radius.
+3. Inside a cell its own rows meet all rows in tiles of bounded size: the rows of a tile come to one task, which compares them as
+   arrays, block by block, and hands on only pairs that the hashes and histograms leave. No pair is ever a row before that.
 
 How much that saves depends on the data: rasters in clusters keep most pairs apart, but all pairs of random ones are about
 equally far from each other, so that at low thresholds nearly every pair is tested (once, as in the exact join).
@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mosaique.functions import scalars as S
 from mosaique.session import materialize
 
 #: Rows from which pivots are chosen; rows of a tile.
-SAMPLE, TILE_ROWS = 2_000, 4_000
+SAMPLE, TILE_ROWS = 2_000, 10_000
+#: Pairs that a task compares at once; tiles of a group, at least as many blocks as keep the cores busy.
+BLOCK_PAIRS, LEAST_BLOCKS = 1 << 18, 4
 #: Scores have two decimals, so that a distance may be half of the last one more.
 ROUNDED = 0.005 + 1e-9
 
@@ -53,7 +55,7 @@ def _points(a: pa.Array, d: pa.Array, hist: pa.ListArray) -> _Points:
 
 def _known(fp: DataFrame) -> DataFrame:
     """Rows without a hash or histogram are similar to nothing."""
-    return fp.filter("a_hash is not null and d_hash is not null and color_hist is not null")
+    return fp.filter("a_hash is not null and d_hash is not null and color_hist is not null and forall(color_hist, h -> h is not null)")
 
 
 def choose_pivots(fp: DataFrame, count: int, id_col: str, layout: tuple[int, int, float]) -> _Points:
@@ -103,36 +105,108 @@ def cells(fp: DataFrame, threshold: float, pivots: _Points, id_col: str, layout:
     return homes, materialize(homes.mapInArrow(outer, schema), "outer")
 
 
-def pairs_in_cells(homes: DataFrame, outer: DataFrame, threshold: float, id_col: str) -> DataFrame:
-    """l_* and r_* columns of the pairs that the pivots do not rule out, each once, l_id < r_id."""
-    radius = 100 - threshold + ROUNDED
-    size = homes.groupBy("cell").agg(F.count("*").alias("n")).join(outer.groupBy("cell").agg(F.count("*").alias("m")).hint("merge"), "cell", "left")
+def _close(one: _Points, two: _Points, threshold: float, layout: tuple[int, int, float], triangle: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(places in both, Hamming distances, histogram distance) of the pairs that can reach the threshold, some BLOCK_PAIRS at a time."""
+    a_bits, d_bits, l1 = layout
+    wa, wd, room = S.WEIGHT_A * d_bits, S.WEIGHT_D * a_bits, a_bits * d_bits * (100 - threshold)
+    step = max(1, BLOCK_PAIRS // max(1, len(two.a)))
+    for low in range(0, len(one.a), step):
+        rest = low + 1 if triangle else 0
+        ha, hd = (np.bitwise_count(x[low : low + step, None] ^ y[None, rest:]) for x, y in ((one.a, two.a), (one.d, two.d)))
+        i, j = np.nonzero(ha * np.int32(wa) + hd * np.int32(wd) <= room)
+        ha, hd = ha[i, j].astype(np.int32), hd[i, j].astype(np.int32)
+        i, j = i + low, j + rest
+        far = np.zeros(len(i))
+        for k in range(one.hist.shape[1]):  # in the order of `scalars.hist_l1`, so that sums are equal to the last bit
+            far += np.abs(one.hist[i, k] - two.hist[j, k])
+        # What remains to be tested exactly: all but pairs that rounding can't lift to the threshold.
+        lacks = S.WEIGHT_A / a_bits * ha + S.WEIGHT_D / d_bits * hd + S.WEIGHT_H * np.minimum(far / l1, 1.0)
+        found = (lacks <= 100 - threshold + ROUNDED) & ((i < j) | (not triangle))
+        yield i[found], j[found], ha[found], hd[found], far[found]
+
+
+def _compare(threshold: float, layout: tuple[int, int, float]):
+    """The close pairs of each tile. Rows: cell, kind, bi, bj, side, id, a_hash, d_hash, color_hist, sorted by the first five."""
+
+    def tile(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        kind, bi, bj = (table.column(c)[0].as_py() for c in (1, 2, 3))
+        split = int(np.searchsorted(table.column(4).to_numpy(), 1))
+        points = lambda t: _points(*(t.column(c).combine_chunks() for c in (6, 7, 8)))
+        triangle = kind == 0 and bi == bj
+        left, right = table.slice(0, split), table if triangle else table.slice(split)
+        if not left.num_rows or not right.num_rows:
+            return
+        ids = [t.column(5).combine_chunks() for t in (left, right)]
+        for i, j, ha, hd, far in _close(points(left), points(right), threshold, layout, triangle):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), *map(pa.array, (ha, hd, far))], ["one", "two", "ha", "hd", "l1"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:], strict=False):
+                key = tuple(at[:, low].tolist())
+                if held and key != name:
+                    yield from tile(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+                name = key
+        if held:
+            yield from tile(held)
+
+    return compare
+
+
+def pairs_in_cells(homes: DataFrame, outer: DataFrame | None, threshold: float, id_col: str, layout: tuple[int, int, float], blocks: int | None = None) -> DataFrame:
+    """l_id, r_id (l_id < r_id), ha, hd and l1 of all pairs of a cell that can reach the threshold, each once: its own rows with each other and with the outer ones.
+
+    Own rows are dealt to blocks of about TILE_ROWS (or `blocks` of them); of two blocks one is the left side of their tile, and a block's
+    own tile holds it once. A row is copied once for each tile that it is in.
+    """
+    counted = lambda df, to: df.groupBy("cell").agg(F.count("*").alias(to))
+    size = counted(homes, "n").withColumn("m", F.lit(0).cast("long")) if outer is None else counted(homes, "n").join(counted(outer, "m").hint("merge"), "cell", "left")
     tiles = lambda n: F.ceil(n / TILE_ROWS).cast("int")
-    size = materialize(size.select("cell", tiles(F.col("n")).alias("ti"), tiles(F.col("n") + F.coalesce("m", F.lit(0))).alias("tj")), "tiles")
-
-    def side(df: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
-        """Rows in one tile row (or column) of their cell and all tile columns (or rows)."""
-        tiled = df.join(size.hint("merge"), "cell").withColumn("_own", F.pmod(F.xxhash64(id_col), F.col(own)).cast("int"))
-        tiled = tiled.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        i, j = ("_own", "_other") if own == "ti" else ("_other", "_own")
-        columns = [F.col(c).alias(f"{prefix}_{c}") for c in (id_col, "a_hash", "d_hash", "color_hist", "far")]
-        return tiled.select("cell", F.col(i).alias("_i"), F.col(j).alias("_j"), *columns, F.col("home").alias(f"{prefix}_home"))
-
-    left = side(homes.withColumn("home", F.lit(True)), "l", "ti", "tj")
-    right = side(homes.withColumn("home", F.lit(True)).unionByName(outer.withColumn("home", F.lit(False))), "r", "tj", "ti")
-    met = left.hint("merge").join(right, ["cell", "_i", "_j"])
-    first = F.col(f"l_{id_col}") < F.col(f"r_{id_col}")
-    met = met.filter(~F.col("r_home") | first).filter(F.abs(F.col("l_far") - F.col("r_far")) <= radius)
-    swap = lambda c: (F.when(first, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")), F.when(first, F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")))
-    ids = swap(id_col)
-    return met.select(ids[0].alias(f"_l{id_col}"), ids[1].alias(f"_r{id_col}"), *[f"{p}_{c}" for p in "lr" for c in ("a_hash", "d_hash", "color_hist")]).withColumnsRenamed({f"_l{id_col}": f"l_{id_col}", f"_r{id_col}": f"r_{id_col}"})
+    size = size.select("cell", (F.lit(blocks) if blocks else tiles(F.col("n"))).alias("ti"), tiles(F.coalesce("m", F.lit(0))).alias("tj"))
+    size = materialize(size, "tiles")
+    columns = ["a_hash", "d_hash", "color_hist"]
+
+    def side(df: DataFrame, own: str, at: Column) -> DataFrame:
+        """Rows with their block `b`, once for each of the tiles `at`."""
+        placed = df.join(size.hint("merge"), "cell").withColumn("b", F.pmod(F.xxhash64(id_col), F.col(own)).cast("int"))
+        return placed.withColumn("t", F.explode(at)).select("cell", "t.*", F.col(id_col).alias("id"), *columns)
+
+    up_to = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: k < n)
+    place = lambda kind, i, j, side: F.struct(*[F.lit(c).cast("int").alias(name) if isinstance(c, int) else c.cast("int").alias(name) for name, c in (("kind", kind), ("bi", i), ("bj", j), ("side", side))])
+    b = F.col("b")
+    own = F.concat(
+        F.transform(up_to(F.col("ti") - b), lambda k: place(0, b, b + k, 0)),
+        F.transform(up_to(b), lambda k: place(0, k, b, 1)),
+        F.transform(up_to(F.col("tj")), lambda k: place(1, b, k, 0)),
+    )
+    rows = side(homes, "ti", own)
+    if outer is not None:
+        rows = rows.unionByName(side(outer, "tj", F.transform(up_to(F.col("ti")), lambda k: place(1, k, b, 1))))
+    tile = ["cell", "kind", "bi", "bj"]
+    kind = homes.schema[id_col].dataType.simpleString()
+    rows = rows.select(*tile, "side", "id", *columns).repartition(*tile).sortWithinPartitions(*tile, "side")
+    met = rows.mapInArrow(_compare(threshold, layout), f"one {kind}, two {kind}, ha int, hd int, l1 double").filter("one <> two")
+    return met.select(F.least("one", "two").alias(f"l_{id_col}"), F.greatest("one", "two").alias(f"r_{id_col}"), "ha", "hd", "l1")
+
+
+def all_pairs(fp: DataFrame, threshold: float, id_col: str, layout: tuple[int, int, float], blocks: int | None = None) -> DataFrame:
+    """The pairs that can reach the threshold, with their distances, after a test of every row with every other."""
+    rows = _known(fp.select(id_col, "a_hash", "d_hash", "color_hist")).withColumn("cell", F.lit(0))
+    return pairs_in_cells(rows, None, threshold, id_col, layout, blocks or max(LEAST_BLOCKS, -(-fp.count() // TILE_ROWS)))
 
 
 def candidate_pairs(fp: DataFrame, threshold: float, id_col: str, layout: tuple[int, int, float], count: int | None = None) -> DataFrame:
-    """Pairs of l_* and r_* columns among which all similar ones are."""
+    """The same from cells around pivots, in which fewer rows meet."""
     rows = fp.count()
-    pivots = choose_pivots(fp, count or min(256, max(8, round(rows**0.5 / 4))), id_col, layout)
+    pivots = choose_pivots(fp, count or min(64, max(8, round(rows**0.5 / 4))), id_col, layout)
     homes, outer = cells(fp, threshold, pivots, id_col, layout)
-    return pairs_in_cells(homes, outer, threshold, id_col)
-
-
+    return pairs_in_cells(homes, outer, threshold, id_col, layout)

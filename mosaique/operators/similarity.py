@@ -14,10 +14,10 @@ from mosaique.operators.scan import numbered, scan
 from mosaique.session import materialize
 
 THRESHOLD = 88
-#: Rows in a tile of the exact pair join, about; rows that a hash may become for its bands.
-TILE_ROWS, MAX_KEYS = 4_000, 100
-#: What testing a pair costs where writing, moving and sorting a row costs 1.
-PAIR_COST = 0.02
+#: Rows that a hash may become for its bands.
+MAX_KEYS = 100
+#: What testing a pair costs where writing, moving and sorting a row costs 1: as a row of a join, and in arrays.
+PAIR_COST, ARRAY_COST = 0.02, 0.003
 
 
 class Layout(NamedTuple):
@@ -113,9 +113,8 @@ def exact_fingerprint_dedup(fp: DataFrame, key: list[str], id_col: str = "image_
 
 
 def _scored(pairs: DataFrame, threshold: float, id_col: str, layout: Layout) -> DataFrame:
-    """Pairs of l_* and r_* columns with both hash distances inside the bound: exact score, then the threshold."""
-    l1 = S.hist_l1(F.col("l_color_hist"), F.col("r_color_hist"))
-    score = S.visual_score(F.col("ha"), F.col("hd"), l1, *layout)
+    """Pairs of ids with ha, hd and l1: exact score, then the threshold."""
+    score = S.visual_score(F.col("ha"), F.col("hd"), F.col("l1"), *layout)
     return pairs.select(F.col(f"l_{id_col}").alias("src"), F.col(f"r_{id_col}").alias("dst"), score.alias("score")).filter(F.col("score") >= threshold)
 
 
@@ -132,17 +131,10 @@ def _distances(pairs: DataFrame, threshold: int, layout: Layout) -> DataFrame:
 def similar_pairs_exact(fp: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None, id_col: str = "image_id", layout: Layout = ARRAYS) -> DataFrame:
     """src < dst, score of every pair at the threshold or more.
 
-    The square of all pairs is cut into blocks x blocks tiles; the join is an equi-join on the tile, so that it
-    shuffles evenly and never plans a Cartesian product. Each row goes to `blocks` tiles; by default there are so many
-    that a tile meets about TILE_ROWS rows of each side.
+    The square of all pairs is cut into tiles of bounded size, half of which (and the diagonal) hold each pair once; rows are shuffled to
+    their tiles, and a task compares the arrays of a tile. Each row goes to about `blocks` tiles.
     """
-    blocks = blocks or max(4, -(-fp.count() // TILE_ROWS))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = _sides(fp, id_col)
-    left = left.withColumn("bi", F.pmod(F.xxhash64(f"l_{id_col}"), F.lit(blocks)).cast("int")).withColumn("bj", other)
-    right = right.withColumn("bj", F.pmod(F.xxhash64(f"r_{id_col}"), F.lit(blocks)).cast("int")).withColumn("bi", other)
-    tiles = left.hint("merge").join(right, ["bi", "bj"]).filter(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
-    return _scored(_distances(tiles, threshold, layout), threshold, id_col, layout)
+    return _scored(metric.all_pairs(fp, threshold, id_col, tuple(layout), blocks), threshold, id_col, layout)
 
 
 class Bands(NamedTuple):
@@ -187,7 +179,7 @@ def band_plan(threshold: int, layout: Layout = ARRAYS, rows: int = 1_000_000) ->
     together cost least, rows and meetings counted.
     """
     wa, wd, room = S.WEIGHT_A * layout.d_bits, S.WEIGHT_D * layout.a_bits, layout.a_bits * layout.d_bits * (100 - threshold)
-    best: tuple[float, list[Bands]] = (8 + 0.5 * PAIR_COST * rows, [])
+    best: tuple[float, list[Bands]] = (8 + 0.5 * ARRAY_COST * rows, [])
     for k in range(-1, room // wa + 1):
         left = room - wa * (k + 1)
         parts = ([_bands("a_hash", layout.a_bits, k, rows)] if k >= 0 else []) + ([_bands("d_hash", layout.d_bits, left // wd, rows)] if left >= 0 else [])
@@ -199,8 +191,7 @@ def band_plan(threshold: int, layout: Layout = ARRAYS, rows: int = 1_000_000) ->
 
 def similar_pairs_metric(fp: DataFrame, threshold: float = 72, id_col: str = "image_id", layout: Layout = ARRAYS, pivots: int | None = None) -> DataFrame:
     """The same pairs as `similar_pairs_exact`, from cells around pivots and the triangle inequality."""
-    met = metric.candidate_pairs(fp, threshold, id_col, tuple(layout), pivots)
-    return _scored(_distances(met, threshold, layout), threshold, id_col, layout)
+    return _scored(metric.candidate_pairs(fp, threshold, id_col, tuple(layout), pivots), threshold, id_col, layout)
 
 
 def candidate_pairs_banded(fp: DataFrame, threshold: int = THRESHOLD, id_col: str = "image_id", layout: Layout = ARRAYS) -> DataFrame:
@@ -233,7 +224,7 @@ def candidate_pairs_banded(fp: DataFrame, threshold: int = THRESHOLD, id_col: st
     close = _distances(met, threshold, layout).select(f"l_{id_col}", f"r_{id_col}", "ha", "hd").distinct()
     for p in "lr":
         close = close.join(fp.select(F.col(id_col).alias(f"{p}_{id_col}"), F.col("color_hist").alias(f"{p}_color_hist")).hint("merge"), f"{p}_{id_col}")
-    return _scored(close, threshold, id_col, layout)
+    return _scored(close.withColumn("l1", S.hist_l1(F.col("l_color_hist"), F.col("r_color_hist"))), threshold, id_col, layout)
 
 
 def members(fp: DataFrame, pairs: DataFrame, copies: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:

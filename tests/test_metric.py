@@ -84,3 +84,22 @@ def test_bands_count_what_they_write():
     cost = lambda plan: sum(b.count * (sim._ball(-(-b.bits // b.count), b.left) + sim._ball(-(-b.bits // b.count), b.right)) for b in plan)
     assert cost(sim.band_plan(95, rows=100_000)) <= 16 < cost(sim.band_plan(90, rows=10_000_000))
     assert sim.band_plan(72, rows=10_000_000) == [] and sim.band_plan(100, rows=10)
+
+
+def test_pairs_are_rows_only_when_close(spark, monkeypatch):
+    """Tiles are compared as arrays: neither join has a row for every pair that meets, and both find what plain Python does."""
+    monkeypatch.setattr(metric, "TILE_ROWS", 30)
+    monkeypatch.setattr(metric, "BLOCK_PAIRS", 50)
+    rows = clustered(11, 10, 12, 10)
+    fp = spark.createDataFrame(rows, SCHEMA)
+    want = []
+    for m, (i, a, d, h) in enumerate(rows):
+        for j, b, e, g in rows[m + 1 :]:
+            ha, hd, l1 = ((a ^ b) & (1 << 64) - 1).bit_count(), (d ^ e).bit_count(), sum(abs(x - y) for x, y in zip(h, g))
+            if 2128 * ha + 2688 * hd <= 3584 * 28 and round(max(0, (0.38 * (1 - ha / 64) + 0.42 * (1 - hd / 56) + 0.20 * max(0, min(1, 1 - l1 / 2))) * 100), 2) >= 72:
+                want.append((i, j))
+    assert len(want) > 100
+    for found in (sim.similar_pairs_exact(fp, 72), sim.similar_pairs_exact(fp, 72, blocks=7), sim.similar_pairs_metric(fp, 72)):
+        assert [p[:2] for p in pairs(found)] == sorted(want)
+    met = metric.all_pairs(fp, 72, "image_id", tuple(sim.ARRAYS)).count()
+    assert met < 2 * len(want) < 120 * 119 / 2
