@@ -16,8 +16,8 @@ from mosaique.session import materialize
 THRESHOLD = 88
 #: Rows that a hash may become for its bands.
 MAX_KEYS = 100
-#: What testing a pair costs where writing, moving and sorting a row costs 1: as a row of a join, and in arrays.
-PAIR_COST, ARRAY_COST = 0.02, 0.003
+#: What testing a pair costs where writing, moving and sorting a row costs 1.
+PAIR_COST = 0.02
 
 
 class Layout(NamedTuple):
@@ -179,7 +179,7 @@ def band_plan(threshold: int, layout: Layout = ARRAYS, rows: int = 1_000_000) ->
     together cost least, rows and meetings counted.
     """
     wa, wd, room = S.WEIGHT_A * layout.d_bits, S.WEIGHT_D * layout.a_bits, layout.a_bits * layout.d_bits * (100 - threshold)
-    best: tuple[float, list[Bands]] = (8 + 0.5 * ARRAY_COST * rows, [])
+    best: tuple[float, list[Bands]] = (8 + 0.5 * PAIR_COST * rows, [])
     for k in range(-1, room // wa + 1):
         left = room - wa * (k + 1)
         parts = ([_bands("a_hash", layout.a_bits, k, rows)] if k >= 0 else []) + ([_bands("d_hash", layout.d_bits, left // wd, rows)] if left >= 0 else [])
