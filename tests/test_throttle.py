@@ -78,3 +78,15 @@ def test_timers_give_what_idle_time_gives(spark, tmp_path):
                 start = k
     got = found.select("user_id", F.unix_micros("first"), F.unix_micros("last_seen"), "n")
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+
+
+def test_expiry_calls_no_python_for_a_key(spark, tmp_path):
+    """Stretches are Spark's own session windows, with the same gap to the microsecond."""
+    rows = [(1, 0), (1, 2_000_000), (1, 4_000_001), (2, 5), (3, 400_000_000)]
+    spark.createDataFrame(rows, "user_id long, us long").select("user_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    out = stateful.expire(stream, "user_id", "ts", 2_000_000, "90 seconds")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "Python" not in plan
+    got = streams.run_to_table(spark, out).select("user_id", F.unix_micros("first"), F.unix_micros("last_seen"), "n")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 2_000_000, 2), (1, 4_000_001, 4_000_001, 1), (2, 5, 5, 1)]
