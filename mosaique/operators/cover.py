@@ -6,6 +6,8 @@
 2. A point is looked up once per cell size in use (a few dozen at most), by an equi-join.
 3. A cell with more than 1/HOT of all points is salted: its points are dealt to as many shares as its weight asks for,
    and its few region cells are copied to all of them. There are at most HOT such cells a size; they are broadcast.
+4. Where points share places, only the places go through this. What is found is joined to the points by their place; a place is dealt
+   out by the rows that it makes (points times regions), since many points and many regions may both be there.
 
 Cases: regions without area, or of fewer than three corners, and null regions hold nothing; points with a null coordinate are in no
 region; a point in several regions, or of several equal rows, has a row for each; empty tables give none.
@@ -23,6 +25,8 @@ from mosaique.functions import geometry as G
 from mosaique.session import materialize
 
 CELL_POINTS, LEVELS, LEAST, HOT = 64, 5, 3, 256
+#: A place that makes more than 1/HOT_PLACES of the result is dealt out.
+HOT_PLACES = 2048
 _OUT, _EDGE, _IN = 0, 1, 2
 
 
@@ -106,7 +110,33 @@ def points_in_regions(points: DataFrame, regions: DataFrame, on: list[str] | Non
 
     `on`: columns in which point and region must agree, such as the image that both belong to.
     """
-    on = on or []
+    at = [*(on or []), "x", "y"]
+    places = points.filter(" and ".join(f"`{c}` is not null" for c in at)).groupBy(*at).agg(F.count("*").alias("_n"))
+    places = materialize(places, "places")
+    if 2 * places.count() > points.count():
+        return _tested(points, regions, on or [])
+    # Points that share places: each place is tested once, and what is found is joined to its points.
+    found = materialize(_tested(places, regions, on or []), "found")
+    made = found.groupBy(*at).agg(F.any_value("_n").alias("_n"), F.count("*").alias("_m")).withColumn("_made", F.col("_n").cast("double") * F.col("_m"))
+    made = materialize(made, "made")
+    share = max(1.0, (made.agg(F.sum("_made")).first()[0] or 0.0) / HOT_PLACES)
+    # At most HOT_PLACES rows. The side with more rows is dealt out, the other copied.
+    hot = made.filter(F.col("_made") > share).select(*at, F.ceil(F.col("_made") / share).cast("int").alias("_shares"), (F.col("_n") >= F.col("_m")).alias("_deal"))
+    hot = materialize(hot, "hot")
+
+    def salted(df: DataFrame, columns: list[str], deal: Column) -> DataFrame:
+        shares = F.coalesce("_shares", F.lit(1))
+        one = F.array(F.pmod(F.xxhash64(*columns), shares).cast("int"))
+        salts = F.when(F.coalesce(deal, F.lit(True)), one).otherwise(F.sequence(F.lit(0), shares - 1))
+        return df.join(F.broadcast(hot), at, "left").withColumn("_salt", F.explode(salts)).drop("_shares", "_deal")
+
+    rest = salted(found.select(*at, "region_id"), ["region_id"], ~F.col("_deal"))
+    met = salted(points, points.columns, F.col("_deal")).join(rest.hint("merge"), [*at, "_salt"])
+    return met.select(*points.columns, "region_id")
+
+
+def _tested(points: DataFrame, regions: DataFrame, on: list[str]) -> DataFrame:
+    """The same, with a test of each point by itself."""
     extent = points.agg(F.count("*"), *[f(c) for c in "xy" for f in (F.min, F.max)]).first()
     n, (lx, hx, ly, hy) = extent[0], (float(v or 0) for v in extent[1:])
     wanted = ((hx - lx + 1) * (hy - ly + 1) * CELL_POINTS / max(1, n)) ** 0.5

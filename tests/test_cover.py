@@ -81,3 +81,16 @@ def test_odd_rows(spark):
     regions = spark.createDataFrame([(1, "rect", None, None, 0), (2, "polygon", None, None, 0), (3, "rect", (5, 5, 5, 9), [], 0), (4, "rect", (5, 5, 6, 6), None, None), (5, None, (0, 0, 9, 9), None, 0)], SCHEMA)
     assert sorted((r["id"], r["region_id"]) for r in cover.points_in_regions(points, regions).collect()) == [(2, 4), (2, 4), (2, 5), (2, 5)]
     assert cover.points_in_regions(points.limit(0), regions).collect() == [] and cover.points_in_regions(points, regions.limit(0)).collect() == []
+
+
+def test_many_points_and_regions_in_one_place(spark):
+    """Half of all points and of all regions are in one place: its rows are dealt to many shares of the last join."""
+    n, m = 4_000, 600
+    points = spark.range(n).select("id", *[F.when(F.col("id") % 2 > 0, F.lit(5)).otherwise(F.col("id") % 40).cast("int").alias(c) for c in "xy"])
+    regions = spark.createDataFrame([(k, "rect", (5, 5, 6, 6) if k % 2 else (k % 40, k % 40, k % 40 + 2, k % 40 + 2), [], 0) for k in range(m)], SCHEMA)
+    found = cover.points_in_regions(points, regions)
+    place = [5 if k % 2 else k % 40 for k in range(n)]
+    want = sum(1 for p in place for k in range(m) if (5 <= p <= 6 if k % 2 else k % 40 <= p <= k % 40 + 2))
+    assert found.count() == found.distinct().count() == want
+    salts = [k for k in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in k]
+    assert len(salts) == 1 and "_salt" in salts[0] and "_side" not in salts[0]
