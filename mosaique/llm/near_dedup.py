@@ -12,8 +12,9 @@ exact copies is one vertex. Then:
 3. A larger node is cut into chunks of about SMALL classes, all with the same PIVOTS classes added, which are
    compared in the same way. All links so far give connected components, and only what lies outside a node's
    largest component can still need a link there. If that is nothing, the node is done: a large group of
-   near copies ends here. If it is at most SMALL classes, they are compared with every chunk. Otherwise the node
-   branches on, to DEPTH levels, and the last level compares all that is left, tile by tile.
+   near copies ends here. If it is at most WITHIN times SMALL classes, they are compared with every chunk, at the next
+   level with the components known so far; nodes that hold the same group leave out the pairs that one of them compares.
+   Otherwise the node branches on, to DEPTH levels, and at last all that is left is compared, tile by tile.
 
 Every link is confirmed on the full sets, and every pair that meets in an undivided node is tested unless it is
 already connected. Rows grow with a node's size, never with its square, but for nodes that stay loose to the
@@ -51,6 +52,9 @@ DEPTH = 8
 #: Classes that are compared with each other at once; classes that all chunks of a larger node share.
 SMALL = 512
 PIVOTS = 12
+#: A larger node is compared as a whole when at most so many times SMALL classes are outside its largest component: that takes
+#: no more rows than to cut it into chunks first and to branch it once.
+WITHIN = 2
 #: Share of the coordinates in which two classes agree before their sets are compared.
 LEAST = 0.6
 
@@ -323,7 +327,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
     def confirm(met: DataFrame) -> None:
         """Reads the texts of the classes that meet for the first time; sets that are known stay in `words`."""
         nonlocal words
-        asked = materialize(met.select("v").distinct().join(classes.select("v", "d1", "d2").hint("merge"), "v"), "asked")
+        asked = materialize(classes.select("v", "d1", "d2").join(met.select("v").hint("merge"), "v", "left_semi"), "asked")
         new = asked if words is None else materialize(asked.join(words.select("v").hint("merge"), "v", "left_anti"), "wanted")
         if words is None or not new.isEmpty():
             more = _whole_sets(docs, new, k, id_col, text_col)
@@ -339,8 +343,39 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
             found = found.unionByName(more)
         return found
 
-    def compared(level: DataFrame, depth: int) -> DataFrame:
-        """Compares small nodes and the chunks of larger ones; returns the rows of the larger ones. `level`: node, v, label."""
+    def labelled(rows: DataFrame) -> DataFrame:
+        """With the component of each v, so far, as its label."""
+        return rows.join(labels.hint("merge"), "v", "left").withColumn("label", F.coalesce("component", "v")).drop("component")
+
+    def mains(rows: DataFrame) -> DataFrame:
+        """node, main (the label of most of its rows) and n_rest (rows with other labels) of the nodes that have both."""
+        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+        main = parts.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"))
+        return materialize(main.filter("n_rest > 0"), "main")
+
+    def tiles(rows: DataFrame) -> DataFrame:
+        """Units that compare whole nodes: some members, by tiles, with every chunk of all. Rows have main and n_rest.
+
+        What is outside the largest component is compared with all; or, if that is less, what a node has besides the members that it
+        shares with one earlier node of these, where those are compared.
+        """
+        rows = materialize(rows.join(rows.groupBy("v").agg(F.min("node").alias("earlier")).hint("merge"), "v"), "ends")
+        shared = rows.filter("earlier < node").groupBy("node", "earlier").agg(F.count("*").alias("n"))
+        shared = shared.groupBy("node").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("known"), F.max("n").alias("n_known"))
+        rows = join_sized(rows, materialize(shared, "shared"), ["node"], "left")
+        n_new = F.col("n_node") - F.coalesce("n_known", F.lit(0))
+        rows = rows.withColumn("first", F.when(n_new < F.col("n_rest"), F.col("earlier") != F.col("known")).otherwise(F.col("label") != F.col("main")))
+        n_tiles = F.ceil(F.least(n_new, "n_rest") / small).cast("int")
+        rows = rows.withColumn("n_tiles", n_tiles).filter("n_tiles > 0")
+        tile = F.pmod(F.xxhash64("v", F.lit(5)), F.col("n_tiles")).cast("int")
+        tiled = lambda rows, tile, chunk, side: rows.select(F.xxhash64("node", tile, chunk, F.lit("rest")).alias("unit"), F.lit(side).alias("side"), "v", "label")
+        some = rows.filter("first").select("node", "v", "label", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("to"))
+        every = rows.select("node", "v", "label", "chunk", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("to"))
+        return tiled(some, "tile", "to", 0).unionByName(tiled(every, "to", "chunk", 1))
+
+    def compared(level: DataFrame, depth: int, within: int | None) -> DataFrame:
+        """Compares small nodes, larger ones with at most `within` rows outside their largest component (None: all) and the chunks
+        of the others, whose rows it returns. `level`: node, v, label."""
         level = materialize(level, "level")
         # Written first, so that the join reads plain shuffles, which Spark can split where one node is large.
         # A node whose members are connected already has nothing to add.
@@ -349,53 +384,50 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, i
         n_chunks = F.ceil(F.col("n_node") / small).cast("int")
         rows = level.join(nodes.hint("merge"), "node").select("node", "v", "label", "n_node", n_chunks.alias("n_chunks"), F.pmod(F.xxhash64("v", F.lit(depth)), n_chunks).cast("int").alias("chunk"))
         rows = materialize(rows, "rows")
+        in_chunk = lambda rows, chunk: rows.select(F.xxhash64("node", chunk).alias("unit"), F.lit(0).alias("side"), "v", "label")
         large = rows.filter(F.col("n_node") > small)
+        if large.isEmpty():
+            confirm(meet(in_chunk(rows, "chunk")))
+            return large
+        few = 0
+        if within != 0:
+            main = mains(large)
+            whole = main if within is None else main.filter(F.col("n_rest") <= within)
+            few = whole.count()
+            ends = join_sized(large, whole, ["node"], "inner", few)
+            large = join_sized(large, whole, ["node"], "left_anti", few)
         first = F.min(F.struct(F.xxhash64("v").alias("h"), "v", "label", "n_chunks", "chunk")).alias("first")
         pivots = large.groupBy("node", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(PIVOTS)).alias("slot")).agg(first).select("node", "first.*")
         pivots = pivots.select("node", "v", "label", "chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("to")).filter("to <> chunk")
-        in_chunk = lambda rows, chunk: rows.select(F.xxhash64("node", chunk).alias("unit"), F.lit(0).alias("side"), "v", "label")
-        confirm(meet(in_chunk(rows, "chunk").unionByName(in_chunk(pivots, "to"))))
+        units = in_chunk(rows.filter(F.col("n_node") <= small), "chunk").unionByName(in_chunk(large, "chunk")).unionByName(in_chunk(pivots, "to"))
+        confirm(meet(units.unionByName(tiles(ends)) if few else units))
         return large
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        """With the component of each v, so far, as its label."""
-        return rows.join(labels.hint("merge"), "v", "left").withColumn("label", F.coalesce("component", "v")).drop("component")
-
     # One tree alone connects most of what is similar, so that the nodes of the others are mostly connected already:
     # a large group of near copies is compared in one tree, not in all.
-    large = compared(_roots(classes, range(1)).withColumn("label", F.col("v")), 0)
+    large = compared(_roots(classes, range(1)).withColumn("label", F.col("v")), 0, 0)
     labels = connected_components(united()).withColumnRenamed("vertex", "v")
     seen = len(links)
     level = labelled(_roots(classes, range(1, TREES)).unionByName(large.select("v", "node")))
-    for depth in range(1, DEPTH + 1):
-        large = compared(level, depth)
+    for depth in range(1, DEPTH + 2):
+        large = compared(level, depth, WITHIN * SMALL if depth <= DEPTH else None)
         if large.isEmpty():
             break
         if any(not more.isEmpty() for more in links[seen:]):
             labels = connected_components(united()).withColumnRenamed("vertex", "v")
         seen = len(links)
         # In each large node only what is outside its largest component can still need a link.
-        state = materialize(labelled(large.drop("label")), "state")
-        parts = state.groupBy("node", "label").agg(F.count("*").alias("n"))
-        main = parts.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"))
-        main = materialize(main.filter("n_rest > 0"), "main")
+        state = materialize(labelled(large.select("node", "v")), "state")
+        main = mains(state)
         if main.isEmpty():
             break
         opened = join_sized(state, main, ["node"], "inner")
-        last = depth == DEPTH
-        ends = opened if last else opened.filter(F.col("n_rest") <= small)
-        some_end = last or not main.filter(F.col("n_rest") <= small).isEmpty()
-        n_tiles = F.ceil(F.col("n_rest") / small).cast("int")
-        tile = F.pmod(F.xxhash64("v", F.lit(5)), n_tiles).cast("int")
-        tiled = lambda rows, tile, chunk, side: rows.select(F.xxhash64("node", tile, chunk, F.lit("rest")).alias("unit"), F.lit(side).alias("side"), "v", "label")
-        rest = ends.filter("label <> main").select("node", "v", "label", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("to"))
-        all_ = ends.select("node", "v", "label", "chunk", F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("to"))
-        if some_end:
-            confirm(meet(tiled(rest, "tile", "to", 0).unionByName(tiled(all_, "to", "chunk", 1))))
-        if last or main.filter(F.col("n_rest") > small).isEmpty():
-            break
-        branching = opened.filter(F.col("n_rest") > small).select("node", "v", "label")
-        level = _children(branching.join(classes.select("v", "sig").hint("merge"), "v"))
+        if depth == DEPTH:
+            level = opened.select("node", "v", "label")
+            continue
+        again = opened.filter(F.col("n_rest") <= WITHIN * SMALL).select("node", "v", "label")
+        branching = opened.filter(F.col("n_rest") > WITHIN * SMALL).select("node", "v", "label")
+        level = _children(branching.join(classes.select("v", "sig").hint("merge"), "v")).select("node", "v", "label").unionByName(again)
     return united()
 
 

@@ -368,6 +368,25 @@ def test_near_dedup_meets_near_copies_in_one_tree(spark, monkeypatch):
     assert met[0] > 200 and sum(met) < 4 * 200
 
 
+def test_near_dedup_compares_a_loose_shell_once(spark, monkeypatch):
+    """Texts that are nearly similar to a large group meet it in one node, not in every node and level that holds both."""
+    base, met = [f"w{k}" for k in range(300)], []
+
+    def counted(df, name, **more):
+        out = materialize(df, name, **more)
+        if name == "meetings":
+            met.append(out.count())
+        return out
+
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(200)]
+    rows += [(1000 + k, " ".join(f"y{k}_{at}" if at % 20 == k % 10 else base[at] for at in range(300))) for k in range(90)]
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(near_dedup, "SMALL", 48)
+    found = near_dedup.components(materialize(spark.createDataFrame(rows, "doc_id long, text string"), "shell"), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_near(rows, 4, 80)
+    assert sum(met) < 10_000
+
+
 def test_near_dedup_repeated_ids(spark):
     """Rows with one id: each set of the id takes part, and all its rows share a component."""
     base = [f"w{k}" for k in range(60)]
