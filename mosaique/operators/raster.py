@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import collections
 import math
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,27 +26,90 @@ AT = [ID, "x", "y"]
 
 #: Pixels in an Arrow batch that `read_rasters` hands on.
 PIXEL_ROWS = 500_000
+#: Pictures in a sheet of `write_sheets`.
+SHEET = 2_048
 
 
-def read_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """Stills under a path as pixels: image_id (path), x, y, r, g, b, a. Undecodable files have no pixels (see `bad_rasters`)."""
+def read_rasters(spark: SparkSession, path: str, height: int | None = None) -> DataFrame:
+    """Stills under a path as pixels: image_id (path), x, y, r, g, b, a. Undecodable files have no pixels (see `bad_rasters`).
+
+    With a `height` the files are sheets as `write_sheets` writes them, and image_id is the number of each picture in them.
+    """
     images = spark.read.format("image").load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").filter("width > 0")
+    kind = "string" if height is None else "long"
 
     def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                origin, width, height, channels = (batch.column(c)[k].as_py() for c in range(4))
-                data = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8).reshape(width * height, channels)
-                for low in range(0, len(data), PIXEL_ROWS):
-                    part = data[low : low + PIXEL_ROWS].astype(np.int32)
+                origin, width, _, channels = (batch.column(c)[k].as_py() for c in range(4))
+                data = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8)
+                if height is None:
+                    names, rows = None, data.reshape(-1, channels)
+                else:
+                    strips = data.reshape(-1, height + 1, width * channels)
+                    names, rows = strips[:, 0, :9].copy(), strips[:, 1:].reshape(-1, channels)
+                for low in range(0, len(rows), PIXEL_ROWS):
+                    part = rows[low : low + PIXEL_ROWS].astype(np.int32)
                     at = np.arange(low, low + len(part))
                     # Bytes come as blue, green, red, alpha; one channel is grey.
                     b, g, r = (part[:, min(c, channels - 1)] for c in range(3))
                     alpha = part[:, 3] if channels == 4 else np.full(len(part), 255, np.int32)
+                    if names is None:
+                        named = pa.repeat(origin, len(part))
+                    else:
+                        own = at // (width * height)
+                        named = pa.array(np.ascontiguousarray(names[:, :8]).view("<i8").ravel()[own], mask=names[own, 8] == 0)
+                        at = at % (width * height)
                     columns = [(at % width).astype(np.int32), (at // width).astype(np.int32), r, g, b, alpha]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(origin, len(part)), *map(pa.array, columns)], [ID, "x", "y", "r", "g", "b", "a"])
+                    yield pa.RecordBatch.from_arrays([named, *map(pa.array, columns)], [ID, "x", "y", "r", "g", "b", "a"])
+
+    return images.mapInArrow(pixels, f"{ID} {kind}, x int, y int, r int, g int, b int, a int")
+
 
-    return images.mapInArrow(pixels, f"{ID} string, x int, y int, r int, g int, b int, a int")
+def write_sheets(pictures: DataFrame, path: str, width: int, height: int) -> None:
+    """Grey pictures of one size (a whole number, which may be null, and an array of pixels, row by row) as bitmap files with many pictures in each.
+
+    Rows without an array are left out, as files that don't decode are; pixels behind the size are ignored.
+    A sheet has up to SHEET pictures, one below the other, each below a row of pixels whose first nine bytes hold its number
+    and whether it has one. So there are as many files as tasks and full sheets, not as many as pictures.
+    """
+    stride = -(-3 * width // 4) * 4
+
+    def sheet(number: pa.Array, luma: np.ndarray) -> bytes:
+        n = len(number)
+        rows = np.zeros((n, height + 1, stride), np.uint8)
+        rows[:, 0, :8] = number.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(n, 8)
+        rows[:, 0, 8] = number.is_valid().to_numpy(zero_copy_only=False)
+        rows[:, 1:, : 3 * width] = np.repeat(luma.reshape(n, height, width), 3, axis=2)
+        # A bitmap begins with its lowest row.
+        body = rows.reshape(-1, stride)[::-1].tobytes()
+        return b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(body), 0, 54, 40, width, n * (height + 1), 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+    def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cut(all_: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            for low in range(0, table.num_rows, SHEET):
+                part = table.slice(low, SHEET).combine_chunks()
+                if part.num_rows < SHEET and not all_:
+                    held.extend(part.to_batches())
+                    break
+                number, luma = (part.column(c).combine_chunks() for c in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array([sheet(number, luma.flatten().to_numpy(zero_copy_only=False).astype(np.uint8))], pa.binary())], ["content"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= SHEET:
+                yield from cut(False)
+        if held:
+            yield from cut(True)
+
+    number, luma = pictures.columns
+    rows = pictures.select(F.col(number).cast("long"), F.slice(luma, 1, width * height)).filter(F.col(luma).isNotNull())
+    rows.mapInArrow(sheets, "content binary").select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def bad_rasters(spark: SparkSession, path: str) -> DataFrame:

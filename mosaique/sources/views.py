@@ -36,13 +36,6 @@ def joined_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).selectExpr("image_id div 64 as image_id", "cast(image_id % 8 * 8 + x as int) as x", "cast(image_id % 64 div 8 * 8 + y as int) as y", "luma")
 
 
-def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id and content: each vector as a 24-bit bitmap file of 8 x 8 grey pixels."""
-    header = "424DF60000000000000036000000280000000800000008000000010018000000" + "0000C0000000130B0000130B00000000000000000000"
-    pixel = "repeat(lpad(hex(element_at(luma, cast((7 - k div 8) * 8 + k % 8 + 1 as int))), 2, '0'), 3)"
-    return raster_arrays(spark, sf_dir).selectExpr("image_id", f"unhex(concat('{header}', array_join(transform(sequence(0, 63), k -> {pixel}), ''))) as content")
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, frame_idx, duration_ms, event_type, value: each user's events as the frames of a clip."""
     events = _table(spark, sf_dir, "events").selectExpr(

@@ -164,6 +164,27 @@ def test_read_rasters(spark, tmp_path):
     assert raster.bad_rasters(spark, str(tmp_path)).count() == 1
 
 
+def test_sheets(spark, tmp_path, monkeypatch):
+    """Many pictures share a file; numbers may be null, negative, sparse or repeated, and a row without a picture has no pixels."""
+    monkeypatch.setattr(raster, "SHEET", 8)
+    numbers = [None, -5, 1 << 62, 7, 7, *range(100, 125)]
+    rows = [(n, [(k * 31 + p) % 256 for p in range(6)]) for k, n in enumerate(numbers)]
+    table = spark.createDataFrame([*rows, (9, None)], "number long, luma array<int>").coalesce(1)
+    raster.write_sheets(table, str(tmp_path / "sheets"), 3, 2)
+    assert len(list((tmp_path / "sheets").glob("part-*"))) == 4
+    found = [tuple(r) for r in raster.read_rasters(spark, str(tmp_path / "sheets"), height=2).collect()]
+    want = [(n, p % 3, p // 3, v, v, v, 255) for n, luma in rows for p, v in enumerate(luma)]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_read_rasters_query_writes_few_files(spark, sf_dir, tmp_path, monkeypatch):
+    from mosaique.queries import pixels
+
+    monkeypatch.setattr(pixels, "shared_path", lambda spark, name: str(tmp_path / name))
+    n = pixels.read_rasters(spark, sf_dir).select("image_id").distinct().count()
+    assert n > 100 and len([p for p in (tmp_path / "bitmaps").rglob("part-*") if p.is_file()]) <= n / 10
+
+
 def test_scan_media(spark, tmp_path):
     from mosaique.sources.media import scan_media
 
