@@ -267,20 +267,38 @@ def order_members(table: DataFrame) -> DataFrame:
     return scan(table, ["group_key"], order, number="member_no")
 
 
-def keep_rules() -> dict[str, list[Column]]:
-    """Sort orders of the keep rules; ties keep the first member."""
-    pixels = F.col("width").cast("long") * F.col("height")
+def _keep_orders() -> dict[str, list[tuple[Column, bool]]]:
+    """Sort columns of the keep rules, each with whether it falls."""
+    pixels, size, sharpness = F.col("width").cast("long") * F.col("height"), F.col("size_bytes"), F.col("sharpness")
     return {
-        "resolution": [pixels.desc(), F.desc("size_bytes"), F.desc("sharpness")],
-        "sharpest": [F.desc("sharpness"), pixels.desc()],
-        "newest": [F.desc("mtime")],
-        "oldest": [F.asc("mtime")],
-        "largest": [F.desc("size_bytes")],
-        "smallest": [F.asc("size_bytes")],
-        "shortest": [F.length("path").asc()],
+        "resolution": [(pixels, True), (size, True), (sharpness, True)],
+        "sharpest": [(sharpness, True), (pixels, True)],
+        "newest": [(F.col("mtime"), True)],
+        "oldest": [(F.col("mtime"), False)],
+        "largest": [(size, True)],
+        "smallest": [(size, False)],
+        "shortest": [(F.length("path"), False)],
     }
 
 
+def keep_rules() -> dict[str, list[Column]]:
+    """Sort orders of the keep rules; ties keep the first member."""
+    return {rule: [c.desc() if falls else c.asc() for c, falls in order] for rule, order in _keep_orders().items()}
+
+
+def best_by_rules(table: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """rule and id: what each keep rule keeps of every group of ordered members, by one aggregate for all rules."""
+
+    def place(order: list[tuple[Column, bool]]) -> Column:
+        # Structs compare field by field, nulls first: a falling column is the rising one of negatives, NaN before and nulls behind them.
+        keys = [F.struct(F.when(c.isNull(), 1).when(F.isnan(c), -1).otherwise(0), -c) if falls else F.struct(c) for c, falls in order]
+        return F.struct(*keys, "member_no")
+
+    orders = _keep_orders()
+    best = table.groupBy("group_key").agg(*[F.min_by(id_col, place(order)).alias(rule) for rule, order in orders.items()])
+    return best.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias(id_col)) for rule in orders])))
+
+
 def keep_best(table: DataFrame, rule: str = "resolution") -> DataFrame:
     """Ordered members with `best`: the one that the rule keeps."""
     place = scan(table, ["group_key"], [*keep_rules()[rule], "member_no"], number="_keep_no")
@@ -323,13 +341,17 @@ def write_manifest_csv(table: DataFrame, path: str) -> None:
     manifest(table).orderBy("group", "path").write.mode("overwrite").option("header", True).csv(path)
 
 
-def similar_groups(fp: DataFrame, threshold: int = THRESHOLD, banded: bool = True, rule: str = "resolution", layout: Layout = ARRAYS) -> DataFrame:
-    """From fingerprints to reviewed members: group_no, member_no, score_to_anchor, anchor and `checked`."""
+def ordered_groups(fp: DataFrame, threshold: int = THRESHOLD, banded: bool = True, layout: Layout = ARRAYS) -> DataFrame:
+    """From fingerprints to ordered members: group_no, member_no, score_to_anchor and anchor."""
     fp = materialize(fp, "fingerprints")
     distinct, copies = exact_fingerprint_dedup(fp, ["a_hash", "d_hash", "color_hist"])
     pairs = (candidate_pairs_banded if banded else similar_pairs_exact)(distinct, threshold, layout=layout)
     table = materialize(members(fp, pairs, copies), "members")
     scored = materialize(score_to_anchor(table, pick_anchor(table), layout=layout), "scored")
     numbered = number_groups(group_summary(scored)).select("group_key", "group_no", "n_members", "total_bytes", "min_score")
-    return check_except_best(order_members(scored.join(numbered.hint("merge"), "group_key")), rule)
+    return order_members(scored.join(numbered.hint("merge"), "group_key"))
+
 
+def similar_groups(fp: DataFrame, threshold: int = THRESHOLD, banded: bool = True, rule: str = "resolution", layout: Layout = ARRAYS) -> DataFrame:
+    """Ordered members with `checked`: all but the one that the rule keeps of each group."""
+    return check_except_best(ordered_groups(fp, threshold, banded, layout), rule)

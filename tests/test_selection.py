@@ -44,3 +44,26 @@ def test_paths_without_dots(spark):
         assert r["n"] == ("/" + want.lstrip("/") if r["p"].startswith("/") else want), r["p"]
     schemes = spark.createDataFrame([("file:///a/../b/./c.png",), ("s3://bucket/../x//y",), ("s3://bucket",), (None,)], "p string").select(S.normal_path(F.col("p"))).collect()
     assert [r[0] for r in schemes] == ["file:///b/c.png", "s3://bucket/x/y", "s3://bucket/", None]
+
+
+def test_best_by_rules_keeps_what_each_rule_keeps(spark):
+    """One aggregate for all rules: ties keep the first member, nulls and NaN stand where sorting has them."""
+    from mosaique.operators import similarity
+
+    rnd, odd = random.Random(3), [None, float("nan"), 1.5, 2.5]
+    rows = [(k % 7, k, k // 7, rnd.choice([10, 20, None]), 4, rnd.choice([5, 6, None]), rnd.choice(odd), rnd.choice(odd), "x" * rnd.randint(1, 3)) for k in range(84)]
+    table = spark.createDataFrame(rows, "group_key long, image_id long, member_no long, width int, height int, size_bytes long, sharpness double, mtime double, path string")
+    want = [(rule, r.image_id) for rule in similarity.keep_rules() for r in similarity.keep_best(table, rule).filter("best").collect()]
+    assert sorted(tuple(r) for r in similarity.best_by_rules(table).collect()) == sorted(want) and len(want) == 49
+
+
+def test_keep_best_query_orders_members_once(spark, sf_dir, monkeypatch):
+    """Groups and members are numbered by two scans; the seven rules add none."""
+    from mosaique.operators import scan, similarity
+    from mosaique.queries import similar
+
+    calls = []
+    counted = lambda *a, **k: calls.append(1) or scan.scan(*a, **k)
+    monkeypatch.setattr(similarity, "scan", counted)
+    assert {r.rule for r in similar.keep_best(spark, sf_dir).collect()} == set(similarity.keep_rules())
+    assert len(calls) == 1
